@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vitrine.operators.lookup import attach
+from vitrine.operators.lookup import few, keys, pin
 from vitrine.operators.sales import margin, sum_or_zero
 
 
@@ -72,18 +72,20 @@ def customer_profit(
             .alias("_profit")
         )
     )
-    top = (
+    order = [F.desc("lucro"), F.asc_nulls_last("customer_id")]
+    top = pin(
         orders.select(F.col("id").alias("order_id"), "customer_id")
         .join(per_order, "order_id", "left")
         .groupBy("customer_id")
         .agg(sum_or_zero("_profit").alias("lucro"))
-        .orderBy(F.desc("lucro"), F.asc_nulls_last("customer_id"))
-        .limit(n)
+        .orderBy(*order),
+        n,
     )
+    named = _identity(few(customers, keys(top, "customer_id")))
     return (
-        attach(top, _identity(customers), "customer_id", n)
+        top.join(named, "customer_id", "left")
         .select("customer_id", "legal_name", "person_type", "lucro")
-        .orderBy(F.desc("lucro"), F.asc_nulls_last("customer_id"))
+        .orderBy(*order)
     )
 
 

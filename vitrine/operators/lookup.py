@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, functions as F
 
 
-def attach(report: DataFrame, dim: DataFrame, on: str, limit: int) -> DataFrame:
-    """Left join of a report of at most ``limit`` rows to a dimension of any size.
+def pin(report: DataFrame, limit: int) -> DataFrame:
+    """Compute a report of at most ``limit`` rows once, for use in several joins.
+
+    Spark would otherwise repeat the work behind a top-k for each use of it.
+    """
+    rows = report.limit(limit).toArrow()
+    return report.sparkSession.createDataFrame(rows, schema=report.schema)
+
+
+def keys(pinned: DataFrame, *columns: str) -> list:
+    """Distinct non-null values of a pinned report."""
+    values = {r[c] for r in pinned.select(*columns).collect() for c in columns}
+    return sorted(v for v in values if v is not None)
+
 
-    The report's own keys (no more than ``limit``) are broadcast to thin the
-    dimension where it is scanned, so the dimension is never shuffled whole.
+def few(dim: DataFrame, wanted: Iterable, key: str = "id") -> DataFrame:
+    """The dimension rows with the wanted keys; the filter reaches the file scan."""
+    return dim.filter(F.col(key).isin(list(wanted)))
+
+
+def few_variant_names(variants: DataFrame, products: DataFrame, wanted: list) -> DataFrame:
+    """Product names of a short list of variants.
+
+    Variant ids are unique, so no more rows than ``wanted`` are broadcast and
+    the products are not shuffled.
     """
-    keys = F.broadcast(report.select(on).limit(limit))
-    return report.join(dim.join(keys, on, "left_semi"), on, "left")
+    chosen = few(variants, wanted).select(F.col("id").alias("product_variant_id"), "product_id")
+    return (
+        products.select(F.col("id").alias("product_id"), "name")
+        .join(F.broadcast(chosen), "product_id")
+        .select("product_variant_id", "name")
+    )
 
 
 def variant_names(variants: DataFrame, products: DataFrame) -> DataFrame:
-    """Product name of each variant."""
+    """Product name of every variant."""
     names = products.select(F.col("id").alias("product_id"), "name")
     return (
         variants.select(F.col("id").alias("product_variant_id"), "product_id")

@@ -83,14 +83,9 @@ def eda_total_stats(df: DataFrame) -> DataFrame:
 
 def eda_quartiles(df: DataFrame) -> DataFrame:
     f = fences(df)
-    return df.agg(
-        *[
-            F.max(_double(value)).alias(name)
-            for name, value in {
-                "q1": f.q1, "q3": f.q3, "iqr": f.iqr,
-                "limite_inferior": f.lower, "limite_superior": f.upper,
-            }.items()
-        ]
+    return df.sparkSession.createDataFrame(
+        [(f.q1, f.q3, f.iqr, f.lower, f.upper)],
+        "q1 double, q3 double, iqr double, limite_inferior double, limite_superior double",
     )
 
 

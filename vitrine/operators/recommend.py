@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vitrine.operators.lookup import attach, variant_names
+from vitrine.operators.lookup import few_variant_names, keys, pin, variant_names
 
 # Items of a basket whose partners one task lists; larger baskets are cut in such blocks.
 BLOCK = 256
+# Variants whose pairs set the bar for the most frequent pairs.
+SEEDS = 1000
+# Items are thinned before pairing if no more than this share of them stays.
+WORTHWHILE_SHARE = 0.5
 
 
 def basket_items(items: DataFrame) -> DataFrame:
@@ -43,22 +47,20 @@ def product_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
     baskets = order_baskets(items)
     size = F.size("produtos")
     usual = baskets.filter(size.between(2, block)).select(
-        "produtos", F.lit(1).alias("_from"), F.lit(block).alias("_length")
+        "produtos", F.lit(block).alias("_firsts")
     )
+    starts = F.explode(F.sequence(F.lit(1), size, F.lit(block)))
     large = (
         baskets.filter(size > block)
-        .select(
-            "order_id", "produtos", F.explode(F.sequence(F.lit(1), size, F.lit(block))).alias("_from")
-        )
+        .select("order_id", "produtos", starts.alias("_from"))
+        .select("order_id", "_from", F.slice("produtos", F.col("_from"), size).alias("produtos"))
         .repartition("order_id", "_from")
-        .select("produtos", "_from", F.lit(block).alias("_length"))
+        .select("produtos", F.lit(block).alias("_firsts"))
     )
     firsts = usual.unionByName(large).select(
-        "produtos",
-        "_from",
-        F.posexplode(F.slice("produtos", F.col("_from"), F.col("_length"))).alias("_at", "produto_a"),
+        "produtos", F.posexplode(F.slice("produtos", 1, F.col("_firsts"))).alias("_at", "produto_a")
     )
-    later = F.slice("produtos", F.col("_from") + F.col("_at") + 1, size)
+    later = F.slice("produtos", F.col("_at") + 2, size)
     return (
         firsts.select("produto_a", F.explode(later).alias("produto_b"))
         .groupBy("produto_a", "produto_b")
@@ -66,25 +68,60 @@ def product_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def _best_pairs_first():
+    return [F.desc("coocorrencias"), F.asc("produto_a"), F.asc("produto_b")]
+
+
+def top_pairs(items: DataFrame, n: int = 30, seeds: int = SEEDS) -> DataFrame:
+    """The ``n`` most frequent pairs, without counting pairs that cannot be among them.
+
+    A pair is at most as frequent as the rarer of its two products. The pairs
+    of the ``seeds`` most frequent products give a count that ``n`` pairs reach;
+    products with fewer item rows than that are dropped before pairing. This is
+    exact, ties included: the final counts run over all products that are left.
+    """
+    known = items.filter(
+        F.col("order_id").isNotNull() & F.col("product_variant_id").isNotNull()
+    ).select("order_id", "product_variant_id")
+    rows = known.groupBy("product_variant_id").agg(F.count(F.lit(1)).alias("_rows"))
+    chosen = rows.orderBy(F.desc("_rows"), "product_variant_id").limit(seeds)
+    seed_items = known.join(
+        F.broadcast(chosen.select("product_variant_id")), "product_variant_id", "left_semi"
+    )
+    reached = (
+        product_pairs(seed_items).orderBy(*_best_pairs_first()).limit(n)
+        .agg(F.count(F.lit(1)).alias("pairs"), F.min("coocorrencias").alias("least"))
+        .first()
+    )
+    bar = reached["least"] if reached["pairs"] == n else 1
+    frequent = F.col("_rows") >= bar
+    kept = rows.agg(
+        F.sum(F.when(frequent, F.col("_rows"))) / F.sum("_rows")
+    ).first()[0]
+    if kept is not None and kept <= WORTHWHILE_SHARE:
+        wanted = rows.filter(frequent).select("product_variant_id")
+        known = known.join(wanted, "product_variant_id", "left_semi")
+    return product_pairs(known).orderBy(*_best_pairs_first()).limit(n)
+
+
 def product_pairs_named(
-    pairs: DataFrame, variants: DataFrame, products: DataFrame, n: int = 30
+    items: DataFrame, variants: DataFrame, products: DataFrame, n: int = 30
 ) -> DataFrame:
     """The ``n`` most frequent pairs with both product names.
 
     The pairs are cut to ``n`` first; only those look up their names.
     """
-    order = [F.desc("coocorrencias"), "produto_a", "produto_b"]
-    top = pairs.orderBy(*order).limit(n)
-    names = variant_names(variants, products)
+    top = pin(top_pairs(items, n), n)
+    names = few_variant_names(variants, products, keys(top, "produto_a", "produto_b"))
     for side in ("a", "b"):
-        dim = names.select(
+        named = names.select(
             F.col("product_variant_id").alias(f"produto_{side}"),
             F.col("name").alias(f"produto_{side}_nome"),
         )
-        top = attach(top, dim, f"produto_{side}", n)
+        top = top.join(named, f"produto_{side}", "left")
     return top.select(
         "produto_a", "produto_b", "coocorrencias", "produto_a_nome", "produto_b_nome"
-    ).orderBy(*order)
+    ).orderBy(*_best_pairs_first())
 
 
 def customer_list(orders: DataFrame) -> DataFrame:
@@ -113,9 +150,6 @@ def _history(orders: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-
-
-
 def _most_first():
     return [F.desc("quantidade_historica"), F.asc("product_variant_id")]
 
@@ -134,9 +168,9 @@ def next_purchase(
     else:
         chosen = F.lit(customer_id)
     own = orders.filter(F.col("customer_id") == chosen)
-    top = _history(own, items).orderBy(*_most_first()).limit(n)
-    named = attach(top, variant_names(variants, products), "product_variant_id", n)
-    return named.select(
+    top = pin(_history(own, items).orderBy(*_most_first()), n)
+    names = few_variant_names(variants, products, keys(top, "product_variant_id"))
+    return top.join(names, "product_variant_id", "left").select(
         "customer_id", "product_variant_id", F.col("name").alias("produto"), "quantidade_historica"
     ).orderBy(*_most_first())
 

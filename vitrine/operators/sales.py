@@ -69,20 +69,29 @@ def product_totals(items: DataFrame, variants: DataFrame, products: DataFrame) -
 
     Cost is constant within a variant, so items are summed per variant before
     any join: a variant that fills a third of the table reaches the shuffle as
-    one row per task. Items lacking a price or a quantity add nothing to profit.
+    one row per task. Items that lack a total or a quantity add nothing to the
+    profit, so what they add to the other sums is kept aside.
     """
-    priced = F.col("line_total").isNotNull() & F.col("quantity").isNotNull()
+    unpriced = F.col("line_total").isNull() | F.col("quantity").isNull()
     per_variant = items.groupBy("product_variant_id").agg(
         F.sum("quantity").alias("_units"),
         F.sum("line_total").alias("_revenue"),
-        F.sum(F.when(priced, F.col("quantity"))).alias("_priced_units"),
-        F.sum(F.when(priced, F.col("line_total"))).alias("_priced_revenue"),
+        F.sum(F.when(unpriced, F.col("quantity"))).alias("_unpriced_units"),
+        F.sum(F.when(unpriced, F.col("line_total"))).alias("_unpriced_revenue"),
     )
     costs = variants.select(
         F.col("id").alias("product_variant_id"), "product_id", "cost_price"
     )
     names = products.select(F.col("id").alias("product_id"), "name")
-    profit = margin(F.col("_priced_revenue"), F.col("_priced_units"), F.col("cost_price"))
+
+    def priced(total: str, unpriced_part: str) -> Column:
+        return F.col(total) - F.coalesce(F.col(unpriced_part), F.lit(0))
+
+    profit = margin(
+        priced("_revenue", "_unpriced_revenue"),
+        priced("_units", "_unpriced_units"),
+        F.col("cost_price"),
+    )
     return (
         per_variant.join(costs, "product_variant_id", "left")
         .join(names, "product_id", "left")

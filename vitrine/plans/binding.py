@@ -9,14 +9,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+# The test tables. A declared schema spares a look into the files for each plan.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+TABLES = tuple(SCHEMAS)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 _ORDERS = [
@@ -66,18 +86,22 @@ _SERIES = [
 ]
 
 
-def logical_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    source = {t: read_table(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "customer")}
-    returned = source["lineitem"].filter("l_returnflag = 'R'")
-    return {
-        "orders": source["orders"].selectExpr(*_ORDERS),
-        "order_items": source["lineitem"].selectExpr(*_ITEMS),
-        "products": source["part"].selectExpr(*_PRODUCTS),
-        "product_variants": source["part"].selectExpr(*_VARIANTS),
-        "customers": source["customer"].selectExpr(*_CUSTOMERS),
-        "addresses": _addresses(source["customer"], read_table(spark, sf_dir, "nation")),
-        "returns": returned.selectExpr(*_RETURNS),
+def logical_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """The named logical tables; all of them if no name is given."""
+
+    def table(name: str) -> DataFrame:
+        return read_table(spark, sf_dir, name)
+
+    build = {
+        "orders": lambda: table("orders").selectExpr(*_ORDERS),
+        "order_items": lambda: table("lineitem").selectExpr(*_ITEMS),
+        "products": lambda: table("part").selectExpr(*_PRODUCTS),
+        "product_variants": lambda: table("part").selectExpr(*_VARIANTS),
+        "customers": lambda: table("customer").selectExpr(*_CUSTOMERS),
+        "addresses": lambda: _addresses(table("customer"), table("nation")),
+        "returns": lambda: table("lineitem").filter("l_returnflag = 'R'").selectExpr(*_RETURNS),
     }
+    return {name: build[name]() for name in names or build}
 
 
 def _addresses(customer: DataFrame, nation: DataFrame) -> DataFrame:
@@ -152,18 +176,22 @@ def _repeated(df: DataFrame, condition: str) -> DataFrame:
     return df.select("*", F.explode(copies).alias("_copy")).drop("_copy")
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def raw_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     """Text tables with defects; the orders of status F and some customers come twice."""
-    orders = _repeated(read_table(spark, sf_dir, "orders"), "o_orderstatus = 'F'")
-    customer = _repeated(read_table(spark, sf_dir, "customer"), "c_mktsegment = 'MACHINERY'")
-    part = read_table(spark, sf_dir, "part")
-    return {
-        "orders": orders.selectExpr(*_RAW_ORDERS),
-        "order_items": read_table(spark, sf_dir, "lineitem").selectExpr(*_RAW_ITEMS),
-        "customers": customer.selectExpr(*_RAW_CUSTOMERS),
-        "products": part.selectExpr(*_RAW_PRODUCTS),
-        "product_variants": part.selectExpr(*_RAW_VARIANTS),
+
+    def table(name: str) -> DataFrame:
+        return read_table(spark, sf_dir, name)
+
+    build = {
+        "orders": lambda: _repeated(table("orders"), "o_orderstatus = 'F'").selectExpr(*_RAW_ORDERS),
+        "order_items": lambda: table("lineitem").selectExpr(*_RAW_ITEMS),
+        "customers": lambda: _repeated(
+            table("customer"), "c_mktsegment = 'MACHINERY'"
+        ).selectExpr(*_RAW_CUSTOMERS),
+        "products": lambda: table("part").selectExpr(*_RAW_PRODUCTS),
+        "product_variants": lambda: table("part").selectExpr(*_RAW_VARIANTS),
     }
+    return {name: build[name]() for name in names or build}
 
 
 def export_csv(tables: dict[str, DataFrame], folder: str) -> None:

@@ -512,8 +512,8 @@ def oracle_sql() -> dict[str, str]:
         # Constraint audits.
         "audit_pk": "SELECT l_orderkey, l_linenumber, COUNT(*) AS linhas FROM lineitem GROUP BY 1, 2 "
         "HAVING COUNT(*) > 1 OR l_orderkey IS NULL OR l_linenumber IS NULL",
-        "audit_unique": "SELECT text, COUNT(*) AS linhas FROM documents WHERE text IS NOT NULL "
-        "GROUP BY text HAVING COUNT(*) > 1",
+        "audit_unique": "SELECT tax_id, COUNT(*) AS linhas FROM r_customers "
+        "WHERE tax_id IS NOT NULL GROUP BY tax_id HAVING COUNT(*) > 1",
         "audit_fk": "SELECT id, COUNT(*) AS linhas FROM l_orders o WHERE id IS NOT NULL "
         "AND NOT EXISTS (SELECT 1 FROM l_items i WHERE i.order_id = o.id) GROUP BY id",
         "audit_domain": "SELECT id, channel FROM l_orders WHERE channel NOT IN ('1-URGENT', '2-HIGH')",

@@ -72,7 +72,7 @@ def raw_csv(spark: SparkSession, sf_dir: str) -> str:
 
 def clean_csv(spark: SparkSession, sf_dir: str) -> str:
     """Orders in their declared types, sorted by id across the part files."""
-    orders = binding.logical_tables(spark, sf_dir)["orders"].drop(
+    orders = binding.logical_tables(spark, sf_dir, "orders")["orders"].drop(
         "salesperson_id", "location_id", "subtotal", "discount_amount", "updated_at"
     ).withColumns(
         {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("placed_at", "created_at")}
@@ -122,7 +122,7 @@ def csv_typed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def na_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = binding.raw_tables(spark, sf_dir)["orders"].select(
+    cells = binding.raw_tables(spark, sf_dir, "orders")["orders"].select(
         "id", "channel", F.col("channel").alias("channel_copy")
     )
     cells = csv_files.null_tokens(cells, columns=["channel"])
@@ -138,7 +138,7 @@ def source_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sql_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile.register_views(binding.logical_tables(spark, sf_dir)["orders"])
+    profile.register_views(binding.logical_tables(spark, sf_dir, "orders")["orders"])
     return sources.sql_source(
         spark, "SELECT month, orders_count, total_sales FROM v_orders_by_month ORDER BY month"
     )
@@ -146,8 +146,7 @@ def sql_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_or_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = binding.logical_tables(spark, sf_dir)
-    del known["returns"]
+    known = binding.logical_tables(spark, sf_dir, "orders")
     returns = sources.table_or_empty(spark, known, "returns", schemas.TREATED["returns"].schema)
     return sales.sales_kpis(known["orders"], returns)
 
@@ -257,7 +256,7 @@ def table_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def decimal_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = binding.logical_tables(spark, sf_dir)["orders"]
+    orders = binding.logical_tables(spark, sf_dir, "orders")["orders"]
     eighth = F.col("total") * F.lit("0.125").cast("decimal(4,3)")
     return _double(
         orders.select(
@@ -274,24 +273,24 @@ def decimal_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return treatment.exact_dedup(binding.raw_tables(spark, sf_dir)["orders"])
+    return treatment.exact_dedup(binding.raw_tables(spark, sf_dir, "orders")["orders"])
 
 
 @query
 def coerce_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = binding.raw_tables(spark, sf_dir)["orders"]
+    orders = binding.raw_tables(spark, sf_dir, "orders")["orders"]
     return treatment.coerce_dates(orders).select("id", "placed_at", "created_at")
 
 
 @query
 def coerce_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = binding.raw_tables(spark, sf_dir)["order_items"]
+    items = binding.raw_tables(spark, sf_dir, "order_items")["order_items"]
     return _double(treatment.coerce_numbers(items), "quantity", "line_total")
 
 
 @query
 def trim_customer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = binding.raw_tables(spark, sf_dir)["customers"]
+    customers = binding.raw_tables(spark, sf_dir, "customers")["customers"]
     return treatment.trim_customer_ids(customers).select("id", "tax_id", "phone", "email")
 
 
@@ -312,7 +311,7 @@ def ids_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def treat_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = csv_files.null_tokens(binding.raw_tables(spark, sf_dir)["orders"])
+    orders = csv_files.null_tokens(binding.raw_tables(spark, sf_dir, "orders")["orders"])
     return _double(treatment.treat_table(orders, "orders"), "total")
 
 
@@ -350,24 +349,25 @@ def audit_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def audit_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.audit_unique(binding.read_table(spark, sf_dir, "documents"), "text")
+    customers = binding.raw_tables(spark, sf_dir, "customers")["customers"]
+    return quality.audit_unique(customers, "tax_id")
 
 
 @query
 def audit_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = binding.logical_tables(spark, sf_dir)
+    t = binding.logical_tables(spark, sf_dir, "orders", "order_items")
     return quality.audit_fk(t["orders"], "id", t["order_items"], "order_id")
 
 
 @query
 def audit_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = binding.logical_tables(spark, sf_dir)["orders"]
+    orders = binding.logical_tables(spark, sf_dir, "orders")["orders"]
     return quality.audit_domain(orders, "channel", ("1-URGENT", "2-HIGH")).select("id", "channel")
 
 
 @query
 def audit_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = binding.logical_tables(spark, sf_dir)["orders"]
+    orders = binding.logical_tables(spark, sf_dir, "orders")["orders"]
     required = [c.name for c in schemas.WAREHOUSE["orders"].columns if c.required]
     return quality.audit_not_null(orders, required)
 
@@ -382,7 +382,7 @@ def audit_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def audit_decimal_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = binding.raw_tables(spark, sf_dir)["order_items"]
+    items = binding.raw_tables(spark, sf_dir, "order_items")["order_items"]
     return quality.audit_decimal_range(items, "line_total", 6, 2)
 
 
@@ -397,7 +397,7 @@ def audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def column_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = binding.logical_tables(spark, sf_dir)["orders"].drop("subtotal")
+    orders = binding.logical_tables(spark, sf_dir, "orders")["orders"].drop("subtotal")
     filled = quality.fill_defaults(orders, schemas.WAREHOUSE["orders"])
     return _double(
         filled.select("id", "subtotal", "discount_amount", "total"),
@@ -415,7 +415,7 @@ def audit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binding.logical_tables(spark, sf_dir)["orders"]
+    return binding.logical_tables(spark, sf_dir, "orders")["orders"]
 
 
 @query
@@ -522,7 +522,7 @@ def q1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q1_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     treated = treatment.treat_table(
-        csv_files.null_tokens(binding.raw_tables(spark, sf_dir)["orders"]), "orders"
+        csv_files.null_tokens(binding.raw_tables(spark, sf_dir, "orders")["orders"]), "orders"
     )
     return profile.q1_diagnosis(treated)
 
@@ -542,7 +542,7 @@ def sales_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sales_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = binding.logical_tables(spark, sf_dir)
+    t = binding.logical_tables(spark, sf_dir, "orders", "returns")
     return sales.sales_kpis(t["orders"], t["returns"])
 
 
@@ -553,13 +553,17 @@ def sales_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def item_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = binding.logical_tables(spark, sf_dir)
+    t = binding.logical_tables(
+        spark, sf_dir, "order_items", "product_variants", "products"
+    )
     df = sales.item_margin(t["order_items"], t["product_variants"], t["products"])
     return _double(df, "quantity", "line_total", "cost_price", "profit")
 
 
 def _product_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = binding.logical_tables(spark, sf_dir)
+    t = binding.logical_tables(
+        spark, sf_dir, "order_items", "product_variants", "products"
+    )
     return sales.product_totals(t["order_items"], t["product_variants"], t["products"])
 
 
@@ -578,19 +582,21 @@ def product_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = binding.logical_tables(spark, sf_dir)
+    t = binding.logical_tables(spark, sf_dir, "orders", "customers")
     return cust.customer_orders(t["orders"], t["customers"])
 
 
 @query
 def customer_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = binding.logical_tables(spark, sf_dir)
+    t = binding.logical_tables(spark, sf_dir, "orders", "customers")
     return _round(cust.customer_kpis(t["orders"], t["customers"]), "taxa_recompra")
 
 
 @query
 def customer_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = binding.logical_tables(spark, sf_dir)
+    t = binding.logical_tables(
+        spark, sf_dir, "orders", "order_items", "product_variants", "customers"
+    )
     return cust.customer_profit(
         t["orders"], t["order_items"], t["product_variants"], t["customers"]
     )
@@ -598,13 +604,13 @@ def customer_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def person_type_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = binding.logical_tables(spark, sf_dir)
+    t = binding.logical_tables(spark, sf_dir, "customers")
     return _round(cust.person_type_split(t["customers"]), "percentual")
 
 
 @query
 def customers_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cust.customers_by_state(binding.logical_tables(spark, sf_dir)["addresses"])
+    return cust.customers_by_state(binding.logical_tables(spark, sf_dir, "addresses")["addresses"])
 
 
 # --- Forecast ---------------------------------------------------------------
@@ -655,7 +661,7 @@ def history_plus_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def order_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    baskets = recommend.order_baskets(binding.logical_tables(spark, sf_dir)["order_items"])
+    baskets = recommend.order_baskets(binding.logical_tables(spark, sf_dir, "order_items")["order_items"])
     return baskets.select(
         "order_id", F.array_join(F.col("produtos").cast("array<string>"), ",").alias("produtos")
     )
@@ -663,19 +669,22 @@ def order_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def basket_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recommend.basket_items(binding.logical_tables(spark, sf_dir)["order_items"])
+    return recommend.basket_items(binding.logical_tables(spark, sf_dir, "order_items")["order_items"])
 
 
 @query
 def product_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recommend.product_pairs(binding.logical_tables(spark, sf_dir)["order_items"])
+    return recommend.product_pairs(binding.logical_tables(spark, sf_dir, "order_items")["order_items"])
 
 
 @query
 def product_pairs_named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = binding.logical_tables(spark, sf_dir)
-    pairs = recommend.product_pairs(t["order_items"])
-    return recommend.product_pairs_named(pairs, t["product_variants"], t["products"])
+    t = binding.logical_tables(
+        spark, sf_dir, "order_items", "product_variants", "products"
+    )
+    return recommend.product_pairs_named(
+        t["order_items"], t["product_variants"], t["products"]
+    )
 
 
 @query
@@ -685,7 +694,9 @@ def customer_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def next_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = binding.logical_tables(spark, sf_dir)
+    t = binding.logical_tables(
+        spark, sf_dir, "orders", "order_items", "product_variants", "products"
+    )
     return recommend.next_purchase(
         t["orders"], t["order_items"], t["product_variants"], t["products"]
     )
@@ -693,7 +704,9 @@ def next_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def next_purchase_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = binding.logical_tables(spark, sf_dir)
+    t = binding.logical_tables(
+        spark, sf_dir, "orders", "order_items", "product_variants", "products"
+    )
     return recommend.next_purchase_all(
         t["orders"], t["order_items"], t["product_variants"], t["products"]
     )

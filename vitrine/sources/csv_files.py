@@ -88,20 +88,37 @@ def scan_csv_dir(
     }
 
 
+# Stands for a quoted empty text while a file is read; no text file holds this character.
+_QUOTED_EMPTY = "\x00"
+
+
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Load into a declared schema: an empty field is null, a bad one ends the job."""
-    return (
+    """Load into a declared schema: an empty field is null, a quoted empty one is
+    an empty text, and a field that does not fit its type ends the job.
+
+    A job converts the columns that it reads; writing the table checks them all.
+    """
+    loaded = (
         spark.read.schema(schema)
         .option("header", True)
         .option("encoding", "UTF-8")
         .option("escape", '"')
         .option("nullValue", "")
+        .option("emptyValue", _QUOTED_EMPTY)
+        .option("multiLine", has_quoted_newlines(spark, path))
         .option("mode", "FAILFAST")
-        .option("columnPruning", False)  # check every field, also those not selected
+        .option("columnPruning", False)  # a record with too few fields always counts as bad
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .option("dateFormat", "yyyy-MM-dd")
         .csv(path)
     )
+    text = [f.name for f in schema.fields if f.dataType == T.StringType()]
+    return loaded.withColumns(
+        {
+            c: F.when(F.col(c) == _QUOTED_EMPTY, F.lit("")).otherwise(F.col(c))
+            for c in text
+        }
+    )
 
 
 def null_tokens(
