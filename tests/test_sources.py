@@ -1,4 +1,7 @@
+import csv
+import io
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -108,3 +111,52 @@ def test_source_identity_and_catalog(spark):
 def test_scratch_is_below_the_folder_the_session_names(spark):
     path = scratch_dir(spark, "x")
     assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut every 300 bytes."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "300")
+    yield
+    spark.conf.set(key, before)
+
+
+def folded_file(folder, name, first, end="\n"):
+    """Records of one to many lines, some with doubled quotes, blank lines and long fields."""
+    rng, out, records = random.Random(first), io.StringIO(), []
+    writer = csv.writer(out, lineterminator=end)
+    writer.writerow(["id", "te`xt", "note"])
+    for i in range(first, first + 150):
+        body = "\n".join("w" * rng.randrange(0, 60) for _ in range(rng.choice((1, 1, 2, 3, 12))))
+        note = rng.choice(('say "hi"', '"', "a,b", "é\n\n", "plain", "", 'x""y\n"'))
+        records.append((str(i), body, note))
+        writer.writerow(records[-1])
+        if rng.random() < 0.1:
+            out.write(end)
+    write(folder, name, out.getvalue())
+    return records
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_folded_records_are_put_together_across_splits(spark, tmp_path, small_splits, end):
+    want = folded_file(tmp_path, "t.csv/part-0.csv", 1, end)
+    want += folded_file(tmp_path, "t.csv/part-1.csv", 151, end)
+    path = str(tmp_path / "t.csv")
+    df = csv_files.read_csv_numbered(spark, path, na_tokens=(), fold_above=0)
+    assert df.columns == ["id", "te`xt", "note", "source_row_number"]
+    got = rows(df, "source_row_number")
+    filled = [tuple(c or None for c in r) + (i,) for i, r in enumerate(want, 1)]
+    assert got == filled
+    plain = csv_files.read_csv_numbered(spark, path, na_tokens=(), multi_line=True)
+    assert rows(plain, "source_row_number") == got
+    text = csv_files.read_csv_text(spark, path, fold_above=0)
+    assert text.columns == ["id", "te`xt", "note"] and text.count() == 300
+
+
+def test_stray_quotes_stop_the_folded_read(spark, tmp_path):
+    path = write(tmp_path, "t.csv", 'id,v\n1,5" pipe\n2,"a\nb"\n3,c\n')
+    with pytest.raises(Exception, match="stray quote"):
+        csv_files.read_csv_text(spark, path, fold_above=0).collect()
+    assert csv_files.read_csv_text(spark, path).count() == 3

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrine import schemas
+from vitrine.functions.names import named
 from vitrine.operators.quality import fill_defaults
 from vitrine.operators.treatment import treat_table
 from vitrine.sources.csv_files import ROW_NUMBER, list_csv_tables, read_csv_numbered, read_csv_text
@@ -14,7 +15,7 @@ from vitrine.sources.csv_files import ROW_NUMBER, list_csv_tables, read_csv_numb
 
 def raw_json_rows(numbered: DataFrame, table: str, run_id: int) -> DataFrame:
     """One JSON document per row, nulls kept, with its origin."""
-    cells = [F.col(c) for c in numbered.columns if c != ROW_NUMBER]
+    cells = [named(c) for c in numbered.columns if c != ROW_NUMBER]
     rows = numbered.select(
         F.lit(run_id).cast("long").alias("ingestion_run_id"),
         F.lit(table).alias("source_table"),

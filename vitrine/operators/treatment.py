@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from vitrine import schemas
 from vitrine.functions import coercion
+from vitrine.functions.names import named
 
 
 def exact_dedup(df: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def _is_text(df: DataFrame, name: str) -> bool:
 def coerce_dates(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
-            c: coercion.to_timestamp_or_null(F.col(c), c)
+            c: coercion.to_timestamp_or_null(named(c), c)
             for c in df.columns
             if schemas.is_date_column(c) and _is_text(df, c)
         }
@@ -37,7 +38,7 @@ def coerce_dates(df: DataFrame) -> DataFrame:
 def coerce_numbers(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
-            c: coercion.to_number_or_null(F.col(c), c)
+            c: coercion.to_number_or_null(named(c), c)
             for c in df.columns
             if schemas.is_numeric_column(c)
         }
@@ -69,12 +70,12 @@ def treat_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def _null_cells(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in columns])
+    return reduce(lambda a, b: a + b, [named(c).isNull().cast("long") for c in columns])
 
 
 def _table_report(df: DataFrame, table: str) -> DataFrame:
     """One grouping by whole rows yields both sides: copies per distinct row."""
-    distinct = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    distinct = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
     measured = coerce_table(
         distinct.withColumn("_nulls_raw", _null_cells(df.columns)), table
     ).select("_copies", "_nulls_raw", _null_cells(df.columns).alias("_nulls_treated"))

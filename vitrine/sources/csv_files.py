@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from vitrine import schemas
 from vitrine.functions.coercion import null_if_token
+from vitrine.functions.names import named
+from vitrine.sources.folded_csv import read_folded_csv
 
 ROW_NUMBER = "source_row_number"
+# Files with records that span lines are put together from lines above this size.
+FOLD_ABOVE = 256 * 1024 * 1024
 
 
 def list_csv_tables(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -40,17 +44,29 @@ def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Size in bytes of the largest file of a table."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+
+
 def read_csv_text(
     spark: SparkSession,
     path: str,
     na_tokens: Iterable[str] = schemas.NA_TOKENS,
     multi_line: bool | None = None,
+    fold_above: int = FOLD_ABOVE,
 ) -> DataFrame:
     """Every column as text, so leading zeros and the written form of a value stay.
 
-    Files are split among tasks unless a record spans lines. ``multi_line=None``
-    looks that up first; say ``False`` for files known to be one line per record.
+    Files are split among tasks. Records that span lines need care, so
+    ``multi_line=None`` looks for them first: Spark's reader then takes each file
+    in one task, and files larger than ``fold_above`` bytes are put together from
+    lines instead. Say ``False`` for files known to be one line per record, or
+    ``True`` for Spark's reader.
     """
+    if _folded(spark, path, multi_line, fold_above):
+        return null_tokens(read_folded_csv(spark, path, ROW_NUMBER).drop(ROW_NUMBER), na_tokens)
     return null_tokens(_csv(spark, path, multi_line), na_tokens)
 
 
@@ -59,9 +75,24 @@ def read_csv_numbered(
     path: str,
     na_tokens: Iterable[str] = schemas.NA_TOKENS,
     multi_line: bool | None = None,
+    fold_above: int = FOLD_ABOVE,
 ) -> DataFrame:
     """:func:`read_csv_text` plus ``source_row_number``, 1-based in file order."""
-    return null_tokens(number_source_rows(_csv(spark, path, multi_line)), na_tokens)
+    if _folded(spark, path, multi_line, fold_above):
+        numbered = read_folded_csv(spark, path, ROW_NUMBER)
+    else:
+        numbered = number_source_rows(_csv(spark, path, multi_line))
+    columns = [c for c in numbered.columns if c != ROW_NUMBER]
+    return null_tokens(numbered, na_tokens, columns)
+
+
+def _folded(spark: SparkSession, path: str, multi_line: bool | None, fold_above: int) -> bool:
+    """Whether to put records together from lines."""
+    return (
+        multi_line is None
+        and largest_file(spark, path) > fold_above
+        and has_quoted_newlines(spark, path)
+    )
 
 
 def _csv(spark: SparkSession, path: str, multi_line: bool | None) -> DataFrame:
@@ -115,7 +146,7 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> Data
     text = [f.name for f in schema.fields if f.dataType == T.StringType()]
     return loaded.withColumns(
         {
-            c: F.when(F.col(c) == _QUOTED_EMPTY, F.lit("")).otherwise(F.col(c))
+            c: F.when(named(c) == _QUOTED_EMPTY, F.lit("")).otherwise(named(c))
             for c in text
         }
     )
@@ -133,7 +164,7 @@ def null_tokens(
     if not tokens or not chosen:
         return df
     return df.select(
-        *[null_if_token(df[c], tokens).alias(c) if c in chosen else df[c] for c in df.columns]
+        *[null_if_token(named(c), tokens).alias(c) if c in chosen else named(c) for c in df.columns]
     )
 
 
@@ -166,4 +197,6 @@ def number_source_rows(df: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
         F.col("_first").isNotNull() & same_task & (F.col("_position") >= F.col("_first")),
         F.col("_position") - F.col("_first") + F.col("_before") + 1,
     ).otherwise(F.raise_error(F.lit("file splits changed between the two passes")).cast("long"))
-    return scanned.join(offsets, split, "left").select(*df.columns, number.alias(name))
+    return scanned.join(offsets, split, "left").select(
+        *[named(c) for c in df.columns], number.alias(name)
+    )
