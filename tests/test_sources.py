@@ -160,3 +160,16 @@ def test_stray_quotes_stop_the_folded_read(spark, tmp_path):
     with pytest.raises(Exception, match="stray quote"):
         csv_files.read_csv_text(spark, path, fold_above=0).collect()
     assert csv_files.read_csv_text(spark, path).count() == 3
+
+
+def test_typed_load_of_folded_records(spark, tmp_path):
+    path = write(tmp_path, "t.csv", 'id,total,note\n1,2.50,"a\nb"\n2,,""\n3,1,\n')
+    schema = T.StructType.fromDDL("id long, amount decimal(15,2), note string")
+    for limit in (0, 10**9):
+        got = rows(csv_files.read_csv_typed(spark, path, schema, fold_above=limit), "id")
+        assert [(i, None if a is None else float(a), n) for i, a, n in got] == [
+            (1, 2.5, "a\nb"), (2, None, ""), (3, 1.0, None),
+        ]
+    bad = write(tmp_path, "u.csv", 'id,total,note\nx,2.50,"a\nb"\n')
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        csv_files.read_csv_typed(spark, bad, schema, fold_above=0).collect()

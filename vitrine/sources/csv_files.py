@@ -123,26 +123,36 @@ def scan_csv_dir(
 _QUOTED_EMPTY = "\x00"
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_typed(
+    spark: SparkSession, path: str, schema: T.StructType, fold_above: int = FOLD_ABOVE
+) -> DataFrame:
     """Load into a declared schema: an empty field is null, a quoted empty one is
     an empty text, and a field that does not fit its type ends the job.
 
     A job converts the columns that it reads; writing the table checks them all.
     """
-    loaded = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("encoding", "UTF-8")
-        .option("escape", '"')
-        .option("nullValue", "")
-        .option("emptyValue", _QUOTED_EMPTY)
-        .option("multiLine", has_quoted_newlines(spark, path))
-        .option("mode", "FAILFAST")
-        .option("columnPruning", False)  # a record with too few fields always counts as bad
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-        .option("dateFormat", "yyyy-MM-dd")
-        .csv(path)
-    )
+    blanks = {"nullValue": "", "emptyValue": _QUOTED_EMPTY}
+    if _folded(spark, path, None, fold_above):
+        cells = read_folded_csv(spark, path, ROW_NUMBER, **blanks).drop(ROW_NUMBER)
+        if len(cells.columns) != len(schema.fields):
+            raise ValueError(f"{path} has {len(cells.columns)} columns, not {len(schema.fields)}")
+        loaded = cells.toDF(*schema.names).select(
+            *[named(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+        )
+    else:
+        loaded = (
+            spark.read.schema(schema)
+            .options(**blanks)
+            .option("header", True)
+            .option("encoding", "UTF-8")
+            .option("escape", '"')
+            .option("multiLine", has_quoted_newlines(spark, path))
+            .option("mode", "FAILFAST")
+            .option("columnPruning", False)  # a record with too few fields always counts as bad
+            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+            .option("dateFormat", "yyyy-MM-dd")
+            .csv(path)
+        )
     text = [f.name for f in schema.fields if f.dataType == T.StringType()]
     return loaded.withColumns(
         {
@@ -168,27 +178,33 @@ def null_tokens(
     )
 
 
-def number_source_rows(df: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
-    """Number the rows of a file scan from 1, in file order and then in row order.
+_SPLIT = ["_file", "_block"]
 
-    ``df`` must come straight from ``spark.read``. A first pass keeps one row per
-    file split (its row count and first position); running totals over those
-    give each split its offset, so the rows themselves are never sorted or moved.
-    Should the second pass see other splits than the first, the job fails.
-    """
-    split = ["_file", "_block"]
-    scanned = df.select(
+
+def with_splits(scan: DataFrame) -> DataFrame:
+    """A file scan with the file split that each row comes from."""
+    return scan.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_position"),
     )
-    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def number_split_rows(scan: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
+    """Number the rows of :func:`with_splits` from 1, in file order and then in row order.
+
+    A first pass keeps one row per file split (its row count and first position);
+    running totals over those give each split its offset, so the rows themselves
+    are never sorted or moved. Should the second pass see other splits than the
+    first, the job fails.
+    """
+    scanned = scan.withColumn("_position", F.monotonically_increasing_id())
+    before = Window.orderBy(*_SPLIT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        scanned.groupBy(*split)
+        scanned.groupBy(*_SPLIT)
         .agg(F.min("_position").alias("_first"), F.count(F.lit(1)).alias("_rows"))
         .select(
-            *split, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+            *_SPLIT, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
         )
     )
     # Task number and place within the task are packed in the position.
@@ -197,6 +213,10 @@ def number_source_rows(df: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
         F.col("_first").isNotNull() & same_task & (F.col("_position") >= F.col("_first")),
         F.col("_position") - F.col("_first") + F.col("_before") + 1,
     ).otherwise(F.raise_error(F.lit("file splits changed between the two passes")).cast("long"))
-    return scanned.join(offsets, split, "left").select(
-        *[named(c) for c in df.columns], number.alias(name)
-    )
+    kept = [named(c) for c in scan.columns if c not in _SPLIT]
+    return scanned.join(offsets, _SPLIT, "left").select(*kept, number.alias(name))
+
+
+def number_source_rows(scan: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
+    """Add the row number to a DataFrame that comes straight from ``spark.read``."""
+    return number_split_rows(with_splits(scan), name)

@@ -19,16 +19,19 @@ WELL_FORMED = rf"^{_FIELD}(?:,{_FIELD})*+$"
 _SPLIT = ["_file", "_block"]
 
 
-def read_folded_csv(spark: SparkSession, path: str, row_number: str) -> DataFrame:
+def read_folded_csv(
+    spark: SparkSession, path: str, row_number: str, **options: str
+) -> DataFrame:
     """All columns as text, and the 1-based ``row_number`` in file order.
 
     A record with a stray quote, for which the counts would mislead, ends the job.
+    ``options`` are those of Spark's CSV reader.
     """
     names = spark.read.option("header", True).option("escape", '"').option(
         "multiLine", True
     ).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", **options}
     records = _records(_lines(spark, path)).filter("_in_file > 1")  # the first one is the header
     checked = F.when(
         F.col("_text").rlike(WELL_FORMED), F.from_csv("_text", _ddl(names), options)
