@@ -12,8 +12,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from decimal import Decimal
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -26,8 +24,8 @@ SORT_ROWS = 1_000_000
 class _Bracket:
     """Rows whose values lie in [low, high], and the ranks sought among them."""
 
-    low: Any
-    high: Any
+    low: float
+    high: float
     below: int  # rows smaller than low
     rows: int
     ranks: list[int]
@@ -37,7 +35,7 @@ class _Bracket:
 
     @property
     def width(self) -> float:
-        return float(self.high) / 2 - float(self.low) / 2
+        return self.high / 2 - self.low / 2  # halves, so that it cannot overflow
 
     def settled(self, sort_rows: int) -> bool:
         return self.rows <= sort_rows or not self.width > 0
@@ -50,9 +48,13 @@ def exact_quantiles(
     sort_rows: int = SORT_ROWS,
     buckets: int = BUCKETS,
 ) -> list[float | None]:
-    """Linearly interpolated quantiles of ``column``; nulls and NaN are left out."""
-    value = F.col(column)
-    values = df.select(value.alias("v")).filter(value.isNotNull() & ~F.isnan(value.cast("double")))
+    """Linearly interpolated quantiles of ``column``; nulls and NaN are left out.
+
+    The result is double, and the cast to double keeps the order, so all
+    comparisons are made on doubles.
+    """
+    # Null in place of NaN rather than a filter, which would repeat the cast.
+    values = df.select(F.nanvl(F.col(column).cast("double"), F.lit(None)).alias("v"))
     head = values.agg(
         F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
     ).first()
@@ -63,7 +65,7 @@ def exact_quantiles(
     at = _values_at(values, _Bracket(head["low"], head["high"], 0, head["n"], ranks), sort_rows, buckets)
 
     def interpolate(place: float) -> float:
-        low, high = float(at[math.floor(place)]), float(at[math.ceil(place)])
+        low, high = at[math.floor(place)], at[math.ceil(place)]
         return low + (high - low) * (place - math.floor(place))
 
     return [interpolate(x) for x in places]
@@ -71,7 +73,7 @@ def exact_quantiles(
 
 def _values_at(
     values: DataFrame, whole: _Bracket, sort_rows: int, buckets: int
-) -> dict[int, Decimal | float | int]:
+) -> dict[int, float]:
     brackets = [whole]
     while any(not b.settled(sort_rows) for b in brackets):
         narrowed = _narrow(values, [b for b in brackets if not b.settled(sort_rows)], buckets)
@@ -93,15 +95,15 @@ def _narrow(values: DataFrame, brackets: list[_Bracket], buckets: int) -> list[_
     v = F.col("v")
 
     def bucket(i: int, b: _Bracket) -> Column:
-        share = (v.cast("double") / 2 - F.lit(float(b.low) / 2)) / F.lit(b.width)
+        share = (v / 2 - F.lit(b.low / 2)) / F.lit(b.width)
         place = F.least(F.lit(buckets - 1), F.floor(share * buckets))
         return F.lit(i * buckets).cast("long") + place
 
     counted = (
         values.select("v", _first_match(brackets, v, bucket).alias("bucket"))
-        .filter(F.col("bucket").isNotNull())
         .groupBy("bucket")
         .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .filter(F.col("bucket").isNotNull())
         .withColumn("bracket", F.floor(F.col("bucket") / buckets))
     )
     hits = _rows_at_ranks(counted, brackets, "bucket")
@@ -115,13 +117,14 @@ def _narrow(values: DataFrame, brackets: list[_Bracket], buckets: int) -> list[_
     return narrowed
 
 
-def _sorted_lookup(values: DataFrame, brackets: list[_Bracket]) -> dict[int, Any]:
+def _sorted_lookup(values: DataFrame, brackets: list[_Bracket]) -> dict[int, float]:
     v = F.col("v")
+    bracket = F.col("bracket")
     distinct = (
         values.select("v", _first_match(brackets, v, lambda i, b: F.lit(i)).alias("bracket"))
-        .filter(F.col("bracket").isNotNull())
-        .groupBy("bracket", "v")
+        .groupBy(bracket, F.when(bracket.isNotNull(), v).alias("v"))
         .agg(F.count("v").alias("n"))
+        .filter(bracket.isNotNull())
     )
     return {
         r: h["v"]

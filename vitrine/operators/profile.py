@@ -52,8 +52,8 @@ class Fences:
         if self.q1 is None:
             return F.lit(False)
         value = value.cast("double")
-        outside = (value < self.lower) | (value > self.upper)
-        return F.coalesce(outside & ~F.isnan(value), F.lit(False))
+        outside = (value < self.lower) | ((value > self.upper) & ~F.isnan(value))
+        return F.coalesce(outside, F.lit(False))
 
 
 def fences(df: DataFrame, column: str = "total") -> Fences:
@@ -121,16 +121,19 @@ def eda_outlier_flag(df: DataFrame, limits: Fences | None = None) -> DataFrame:
 
 def eda_histogram(df: DataFrame, bins: int) -> DataFrame:
     """Non-empty bins of equal width between the smallest and largest ``total``."""
-    value = F.col("total").cast("double")
-    valued = df.select(value.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    valued = df.select(F.nanvl(F.col("total").cast("double"), F.lit(None)).alias("x"))
     edge = valued.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("e")).scalar()
     binned = valued.select("x", edge.getField("lo").alias("lo"), edge.getField("hi").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.floor((F.col("x") - F.col("lo")) / F.nullif(width, F.lit(0.0))) + 1
-    number = F.least(F.lit(bins).cast("long"), F.coalesce(place, F.lit(1).cast("long")))
+    number = F.when(
+        F.col("x").isNotNull(),
+        F.least(F.lit(bins).cast("long"), F.coalesce(place, F.lit(1).cast("long"))),
+    )
     return (
         binned.groupBy(number.alias("faixa"), F.col("lo").alias("_lo"), width.alias("_w"))
         .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("faixa").isNotNull())
         .select(
             "faixa",
             (F.col("_lo") + (F.col("faixa") - 1) * F.col("_w")).alias("inicio"),
