@@ -119,9 +119,26 @@ def test_pairs_with_a_hot_order_and_small_blocks(spark):
         got = {(a, b): n for a, b, n in rows(recommend.product_pairs(df, block))}
         assert got == want
     ranked = sorted(((-n, a, b) for (a, b), n in want.items()))[:30]
-    for seeds in (3, 20, 1000):  # too few seeds, some, all
-        top = rows(recommend.top_pairs(df, 30, seeds))
-        assert [(-n, a, b) for a, b, n in top] == ranked
+    # Too few seeds, some, all; one large basket, a few, and more than the bar.
+    for seeds, block in ((3, 256), (20, 7), (1000, 256), (1000, 40), (1000, 3)):
+        top = rows(recommend.top_pairs(df, 30, seeds, block))
+        assert [(-n, a, b) for a, b, n in top] == ranked, (seeds, block)
+
+
+def test_top_pairs_spare_the_large_baskets(spark, monkeypatch):
+    """The result is whole though large baskets never list their pairs."""
+    rng = random.Random(3)
+    items = [(o, v) for o in (0, 1) for v in range(90)]
+    items += [(o, v) for o in range(2, 300) for v in rng.sample(range(25), 5)]
+    df = spark.createDataFrame(items, "order_id long, product_variant_id long")
+    ranked = sorted(((-n, a, b) for (a, b), n in brute_pairs(items).items()))[:30]
+    calls = []
+    full, lift = recommend.product_pairs, recommend._add_large
+    monkeypatch.setattr(recommend, "product_pairs", lambda *a: calls.append("full") or full(*a))
+    monkeypatch.setattr(recommend, "_add_large", lambda *a: calls.append("lift") or lift(*a))
+    top = rows(recommend.top_pairs(df, 30, 25, 50))
+    assert [(-n, a, b) for a, b, n in top] == ranked
+    assert calls == ["full", "lift"]  # all pairs of the seeds only
 
 
 def test_pairs_drop_rare_products_only(spark, monkeypatch):
@@ -132,9 +149,9 @@ def test_pairs_drop_rare_products_only(spark, monkeypatch):
     df = spark.createDataFrame(items, "order_id long, product_variant_id long")
     ranked = sorted(((-n, a, b) for (a, b), n in brute_pairs(items).items()))[:30]
     seen = []
-    full = recommend.product_pairs
+    full = recommend.order_baskets
     monkeypatch.setattr(
-        recommend, "product_pairs", lambda i, *a: seen.append(i.count()) or full(i, *a)
+        recommend, "order_baskets", lambda i: seen.append(i.count()) or full(i)
     )
     top = rows(recommend.top_pairs(df, 30, 12))
     assert [(-n, a, b) for a, b, n in top] == ranked

@@ -10,6 +10,8 @@ from vitrine.operators.lookup import few_variant_names, keys, pin, variant_names
 BLOCK = 256
 # Variants whose pairs set the bar for the most frequent pairs.
 SEEDS = 1000
+# Up to so many large baskets, products keep the list of those that hold them.
+MOST_LARGE = 10_000
 # Items are thinned before pairing if no more than this share of them stays.
 WORTHWHILE_SHARE = 0.5
 
@@ -37,6 +39,27 @@ def order_baskets(items: DataFrame) -> DataFrame:
     )
 
 
+def _listed_pairs(baskets: DataFrame, firsts: int) -> DataFrame:
+    """Pairs of each of the first ``firsts`` products of a basket with those after it."""
+    heads = baskets.select(
+        "produtos", F.posexplode(F.slice("produtos", 1, firsts)).alias("_at", "produto_a")
+    )
+    later = F.slice("produtos", F.col("_at") + 2, F.size("produtos"))
+    return heads.select("produto_a", F.explode(later).alias("produto_b"))
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("produto_a", "produto_b").agg(F.count(F.lit(1)).alias("coocorrencias"))
+
+
+def _usual(baskets: DataFrame, block: int) -> DataFrame:
+    return baskets.filter(F.size("produtos").between(2, block))
+
+
+def _large(baskets: DataFrame, block: int) -> DataFrame:
+    return baskets.filter(F.size("produtos") > block)
+
+
 def product_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
     """Number of orders that hold both products, for every pair that occurs.
 
@@ -46,39 +69,36 @@ def product_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     baskets = order_baskets(items)
     size = F.size("produtos")
-    usual = baskets.filter(size.between(2, block)).select(
-        "produtos", F.lit(block).alias("_firsts")
-    )
     starts = F.explode(F.sequence(F.lit(1), size, F.lit(block)))
-    large = (
-        baskets.filter(size > block)
+    blocks = (
+        _large(baskets, block)
         .select("order_id", "produtos", starts.alias("_from"))
         .select("order_id", "_from", F.slice("produtos", F.col("_from"), size).alias("produtos"))
         .repartition("order_id", "_from")
-        .select("produtos", F.lit(block).alias("_firsts"))
-    )
-    firsts = usual.unionByName(large).select(
-        "produtos", F.posexplode(F.slice("produtos", 1, F.col("_firsts"))).alias("_at", "produto_a")
-    )
-    later = F.slice("produtos", F.col("_at") + 2, size)
-    return (
-        firsts.select("produto_a", F.explode(later).alias("produto_b"))
-        .groupBy("produto_a", "produto_b")
-        .agg(F.count(F.lit(1)).alias("coocorrencias"))
     )
+    parts = _usual(baskets, block).select("produtos").unionByName(blocks.select("produtos"))
+    return _counted(_listed_pairs(parts, block))
 
 
 def _best_pairs_first():
     return [F.desc("coocorrencias"), F.asc("produto_a"), F.asc("produto_b")]
 
 
-def top_pairs(items: DataFrame, n: int = 30, seeds: int = SEEDS) -> DataFrame:
-    """The ``n`` most frequent pairs, without counting pairs that cannot be among them.
+def top_pairs(
+    items: DataFrame, n: int = 30, seeds: int = SEEDS, block: int = BLOCK
+) -> DataFrame:
+    """The ``n`` most frequent pairs, without counting most pairs that cannot be among them.
+
+    The pairs of the ``seeds`` most frequent products give a count, the bar, that
+    ``n`` pairs reach. With it, two kinds of work are left out:
 
-    A pair is at most as frequent as the rarer of its two products. The pairs
-    of the ``seeds`` most frequent products give a count that ``n`` pairs reach;
-    products with fewer item rows than that are dropped before pairing. This is
-    exact, ties included: the final counts run over all products that are left.
+    - A pair is at most as frequent as the rarer of its products, so products
+      with fewer item rows than the bar are dropped before pairing.
+    - A large basket adds at most 1 to a pair. So pairs are first counted in the
+      other baskets; only those that the large ones could lift to the bar are
+      looked up in them, and no large basket lists all its pairs.
+
+    Both are exact, ties included. Where they do not apply, all pairs are counted.
     """
     known = items.filter(
         F.col("order_id").isNotNull() & F.col("product_variant_id").isNotNull()
@@ -89,19 +109,52 @@ def top_pairs(items: DataFrame, n: int = 30, seeds: int = SEEDS) -> DataFrame:
         F.broadcast(chosen.select("product_variant_id")), "product_variant_id", "left_semi"
     )
     reached = (
-        product_pairs(seed_items).orderBy(*_best_pairs_first()).limit(n)
+        product_pairs(seed_items, block).orderBy(*_best_pairs_first()).limit(n)
         .agg(F.count(F.lit(1)).alias("pairs"), F.min("coocorrencias").alias("least"))
         .first()
     )
     bar = reached["least"] if reached["pairs"] == n else 1
-    frequent = F.col("_rows") >= bar
-    kept = rows.agg(
-        F.sum(F.when(frequent, F.col("_rows"))) / F.sum("_rows")
-    ).first()[0]
-    if kept is not None and kept <= WORTHWHILE_SHARE:
-        wanted = rows.filter(frequent).select("product_variant_id")
-        known = known.join(wanted, "product_variant_id", "left_semi")
-    return product_pairs(known).orderBy(*_best_pairs_first()).limit(n)
+    if bar > 1:
+        frequent = F.col("_rows") >= bar
+        kept = rows.agg(F.sum(F.when(frequent, F.col("_rows"))) / F.sum("_rows")).first()[0]
+        if kept <= WORTHWHILE_SHARE:
+            wanted = rows.filter(frequent).select("product_variant_id")
+            known = known.join(wanted, "product_variant_id", "left_semi")
+    baskets = order_baskets(known)
+    large = _large(baskets, block).count()
+    if large < min(bar, MOST_LARGE):
+        counted = _counted(_listed_pairs(_usual(baskets, block), block))
+        if large:
+            counted = _add_large(
+                counted.filter(F.col("coocorrencias") >= bar - large), _large(baskets, block)
+            )
+    else:
+        counted = product_pairs(known, block)
+    return counted.orderBy(*_best_pairs_first()).limit(n)
+
+
+def _add_large(pairs: DataFrame, baskets: DataFrame) -> DataFrame:
+    """Add to the pair counts the number of ``baskets`` that hold both products."""
+    holders = (
+        baskets.select("order_id", F.explode("produtos").alias("produto"))
+        .groupBy("produto")
+        .agg(F.collect_list("order_id").alias("pedidos"))
+    )
+
+    def of(side: str) -> DataFrame:
+        return holders.select(
+            F.col("produto").alias(f"produto_{side}"), F.col("pedidos").alias(f"_{side}")
+        )
+
+    both = F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0))
+    return (
+        pairs.join(of("a"), "produto_a", "left")
+        .join(of("b"), "produto_b", "left")
+        .select(
+            "produto_a", "produto_b",
+            (F.col("coocorrencias") + F.greatest(both, F.lit(0))).alias("coocorrencias"),
+        )
+    )
 
 
 def product_pairs_named(
