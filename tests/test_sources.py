@@ -2,6 +2,8 @@ import csv
 import io
 import os
 import random
+import tempfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -82,7 +84,7 @@ def test_row_numbers_follow_the_file_across_splits(spark, tmp_path):
     before = spark.conf.get(key)
     spark.conf.set(key, "10000")
     try:
-        numbered = csv_files.read_csv_numbered(spark, path, multi_line=False)
+        numbered = csv_files.read_csv_numbered(spark, path)
         assert numbered.rdd.getNumPartitions() > 8
         assert numbered.filter(F.col("id").cast("long") != F.col("source_row_number")).count() == 0
         assert numbered.count() == 5000
@@ -110,7 +112,10 @@ def test_source_identity_and_catalog(spark):
 
 def test_scratch_is_below_the_folder_the_session_names(spark):
     path = scratch_dir(spark, "x")
-    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or path.startswith(named)
+    unnamed = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
+    assert scratch_dir(unnamed, "x").startswith(tempfile.gettempdir())
 
 
 @pytest.fixture
@@ -144,32 +149,34 @@ def test_folded_records_are_put_together_across_splits(spark, tmp_path, small_sp
     want = folded_file(tmp_path, "t.csv/part-0.csv", 1, end)
     want += folded_file(tmp_path, "t.csv/part-1.csv", 151, end)
     path = str(tmp_path / "t.csv")
-    df = csv_files.read_csv_numbered(spark, path, na_tokens=(), fold_above=0)
+    df = csv_files.read_csv_numbered(spark, path, na_tokens=(), layout=csv_files.FOLDED)
     assert df.columns == ["id", "te`xt", "note", "source_row_number"]
     got = rows(df, "source_row_number")
     filled = [tuple(c or None for c in r) + (i,) for i, r in enumerate(want, 1)]
     assert got == filled
-    plain = csv_files.read_csv_numbered(spark, path, na_tokens=(), multi_line=True)
+    plain = csv_files.read_csv_numbered(spark, path, na_tokens=(), layout=csv_files.WHOLE_FILE)
     assert rows(plain, "source_row_number") == got
-    text = csv_files.read_csv_text(spark, path, fold_above=0)
+    text = csv_files.read_csv_text(spark, path, layout=csv_files.FOLDED)
     assert text.columns == ["id", "te`xt", "note"] and text.count() == 300
 
 
 def test_stray_quotes_stop_the_folded_read(spark, tmp_path):
     path = write(tmp_path, "t.csv", 'id,v\n1,5" pipe\n2,"a\nb"\n3,c\n')
     with pytest.raises(Exception, match="stray quote"):
-        csv_files.read_csv_text(spark, path, fold_above=0).collect()
+        csv_files.read_csv_text(spark, path, layout=csv_files.FOLDED).collect()
     assert csv_files.read_csv_text(spark, path).count() == 3
 
 
 def test_typed_load_of_folded_records(spark, tmp_path):
     path = write(tmp_path, "t.csv", 'id,total,note\n1,2.50,"a\nb"\n2,,""\n3,1,\n')
     schema = T.StructType.fromDDL("id long, amount decimal(15,2), note string")
-    for limit in (0, 10**9):
-        got = rows(csv_files.read_csv_typed(spark, path, schema, fold_above=limit), "id")
+    assert csv_files.record_layout(spark, path) == csv_files.WHOLE_FILE
+    assert csv_files.record_layout(spark, path, fold_above=10) == csv_files.FOLDED
+    for layout in (csv_files.WHOLE_FILE, csv_files.FOLDED):
+        got = rows(csv_files.read_csv_typed(spark, path, schema, layout), "id")
         assert [(i, None if a is None else float(a), n) for i, a, n in got] == [
             (1, 2.5, "a\nb"), (2, None, ""), (3, 1.0, None),
         ]
     bad = write(tmp_path, "u.csv", 'id,total,note\nx,2.50,"a\nb"\n')
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        csv_files.read_csv_typed(spark, bad, schema, fold_above=0).collect()
+        csv_files.read_csv_typed(spark, bad, schema, csv_files.FOLDED).collect()

@@ -10,7 +10,9 @@ from vitrine import schemas
 from vitrine.functions.names import named
 from vitrine.operators.quality import fill_defaults
 from vitrine.operators.treatment import treat_table
-from vitrine.sources.csv_files import ROW_NUMBER, list_csv_tables, read_csv_numbered, read_csv_text
+from vitrine.sources.csv_files import (
+    ROW_NUMBER, list_csv_tables, read_csv_numbered, read_csv_text, record_layout,
+)
 
 
 def raw_json_rows(numbered: DataFrame, table: str, run_id: int) -> DataFrame:
@@ -89,10 +91,12 @@ def read_raw(spark: SparkSession, out: str) -> DataFrame:
 
 
 def full_refresh(
-    spark: SparkSession, folder: str, out: str, multi_line: bool | None = None
+    spark: SparkSession, folder: str, out: str, layout: str | None = None
 ) -> DataFrame:
     """Rebuild both layers from a CSV folder and return the ingestion log.
 
+    The record layout of each table is looked up unless one is given for all.
+
     The driver only walks over the table names. Row counts come from the written
     Parquet files, so the CSV text is not parsed again to count it.
     """
@@ -105,7 +109,8 @@ def full_refresh(
     runs, run_id = [], 0
     for table, path in list_csv_tables(spark, folder).items():
         file_name, run_id = f"{table}.csv", run_id + 1
-        numbered = read_csv_numbered(spark, path, multi_line=multi_line)
+        records = layout or record_layout(spark, path)
+        numbered = read_csv_numbered(spark, path, layout=records)
         columns = [c for c in numbered.columns if c != ROW_NUMBER]
         raw_out = f"{out}/raw_csv_rows/source_table={table}"
         (
@@ -116,7 +121,7 @@ def full_refresh(
         runs.append(raw_run(spark, run_id, file_name, table, raw_count, columns))
         if table in schemas.TREATED:
             run_id += 1
-            text = read_csv_text(spark, path, multi_line=multi_line)
+            text = read_csv_text(spark, path, layout=records)
             treated_rows(text, table, run_id).write.mode("overwrite").parquet(
                 treated_path(out, table)
             )

@@ -30,10 +30,14 @@ def few(dim: DataFrame, wanted: Iterable, key: str = "id") -> DataFrame:
 def few_variant_names(variants: DataFrame, products: DataFrame, wanted: list) -> DataFrame:
     """Product names of a short list of variants.
 
-    Variant ids are unique, so no more rows than ``wanted`` are broadcast and
-    the products are not shuffled.
+    Grouping leaves one row per wanted id, so no more than ``wanted`` rows are
+    broadcast, and the products are not shuffled.
     """
-    chosen = few(variants, wanted).select(F.col("id").alias("product_variant_id"), "product_id")
+    chosen = (
+        few(variants, wanted)
+        .groupBy(F.col("id").alias("product_variant_id"))
+        .agg(F.min("product_id").alias("product_id"))
+    )
     return (
         products.select(F.col("id").alias("product_id"), "name")
         .join(F.broadcast(chosen), "product_id")

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+@functools.cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="vitrine-")
+
+
 def scratch_dir(spark: SparkSession, label: str = "scratch") -> str:
     """A new folder path below the shared folder that the cluster names.
 
     Only where the session names none (tests) is a machine-local one made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="vitrine-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_base()
     return f"{base.rstrip('/')}/vitrine-{label}-{uuid.uuid4().hex}"
 
 

@@ -50,59 +50,60 @@ def largest_file(spark: SparkSession, path: str) -> int:
     return files.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
 
 
+# How the records of a table lie in its files, and who reads them.
+ONE_LINE = "one line"  # Spark's reader, files split among tasks
+WHOLE_FILE = "whole file"  # Spark's reader, a file per task
+FOLDED = "folded"  # put together from lines by many tasks
+
+
+def record_layout(spark: SparkSession, path: str, fold_above: int = FOLD_ABOVE) -> str:
+    """Look for records that span lines. Spark's reader takes a file that has them
+    in one task; those larger than ``fold_above`` bytes are read from lines instead."""
+    if not has_quoted_newlines(spark, path):
+        return ONE_LINE
+    return FOLDED if largest_file(spark, path) > fold_above else WHOLE_FILE
+
+
 def read_csv_text(
     spark: SparkSession,
     path: str,
     na_tokens: Iterable[str] = schemas.NA_TOKENS,
-    multi_line: bool | None = None,
-    fold_above: int = FOLD_ABOVE,
+    layout: str | None = None,
 ) -> DataFrame:
     """Every column as text, so leading zeros and the written form of a value stay.
 
-    Files are split among tasks. Records that span lines need care, so
-    ``multi_line=None`` looks for them first: Spark's reader then takes each file
-    in one task, and files larger than ``fold_above`` bytes are put together from
-    lines instead. Say ``False`` for files known to be one line per record, or
-    ``True`` for Spark's reader.
+    The record layout is looked up unless it is given.
     """
-    if _folded(spark, path, multi_line, fold_above):
-        return null_tokens(read_folded_csv(spark, path, ROW_NUMBER).drop(ROW_NUMBER), na_tokens)
-    return null_tokens(_csv(spark, path, multi_line), na_tokens)
+    layout = layout or record_layout(spark, path)
+    if layout == FOLDED:
+        df = read_folded_csv(spark, path, ROW_NUMBER).drop(ROW_NUMBER)
+    else:
+        df = _csv(spark, path, layout)
+    return null_tokens(df, na_tokens)
 
 
 def read_csv_numbered(
     spark: SparkSession,
     path: str,
     na_tokens: Iterable[str] = schemas.NA_TOKENS,
-    multi_line: bool | None = None,
-    fold_above: int = FOLD_ABOVE,
+    layout: str | None = None,
 ) -> DataFrame:
     """:func:`read_csv_text` plus ``source_row_number``, 1-based in file order."""
-    if _folded(spark, path, multi_line, fold_above):
+    layout = layout or record_layout(spark, path)
+    if layout == FOLDED:
         numbered = read_folded_csv(spark, path, ROW_NUMBER)
     else:
-        numbered = number_source_rows(_csv(spark, path, multi_line))
+        numbered = number_source_rows(_csv(spark, path, layout))
     columns = [c for c in numbered.columns if c != ROW_NUMBER]
     return null_tokens(numbered, na_tokens, columns)
 
 
-def _folded(spark: SparkSession, path: str, multi_line: bool | None, fold_above: int) -> bool:
-    """Whether to put records together from lines."""
-    return (
-        multi_line is None
-        and largest_file(spark, path) > fold_above
-        and has_quoted_newlines(spark, path)
-    )
-
-
-def _csv(spark: SparkSession, path: str, multi_line: bool | None) -> DataFrame:
-    if multi_line is None:
-        multi_line = has_quoted_newlines(spark, path)
+def _csv(spark: SparkSession, path: str, layout: str) -> DataFrame:
     return (
         spark.read.option("header", True)
         .option("encoding", "UTF-8")
         .option("escape", '"')
-        .option("multiLine", multi_line)
+        .option("multiLine", layout == WHOLE_FILE)
         .csv(path)
     )
 
@@ -111,10 +112,10 @@ def scan_csv_dir(
     spark: SparkSession,
     folder: str,
     na_tokens: Iterable[str] = schemas.NA_TOKENS,
-    multi_line: bool | None = None,
+    layout: str | None = None,
 ) -> dict[str, DataFrame]:
     return {
-        name: read_csv_text(spark, path, na_tokens, multi_line)
+        name: read_csv_text(spark, path, na_tokens, layout)
         for name, path in list_csv_tables(spark, folder).items()
     }
 
@@ -124,7 +125,7 @@ _QUOTED_EMPTY = "\x00"
 
 
 def read_csv_typed(
-    spark: SparkSession, path: str, schema: T.StructType, fold_above: int = FOLD_ABOVE
+    spark: SparkSession, path: str, schema: T.StructType, layout: str | None = None
 ) -> DataFrame:
     """Load into a declared schema: an empty field is null, a quoted empty one is
     an empty text, and a field that does not fit its type ends the job.
@@ -132,7 +133,8 @@ def read_csv_typed(
     A job converts the columns that it reads; writing the table checks them all.
     """
     blanks = {"nullValue": "", "emptyValue": _QUOTED_EMPTY}
-    if _folded(spark, path, None, fold_above):
+    layout = layout or record_layout(spark, path)
+    if layout == FOLDED:
         cells = read_folded_csv(spark, path, ROW_NUMBER, **blanks).drop(ROW_NUMBER)
         if len(cells.columns) != len(schema.fields):
             raise ValueError(f"{path} has {len(cells.columns)} columns, not {len(schema.fields)}")
@@ -146,7 +148,7 @@ def read_csv_typed(
             .option("header", True)
             .option("encoding", "UTF-8")
             .option("escape", '"')
-            .option("multiLine", has_quoted_newlines(spark, path))
+            .option("multiLine", layout == WHOLE_FILE)
             .option("mode", "FAILFAST")
             .option("columnPruning", False)  # a record with too few fields always counts as bad
             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")

@@ -37,7 +37,7 @@ def read_folded_csv(
         F.col("_text").rlike(WELL_FORMED), F.from_csv("_text", _ddl(names), options)
     ).otherwise(
         F.raise_error(
-            F.concat(F.lit("stray quote, read with multi_line=True: "), F.col("_file"))
+            F.concat(F.lit("stray quote, read with the whole-file layout: "), F.col("_file"))
         ).cast(schema)
     )
     return records.select(checked.alias("_row"), F.col("_number").alias(row_number)).select(
