@@ -12,8 +12,10 @@ BLOCK = 256
 SEEDS = 1000
 # Up to so many large baskets, products keep the list of those that hold them.
 MOST_LARGE = 10_000
-# Items are thinned before pairing if no more than this share of them stays.
+# Items are thinned before pairing if no more than this share of them stays; a
+# lower bar drops too little to be worth a look.
 WORTHWHILE_SHARE = 0.5
+WORTHWHILE_BAR = 10
 
 
 def basket_items(items: DataFrame) -> DataFrame:
@@ -104,25 +106,19 @@ def top_pairs(
         F.col("order_id").isNotNull() & F.col("product_variant_id").isNotNull()
     ).select("order_id", "product_variant_id")
     rows = known.groupBy("product_variant_id").agg(F.count(F.lit(1)).alias("_rows"))
-    chosen = rows.orderBy(F.desc("_rows"), "product_variant_id").limit(seeds)
-    seed_items = known.join(
-        F.broadcast(chosen.select("product_variant_id")), "product_variant_id", "left_semi"
-    )
-    reached = (
-        product_pairs(seed_items, block).orderBy(*_best_pairs_first()).limit(n)
-        .agg(F.count(F.lit(1)).alias("pairs"), F.min("coocorrencias").alias("least"))
-        .first()
-    )
-    bar = reached["least"] if reached["pairs"] == n else 1
-    if bar > 1:
+    # Orders with that many rows: at least as many as there are large baskets.
+    large = known.groupBy("order_id").count().filter(F.col("count") > block).count()
+    bar = 1
+    if large or _stands_out(rows):
+        bar = _bar(known, rows, n, seeds, block)
+    if bar >= WORTHWHILE_BAR:
         frequent = F.col("_rows") >= bar
         kept = rows.agg(F.sum(F.when(frequent, F.col("_rows"))) / F.sum("_rows")).first()[0]
         if kept <= WORTHWHILE_SHARE:
             wanted = rows.filter(frequent).select("product_variant_id")
             known = known.join(wanted, "product_variant_id", "left_semi")
-    baskets = order_baskets(known)
-    large = _large(baskets, block).count()
     if large < min(bar, MOST_LARGE):
+        baskets = order_baskets(known)
         counted = _counted(_listed_pairs(_usual(baskets, block), block))
         if large:
             counted = _add_large(
@@ -133,6 +129,26 @@ def top_pairs(
     return counted.orderBy(*_best_pairs_first()).limit(n)
 
 
+def _stands_out(rows: DataFrame) -> bool:
+    """Whether the most frequent product is far above the mean, so that a bar may drop many."""
+    ratio = rows.agg(F.max("_rows") / F.avg("_rows")).first()[0]
+    return ratio is not None and ratio >= WORTHWHILE_BAR
+
+
+def _bar(known: DataFrame, rows: DataFrame, n: int, seeds: int, block: int) -> int:
+    """A count that at least ``n`` pairs reach, found among the most frequent products."""
+    chosen = rows.orderBy(F.desc("_rows"), "product_variant_id").limit(seeds)
+    seed_items = known.join(
+        F.broadcast(chosen.select("product_variant_id")), "product_variant_id", "left_semi"
+    )
+    reached = (
+        product_pairs(seed_items, block).orderBy(*_best_pairs_first()).limit(n)
+        .agg(F.count(F.lit(1)).alias("pairs"), F.min("coocorrencias").alias("least"))
+        .first()
+    )
+    return reached["least"] if reached["pairs"] == n else 1
+
+
 def _add_large(pairs: DataFrame, baskets: DataFrame) -> DataFrame:
     """Add to the pair counts the number of ``baskets`` that hold both products."""
     holders = (
