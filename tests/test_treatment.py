@@ -134,6 +134,21 @@ def test_refresh_builds_both_layers_and_the_log(spark, tmp_path):
     layers.full_refresh(spark, str(tmp_path / "in2"), out)
     assert rows(layers.read_raw(spark, out).groupBy("source_table").count()) == [("brands", 2)]
     assert layers.read_treated(spark, out) == {}
+    assert spark.read.parquet(layers.treated_path(out, "orders")).isEmpty()
+
+
+def test_refresh_of_a_header_only_file_and_of_an_empty_folder(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(source, "products.csv", "id,name,surplus\n")
+    log = rows(layers.full_refresh(spark, source, out).select("layer", "row_count"), "layer")
+    assert log == [("raw", 0), ("treated", 0)]
+    assert layers.read_raw(spark, out).isEmpty()
+    products = layers.read_treated(spark, out)["products"]
+    assert products.isEmpty() and products.columns[:2] == ["id", "name"]
+
+    (tmp_path / "none").mkdir()
+    assert layers.full_refresh(spark, str(tmp_path / "none"), out).isEmpty()
+    assert layers.read_raw(spark, out).isEmpty() and layers.read_treated(spark, out) == {}
 
 
 def csv_schema():

@@ -79,15 +79,24 @@ def treated_path(out: str, table: str) -> str:
     return f"{out}/treated_{table}"
 
 
-def read_treated(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The treated tables that a refresh wrote."""
-    written = spark.read.parquet(f"{out}/ingestion_runs").filter("layer = 'treated'")
-    names = [r["source_table"] for r in written.select("source_table").distinct().collect()]
-    return {n: spark.read.parquet(treated_path(out, n)) for n in sorted(names)}
+def read_log(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(schemas.CONTROL["ingestion_runs"].schema).parquet(
+        f"{out}/ingestion_runs"
+    )
 
 
 def read_raw(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/raw_csv_rows")
+    return spark.read.schema(schemas.CONTROL["raw_csv_rows"].schema).parquet(f"{out}/raw_csv_rows")
+
+
+def read_treated(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The treated tables that a refresh wrote."""
+    written = read_log(spark, out).filter("layer = 'treated'").select("source_table").distinct()
+    declared = schemas.table_schemas()
+    return {
+        name: spark.read.schema(declared[f"treated.{name}"]).parquet(treated_path(out, name))
+        for name in sorted(r["source_table"] for r in written.collect())
+    }
 
 
 def full_refresh(
@@ -106,8 +115,12 @@ def full_refresh(
         spark.createDataFrame([], raw_schema)
         .write.mode("overwrite").partitionBy("source_table").parquet(f"{out}/raw_csv_rows")
     )
+    tables = list_csv_tables(spark, folder)
+    for table in schemas.TREATED.keys() - tables.keys():
+        empty = spark.createDataFrame([], schemas.table_schemas()[f"treated.{table}"])
+        empty.write.mode("overwrite").parquet(treated_path(out, table))
     runs, run_id = [], 0
-    for table, path in list_csv_tables(spark, folder).items():
+    for table, path in tables.items():
         file_name, run_id = f"{table}.csv", run_id + 1
         records = layout or record_layout(spark, path)
         numbered = read_csv_numbered(spark, path, layout=records)
@@ -133,5 +146,5 @@ def full_refresh(
     log = spark.createDataFrame([], log_schema)
     for run in runs:
         log = log.unionByName(run)
-    log.coalesce(1).write.mode("overwrite").parquet(f"{out}/ingestion_runs")
-    return spark.read.parquet(f"{out}/ingestion_runs")
+    log.coalesce(1).write.mode("overwrite").parquet(f"{out}/ingestion_runs")  # two rows per table
+    return read_log(spark, out)

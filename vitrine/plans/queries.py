@@ -189,7 +189,7 @@ def raw_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{refreshed(spark, sf_dir)}/ingestion_runs").drop("created_at")
+    return layers.read_log(spark, refreshed(spark, sf_dir)).drop("created_at")
 
 
 @query
