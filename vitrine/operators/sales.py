@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine import schemas
-from vitrine.operators.lookup import variant_names
 from vitrine.operators.profile import mean
 
 
@@ -52,9 +51,15 @@ def item_margin(items: DataFrame, variants: DataFrame, products: DataFrame) -> D
     """Every order item with its product name, unit cost and profit.
 
     Variants and products are joined first, so the items are joined only once.
+    Both sides of that join are shuffled as they are, which lets adaptive
+    execution split a variant that fills much of the table.
     """
-    costs = variants.select(F.col("id").alias("product_variant_id"), "cost_price")
-    dim = costs.join(variant_names(variants, products), "product_variant_id", "left")
+    names = products.select(F.col("id").alias("product_id"), "name")
+    dim = (
+        variants.select(F.col("id").alias("product_variant_id"), "product_id", "cost_price")
+        .join(names, "product_id", "left")
+        .select("product_variant_id", "cost_price", "name")
+    )
     return (
         items.select("order_id", "product_variant_id", "quantity", "line_total")
         .join(dim, "product_variant_id", "left")
