@@ -92,6 +92,20 @@ def test_row_numbers_follow_the_file_across_splits(spark, tmp_path):
         spark.conf.set(key, before)
 
 
+def test_row_numbers_move_no_rows(spark, tmp_path):
+    path = write(tmp_path, "t.csv", "id\n1\n2\n")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        numbered = csv_files.read_csv_numbered(spark, path)
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert rows(numbered, "id") == [("1", 1), ("2", 2)]
+
+
 def test_missing_table_is_empty(spark):
     schema = schemas.TREATED["returns"].schema
     empty = sources.table_or_empty(spark, {}, "returns", schema)

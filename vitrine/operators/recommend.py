@@ -16,6 +16,8 @@ MOST_LARGE = 10_000
 # lower bar drops too little to be worth a look.
 WORTHWHILE_SHARE = 0.5
 WORTHWHILE_BAR = 10
+# Up to so many product ids are broadcast to thin the items where they are read.
+BROADCAST_PRODUCTS = 500_000
 
 
 def basket_items(items: DataFrame) -> DataFrame:
@@ -113,9 +115,14 @@ def top_pairs(
         bar = _bar(known, rows, n, seeds, block)
     if bar >= WORTHWHILE_BAR:
         frequent = F.col("_rows") >= bar
-        kept = rows.agg(F.sum(F.when(frequent, F.col("_rows"))) / F.sum("_rows")).first()[0]
-        if kept <= WORTHWHILE_SHARE:
+        kept = rows.agg(
+            F.count_if(frequent).alias("products"),
+            (F.sum(F.when(frequent, F.col("_rows"))) / F.sum("_rows")).alias("share"),
+        ).first()
+        if kept["share"] <= WORTHWHILE_SHARE:
             wanted = rows.filter(frequent).select("product_variant_id")
+            if kept["products"] <= BROADCAST_PRODUCTS:
+                wanted = F.broadcast(wanted)
             known = known.join(wanted, "product_variant_id", "left_semi")
     if large < min(bar, MOST_LARGE):
         baskets = order_baskets(known)

@@ -18,6 +18,8 @@ from vitrine.sources.folded_csv import read_folded_csv
 ROW_NUMBER = "source_row_number"
 # Files with records that span lines are put together from lines above this size.
 FOLD_ABOVE = 256 * 1024 * 1024
+# Up to so many file splits (some 100 bytes each) are broadcast to number the rows.
+BROADCAST_SPLITS = 1_000_000
 
 
 def list_csv_tables(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -93,7 +95,7 @@ def read_csv_numbered(
     if layout == FOLDED:
         numbered = read_folded_csv(spark, path, ROW_NUMBER)
     else:
-        numbered = number_source_rows(_csv(spark, path, layout))
+        numbered = number_source_rows(_csv(spark, path, layout), path)
     columns = [c for c in numbered.columns if c != ROW_NUMBER]
     return null_tokens(numbered, na_tokens, columns)
 
@@ -192,7 +194,9 @@ def with_splits(scan: DataFrame) -> DataFrame:
     )
 
 
-def number_split_rows(scan: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
+def number_split_rows(
+    scan: DataFrame, name: str = ROW_NUMBER, broadcast_splits: bool = False
+) -> DataFrame:
     """Number the rows of :func:`with_splits` from 1, in file order and then in row order.
 
     A first pass keeps one row per file split (its row count and first position);
@@ -209,6 +213,8 @@ def number_split_rows(scan: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
             *_SPLIT, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
         )
     )
+    if broadcast_splits:
+        offsets = F.broadcast(offsets)
     # Task number and place within the task are packed in the position.
     same_task = F.shiftright("_position", 33) == F.shiftright("_first", 33)
     number = F.when(
@@ -219,6 +225,13 @@ def number_split_rows(scan: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
     return scanned.join(offsets, _SPLIT, "left").select(*kept, number.alias(name))
 
 
-def number_source_rows(scan: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
-    """Add the row number to a DataFrame that comes straight from ``spark.read``."""
-    return number_split_rows(with_splits(scan), name)
+def number_source_rows(scan: DataFrame, path: str, name: str = ROW_NUMBER) -> DataFrame:
+    """Add the row number to a DataFrame that comes straight from ``spark.read`` of ``path``.
+
+    The table of splits is broadcast if it is known to be small, so that the rows
+    stay where they are read. Otherwise Spark joins it as it sees fit.
+    """
+    files = scan.sparkSession.read.format("binaryFile").load(path).select("path").count()
+    # A split either fills a task or is the rest of a file.
+    splits = scan.rdd.getNumPartitions() + files
+    return number_split_rows(with_splits(scan), name, splits <= BROADCAST_SPLITS)
