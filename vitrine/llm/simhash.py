@@ -253,11 +253,16 @@ def near_duplicates(
 
 
 def first_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, store: Store | None = None) -> DataFrame:
-    """The documents but those whose component holds a smaller ``doc_id``; of repeated ids one row stays.
+    """The documents but those whose component holds a smaller ``doc_id``; of rows equal in id and text one stays.
 
-    Components without any id keep their rows, as nothing tells them apart.
+    Rows with a null id stay, as nothing tells them apart.
     """
+    store = store or Store(docs.sparkSession, "simhash")
     found = near_duplicates(docs, shingle, radius, store=store)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keep = store.put(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "keep")
+    kept = docs.join(keep.where("rows = 1"), "doc_id", "left_semi")
+    repeated = keep.where("rows > 1")
+    if not repeated.isEmpty():  # rare: only these are compared by text
+        again = docs.join(repeated, "doc_id", "left_semi").withColumn("vitrine copy", F.xxhash64("text"))
+        kept = kept.unionByName(again.dropDuplicates(["doc_id", "vitrine copy"]).drop("vitrine copy"))
     return kept.unionByName(docs.where("doc_id is null"))
