@@ -28,7 +28,7 @@ from vitrine.llm.store import ship
 
 
 #: Words whose ids a worker remembers, in two generations, and the longest such word.
-MEMO = 350_000
+MEMO = 700_000
 MEMO_CHARS = 40
 #: Bits of a low bitmap word.
 FAN = 256
@@ -133,7 +133,7 @@ class Encoder:
             if ids is None:
                 ids = self.merge(piece.encode())
                 if len(piece) < MEMO_CHARS:
-                    if len(known) >= MEMO:
+                    if len(known) >= MEMO // 2:
                         known.clear()
                     known[piece] = ids
             out += ids

@@ -12,7 +12,8 @@ minimiser position make a segment. Stored tables keep each step short:
 
 A minimiser with more than HOT segments isn't gathered: its windows are told
 apart by 128 bits of hash, with partial aggregation and a plain join that
-adaptive execution splits. Documents with a null id take no part.
+adaptive execution splits. Of equal texts only the first is compared; the others
+repeat whole. Documents with a null id take no part.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.store import Store
 from vitrine.llm.words import Words, minimisers, pieces, runs, signed
 
-HOT = 4_000
+HOT = 20_000
 RANGE = "id long, copy long, start int, n int"
 SEGMENT = f"hot boolean, key long, extra long, before binary, after binary, {RANGE}"
 
@@ -81,9 +82,17 @@ def _joined(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _seeds(window: int, gram: int):
+    """Rows of a minimiser and its segments in a document, and one without minimiser: the document's words."""
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words in pieces(batch):
+            for part, words in pieces(batch, 2):
+                total = np.diff(words.first)
+                long = pa.array(np.flatnonzero(total >= window))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(long), pa.int64()), part.column(0).take(long), part.column(1).take(long), pa.array(total, pa.int32()).take(long)],
+                    ["seed", "id", "copy", "n"],
+                )
                 s = Segments(words, words.hashes(), window, gram)
                 order = np.lexsort((s.key, s.document))
                 key, document = s.key[order], s.document[order]
@@ -105,7 +114,7 @@ def _segments(window: int, gram: int):
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words in pieces(_joined(batch)):
+            for part, words in pieces(_joined(batch), 2):
                 hashes = words.hashes()
                 s = Segments(words, hashes, window, gram)
                 lists = part.column(3)
@@ -170,27 +179,34 @@ def repeated(
     """
     texts = _keyed(docs, id_col, text_col).where("id is not null and text is not null")
     seeds = store.put(texts.mapInArrow(_seeds(window, gram), "seed long, id long, copy long, n int"), "seeds")
-    counted = seeds.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("all"))
+    counted = seeds.where("seed is not null").groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("all"))
     recurring = store.put(
         counted.where("low < high" if across else "all > 1").select("seed", (F.col("all") > HOT).alias("hot")), "recurring"
     )
+    long = seeds.where("seed is null").groupBy("id", "copy").agg(F.max("n").alias("words"))
+    first = long.groupBy("copy").agg(F.min("id").alias("id"))
+    whole = store.put(
+        long.join(first.hint("merge"), ["id", "copy"], "left_anti").select("id", "copy", F.array(F.struct(F.lit(0).alias("start"), F.col("words").alias("end"))).alias("spans")),
+        "whole",
+    )
+    held_by = seeds.where("seed is not null").join(recurring.hint("merge"), "seed").groupBy("id", "copy")
     wanted = store.put(
-        seeds.join(recurring, "seed").groupBy("id", "copy").agg(F.collect_set(F.struct("seed", "hot")).alias("wanted")), "wanted"
+        held_by.agg(F.collect_set(F.struct("seed", "hot")).alias("wanted")).join(first.hint("merge"), ["id", "copy"], "left_semi"), "wanted"
     )
     store.drop("seeds", "recurring")
-    held = texts.join(wanted, ["id", "copy"]).select("id", "copy", "text", "wanted")
+    held = texts.join(wanted.hint("merge"), ["id", "copy"]).select("id", "copy", "text", "wanted")
     segments = store.put(held.mapInArrow(_segments(window, gram), SEGMENT), "segments")
     store.drop("wanted")
     cold = segments.where("not hot").drop("hot", "extra")
     cold = cold.repartition("key").sortWithinPartitions("key", "after", "before", "id", "copy", "start").mapInArrow(compare, RANGE)
     hot = segments.where("hot").select("key", "extra", "id", "copy", "start")
     own = F.col("id") if across else F.struct("id", "copy", "start")
-    first = hot.groupBy("key", "extra").agg(F.min(own).alias("first"))
-    again = hot.join(first, ["key", "extra"]).where(own > F.col("first")).select("id", "copy", "start", F.lit(1).alias("n"))
+    earliest = hot.groupBy("key", "extra").agg(F.min(own).alias("first"))
+    again = hot.join(earliest, ["key", "extra"]).where(own > F.col("first")).select("id", "copy", "start", F.lit(1).alias("n"))
     ranges = cold.union(again).groupBy("id", "copy").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     spans = store.put(ranges.mapInArrow(_merged(window), "id long, copy long, spans array<struct<start:int,end:int>>"), "spans")
     store.drop("segments")
-    return spans
+    return spans.union(whole)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -217,4 +233,4 @@ def _merged(window: int):
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text, spans)`` of every row; null spans where nothing repeats."""
-    return _keyed(docs, id_col, text_col).join(spans, ["id", "copy"], "left").select("id", "text", "spans")
+    return _keyed(docs, id_col, text_col).join(spans.hint("merge"), ["id", "copy"], "left").select("id", "text", "spans")

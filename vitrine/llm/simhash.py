@@ -260,7 +260,7 @@ def first_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, store: Sto
     store = store or Store(docs.sparkSession, "simhash")
     found = near_duplicates(docs, shingle, radius, store=store)
     keep = store.put(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "keep")
-    kept = docs.join(keep.where("rows = 1"), "doc_id", "left_semi")
+    kept = docs.join(keep.where("rows = 1").hint("merge"), "doc_id", "left_semi")
     repeated = keep.where("rows > 1")
     if not repeated.isEmpty():  # rare: only these are compared by text
         again = docs.join(repeated, "doc_id", "left_semi").withColumn("vitrine copy", F.xxhash64("text"))

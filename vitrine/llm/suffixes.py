@@ -10,6 +10,7 @@ allows, those whose words are equal to an earlier window's repeat.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,15 +50,23 @@ def extended(group: list[tuple], window: int) -> Iterator[tuple[int, int, int, i
     for g, left, rest, most in zip(group, before, after, right, strict=True):
         _, _, id_, copy, start, n = g
         words = left + rest
+        digests = []
         for at in range(min(n, most - window + len(left) + 1)):
-            text = b" ".join(words[at : at + window])
+            digest = blake2b(b" ".join(words[at : at + window]), digest_size=16).digest()
+            digests.append(digest)
             own = (id_, copy, start + at)
-            open_.append((text, own))
-            if text not in first or own < first[text]:
-                first[text] = own
-    for text, own in open_:
-        if first[text] < own:
-            yield *own, 1
+            if digest not in first or own < first[digest]:
+                first[digest] = own
+        open_.append((id_, copy, start, digests))
+    for id_, copy, start, digests in open_:
+        begin = None
+        for at, digest in enumerate([*digests, None]):
+            later = digest is not None and first[digest] < (id_, copy, start + at)
+            if later and begin is None:
+                begin = at
+            elif not later and begin is not None:
+                yield id_, copy, start + begin, at - begin
+                begin = None
 
 
 def _compare(window: int):
@@ -143,6 +152,6 @@ def without_passages(docs: DataFrame, window: int = WINDOW, store: Store | None
 
     keyed = docs.withColumn("vitrine id", F.col("doc_id").cast("long")).withColumn("vitrine copy", F.xxhash64("text"))
     spans = spans.select(F.col("id").alias("vitrine id"), F.col("copy").alias("vitrine copy"), F.col("spans").alias("vitrine spans"))
-    joined = keyed.join(spans, ["vitrine id", "vitrine copy"], "left").select(*[F.col(f"`{c}`") for c in names], "vitrine spans")
+    joined = keyed.join(spans.hint("merge"), ["vitrine id", "vitrine copy"], "left").select(*[F.col(f"`{c}`") for c in names], "vitrine spans")
     out = joined.mapInArrow(cut, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -130,23 +130,22 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(weights, float(theta[-1]))
 
 
-def train(labelled: DataFrame, unlabelled: DataFrame) -> Model:
-    """Fit on ``labelled(doc_id, text, toxic)`` and ``unlabelled(doc_id, text)``.
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on ``docs(doc_id, text)``, unlabelled, and those of them that ``labels(doc_id, toxic)`` marks 1.
 
-    The prior is the toxic share of the labelled rows, pulled towards one half by
-    one row of each kind. Null texts and null labels take no part in training.
-    Without positives or unlabelled rows every text scores the prior. The ids only
-    spread the sampling over equal texts.
+    The prior is the toxic share of the labels, pulled towards one half by one row of each kind.
+    Null texts and null labels take no part in training, nor do labels without a document. About
+    POSITIVE_ROWS of the toxic ids are drawn and sent to where the texts are. Without positives or
+    unlabelled rows every text scores the prior. The ids only spread the sampling.
     """
-    ship(labelled.sparkSession)
-    shares = labelled.where("toxic is not null").agg(
-        F.count("*"), F.sum(F.col("toxic").cast("long")), F.sum(((F.col("toxic") == 1) & F.col("text").isNotNull()).cast("long"))
-    ).first()
-    prior = ((shares[1] or 0) + 1) / (shares[0] + 2)
-    toxic = labelled.where("toxic = 1 and text is not null").select("doc_id", "text")
-    mixed = unlabelled.where("text is not null").select("doc_id", "text")
-    positive = _bags(_sampled(toxic, shares[2] or 0, POSITIVE_ROWS, "positive"))
-    return fit(positive, _bags(_sampled(mixed, mixed.count(), UNLABELLED_ROWS, "unlabelled")), prior)
+    ship(docs.sparkSession)
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    count, toxic = marks.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
+    prior = (toxic + 1) / (count + 2)
+    drawn = _sampled(marks.where("toxic = 1").select("doc_id"), toxic, POSITIVE_ROWS, "positive")
+    texts = docs.where("text is not null").select("doc_id", "text")
+    positive = _bags(texts.join(F.broadcast(drawn), "doc_id", "left_semi"))  # about POSITIVE_ROWS ids
+    return fit(positive, _bags(_sampled(texts, texts.count(), UNLABELLED_ROWS, "unlabelled")), prior)
 
 
 def _scored(shared, place: int):
