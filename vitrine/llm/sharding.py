@@ -1,11 +1,11 @@
 """Sharding by balanced label propagation.
 
 Documents that share a hub (here: an equal text) are linked. All start in a shard
-of their own choice, by hash. In each round, every hub looks up in which shards
+given by hash. In each round, every hub looks up in which shards
 its documents lie; those elsewhere move to the one that holds most of them, among
-shards with room, as far as room allows. Last, shards above their quota pass
-documents without links on, and then parts of the smallest hubs, to shards below
-theirs, so that counts end at most one apart.
+shards with room, as far as room allows. Last, shards above their quota pass on
+documents without links, and then parts of the smallest hubs, to shards below
+theirs, so that counts end at most one apart; what is passed on goes hub by hub.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from vitrine.llm.store import Store
 
 SHARDS = 40
-ROUNDS = 6
+ROUNDS = 16
+#: A shard is full if less than this part of its quota is left.
+SLACK = 10
 
 
 def _fraction(*columns) -> Column:
@@ -47,9 +49,8 @@ def propagate(linked: DataFrame, quota: int, shards: int, rounds: int, store: St
     and shard are counted before they are shuffled.
     """
     current = store.put(linked, "round0")
-    before = -1
     for k in range(rounds):
-        room = [max(0, quota - n) for n in _loads(current, shards)]
+        room = [quota - n if quota - n >= max(1, quota // SLACK) else 0 for n in _loads(current, shards)]
         counts = current.groupBy("hub", "shard").agg(F.count("*").alias("n"))
         best = counts.groupBy("hub").agg(
             F.max(F.when(_of_shard(room, F.col("shard")) > 0, F.struct("n", (-F.col("shard")).alias("s")))).alias("best"),
@@ -58,9 +59,8 @@ def propagate(linked: DataFrame, quota: int, shards: int, rounds: int, store: St
         moves = counts.join(best, "hub").where("n < there or n = there and shard > target").where("shard <> target")
         moves = store.put(moves.select("hub", "shard", "n", "target"), f"moves{k}")
         demand = {t: n for t, n in moves.groupBy("target").agg(F.sum("n")).collect()}
-        if not demand or sum(demand.values()) == before:
+        if not demand:
             break
-        before = sum(demand.values())
         chance = [min(1.0, room[s] / demand[s]) if demand.get(s) else 0.0 for s in range(shards)]
         moved = current.join(moves.select("hub", "shard", "target"), ["hub", "shard"], "left").select(
             "row", "hub",
@@ -126,21 +126,24 @@ def by_rows(
         )
     )
     ranked = numbered(placed, "label", shards, [F.desc("hub_size"), "hub", "doc_id", "row"], store)
-    ranked = ranked.select("doc_id", "size", "text_crc32", "label", "place")
     loads = [0] * shards
     for label, n in ranked.groupBy("label").count().collect():
         loads[label] = n
-    over = [max(0, n - q) for n, q in zip(loads, quotas, strict=True)]
     under = [max(0, q - n) for n, q in zip(loads, quotas, strict=True)]
-    before = [sum(over[:s]) for s in range(shards)]
     first = [sum(under[:s]) for s in range(shards)]
-    label = F.col("label")
-    passed = F.col("place") - _of_shard(quotas, label) + _of_shard(before, label)
-    target = reduce(lambda c, s: F.when(passed >= F.lit(first[s]), F.lit(s)).otherwise(c), [s for s in range(shards) if under[s]], F.lit(0))
-    out = F.col("place") >= _of_shard(quotas, label)
-    shard = F.when(out, target).otherwise(label)
-    slot = F.when(out, passed - _of_shard(first, shard) + _of_shard([min(n, q) for n, q in zip(loads, quotas, strict=True)], shard))
-    return ranked.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"),
-        F.coalesce(slot, F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    out = F.col("place") >= _of_shard(quotas, F.col("label"))
+    passed = ranked.where(out).drop("place").withColumn("label", F.lit(0))
+    passed = numbered(passed, "label", 1, [F.desc("hub_size"), "hub", "doc_id", "row"], Store(docs.sparkSession, "passed"))
+    target = reduce(
+        lambda c, s: F.when(F.col("place") >= F.lit(first[s]), F.lit(s)).otherwise(c), [s for s in range(shards) if under[s]], F.lit(0)
+    )
+    held = [min(n, q) for n, q in zip(loads, quotas, strict=True)]
+    columns = ["doc_id", "size", "text_crc32"]
+    stay = ranked.where(~out).select(*columns, F.col("label").alias("shard"), F.col("place").alias("slot"))
+    moved = passed.withColumn("shard", target).select(
+        *columns, "shard", (F.col("place") - _of_shard(first, F.col("shard")) + _of_shard(held, F.col("shard"))).alias("slot")
+    )
+    return stay.union(moved).select(
+        *columns, F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -82,7 +82,8 @@ def _compare(window: int):
                         found.extend(extended(group, window))
                     group, key = [], k
                 if group and group[-1][1] == after and group[-1][0] == before:
-                    found.append((id_, copy, start, n))  # the same words all around, and later
+                    if group[-1][2:5] != (id_, copy, start):  # the same words all around, and later
+                        found.append((id_, copy, start, n))
                 else:
                     group.append((before, after, id_, copy, start, n))
             if found:
