@@ -3,6 +3,7 @@ import random
 import statistics
 from decimal import Decimal
 
+import numpy as np
 import pytest
 
 from tests.conftest import rows
@@ -179,3 +180,23 @@ def test_monthly_and_channel_sales(edge):
 def test_sales_of_nothing(empty):
     assert rows(sales.sales_kpis(empty, empty)) == [(0.0, 0, None, 0)]
     assert rows(sales.sales_monthly(empty)) == []
+
+
+@pytest.mark.parametrize("sort_rows", [10, 1_000_000])
+def test_quantiles_with_infinite_values_end(spark, sort_rows):
+    inf = float("inf")
+    values = [-inf, -inf, *map(float, range(100)), 1e300, -1e300, inf, float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    known = sorted(v for v in values if v is not None and v == v)
+    probabilities = (0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0)
+    want = np.quantile(known, probabilities)
+    got = exact_quantiles(df, "v", probabilities, sort_rows=sort_rows, buckets=16)
+    for g, w, p in zip(got, want, probabilities):
+        place = p * (len(known) - 1)
+        low, high = known[int(place)], known[min(int(place) + 1, len(known) - 1)]
+        if abs(low) < inf and abs(high) < inf:
+            assert g == pytest.approx(w, rel=1e-9)
+        else:
+            assert g in (low, high, -inf, inf)
+    only = spark.createDataFrame([(inf,), (inf,), (-inf,)], "v double")
+    assert exact_quantiles(only, "v", (0.0, 0.5, 1.0), sort_rows=1) == [-inf, inf, inf]

@@ -128,8 +128,12 @@ def test_scratch_is_below_the_folder_the_session_names(spark):
     path = scratch_dir(spark, "x")
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or path.startswith(named)
-    unnamed = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default))
-    assert scratch_dir(unnamed, "x").startswith(tempfile.gettempdir())
+    nothing = SimpleNamespace(get=lambda key, default: default)
+    one = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(master="local[8]"))
+    assert scratch_dir(one, "x").startswith(tempfile.gettempdir())
+    for master in ("spark://host:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="share"):
+            scratch_dir(SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(master=master)), "x")
 
 
 @pytest.fixture
@@ -168,29 +172,83 @@ def test_folded_records_are_put_together_across_splits(spark, tmp_path, small_sp
     got = rows(df, "source_row_number")
     filled = [tuple(c or None for c in r) + (i,) for i, r in enumerate(want, 1)]
     assert got == filled
-    plain = csv_files.read_csv_numbered(spark, path, na_tokens=(), layout=csv_files.WHOLE_FILE)
-    assert rows(plain, "source_row_number") == got
     text = csv_files.read_csv_text(spark, path, layout=csv_files.FOLDED)
     assert text.columns == ["id", "te`xt", "note"] and text.count() == 300
 
 
-def test_stray_quotes_stop_the_folded_read(spark, tmp_path):
-    path = write(tmp_path, "t.csv", 'id,v\n1,5" pipe\n2,"a\nb"\n3,c\n')
-    with pytest.raises(Exception, match="stray quote"):
-        csv_files.read_csv_text(spark, path, layout=csv_files.FOLDED).collect()
-    assert csv_files.read_csv_text(spark, path).count() == 3
+# Inputs of three columns without records over several lines, and what stops a text or a typed load.
+BOTH = {
+    "good": ("1,2.50,x\n2,,\"\"\n3,1,\n", None, None),
+    "short": ("1,2.50,x\n2,3\n", None, "MALFORMED"),
+    "long": ("1,2.50,x\n2,3,y,z\n", "more cells", "MALFORMED"),
+    "bad number": ("1,yes,x\n", None, "MALFORMED"),
+    "blank rows": ("1,2,x\n   \n\n2,3,y\n", None, None),
+}
+
+
+@pytest.mark.parametrize("kind", BOTH)
+def test_both_layouts_read_alike(spark, tmp_path, kind):
+    text, stops_text, stops_typed = BOTH[kind]
+    path = write(tmp_path, "t.csv", "id,total,note\n" + text)
+    schema = T.StructType.fromDDL("id long, amount decimal(15,2), note string")
+
+    def outcome(load, stops):
+        got = []
+        for layout in (csv_files.ONE_LINE, csv_files.FOLDED):
+            if stops:
+                with pytest.raises(Exception, match=stops):
+                    load(layout).collect()
+            else:
+                got.append([tuple(map(str, r)) for r in rows(load(layout), "id")])
+        assert not got or got[0] == got[1] and got[0]
+
+    outcome(lambda at: csv_files.read_csv_numbered(spark, path, layout=at), stops_text)
+    outcome(lambda at: csv_files.read_csv_typed(spark, path, schema, at), stops_typed)
+
+
+def test_dates_and_booleans_are_strict_in_both_layouts(spark, tmp_path):
+    schema = T.StructType.fromDDL("id long, at timestamp_ntz, ok boolean")
+    for cells in ("2024-1-5,true", "2024-01-05 10:00:00,yes"):
+        path = write(tmp_path, "t.csv", f"id,at,ok\n1,{cells}\n")
+        for layout in (csv_files.ONE_LINE, csv_files.FOLDED):
+            with pytest.raises(Exception, match="MALFORMED"):
+                csv_files.read_csv_typed(spark, path, schema, layout).collect()
+
+
+def test_content_alone_picks_the_layout(spark, tmp_path):
+    assert csv_files.record_layout(spark, write(tmp_path, "a.csv", 'id,v\n1,"a\nb"\n')) == csv_files.FOLDED
+    assert csv_files.record_layout(spark, write(tmp_path, "b.csv", 'id,v\n1,"a b"\n')) == csv_files.ONE_LINE
+
+
+def test_stray_and_unclosed_quotes_stop_the_read(spark, tmp_path):
+    stray = write(tmp_path, "t.csv", 'id,v\n1,5" pipe\n2,"a\nb"\n3,c" d\n')
+    with pytest.raises(Exception, match="stray quote|unclosed quote"):
+        csv_files.read_csv_text(spark, stray).collect()
+    unclosed = write(tmp_path, "u.csv", 'id,v\n1,"open\n2,b\n' + "3,c\n" * 200)
+    with pytest.raises(Exception, match="unclosed quote"):
+        csv_files.read_csv_text(spark, unclosed).collect()
+
+
+def test_surplus_cells_stop_a_count_too(spark, tmp_path):
+    path = write(tmp_path, "t.csv", "a,b\n1,2,3\n")
+    with pytest.raises(Exception, match="more cells"):
+        csv_files.read_csv_text(spark, path).count()
+
+
+def test_tables_of_deeper_folders_are_not_mixed_in(spark, tmp_path):
+    write(tmp_path, "orders.csv", "id\n1\n")
+    write(tmp_path, "old/orders.csv", "id\n2\n")
+    found = csv_files.scan_csv_dir(spark, str(tmp_path))
+    assert list(found) == ["orders"] and rows(found["orders"]) == [("1",)]
 
 
 def test_typed_load_of_folded_records(spark, tmp_path):
     path = write(tmp_path, "t.csv", 'id,total,note\n1,2.50,"a\nb"\n2,,""\n3,1,\n')
     schema = T.StructType.fromDDL("id long, amount decimal(15,2), note string")
-    assert csv_files.record_layout(spark, path) == csv_files.WHOLE_FILE
-    assert csv_files.record_layout(spark, path, fold_above=10) == csv_files.FOLDED
-    for layout in (csv_files.WHOLE_FILE, csv_files.FOLDED):
-        got = rows(csv_files.read_csv_typed(spark, path, schema, layout), "id")
-        assert [(i, None if a is None else float(a), n) for i, a, n in got] == [
-            (1, 2.5, "a\nb"), (2, None, ""), (3, 1.0, None),
-        ]
+    got = rows(csv_files.read_csv_typed(spark, path, schema), "id")
+    assert [(i, None if a is None else float(a), n) for i, a, n in got] == [
+        (1, 2.5, "a\nb"), (2, None, ""), (3, 1.0, None),
+    ]
     bad = write(tmp_path, "u.csv", 'id,total,note\nx,2.50,"a\nb"\n')
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        csv_files.read_csv_typed(spark, bad, schema, csv_files.FOLDED).collect()
+    with pytest.raises(Exception, match="MALFORMED"):
+        csv_files.read_csv_typed(spark, bad, schema).collect()

@@ -50,22 +50,41 @@ def exact_quantiles(
 ) -> list[float | None]:
     """Linearly interpolated quantiles of ``column``; nulls and NaN are left out.
 
+    Infinite values count; between a finite and an infinite one the result is infinite,
+    between both infinities it is NaN.
+
     The result is double, and the cast to double keeps the order, so all
     comparisons are made on doubles.
     """
     # Null in place of NaN rather than a filter, which would repeat the cast.
     values = df.select(F.nanvl(F.col(column).cast("double"), F.lit(None)).alias("v"))
+    finite = F.when(F.abs("v") < math.inf, F.col("v"))
     head = values.agg(
-        F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+        F.count("v").alias("n"),
+        F.count_if(F.col("v") == -math.inf).alias("lowest"),
+        F.count_if(F.col("v") == math.inf).alias("highest"),
+        F.min(finite).alias("low"),
+        F.max(finite).alias("high"),
     ).first()
     if head["n"] == 0:
         return [None for _ in probabilities]
     places = [p * (head["n"] - 1) for p in probabilities]
     ranks = sorted({f(x) for x in places for f in (math.floor, math.ceil)})
-    at = _values_at(values, _Bracket(head["low"], head["high"], 0, head["n"], ranks), sort_rows, buckets)
+    # Infinite values have a rank by their count alone; only finite ones are bracketed.
+    above = head["n"] - head["highest"]
+    at = {r: -math.inf if r < head["lowest"] else math.inf for r in ranks}
+    inner = [r - head["lowest"] for r in ranks if head["lowest"] <= r < above]
+    if inner:
+        whole = _Bracket(head["low"], head["high"], 0, above - head["lowest"], inner)
+        found = _values_at(values.select(finite.alias("v")), whole, sort_rows, buckets)
+        at |= {r + head["lowest"]: v for r, v in found.items()}
 
     def interpolate(place: float) -> float:
         low, high = at[math.floor(place)], at[math.ceil(place)]
+        if low == high:
+            return low
+        if math.isinf(low) or math.isinf(high):
+            return low + high if math.isinf(low) and math.isinf(high) else low if math.isinf(low) else high
         return low + (high - low) * (place - math.floor(place))
 
     return [interpolate(x) for x in places]
@@ -76,13 +95,23 @@ def _values_at(
 ) -> dict[int, float]:
     brackets = [whole]
     while any(not b.settled(sort_rows) for b in brackets):
-        narrowed = _narrow(values, [b for b in brackets if not b.settled(sort_rows)], buckets)
+        open_ = [b for b in brackets if not b.settled(sort_rows)]
+        narrowed = _narrow(values, open_, buckets)
+        if sum(b.rows for b in narrowed) >= sum(b.rows for b in open_) and not _tighter(narrowed, open_):
+            raise RuntimeError(f"quantile brackets don't shrink: {open_}")
         brackets = [b for b in brackets if b.settled(sort_rows)] + narrowed
     found = {r: b.low for b in brackets if b.low == b.high for r in b.ranks}
     rest = [b for b in brackets if b.low != b.high]
     return found | (_sorted_lookup(values, rest) if rest else {})
 
 
+def _tighter(narrowed: list[_Bracket], open_: list[_Bracket]) -> bool:
+    """Whether the brackets cover less than before, or are more."""
+    return len(narrowed) != len(open_) or any(
+        (new.low, new.high) != (old.low, old.high) for new, old in zip(narrowed, open_)
+    )
+
+
 def _first_match(brackets: list[_Bracket], value: Column, outcome) -> Column:
     """``outcome(i, bracket)`` of the one bracket that holds the value, else null."""
     chain = F

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from vitrine.operators.lookup import few_variant_names, keys, pin, variant_names
 
-# Items of a basket whose partners one task lists; larger baskets are cut in such blocks.
+# Item rows of an order that are gathered in one basket; larger orders are paired by chunks.
 BLOCK = 256
 # Variants whose pairs set the bar for the most frequent pairs.
 SEEDS = 1000
-# Up to so many large baskets, products keep the list of those that hold them.
-MOST_LARGE = 10_000
 # Items are thinned before pairing if no more than this share of them stays; a
 # lower bar drops too little to be worth a look.
 WORTHWHILE_SHARE = 0.5
 WORTHWHILE_BAR = 10
 # Up to so many product ids are broadcast to thin the items where they are read.
 BROADCAST_PRODUCTS = 500_000
+# Up to so many orders of one customer (some 20 bytes each) are broadcast to the items.
+BROADCAST_ORDERS = 500_000
 
 
 def basket_items(items: DataFrame) -> DataFrame:
@@ -56,32 +56,58 @@ def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("produto_a", "produto_b").agg(F.count(F.lit(1)).alias("coocorrencias"))
 
 
-def _usual(baskets: DataFrame, block: int) -> DataFrame:
-    return baskets.filter(F.size("produtos").between(2, block))
+def _by_size(items: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Baskets of the orders with up to ``block`` item rows, and the distinct items of the others.
+
+    Only orders of bounded size are gathered into a row.
+    """
+    known = items.filter(
+        F.col("order_id").isNotNull() & F.col("product_variant_id").isNotNull()
+    ).select("order_id", "product_variant_id")
+    sizes = known.groupBy("order_id").agg(F.count(F.lit(1)).alias("_rows"))
+    sized = known.join(sizes, "order_id")
+    return order_baskets(sized.filter(F.col("_rows") <= block)), basket_items(sized.filter(F.col("_rows") > block))
 
 
-def _large(baskets: DataFrame, block: int) -> DataFrame:
-    return baskets.filter(F.size("produtos") > block)
+def _cell_pairs(large: DataFrame, block: int) -> DataFrame:
+    """Pairs of large orders, listed by cells of two chunks of an order's items.
+
+    An order is dealt by hash into chunks of about ``block`` / 2 items, and each two chunks meet
+    in a row of their own, so that no row grows with the order.
+    """
+    chunk = max(1, block // 2)
+    sizes = large.groupBy("order_id").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_chunks"))
+    dealt = large.join(sizes, "order_id").withColumn(
+        "_own", F.pmod(F.xxhash64("product_variant_id"), F.col("_chunks")).cast("int")
+    )
+    cells = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    cell = cells.select(
+        "order_id", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"),
+        "_own", "product_variant_id",
+    ).groupBy("order_id", "_low", "_high")
+    low, high = F.col("_own") == F.col("_low"), F.col("_own") == F.col("_high")
+    sides = cell.agg(
+        F.collect_set(F.when(low, F.col("product_variant_id"))).alias("_a"),
+        F.collect_set(F.when(high, F.col("product_variant_id"))).alias("_b"),
+    )
+    pairs = sides.select("_low", "_high", "_b", F.explode("_a").alias("_x")).select(
+        "_low", "_high", "_x", F.explode("_b").alias("_y")
+    )
+    once = (F.col("_low") < F.col("_high")) | (F.col("_x") < F.col("_y"))
+    return pairs.filter(once).select(
+        F.least("_x", "_y").alias("produto_a"), F.greatest("_x", "_y").alias("produto_b")
+    )
 
 
 def product_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
     """Number of orders that hold both products, for every pair that occurs.
 
-    A basket lists the partners of its own items, with no join. Baskets longer
-    than ``block`` are cut into blocks of first products, and the blocks are
-    spread over the tasks; pair counts are summed per task before the shuffle.
+    A basket lists the partners of its own items, with no join. Orders of more than
+    ``block`` item rows are paired by chunks of their items, spread over the tasks; pair
+    counts are summed per task before the shuffle.
     """
-    baskets = order_baskets(items)
-    size = F.size("produtos")
-    starts = F.explode(F.sequence(F.lit(1), size, F.lit(block)))
-    blocks = (
-        _large(baskets, block)
-        .select("order_id", "produtos", starts.alias("_from"))
-        .select("order_id", "_from", F.slice("produtos", F.col("_from"), size).alias("produtos"))
-        .repartition("order_id", "_from")
-    )
-    parts = _usual(baskets, block).select("produtos").unionByName(blocks.select("produtos"))
-    return _counted(_listed_pairs(parts, block))
+    usual, large = _by_size(items, block)
+    return _counted(_listed_pairs(usual.select("produtos"), block).unionByName(_cell_pairs(large, block)))
 
 
 def _best_pairs_first():
@@ -108,10 +134,8 @@ def top_pairs(
         F.col("order_id").isNotNull() & F.col("product_variant_id").isNotNull()
     ).select("order_id", "product_variant_id")
     rows = known.groupBy("product_variant_id").agg(F.count(F.lit(1)).alias("_rows"))
-    # Orders with that many rows: at least as many as there are large baskets.
-    large = known.groupBy("order_id").count().filter(F.col("count") > block).count()
     bar = 1
-    if large or _stands_out(rows):
+    if _large_orders(known, block) or _stands_out(rows):
         bar = _bar(known, rows, n, seeds, block)
     if bar >= WORTHWHILE_BAR:
         frequent = F.col("_rows") >= bar
@@ -124,18 +148,22 @@ def top_pairs(
             if kept["products"] <= BROADCAST_PRODUCTS:
                 wanted = F.broadcast(wanted)
             known = known.join(wanted, "product_variant_id", "left_semi")
-    if large < min(bar, MOST_LARGE):
-        baskets = order_baskets(known)
-        counted = _counted(_listed_pairs(_usual(baskets, block), block))
+    large = _large_orders(known, block)
+    if large < bar:
+        usual, rest = _by_size(known, block)
+        counted = _counted(_listed_pairs(usual, block))
         if large:
-            counted = _add_large(
-                counted.filter(F.col("coocorrencias") >= bar - large), _large(baskets, block)
-            )
+            counted = _add_large(counted.filter(F.col("coocorrencias") >= bar - large), rest)
     else:
         counted = product_pairs(known, block)
     return counted.orderBy(*_best_pairs_first()).limit(n)
 
 
+def _large_orders(known: DataFrame, block: int) -> int:
+    """Orders with more than ``block`` item rows."""
+    return known.groupBy("order_id").count().filter(F.col("count") > block).count()
+
+
 def _stands_out(rows: DataFrame) -> bool:
     """Whether the most frequent product is far above the mean, so that a bar may drop many."""
     ratio = rows.agg(F.max("_rows") / F.avg("_rows")).first()[0]
@@ -156,27 +184,20 @@ def _bar(known: DataFrame, rows: DataFrame, n: int, seeds: int, block: int) -> i
     return reached["least"] if reached["pairs"] == n else 1
 
 
-def _add_large(pairs: DataFrame, baskets: DataFrame) -> DataFrame:
-    """Add to the pair counts the number of ``baskets`` that hold both products."""
-    holders = (
-        baskets.select("order_id", F.explode("produtos").alias("produto"))
-        .groupBy("produto")
-        .agg(F.collect_list("order_id").alias("pedidos"))
-    )
+def _add_large(pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """Add to the pair counts the number of large orders, given as items, that hold both products."""
 
-    def of(side: str) -> DataFrame:
-        return holders.select(
-            F.col("produto").alias(f"produto_{side}"), F.col("pedidos").alias(f"_{side}")
-        )
+    def side(name: str) -> DataFrame:
+        return large.select("order_id", F.col("product_variant_id").alias(f"produto_{name}"))
 
-    both = F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0))
-    return (
-        pairs.join(of("a"), "produto_a", "left")
-        .join(of("b"), "produto_b", "left")
-        .select(
-            "produto_a", "produto_b",
-            (F.col("coocorrencias") + F.greatest(both, F.lit(0))).alias("coocorrencias"),
-        )
+    found = (
+        pairs.select("produto_a", "produto_b").join(side("a"), "produto_a")
+        .join(side("b"), ["order_id", "produto_b"])
+        .groupBy("produto_a", "produto_b").agg(F.count(F.lit(1)).alias("_more"))
+    )
+    return pairs.join(found, ["produto_a", "produto_b"], "left").select(
+        "produto_a", "produto_b",
+        (F.col("coocorrencias") + F.coalesce("_more", F.lit(0))).alias("coocorrencias"),
     )
 
 
@@ -243,7 +264,9 @@ def next_purchase(
         chosen = orders.agg(F.min("customer_id")).scalar()
     else:
         chosen = F.lit(customer_id)
-    own = orders.filter(F.col("customer_id") == chosen)
+    own = orders.filter(F.col("customer_id") == chosen).select("id", "customer_id")
+    if own.count() <= BROADCAST_ORDERS:  # else the items are shuffled
+        own = F.broadcast(own)
     top = pin(_history(own, items).orderBy(*_most_first()), n)
     names = few_variant_names(variants, products, keys(top, "product_variant_id"))
     return top.join(names, "product_variant_id", "left").select(

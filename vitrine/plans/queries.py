@@ -160,15 +160,13 @@ def json_payload_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns and rows of every table, by the schema that its files hold."""
     frames = []
     for name in binding.TABLES:
-        df = binding.read_table(spark, sf_dir, name)
-        columns = F.lit(len(df.columns)).cast("long")
-        frames.append(
-            df.agg(F.count(F.lit(1)).alias("linhas")).select(
-                F.lit(name).alias("tabela"), columns.alias("colunas"), "linhas"
-            )
-        )
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        columns = sources.catalog_columns(df).agg(F.max("posicao").cast("long").alias("colunas"))
+        rows = df.agg(F.count(F.lit(1)).alias("linhas"))
+        frames.append(rows.select(F.lit(name).alias("tabela"), columns.scalar().alias("colunas"), "linhas"))
     return _union(frames)
 
 

@@ -17,9 +17,14 @@ def _local_base() -> str:
 def scratch_dir(spark: SparkSession, label: str = "scratch") -> str:
     """A new folder path below the shared folder that the cluster names.
 
-    Only where the session names none (tests) is a machine-local one made.
+    Only where the session names none and runs in one process (tests) is a machine-local one made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_base()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_base()
     return f"{base.rstrip('/')}/vitrine-{label}-{uuid.uuid4().hex}"
 
 

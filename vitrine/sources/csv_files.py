@@ -13,31 +13,29 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from vitrine import schemas
 from vitrine.functions.coercion import null_if_token
 from vitrine.functions.names import named
-from vitrine.sources.folded_csv import read_folded_csv
+from vitrine.sources.folded_csv import SURPLUS, read_folded_csv, text_schema, without_surplus
 
 ROW_NUMBER = "source_row_number"
-# Files with records that span lines are put together from lines above this size.
-FOLD_ABOVE = 256 * 1024 * 1024
 # Up to so many file splits (some 100 bytes each) are broadcast to number the rows.
 BROADCAST_SPLITS = 1_000_000
 
 
 def list_csv_tables(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Table name -> path of each ``*.csv`` file, or folder of part files, in ``folder``.
+    """Table name -> path of each ``*.csv`` file, or folder of part files, right in ``folder``.
 
-    Only paths are listed, by the file system that owns them; no content is read.
+    Only paths are listed, by the file system that owns them; no content is read. What
+    lies deeper, such as ``old/orders.csv``, is another folder's.
     """
-    paths = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select("path")
-    )
-    table = F.regexp_extract("path", r"^(.*?/([^/]+)\.csv)(?:/[^/]+)?$", 2)
-    base = F.regexp_extract("path", r"^(.*?/([^/]+)\.csv)(?:/[^/]+)?$", 1)
-    found = paths.select(table.alias("name"), base.alias("base")).distinct().orderBy("name")
-    return {r["name"]: r["base"] for r in found.toLocalIterator()}
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {}
+    for status in system.listStatus(place):
+        path = status.getPath()
+        name = path.getName()
+        if name.endswith(".csv") and not name.startswith(("_", ".")):
+            found[name.removesuffix(".csv")] = path.toString()
+    return dict(sorted(found.items()))
 
 
 def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
@@ -46,24 +44,17 @@ def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
-def largest_file(spark: SparkSession, path: str) -> int:
-    """Size in bytes of the largest file of a table."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
-
-
 # How the records of a table lie in its files, and who reads them.
 ONE_LINE = "one line"  # Spark's reader, files split among tasks
-WHOLE_FILE = "whole file"  # Spark's reader, a file per task
 FOLDED = "folded"  # put together from lines by many tasks
 
 
-def record_layout(spark: SparkSession, path: str, fold_above: int = FOLD_ABOVE) -> str:
-    """Look for records that span lines. Spark's reader takes a file that has them
-    in one task; those larger than ``fold_above`` bytes are read from lines instead."""
-    if not has_quoted_newlines(spark, path):
-        return ONE_LINE
-    return FOLDED if largest_file(spark, path) > fold_above else WHOLE_FILE
+def record_layout(spark: SparkSession, path: str) -> str:
+    """Look for records that span lines, which Spark's reader would take in one task a file.
+
+    The content alone decides, so a table reads the same whatever its size.
+    """
+    return FOLDED if has_quoted_newlines(spark, path) else ONE_LINE
 
 
 def read_csv_text(
@@ -80,7 +71,7 @@ def read_csv_text(
     if layout == FOLDED:
         df = read_folded_csv(spark, path, ROW_NUMBER).drop(ROW_NUMBER)
     else:
-        df = _csv(spark, path, layout)
+        df = without_surplus(_csv(spark, path))
     return null_tokens(df, na_tokens)
 
 
@@ -95,19 +86,16 @@ def read_csv_numbered(
     if layout == FOLDED:
         numbered = read_folded_csv(spark, path, ROW_NUMBER)
     else:
-        numbered = number_source_rows(_csv(spark, path, layout), path)
+        numbered = without_surplus(number_source_rows(_csv(spark, path), path))
     columns = [c for c in numbered.columns if c != ROW_NUMBER]
     return null_tokens(numbered, na_tokens, columns)
 
 
-def _csv(spark: SparkSession, path: str, layout: str) -> DataFrame:
-    return (
-        spark.read.option("header", True)
-        .option("encoding", "UTF-8")
-        .option("escape", '"')
-        .option("multiLine", layout == WHOLE_FILE)
-        .csv(path)
-    )
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """The header's columns as text, and what a record has beyond them."""
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"')
+    names = reader.csv(path).columns
+    return reader.schema(text_schema([*names, SURPLUS])).csv(path)
 
 
 def scan_csv_dir(
@@ -130,31 +118,29 @@ def read_csv_typed(
     spark: SparkSession, path: str, schema: T.StructType, layout: str | None = None
 ) -> DataFrame:
     """Load into a declared schema: an empty field is null, a quoted empty one is
-    an empty text, and a field that does not fit its type ends the job.
+    an empty text. A field that does not fit its type ends the job, and so does a
+    record with too few or too many fields. Both layouts convert by the same reader.
 
     A job converts the columns that it reads; writing the table checks them all.
     """
-    blanks = {"nullValue": "", "emptyValue": _QUOTED_EMPTY}
+    options = {
+        "nullValue": "",
+        "emptyValue": _QUOTED_EMPTY,
+        "escape": '"',
+        "mode": "FAILFAST",
+        "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
+        "dateFormat": "yyyy-MM-dd",
+    }
     layout = layout or record_layout(spark, path)
     if layout == FOLDED:
-        cells = read_folded_csv(spark, path, ROW_NUMBER, **blanks).drop(ROW_NUMBER)
-        if len(cells.columns) != len(schema.fields):
-            raise ValueError(f"{path} has {len(cells.columns)} columns, not {len(schema.fields)}")
-        loaded = cells.toDF(*schema.names).select(
-            *[named(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
-        )
+        loaded = read_folded_csv(spark, path, ROW_NUMBER, schema, **options).drop(ROW_NUMBER)
     else:
         loaded = (
             spark.read.schema(schema)
-            .options(**blanks)
+            .options(**options)
             .option("header", True)
             .option("encoding", "UTF-8")
-            .option("escape", '"')
-            .option("multiLine", layout == WHOLE_FILE)
-            .option("mode", "FAILFAST")
             .option("columnPruning", False)  # a record with too few fields always counts as bad
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-            .option("dateFormat", "yyyy-MM-dd")
             .csv(path)
         )
     text = [f.name for f in schema.fields if f.dataType == T.StringType()]

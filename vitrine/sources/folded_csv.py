@@ -1,6 +1,6 @@
 """CSV records that span lines, put together from lines by many tasks.
 
-Spark's reader takes a file with such records in one task. For a large file the
+Spark's reader takes a file with such records in one task. Here the
 lines are read split by split instead: a line lies inside a quoted field if an
 odd number of quotes comes before it in its file, which running counts within
 each split, and running totals over one row per split, tell for every line.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from vitrine.functions.names import quoted
+from vitrine.functions.names import named, quoted
 
 # A record in which quotes only enclose fields or stand doubled inside them.
 _FIELD = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
@@ -19,34 +19,47 @@ WELL_FORMED = rf"^{_FIELD}(?:,{_FIELD})*+$"
 _SPLIT = ["_file", "_block"]
 
 
+#: Column for the first cell that a record has beyond those of the header.
+SURPLUS = "_surplus"
+
+
+def text_schema(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def without_surplus(rows: DataFrame) -> DataFrame:
+    """The rows without that column; a record that fills it ends the job, as its cells would be lost."""
+    message = F.concat(F.lit("record with more cells than the header, beginning with the surplus cell "), named(SURPLUS))
+    fits = F.when(named(SURPLUS).isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return rows.filter(fits).drop(SURPLUS)
+
+
 def read_folded_csv(
-    spark: SparkSession, path: str, row_number: str, **options: str
+    spark: SparkSession, path: str, row_number: str, typed: T.StructType | None = None, **options: str
 ) -> DataFrame:
-    """All columns as text, and the 1-based ``row_number`` in file order.
+    """The ``typed`` columns, else those of the header as text, and the 1-based ``row_number`` in file order.
 
-    A record with a stray quote, for which the counts would mislead, ends the job.
-    ``options`` are those of Spark's CSV reader.
+    A record with a stray quote, for which the counts would mislead, ends the job; so does a
+    file with an odd number of quotes, before any line is moved. Text records with more cells
+    than the header end it too, shorter ones are filled with null. ``options`` are those of
+    Spark's CSV reader.
     """
     names = spark.read.option("header", True).option("escape", '"').option(
         "multiLine", True
     ).csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    schema = typed or text_schema([*names, SURPLUS])
     options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", **options}
     records = _records(_lines(spark, path)).filter("_in_file > 1")  # the first one is the header
+    ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
     checked = F.when(
-        F.col("_text").rlike(WELL_FORMED), F.from_csv("_text", _ddl(names), options)
+        F.col("_text").rlike(WELL_FORMED), F.from_csv("_text", ddl, options)
     ).otherwise(
-        F.raise_error(
-            F.concat(F.lit("stray quote, read with the whole-file layout: "), F.col("_file"))
-        ).cast(schema)
+        F.raise_error(F.concat(F.lit("stray quote in a table with records over several lines: "), F.col("_file"))).cast(schema)
     )
-    return records.select(checked.alias("_row"), F.col("_number").alias(row_number)).select(
-        *[F.col("_row")[n].alias(n) for n in names], row_number
+    rows = records.select(checked.alias("_row"), F.col("_number").alias(row_number)).select(
+        *[F.col("_row")[f.name].alias(f.name) for f in schema.fields], row_number
     )
-
-
-def _ddl(names: list[str]) -> str:
-    return ", ".join(f"{quoted(n)} string" for n in names)
+    return rows if typed else without_surplus(rows)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -100,6 +113,7 @@ def _records(lines: DataFrame) -> DataFrame:
         .select(
             *_SPLIT,
             "_open",
+            (F.sum("_odds").over(Window.partitionBy("_file")) % 2).alias("_unclosed"),
             total("_starts", earlier_in_file).alias("_before_in_file"),
             total("_starts", earlier).alias("_before"),
             F.dense_rank().over(files).alias("_headers"),
@@ -109,6 +123,8 @@ def _records(lines: DataFrame) -> DataFrame:
     open_ = F.coalesce(
         F.col("_open"), F.raise_error(F.lit("file splits changed between two passes")).cast("long")
     )
+    unclosed = F.concat(F.lit("unclosed quote in "), F.col("_file"))
+    open_ = F.when(F.col("_unclosed") == 1, F.raise_error(unclosed).cast("long")).otherwise(open_)
     inside = (open_ + F.col("_parity")) % 2 == 1
     started = F.sum(_is(F.col("_start"))).over(
         in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
