@@ -2,7 +2,7 @@ import json
 
 from tests.conftest import rows
 from tests.test_sources import write
-from vitrine.streaming.arrivals import ingest_arrivals
+from vitrine.streaming.arrivals import arrival_run, ingest_arrivals
 
 
 def test_only_new_files_are_taken(spark, tmp_path):
@@ -12,7 +12,7 @@ def test_only_new_files_are_taken(spark, tmp_path):
         ingest_arrivals(spark, folder, "orders", ["id", "v"], out, checkpoint).awaitTermination()
         raw = spark.read.parquet(f"{out}/raw_csv_rows")
         return [
-            (run_id, n, json.loads(p))
+            (run_id - arrival_run("orders", 0) + 1, n, json.loads(p))
             for run_id, n, p in rows(
                 raw.select("ingestion_run_id", "source_row_number", "payload"),
                 "ingestion_run_id", "source_row_number",
@@ -30,4 +30,5 @@ def test_only_new_files_are_taken(spark, tmp_path):
     write(folder, "c.csv", "id,v\n04,w\n")
     assert run() == first + [(2, 1, {"id": "04", "v": "w"})]
     log = spark.read.parquet(f"{out}/ingestion_runs").select("id", "layer", "row_count")
-    assert rows(log, "id") == [(1, "raw", 3), (2, "raw", 1)]
+    assert rows(log, "id") == [(arrival_run("orders", 0), "raw", 3), (arrival_run("orders", 1), "raw", 1)]
+    assert arrival_run("orders", 0) > 1 << 32 and arrival_run("items", 0) != arrival_run("orders", 0)

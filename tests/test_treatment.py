@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tests.test_sources import write
 from vitrine import schemas
+from vitrine.operators.quality import ConstraintViolation
 from vitrine.operators import layers, treatment
 from vitrine.sources import csv_files, tables as sources
 
@@ -131,10 +133,41 @@ def test_refresh_builds_both_layers_and_the_log(spark, tmp_path):
     # A second refresh replaces the first one, also tables that are gone.
     (tmp_path / "in2").mkdir()
     write(str(tmp_path / "in2"), "brands.csv", "id,name\n1,07\n2,08\n")
-    layers.full_refresh(spark, str(tmp_path / "in2"), out)
+    log = layers.full_refresh(spark, str(tmp_path / "in2"), out)
+    assert rows(log.select("id")) == [(4,)]  # run numbers go on
     assert rows(layers.read_raw(spark, out).groupBy("source_table").count()) == [("brands", 2)]
     assert layers.read_treated(spark, out) == {}
-    assert spark.read.parquet(layers.treated_path(out, "orders")).isEmpty()
+
+
+def test_a_refresh_that_fails_leaves_the_layers_before(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError):
+        layers.read_log(spark, out)
+    write(source, "products.csv", "id,name\n1,a\n")
+    layers.full_refresh(spark, source, out)
+    write(source, "brands.csv", "id,name\n1,b\n")
+    write(source, "variants.csv", "id,name\n1,b,surplus\n")
+    with pytest.raises(Exception, match="more cells"):
+        layers.full_refresh(spark, source, out)
+    assert rows(layers.read_log(spark, out).select("source_table", "layer"), "layer") == [
+        ("products", "raw"), ("products", "treated"),
+    ]
+    assert rows(layers.read_raw(spark, out).select("source_table")) == [("products",)]
+    assert [r.name for r in layers.read_treated(spark, out)["products"].collect()] == ["a"]
+
+
+def test_broken_rows_fail_or_go_to_quarantine(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(source, "products.csv", "id,name\n1,a\n2,b\n2,c\n,d\n")
+    with pytest.raises(ConstraintViolation, match="primary_key:id=2"):
+        layers.full_refresh(spark, source, out, broken="fail")
+    log = layers.full_refresh(spark, source, out, broken="quarantine")
+    assert rows(log.select("layer", "row_count"), "layer") == [("raw", 4), ("treated", 4)]
+    assert [(r.id, r.name) for r in layers.read_treated(spark, out)["products"].collect()] == [(1, "a")]
+    apart = layers.read_quarantine(spark, out)["products"].select("id", "name", "regras_violadas")
+    assert rows(apart, "name") == [
+        (2, "b", ["primary_key:id"]), (2, "c", ["primary_key:id"]), (None, "d", ["not_null:id"]),
+    ]
 
 
 def test_refresh_of_a_header_only_file_and_of_an_empty_folder(spark, tmp_path):

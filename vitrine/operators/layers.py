@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vitrine import schemas
 from vitrine.functions.names import named
-from vitrine.operators.quality import fill_defaults
+from vitrine.operators.quality import fill_defaults, require_valid, row_rules
 from vitrine.operators.treatment import treat_table
 from vitrine.sources.csv_files import (
     ROW_NUMBER, list_csv_tables, read_csv_numbered, read_csv_text, record_layout,
@@ -27,33 +28,30 @@ def raw_json_rows(numbered: DataFrame, table: str, run_id: int) -> DataFrame:
     return fill_defaults(rows, schemas.CONTROL["raw_csv_rows"])
 
 
-def _run(
-    spark: SparkSession, run_id: int, file_name: str, table: str, layer: str, rows: int, details
-) -> DataFrame:
-    record = spark.createDataFrame(
-        [(run_id, file_name, table, layer, rows, json.dumps(details, ensure_ascii=False))],
-        "id long, file_name string, source_table string, layer string, row_count long, "
-        "details string",
-    )
-    log = schemas.CONTROL["ingestion_runs"]
-    return fill_defaults(record, log).select(*log.schema.names)
+Run = tuple[int, str, str, str, int, str]
 
 
-def raw_run(
-    spark: SparkSession, run_id: int, file_name: str, table: str, rows: int, columns: list[str]
-) -> DataFrame:
+def raw_run(run_id: int, file_name: str, table: str, rows: int, columns: list[str]) -> Run:
     """Log record of a raw load."""
-    return _run(spark, run_id, file_name, table, "raw", rows, {"columns": columns})
+    return run_id, file_name, table, "raw", rows, json.dumps({"columns": columns}, ensure_ascii=False)
 
 
 def treated_run(
-    spark: SparkSession, run_id: int, file_name: str, table: str, raw_rows: int, rows: int,
-    columns: list[str],
-) -> DataFrame:
-    """Log record of a treated load."""
+    run_id: int, file_name: str, table: str, raw_rows: int, rows: int, columns: list[str]
+) -> Run:
+    """Log record of a treated load; ``rows`` are those that stay after dedup, quarantined ones included."""
     dates = sorted(c for c in columns if schemas.is_date_column(c))
     details = {"dropped_duplicate_rows": raw_rows - rows, "date_columns": dates}
-    return _run(spark, run_id, file_name, table, "treated", rows, details)
+    return run_id, file_name, table, "treated", rows, json.dumps(details, ensure_ascii=False)
+
+
+def run_log(spark: SparkSession, runs: list[Run]) -> DataFrame:
+    """The records of some loads as rows of the ingestion log."""
+    log = schemas.CONTROL["ingestion_runs"]
+    records = spark.createDataFrame(
+        runs, "id long, file_name string, source_table string, layer string, row_count long, details string"
+    )
+    return fill_defaults(records, log).select(*log.schema.names)
 
 
 def conform(df: DataFrame, declared: schemas.Table) -> DataFrame:
@@ -75,76 +73,153 @@ def treated_rows(raw_text: DataFrame, table: str, run_id: int) -> DataFrame:
     return treated.withColumn("source_run_id", F.lit(run_id).cast("long"))
 
 
-def treated_path(out: str, table: str) -> str:
-    return f"{out}/treated_{table}"
+def treated_path(place: str, table: str) -> str:
+    return f"{place}/treated_{table}"
+
+
+REFRESHES = "number long, place string, last_run long"
+
+
+def _refreshes(spark: SparkSession, out: str) -> DataFrame:
+    """The refreshes that were completed, one row each; appended last, so it is what switches."""
+    path = f"{out}/refreshes"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], REFRESHES)
+    return spark.read.schema(REFRESHES).parquet(path)
+
+
+def current(spark: SparkSession, out: str) -> str:
+    """The folder of the last complete refresh."""
+    last = _refreshes(spark, out).orderBy(F.desc("number"), "place").first()
+    if last is None:
+        raise FileNotFoundError(f"no complete refresh below {out}")
+    return f"{out}/{last['place']}"
 
 
 def read_log(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(schemas.CONTROL["ingestion_runs"].schema).parquet(
-        f"{out}/ingestion_runs"
+        f"{current(spark, out)}/ingestion_runs"
     )
 
 
 def read_raw(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(schemas.CONTROL["raw_csv_rows"].schema).parquet(f"{out}/raw_csv_rows")
+    schema = schemas.CONTROL["raw_csv_rows"].schema
+    return spark.read.schema(schema).parquet(f"{current(spark, out)}/raw_csv_rows")
 
 
-def read_treated(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The treated tables that a refresh wrote."""
+def _read_tables(spark: SparkSession, out: str, path, extra: list[T.StructField]) -> dict[str, DataFrame]:
+    place = current(spark, out)
     written = read_log(spark, out).filter("layer = 'treated'").select("source_table").distinct()
     declared = schemas.table_schemas()
     return {
-        name: spark.read.schema(declared[f"treated.{name}"]).parquet(treated_path(out, name))
+        name: spark.read.schema(T.StructType([*declared[f"treated.{name}"].fields, *extra])).parquet(path(place, name))
         for name in sorted(r["source_table"] for r in written.collect())
     }
 
 
+def read_treated(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The treated tables that the last complete refresh wrote."""
+    return _read_tables(spark, out, treated_path, [])
+
+
+def _quarantine_path(place: str, table: str) -> str:
+    return f"{place}/quarantine_{table}"
+
+
+def read_quarantine(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The rows that the last refresh with ``broken="quarantine"`` set apart, and the rules they break."""
+    rules = T.StructField("regras_violadas", T.ArrayType(T.StringType()))
+    return _read_tables(spark, out, _quarantine_path, [rules])
+
+
+def _with_broken(treated: DataFrame, table: str) -> DataFrame:
+    """``treated`` plus ``regras_violadas``: required columns that are null, a key that comes twice."""
+    declared = schemas.TREATED[table]
+    rules = [
+        F.when(broken, F.lit(name)) for name, broken in row_rules(treated, declared).items() if name.startswith("not_null:")
+    ]
+    if declared.key in treated.columns:
+        twice = (
+            treated.groupBy(declared.key).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").drop("_times")
+            .withColumn("_twice", F.lit(True))
+        )
+        treated = treated.join(twice, declared.key, "left")
+        rules.append(F.when(F.col("_twice"), F.lit(f"primary_key:{declared.key}")))
+    names = schemas.table_schemas()[f"treated.{table}"].names
+    found = F.array_compact(F.array(*rules)) if rules else F.array().cast("array<string>")
+    return treated.select(*names, found.alias("regras_violadas"))
+
+
 def full_refresh(
-    spark: SparkSession, folder: str, out: str, layout: str | None = None
+    spark: SparkSession, folder: str, out: str, layout: str | None = None, broken: str | None = None
 ) -> DataFrame:
     """Rebuild both layers from a CSV folder and return the ingestion log.
 
-    The record layout of each table is looked up unless one is given for all.
+    The layers are built in a folder of their own, which readers see once its refresh is noted
+    as complete; if the refresh fails, they go on reading the one before. Run numbers go on from
+    refresh to refresh. ``broken`` says what to do with treated rows that lack a required value or
+    whose key comes twice: keep them (None), ``"fail"``, or ``"quarantine"`` them in tables of
+    their own. The record layout of each table is looked up unless one is given for all.
 
     The driver only walks over the table names. Row counts come from the written
     Parquet files, so the CSV text is not parsed again to count it.
     """
-    # Nothing of an earlier refresh stays, also not of tables that are gone by now.
+    if broken not in (None, "fail", "quarantine"):
+        raise ValueError(f"broken: {broken}")
+    last = _refreshes(spark, out).agg(
+        F.coalesce(F.max("number"), F.lit(0)).alias("number"), F.coalesce(F.max("last_run"), F.lit(0)).alias("run")
+    ).first()
+    number, run_id = last["number"] + 1, last["run"]
+    name = f"refresh-{number}-{uuid.uuid4().hex}"
+    place = f"{out}/{name}"
     raw_schema = schemas.CONTROL["raw_csv_rows"].schema
     (
         spark.createDataFrame([], raw_schema)
-        .write.mode("overwrite").partitionBy("source_table").parquet(f"{out}/raw_csv_rows")
+        .write.mode("overwrite").partitionBy("source_table").parquet(f"{place}/raw_csv_rows")
     )
-    tables = list_csv_tables(spark, folder)
-    for table in schemas.TREATED.keys() - tables.keys():
-        empty = spark.createDataFrame([], schemas.table_schemas()[f"treated.{table}"])
-        empty.write.mode("overwrite").parquet(treated_path(out, table))
-    runs, run_id = [], 0
-    for table, path in tables.items():
+    runs: list[Run] = []
+    for table, path in list_csv_tables(spark, folder).items():
         file_name, run_id = f"{table}.csv", run_id + 1
         records = layout or record_layout(spark, path)
         numbered = read_csv_numbered(spark, path, layout=records)
         columns = [c for c in numbered.columns if c != ROW_NUMBER]
-        raw_out = f"{out}/raw_csv_rows/source_table={table}"
+        raw_out = f"{place}/raw_csv_rows/source_table={table}"
         (
             raw_json_rows(numbered, table, run_id)
             .drop("source_table").write.mode("overwrite").parquet(raw_out)
         )
         raw_count = spark.read.parquet(raw_out).count()
-        runs.append(raw_run(spark, run_id, file_name, table, raw_count, columns))
+        runs.append(raw_run(run_id, file_name, table, raw_count, columns))
         if table in schemas.TREATED:
             run_id += 1
             text = read_csv_text(spark, path, layout=records)
-            treated_rows(text, table, run_id).write.mode("overwrite").parquet(
-                treated_path(out, table)
-            )
-            count = spark.read.parquet(treated_path(out, table)).count()
-            runs.append(
-                treated_run(spark, run_id, file_name, table, raw_count, count, columns)
-            )
-    log_schema = schemas.CONTROL["ingestion_runs"].schema
-    log = spark.createDataFrame([], log_schema)
-    for run in runs:
-        log = log.unionByName(run)
-    log.coalesce(1).write.mode("overwrite").parquet(f"{out}/ingestion_runs")  # two rows per table
+            count = _write_treated(spark, treated_rows(text, table, run_id), table, place, broken)
+            runs.append(treated_run(run_id, file_name, table, raw_count, count, columns))
+    run_log(spark, runs).coalesce(1).write.parquet(f"{place}/ingestion_runs")  # two rows per table
+    spark.createDataFrame([(number, name, run_id)], REFRESHES).coalesce(1).write.mode("append").parquet(f"{out}/refreshes")
     return read_log(spark, out)
+
+
+def _write_treated(spark: SparkSession, treated: DataFrame, table: str, place: str, broken: str | None) -> int:
+    """Write one treated table, and what is quarantined, and return the rows of both."""
+    path = treated_path(place, table)
+    treated.write.mode("overwrite").parquet(path)
+    written = spark.read.schema(schemas.table_schemas()[f"treated.{table}"]).parquet(path)
+    count = written.count()
+    if broken is None:
+        return count
+    marked = _with_broken(written, table)
+    bad = F.size("regras_violadas") > 0
+    if broken == "fail":
+        rules = marked.select(F.explode("regras_violadas").alias("regra"))
+        report = rules.groupBy("regra").agg(F.count(F.lit(1)).alias("violacoes"))
+        require_valid(report.select(F.concat(F.lit(f"{table}."), "regra").alias("regra"), "violacoes"))
+        return count
+    marked.filter(bad).write.parquet(_quarantine_path(place, table))
+    if not spark.read.schema(marked.schema).parquet(_quarantine_path(place, table)).isEmpty():
+        kept = f"{place}/valid_{table}"
+        marked.filter(~bad).drop("regras_violadas").write.parquet(kept)
+        spark.read.schema(written.schema).parquet(kept).write.mode("overwrite").parquet(path)
+    return count

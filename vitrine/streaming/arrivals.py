@@ -8,16 +8,22 @@ overwrites, so a lost run leaves neither gaps nor copies.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vitrine import schemas
-from vitrine.operators.layers import raw_json_rows, raw_run
+from vitrine.operators.layers import raw_json_rows, raw_run, run_log
 from vitrine.sources.csv_files import ROW_NUMBER, null_tokens, number_split_rows, with_splits
 
 
+def arrival_run(table: str, batch: int) -> int:
+    """The run number of a batch: the table in the upper half, so that none is used twice."""
+    return (zlib.crc32(table.encode()) >> 1) + 1 << 32 | batch + 1
+
+
 def ingest_arrivals(
     spark: SparkSession,
     folder: str,
@@ -29,8 +35,8 @@ def ingest_arrivals(
 ) -> StreamingQuery:
     """Take the files of ``folder`` not taken yet, and stop.
 
-    Run and batch numbers agree: batch 0 is run 1. Rows are numbered within
-    their batch, in file order.
+    Each table and batch has a run number of its own, beyond those of refreshes. Rows are
+    numbered within their batch, in file order.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     arriving = (
@@ -44,14 +50,14 @@ def ingest_arrivals(
     )
 
     def write(batch: DataFrame, number: int) -> None:
-        session, run_id = batch.sparkSession, number + 1
+        session, run_id = batch.sparkSession, arrival_run(table, number)
         numbered = null_tokens(number_split_rows(batch, ROW_NUMBER), columns=columns)
         rows_out = f"{out}/raw_csv_rows/source_table={table}/batch={number}"
         rows = raw_json_rows(numbered, table, run_id).drop("source_table")
         rows.write.mode("overwrite").parquet(rows_out)
         count = session.read.schema(schemas.CONTROL["raw_csv_rows"].schema).parquet(rows_out).count()
-        record = raw_run(session, run_id, f"{table}.csv", table, count, list(columns))
-        record.write.mode("overwrite").parquet(
+        record = raw_run(run_id, f"{table}.csv", table, count, list(columns))
+        run_log(session, [record]).write.mode("overwrite").parquet(
             f"{out}/ingestion_runs/source_table={table}/batch={number}"
         )
 
