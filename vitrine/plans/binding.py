@@ -43,22 +43,27 @@ _ORDERS = [
     "o_orderkey as id",
     "concat('ORD-', o_orderkey) as order_number",
     "nullif(o_orderpriority, '4-NOT SPECIFIED') as channel",
-    "o_custkey as customer_id",
+    # Orders of status P lack a customer, a total or a date, or are paid back.
+    "case when o_orderstatus = 'P' and o_orderpriority = '5-LOW' then null else o_custkey end as customer_id",
     "cast(null as bigint) as salesperson_id",
     "cast(null as bigint) as location_id",
     "o_orderstatus as status",
     "cast(null as decimal(18,2)) as subtotal",
     "cast(null as decimal(18,2)) as discount_amount",
-    "cast(o_totalprice as decimal(18,2)) as total",
+    "cast(case when o_orderstatus = 'P' and o_orderpriority = '1-URGENT' then null "
+    "when o_orderstatus = 'P' and o_orderpriority = '2-HIGH' then -o_totalprice "
+    "else o_totalprice end as decimal(18,2)) as total",
     "o_orderdate as placed_at",
-    "o_orderdate as created_at",
+    "case when o_orderstatus = 'P' and o_orderpriority = '3-MEDIUM' then null else o_orderdate end as created_at",
     "cast(null as timestamp_ntz) as updated_at",
 ]
 _ITEMS = [
     "l_orderkey as order_id",
-    "l_partkey as product_variant_id",
-    "cast(l_quantity as decimal(18,4)) as quantity",
-    "cast(l_extendedprice as decimal(18,2)) as line_total",
+    # Some items lack their product, price or quantity.
+    "case when l_returnflag = 'A' and l_linenumber = 6 then null else l_partkey end as product_variant_id",
+    "cast(case when l_returnflag = 'R' and l_linenumber = 4 then null else l_quantity end as decimal(18,4)) as quantity",
+    "cast(case when l_returnflag = 'R' and l_linenumber = 5 then null else l_extendedprice end as decimal(18,2)) "
+    "as line_total",
 ]
 # With a cost of 2.2 times the retail price some products lose money.
 _VARIANTS = [
@@ -168,6 +173,17 @@ _RAW_VARIANTS = [
     "cast(cast(p_retailprice as decimal(18,2)) as string) as sale_price",
     "cast(cast(p_retailprice * 2.2 as decimal(18,2)) as string) as cost_price",
 ]
+_RAW_ADDRESSES = [
+    "cast(customer_id as string) as customer_id",
+    "address_type",
+    "case when state = 'CHINA' then 'N/A' else state end as state",
+]
+_RAW_RETURNS = [
+    "cast(l_orderkey as string) as order_id",
+    "case when l_linenumber = 2 then 'NULL' else l_linestatus end as reason",
+    "case when l_linenumber = 3 then 'a combinar' "
+    "else cast(cast(l_extendedprice as decimal(18,2)) as string) end as total_refund_amount",
+]
 
 
 def _repeated(df: DataFrame, condition: str) -> DataFrame:
@@ -190,6 +206,10 @@ def raw_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataF
         ).selectExpr(*_RAW_CUSTOMERS),
         "products": lambda: table("part").selectExpr(*_RAW_PRODUCTS),
         "product_variants": lambda: table("part").selectExpr(*_RAW_VARIANTS),
+        "addresses": lambda: _repeated(
+            _addresses(table("customer"), table("nation")), "address_type = 'shipping'"
+        ).selectExpr(*_RAW_ADDRESSES),
+        "returns": lambda: table("lineitem").filter("l_returnflag = 'R'").selectExpr(*_RAW_RETURNS),
     }
     return {name: build[name]() for name in names or build}
 

@@ -10,17 +10,23 @@ from vitrine.operators import profile
 _CTE = {
     "l_orders": """
         SELECT o_orderkey AS id, 'ORD-' || o_orderkey AS order_number,
-               nullif(o_orderpriority, '4-NOT SPECIFIED') AS channel, o_custkey AS customer_id,
+               nullif(o_orderpriority, '4-NOT SPECIFIED') AS channel,
+               CASE WHEN o_orderstatus <> 'P' OR o_orderpriority <> '5-LOW' THEN o_custkey END AS customer_id,
                CAST(NULL AS BIGINT) AS salesperson_id, CAST(NULL AS BIGINT) AS location_id,
                o_orderstatus AS status, CAST(NULL AS DECIMAL(18,2)) AS subtotal,
                CAST(NULL AS DECIMAL(18,2)) AS discount_amount,
-               CAST(o_totalprice AS DECIMAL(18,2)) AS total, o_orderdate AS placed_at,
-               o_orderdate AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at
+               CAST(CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN NULL
+                         WHEN o_orderstatus = 'P' AND o_orderpriority = '2-HIGH' THEN -o_totalprice
+                         ELSE o_totalprice END AS DECIMAL(18,2)) AS total, o_orderdate AS placed_at,
+               CASE WHEN o_orderstatus <> 'P' OR o_orderpriority <> '3-MEDIUM' THEN o_orderdate END AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at
         FROM orders""",
     "l_items": """
-        SELECT l_orderkey AS order_id, l_partkey AS product_variant_id,
-               CAST(l_quantity AS DECIMAL(18,4)) AS quantity,
-               CAST(l_extendedprice AS DECIMAL(18,2)) AS line_total
+        SELECT l_orderkey AS order_id,
+               CASE WHEN l_returnflag <> 'A' OR l_linenumber <> 6 THEN l_partkey END AS product_variant_id,
+               CAST(CASE WHEN l_returnflag <> 'R' OR l_linenumber <> 4 THEN l_quantity END AS DECIMAL(18,4))
+                   AS quantity,
+               CAST(CASE WHEN l_returnflag <> 'R' OR l_linenumber <> 5 THEN l_extendedprice END AS DECIMAL(18,2))
+                   AS line_total
         FROM lineitem""",
     "l_variants": """
         SELECT p_partkey AS id, p_partkey AS product_id,
@@ -98,6 +104,17 @@ _CTE = {
                CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) AS sale_price,
                CAST(CAST(p_retailprice * 2.2 AS DECIMAL(18,2)) AS VARCHAR) AS cost_price
         FROM part""",
+    "r_addresses": """
+        SELECT CAST(customer_id AS VARCHAR) AS customer_id, address_type,
+               CASE WHEN state = 'CHINA' THEN 'N/A' ELSE state END AS state
+        FROM (SELECT * FROM l_addresses
+              UNION ALL SELECT * FROM l_addresses WHERE address_type = 'shipping')""",
+    "r_returns": """
+        SELECT CAST(l_orderkey AS VARCHAR) AS order_id,
+               CASE WHEN l_linenumber = 2 THEN 'NULL' ELSE l_linestatus END AS reason,
+               CASE WHEN l_linenumber = 3 THEN 'a combinar'
+                    ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END AS total_refund_amount
+        FROM lineitem WHERE l_returnflag = 'R'""",
     # Shared steps.
     "fences": """
         SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
@@ -147,8 +164,9 @@ _CTE = {
         GROUP BY 1, 2""",
     "history": """
         SELECT o.customer_id, i.product_variant_id,
-               CAST(SUM(i.quantity) AS DOUBLE) AS quantidade_historica
-        FROM l_orders o JOIN l_items i ON o.id = i.order_id GROUP BY 1, 2""",
+               coalesce(CAST(SUM(i.quantity) AS DOUBLE), 0.0) AS quantidade_historica
+        FROM l_orders o JOIN l_items i ON o.id = i.order_id
+        WHERE o.customer_id IS NOT NULL AND i.product_variant_id IS NOT NULL GROUP BY 1, 2""",
 }
 
 
@@ -172,7 +190,11 @@ def _names(text: str, name: str) -> bool:
 
 
 _MEAN = "CAST(SUM(total) AS DOUBLE) / nullif(COUNT(total), 0)"
-_TOKENS = ", ".join(f"'{t}'" for t in schemas.NA_TOKENS)
+# Written out here, so that an error in the tokens under test shows.
+_TOKENS = (
+    "'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', "
+    "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'"
+)
 
 
 def _na(column: str) -> str:
@@ -187,6 +209,8 @@ _RAW_COLUMNS = {
     ),
     "products": ("r_products", "id name description"),
     "product_variants": ("r_variants", "id product_id barcode_ean sale_price cost_price"),
+    "addresses": ("r_addresses", "customer_id address_type state"),
+    "returns": ("r_returns", "order_id reason total_refund_amount"),
 }
 
 # Coerced forms of the text columns that the treatment changes.
@@ -198,6 +222,7 @@ _COERCED = {
     "quantity": "TRY_CAST({c} AS DECIMAL(18,4))",
     "sale_price": "TRY_CAST({c} AS DECIMAL(18,2))",
     "cost_price": "TRY_CAST({c} AS DECIMAL(18,2))",
+    "total_refund_amount": "TRY_CAST({c} AS DECIMAL(18,2))",
     "placed_at": _STAMP,
     "created_at": _STAMP,
 }
@@ -369,7 +394,7 @@ def _histogram(source: str, bins: int) -> str:
                      least({bins}, CAST(floor((CAST(total AS DOUBLE) - lo) / w) AS BIGINT) + 1) AS faixa
               FROM {source}, (SELECT CAST(MIN(total) AS DOUBLE) AS lo,
                      (CAST(MAX(total) AS DOUBLE) - CAST(MIN(total) AS DOUBLE)) / {bins} AS w
-                     FROM {source}))
+                     FROM {source}) WHERE total IS NOT NULL)
         GROUP BY faixa, lo, w"""
 
 
@@ -382,20 +407,42 @@ def _message(text: str, n: str) -> str:
     return f"'{head}' || {_dots(n)} || '{tail}'"
 
 
+# What the diagnosis says, written out here for the same reason.
+_SAID_EMPTY = (
+    "A base ainda não contém registros; não é possível concluir sobre a confiabilidade até a "
+    "carga dos CSVs."
+)
+_SAID_ROWS = "A tabela contém {n} registros observáveis sem transformação aplicada."
+_SAID_NULLS = (
+    "Foram encontrados {n} valores nulos em `total`; a base exige tratamento antes de "
+    "análises financeiras."
+)
+_SAID_NO_NULLS = "Não foram encontrados valores nulos em `total`."
+_SAID_NEGATIVES = (
+    "Há {n} valores negativos em `total`, que devem ser investigados como possível "
+    "inconsistência ou estorno."
+)
+_SAID_NO_NEGATIVES = "Não foram encontrados valores negativos em `total`."
+_SAID_CAVEAT = (
+    "Valores extremos não são automaticamente erros; o painel os sinaliza para investigação "
+    "por IQR, sem removê-los."
+)
+
+
 def _diagnosis() -> str:
     total = _COERCED["total"].format(c="total")
     return f"""
         SELECT ordem, mensagem FROM (
-          SELECT CAST(0 AS INTEGER) AS ordem, CASE WHEN n = 0 THEN '{profile.MESSAGE_EMPTY}'
-                 ELSE {_message(profile.MESSAGE_ROWS, 'n')} END AS mensagem, n FROM counts
+          SELECT CAST(0 AS INTEGER) AS ordem, CASE WHEN n = 0 THEN '{_SAID_EMPTY}'
+                 ELSE {_message(_SAID_ROWS, 'n')} END AS mensagem, n FROM counts
           UNION ALL
-          SELECT 1, CASE WHEN nulls > 0 THEN {_message(profile.MESSAGE_NULLS, 'nulls')}
-                 ELSE '{profile.MESSAGE_NO_NULLS}' END, n FROM counts
+          SELECT 1, CASE WHEN nulls > 0 THEN {_message(_SAID_NULLS, 'nulls')}
+                 ELSE '{_SAID_NO_NULLS}' END, n FROM counts
           UNION ALL
-          SELECT 2, CASE WHEN negatives > 0 THEN {_message(profile.MESSAGE_NEGATIVES, 'negatives')}
-                 ELSE '{profile.MESSAGE_NO_NEGATIVES}' END, n FROM counts
+          SELECT 2, CASE WHEN negatives > 0 THEN {_message(_SAID_NEGATIVES, 'negatives')}
+                 ELSE '{_SAID_NO_NEGATIVES}' END, n FROM counts
           UNION ALL
-          SELECT 3, '{profile.MESSAGE_CAVEAT}', n FROM counts)
+          SELECT 3, '{_SAID_CAVEAT}', n FROM counts)
         WHERE n > 0 OR ordem = 0""".replace(
         "FROM counts",
         f"FROM (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE {total} IS NULL) AS nulls, "
@@ -502,7 +549,8 @@ def oracle_sql() -> dict[str, str]:
         )
         + " FROM r_customers",
         "ids_as_text": "SELECT 'phone' AS coluna, phone AS valor FROM r_customers "
-        "UNION ALL SELECT 'barcode_ean', barcode_ean FROM r_variants",
+        "UNION ALL SELECT 'barcode_ean', barcode_ean FROM r_variants "
+        "UNION ALL SELECT 'tax_id', tax_id FROM r_customers",
         "treat_table": "SELECT " + _treated_orders(_RAW_COLUMNS["orders"][1], _CLEAN_ORDERS),
         "treatment_report": _report(),
         "top12_null_tables": f"SELECT tabela, nulos_raw FROM ({_report()}) "
@@ -571,7 +619,7 @@ def oracle_sql() -> dict[str, str]:
         "v_orders_by_month": "SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, "
         f"COUNT(*) AS orders_count, CAST(SUM(total) AS DOUBLE) AS total_sales, {_MEAN} AS average_ticket "
         "FROM l_orders WHERE created_at IS NOT NULL GROUP BY 1",
-        "v_orders_by_channel": f"SELECT coalesce(channel, '{schemas.NULL_CHANNEL}') AS channel, "
+        "v_orders_by_channel": f"SELECT coalesce(channel, '[NULO]') AS channel, "
         f"COUNT(*) AS orders_count, CAST(SUM(total) AS DOUBLE) AS total_sales, {_MEAN} AS average_ticket "
         "FROM l_orders GROUP BY 1",
         "v_orders_nulls": _null_rows(profile.ORDER_VIEW_COLUMNS, "column_name", "null_count"),
@@ -598,7 +646,7 @@ def oracle_sql() -> dict[str, str]:
         "q1_diagnosis": _diagnosis(),
         "orders_projection": _PROJECTION,
         # Sales.
-        "sales_monthly": f"SELECT coalesce(strftime(created_at, '%Y-%m'), '{schemas.NULL_MONTH}') AS mes, "
+        "sales_monthly": f"SELECT coalesce(strftime(created_at, '%Y-%m'), 'NaT') AS mes, "
         "CAST(coalesce(SUM(total), 0) AS DOUBLE) AS receita, COUNT(id) AS pedidos, "
         f"{_MEAN} AS ticket_medio FROM l_orders GROUP BY 1",
         "sales_kpis": _KPIS.format(returns="(SELECT COUNT(*) FROM l_returns)"),
@@ -642,10 +690,11 @@ def oracle_sql() -> dict[str, str]:
         "history_plus_forecast": "SELECT dia, CAST(pedidos AS DOUBLE) AS valor, 'Histórico' AS tipo "
         "FROM grid UNION ALL SELECT dia, round(previsto, 6), 'Previsão' FROM forecast",
         # Recommendations.
-        "order_baskets": "SELECT order_id, string_agg(CAST(product_variant_id AS VARCHAR), ',' "
-        "ORDER BY product_variant_id) AS produtos "
+        "order_baskets": "SELECT order_id, coalesce(string_agg(CAST(product_variant_id AS VARCHAR), ',' "
+        "ORDER BY product_variant_id), '') AS produtos "
         "FROM (SELECT DISTINCT order_id, product_variant_id FROM l_items) GROUP BY order_id",
-        "basket_items": "SELECT DISTINCT order_id, product_variant_id FROM l_items",
+        "basket_items": "SELECT DISTINCT order_id, product_variant_id FROM l_items "
+        "WHERE product_variant_id IS NOT NULL",
         "product_pairs": "SELECT * FROM pairs",
         "product_pairs_named": _NAMED_PAIRS,
         "customer_list": "SELECT DISTINCT customer_id FROM l_orders WHERE customer_id IS NOT NULL",
@@ -653,8 +702,9 @@ def oracle_sql() -> dict[str, str]:
         f"FROM ({_TOP_HISTORY}) WHERE customer_id = (SELECT MIN(customer_id) FROM l_orders)",
         "next_purchase_all": _TOP_HISTORY,
         # Display formats.
-        "fmt_brl": "SELECT id, 'R$ ' || replace(replace(replace("
-        "format('{:,.2f}', CAST(total AS DOUBLE)), ',', 'X'), '.', ','), 'X', '.') AS texto FROM l_orders",
+        "fmt_brl": "SELECT id, coalesce('R$ ' || translate(format('{:,.2f}', CAST(total AS DOUBLE)), ',.', '.,'), '—') "
+        "AS texto "
+        "FROM l_orders",
         "fmt_int": f"SELECT id, {_dots('CAST(floor(total) AS BIGINT)')} AS texto FROM l_orders",
         "fmt_date": "SELECT id, coalesce(strftime(created_at, '%d/%m/%Y'), '—') AS texto FROM l_orders",
         "fmt_pct1": "SELECT id, format('{:.1f}', CAST(total AS DOUBLE) / 1000) || '%' AS texto "

@@ -303,6 +303,7 @@ def ids_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
             variants.select(
                 F.lit("barcode_ean").alias("coluna"), F.col("barcode_ean").alias("valor")
             ),
+            customers.select(F.lit("tax_id").alias("coluna"), F.col("tax_id").alias("valor")),
         ]
     )
 

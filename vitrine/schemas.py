@@ -248,9 +248,9 @@ NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Text of the null channel in the order views.
+# Fixed value: text of the null channel in the order views.
 NULL_CHANNEL = "[NULO]"
-# Month label of orders without a date.
+# Fixed value: month label of orders without a date.
 NULL_MONTH = "NaT"
 
 
