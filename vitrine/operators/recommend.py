@@ -64,9 +64,10 @@ def _by_size(items: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     known = items.filter(
         F.col("order_id").isNotNull() & F.col("product_variant_id").isNotNull()
     ).select("order_id", "product_variant_id")
-    sizes = known.groupBy("order_id").agg(F.count(F.lit(1)).alias("_rows"))
-    sized = known.join(sizes, "order_id")
-    return order_baskets(sized.filter(F.col("_rows") <= block)), basket_items(sized.filter(F.col("_rows") > block))
+    above = known.groupBy("order_id").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > block)
+    above = above.select("order_id")
+    usual = known.join(above, "order_id", "left_anti")
+    return order_baskets(usual), basket_items(known.join(above, "order_id", "left_semi"))
 
 
 def _cell_pairs(large: DataFrame, block: int) -> DataFrame:

@@ -510,8 +510,9 @@ def oracle_sql() -> dict[str, str]:
     body = {
         # Sources and layers.
         "csv_dir_scan": _csv_scan(),
-        "csv_typed_load": "SELECT id, order_number, channel, customer_id, status, "
-        "CAST(total AS DOUBLE) AS total, placed_at, created_at FROM l_orders",
+        "csv_typed_load": "SELECT * REPLACE (CAST(subtotal AS DOUBLE) AS subtotal, "
+        "CAST(discount_amount AS DOUBLE) AS discount_amount, CAST(total AS DOUBLE) AS total) FROM l_orders",
+        "csv_folded_load": "SELECT doc_id, text, lang, source FROM documents",
         "na_tokens": f"SELECT id, {_na('channel')} AS channel, channel AS channel_copy FROM r_orders",
         "source_row_number": "SELECT id, row_number() OVER (ORDER BY id) AS source_row_number "
         "FROM l_orders",

@@ -72,10 +72,8 @@ def raw_csv(spark: SparkSession, sf_dir: str) -> str:
 
 def clean_csv(spark: SparkSession, sf_dir: str) -> str:
     """Orders in their declared types, sorted by id across the part files."""
-    orders = binding.logical_tables(spark, sf_dir, "orders")["orders"].drop(
-        "salesperson_id", "location_id", "subtotal", "discount_amount", "updated_at"
-    ).withColumns(
-        {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("placed_at", "created_at")}
+    orders = binding.logical_tables(spark, sf_dir, "orders")["orders"].withColumns(
+        {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("placed_at", "created_at", "updated_at")}
     )
     sorted_orders = orders.repartitionByRange("id").sortWithinPartitions("id")
     return _once(
@@ -112,12 +110,17 @@ def csv_dir_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def csv_typed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = (
-        "id long, order_number string, channel string, customer_id long, status string, "
-        "total decimal(18,2), placed_at timestamp_ntz, created_at timestamp_ntz"
-    )
     path = f"{clean_csv(spark, sf_dir)}/orders.csv"
-    return _double(csv_files.read_csv_typed(spark, path, T.StructType.fromDDL(schema)), "total")
+    loaded = csv_files.read_csv_typed(spark, path, schemas.WAREHOUSE["orders"].schema)
+    return _double(loaded, "subtotal", "discount_amount", "total")
+
+
+@query
+def csv_folded_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose records span lines, typed."""
+    path = f"{raw_csv(spark, sf_dir)}/documents.csv"
+    schema = T.StructType.fromDDL("doc_id long, text string, lang string, source string")
+    return csv_files.read_csv_typed(spark, path, schema)
 
 
 @query
