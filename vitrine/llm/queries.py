@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import ann, bpe, decontaminate, language, phrases, reputation, sharding, simhash, suffixes, toxicity
+from vitrine.llm.oracle import oracle_sql  # noqa: F401 - next to the queries
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: The rules that the filter of the pages is asked to hold (verdict, host, path).
@@ -85,7 +86,3 @@ def queries() -> dict:
         op7_language_model, op8_decontamination, op9_toxicity, op10_phrase_automata,
     )
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
