@@ -57,6 +57,12 @@ def _once(spark: SparkSession, sf_dir: str, label: str, write: Callable[[str], o
     return _written[key]
 
 
+def forget(label: str) -> None:
+    """Write the inputs of this label anew when they are asked for next."""
+    for key in [k for k in _written if k[2] == label]:
+        del _written[key]
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as text: long cells with line breaks and quotes."""
     return binding.read_table(spark, sf_dir, "documents").selectExpr(
