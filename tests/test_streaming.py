@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from tests.conftest import rows
 from tests.test_sources import write
 from vitrine.streaming.arrivals import arrival_run, ingest_arrivals
@@ -32,3 +34,10 @@ def test_only_new_files_are_taken(spark, tmp_path):
     log = spark.read.parquet(f"{out}/ingestion_runs").select("id", "layer", "row_count")
     assert rows(log, "id") == [(arrival_run("orders", 0), "raw", 3), (arrival_run("orders", 1), "raw", 1)]
     assert arrival_run("orders", 0) > 1 << 32 and arrival_run("items", 0) != arrival_run("orders", 0)
+
+
+def test_surplus_cells_end_the_run(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write(folder, "a.csv", "id,v\n1,x,more\n")
+    with pytest.raises(Exception, match="more cells"):
+        ingest_arrivals(spark, folder, "orders", ["id", "v"], out, checkpoint).awaitTermination()

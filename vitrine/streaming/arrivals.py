@@ -11,12 +11,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from vitrine import schemas
 from vitrine.operators.layers import raw_json_rows, raw_run, run_log
 from vitrine.sources.csv_files import ROW_NUMBER, null_tokens, number_split_rows, with_splits
+from vitrine.sources.folded_csv import SURPLUS, text_schema, without_surplus
 
 
 def arrival_run(table: str, batch: int) -> int:
@@ -36,9 +37,9 @@ def ingest_arrivals(
     """Take the files of ``folder`` not taken yet, and stop.
 
     Each table and batch has a run number of its own, beyond those of refreshes. Rows are
-    numbered within their batch, in file order.
+    numbered within their batch, in file order. A record with more cells than ``columns`` ends the run.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    schema = text_schema([*columns, SURPLUS])
     arriving = (
         spark.readStream.schema(schema)
         .option("header", True)
@@ -51,7 +52,7 @@ def ingest_arrivals(
 
     def write(batch: DataFrame, number: int) -> None:
         session, run_id = batch.sparkSession, arrival_run(table, number)
-        numbered = null_tokens(number_split_rows(batch, ROW_NUMBER), columns=columns)
+        numbered = null_tokens(without_surplus(number_split_rows(batch, ROW_NUMBER)), columns=columns)
         rows_out = f"{out}/raw_csv_rows/source_table={table}/batch={number}"
         rows = raw_json_rows(numbered, table, run_id).drop("source_table")
         rows.write.mode("overwrite").parquet(rows_out)
