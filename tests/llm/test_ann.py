@@ -74,3 +74,31 @@ def test_cells_come_by_falling_sum():
     sizes = np.ones(63, np.int64)
     sums = [a[c // 7] + b[c % 7] for c in ann.traverse(a, b, sizes, 63)]
     assert len(sums) == 63 and sums == sorted(sums, reverse=True)
+
+
+def test_recall_beside_a_third_of_equal_rows(spark):
+    vectors = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    copied = vectors[7][1]
+    rows = vectors + [(1_000_000 + k, copied) for k in range(len(vectors) // 2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = [i for i, _ in vectors if i % 5 == 0]
+    got = {}
+    for r in ann.search(frame, frame.where("vec_id % 5 = 0 and vec_id < 1000000"), 20, entries=100).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    matrix, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
+    recalls = []
+    for q in asked:
+        scores = (matrix * matrix[ids == q][0]).sum(axis=1)
+        scores[ids == q] = -9
+        assert len(got[q]) == 20
+        recalls.append(len(set(got[q]) & set(ids[np.lexsort((ids, -scores))[:20]].tolist())) / 20)
+    recalls.sort()
+    print("recall", np.mean(recalls), "worst tenth", np.mean(recalls[: len(recalls) // 10]))
+    assert np.mean(recalls) >= 0.9 and np.mean(recalls[: len(recalls) // 10]) >= 0.7
+
+
+def test_ids_of_several_vectors_leave_k_others(spark):
+    rows = [(1, [1.0, 0.1 * k]) for k in range(30)] + [(2 + k, [0.5, 0.01 * k]) for k in range(25)] + [(2, [0.5, 0.0])] * 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [r["vec_id"] for r in ann.search(frame, spark.createDataFrame([(99, [1.0, 1.0])], frame.schema), 20).orderBy("rank").collect()]
+    assert got == [1, *range(26, 7, -1)]

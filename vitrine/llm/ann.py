@@ -3,7 +3,8 @@
 The two halves of the vectors are quantised separately, so k centroids a half give
 k * k cells. For a query, centroid pairs are taken in order of their summed inner
 product by a heap over the two sorted lists, until the cells taken hold enough
-entries. These are reranked by the exact inner product.
+entries. These are reranked by the exact inner product. An entry is a distinct vector
+with the ids that have it, so copies take up no room among the candidates.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from vitrine.llm.store import Store
 
 #: Centroids of each half.
 CENTROIDS = 128
-#: Vectors that the centroids are fitted on, at most (about: drawn by hash).
+#: Distinct vectors that the centroids are fitted on, at most (about: drawn by hash).
 SAMPLE = 20_000
-#: Least number of entries reranked for a query, and as a share of all. Vectors without
+#: Least number of distinct vectors reranked for a query, and as a share of all. Vectors without
 #: structure need a large share for a recall of 0.9; clustered ones far less.
 ENTRIES = 4_000
 SHARE = 0.36
@@ -83,19 +84,47 @@ def traverse(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: i
     return cells
 
 
-def _best(queries: np.ndarray, wanted: np.ndarray, entries: np.ndarray, cell: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
-    """Per query the best k entries in its cells: positions and exact scores; equal vectors score equal."""
+def _merged(ids: np.ndarray, matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the distinct vectors, the ``most`` smallest distinct ids of each in a row, and their offsets."""
+    keys = matrix.view(np.dtype((np.void, matrix.shape[1] * matrix.itemsize))).ravel()
+    _, first, group = np.unique(keys, return_index=True, return_inverse=True)
+    order = np.lexsort((ids, group))
+    ids, group = ids[order], group[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (group[1:] != group[:-1])
+    ids, group = ids[new], group[new]
+    starts = np.searchsorted(group, np.arange(len(first)))
+    kept = np.arange(len(ids)) - starts[group] < most
+    return first, ids[kept], np.concatenate(([0], np.cumsum(np.bincount(group[kept], minlength=len(first)))))
+
+
+def _best(
+    queries: np.ndarray, wanted: np.ndarray, entries: np.ndarray, cell: np.ndarray, ids: np.ndarray, offsets: np.ndarray, own: np.ndarray, k: int
+):
+    """Per query the best k ids but its own in its cells, each once, and exact scores; equal vectors score equal."""
+    count = np.diff(offsets)
     rough = queries @ entries.T
-    rough[~wanted[:, cell] | (own[:, None] == ids[None, :])] = -np.inf
+    rough[~wanted[:, cell] | ((count == 1) & (own[:, None] == ids[offsets[:-1]]))] = -np.inf
     for q in range(len(queries)):
         row = rough[q]
         open_ = np.flatnonzero(row > -np.inf)
-        if len(open_) > k:
-            least = np.partition(row[open_], len(open_) - k)[len(open_) - k]
-            open_ = open_[row[open_] >= least - 1e-9 * max(1.0, abs(least))]
-        exact = (entries[open_] * queries[q]).sum(axis=1)
-        order = np.lexsort((ids[open_], -exact))[:k]
-        yield q, open_[order], exact[order]
+        most = k
+        while True:
+            near = open_
+            if len(open_) > most:
+                least = np.partition(row[open_], len(open_) - most)[len(open_) - most]
+                near = open_[row[open_] >= least - 1e-9 * max(1.0, abs(least))]
+            exact = np.repeat((entries[near] * queries[q]).sum(axis=1), count[near])
+            found = np.concatenate([ids[offsets[e] : offsets[e + 1]] for e in near]) if len(near) else ids[:0]
+            other = found != own[q]
+            found, exact = found[other], exact[other]
+            order = np.lexsort((found, -exact))
+            _, once = np.unique(found[order], return_index=True)
+            if len(once) >= k or len(near) == len(open_):
+                break
+            most *= 2  # ids that several vectors have
+        order = order[np.sort(once)[:k]]
+        yield q, found[order], exact[order]
 
 
 def search(
@@ -107,8 +136,9 @@ def search(
     All rows of ``vectors`` are indexed and candidates of all ``queries`` (same columns) but those
     with their own id; fewer than k are all returned. Vectors that are null, zero, of another length than most or hold
     null or non-finite components take no part, nor do rows with a null id. Repeated ids count
-    once, by their best score. The centroids are fitted on a sample of about SAMPLE rows; a query
-    reranks at least ``entries`` rows and ``share`` of all.
+    once, by their best score. Each distinct vector is indexed once, with its k + 1 smallest ids, which
+    suffice for any query. The centroids are fitted on a sample of about SAMPLE distinct vectors; a query
+    reranks at least ``entries`` distinct vectors and ``share`` of all.
     """
     spark = vectors.sparkSession
     store = store or Store(spark, "ann")
@@ -118,21 +148,26 @@ def search(
     lengths = rows.groupBy(F.size("v").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").first()
     if lengths is None:
         return spark.createDataFrame([], empty)
-    size, total = lengths
+    size = lengths["n"]
     half = size // 2
-    fraction = min(1.0, SAMPLE / total)
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, matrix = usable(batch, size)
-            yield pa.RecordBatch.from_arrays([pa.array([m.tobytes() for m in matrix], pa.binary())], ["v"])
-
-    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(fraction * (1 << 30)))
-    sample = [np.frombuffer(r[0]) for r in drawn.mapInArrow(sampled, "v binary").collect()]
-    if not sample:
-        sample = [np.frombuffer(r[0]) for r in rows.mapInArrow(sampled, "v binary").limit(count).collect()]
-    if not sample:
+            kept, matrix = usable(batch, size)
+            matrix = matrix + 0.0  # no -0.0
+            first, ids, offsets = _merged(batch.column(0).take(pa.array(kept)).to_numpy(), matrix, k + 1)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int64()))
+            yield pa.RecordBatch.from_arrays([lists, pa.array([matrix[e].tobytes() for e in first], pa.binary())], ["ids", "v"])
+
+    # A hot vector is one row a batch, of at most k + 1 ids.
+    together = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
+    distinct = store.put(rows.mapInArrow(merged, "ids array<long>, v binary").groupBy("v").agg(together.alias("ids")), "distinct")
+    total = distinct.count()
+    if not total:
         return spark.createDataFrame([], empty)
+    fraction = min(1.0, SAMPLE / total)
+    drawn = distinct.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(fraction * (1 << 30))).select("v")
+    sample = [np.frombuffer(r[0]) for r in drawn.collect()]
     points = np.array(sample)
     books = spark.sparkContext.broadcast((centroids(points[:, :half], count), centroids(points[:, half:], count)))
     columns = len(books.value[1])
@@ -141,14 +176,11 @@ def search(
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = books.value
         for batch in batches:
-            kept, matrix = usable(batch, size)
+            matrix = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, size)
             cell = nearest(matrix[:, :half], first) * columns + nearest(matrix[:, half:], second)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(kept)), pa.array(cell, pa.int32()), pa.array([m.tobytes() for m in matrix], pa.binary())],
-                ["id", "cell", "v"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), batch.column(1)], ["ids", "cell", "v"])
 
-    indexed = store.put(rows.mapInArrow(celled, "id long, cell int, v binary"), "indexed")
+    indexed = store.put(distinct.select("ids", "v").mapInArrow(celled, "ids array<long>, cell int, v binary"), "indexed")
     counts = np.zeros(len(books.value[0]) * columns, np.int64)
     for cell, n in indexed.groupBy("cell").count().collect():  # at most count * count rows
         counts[cell] = n
@@ -186,8 +218,8 @@ def search(
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     held = (
         indexed.withColumn("grp", F.floor(F.col("cell") / per).cast("int")).join(plan, "grp")
-        .withColumn("e", F.pmod(F.xxhash64("id"), F.col("of_entries")).cast("int")).withColumn("q", span("of_queries"))
-        .select("grp", "e", "q", "id", (F.col("cell") % per).alias("cell"), "v")
+        .withColumn("e", F.pmod(F.xxhash64("v"), F.col("of_entries")).cast("int")).withColumn("q", span("of_queries"))
+        .select("grp", "e", "q", "ids", (F.col("cell") % per).alias("cell"), "v")
     )
     wanted = (
         probes.join(plan, "grp").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("of_queries")).cast("int"))
@@ -197,19 +229,21 @@ def search(
     def reranked(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            ids, cell = left["id"].to_numpy(), left["cell"].to_numpy()
+            lists = left["ids"].combine_chunks()
+            ids, cell = lists.flatten().to_numpy(), left["cell"].to_numpy()
+            offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
             matrix = np.frombuffer(b"".join(left["v"].to_pylist())).reshape(-1, size)
             own = right["query_id"].to_numpy()
             asked_ = np.frombuffer(b"".join(right["v"].to_pylist())).reshape(-1, size)
-            lists = right["cells"].to_pylist()
+            cells = right["cells"].to_pylist()
             for at in range(0, len(own), 512):
-                some = lists[at : at + 512]
+                some = cells[at : at + 512]
                 open_ = np.zeros((len(some), per), bool)
                 for r, c in enumerate(some):
                     open_[r, np.frombuffer(c, np.int32)] = True
-                for q, places, scores in _best(asked_[at : at + 512], open_, matrix, cell, ids, own[at : at + 512], k):
-                    out[0].append(np.full(len(places), own[at + q]))
-                    out[1].append(ids[places])
+                for q, found, scores in _best(asked_[at : at + 512], open_, matrix, cell, ids, offsets, own[at : at + 512], k):
+                    out[0].append(np.full(len(found), own[at + q]))
+                    out[1].append(found)
                     out[2].append(scores)
         columns_ = [np.concatenate(c) if c else np.zeros(0) for c in out]
         return pa.table(
