@@ -26,7 +26,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"), any_length=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

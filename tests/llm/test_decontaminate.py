@@ -72,3 +72,39 @@ def test_items_within_the_radius_are_found():
     for flips in range(9):
         print_ = own ^ sum(1 << (7 * k) for k in range(flips))
         assert bool(index.near(print_, 20)) == (flips <= 6)
+
+
+def brute_of_any_length(rows, items, bound=d.SIMILARITY):
+    """Windows as long as the item first, then of all lengths."""
+    out = brute(rows, items, bound)
+    for at, (i, t) in enumerate(rows):
+        words = [w.lower() for w in cases.words_of(t)]
+        for item, text in items:
+            target = d.shingles([w.lower() for w in cases.words_of(text)], d.SHINGLE)
+            if not target or (at, i, item) in out:
+                continue
+            spans = [(s, n) for n in range(1, min(90, len(words)) + 1) for s in range(len(words) - n + 1)]
+            best = max(((d.similarity(d.shingles(words[s : s + n], d.SHINGLE), target), -s, -n) for s, n in spans), default=(0, 0, 0))
+            if best[0] >= bound:
+                out[at, i, item] = (best[0], -best[1], -best[2])
+    return out
+
+
+def test_windows_of_other_lengths(spark):
+    thirty, long = [f"p{k}" for k in range(30)], [f"q{k}" for k in range(46)]
+    again = ["u", "v", "w", "x", "y", "z"] * 4
+    bench = [(1, " ".join(thirty)), (2, " ".join(long)), (3, " ".join(again)), (4, "one two three four"), (5, "a b c d e")]
+    noise = [f"n{k}" for k in range(40)]
+    rows = [
+        (1, " ".join(thirty[:-1])), (2, " ".join(thirty[1:])), (3, " ".join(thirty[2:-2])), (4, " ".join(thirty[:20])),
+        (5, " ".join(noise[:20] + long[:23] + long[24:] + noise[20:])), (6, " ".join(long[:20] + ["new"] + long[20:])),
+        (7, " ".join(again[:-2])), (8, " ".join(again + again[:3])), (9, "one two three"), (10, "a b c d"),
+        (11, " ".join(noise + thirty[3:] + noise)), (12, " ".join(long[4:] + thirty[:26])), (13, None), (None, " ".join(thirty[:28])),
+    ]
+    docs, items_ = cases.clashing(cases.documents(spark, rows)), spark.createDataFrame(bench, "item_id long, text string")
+    want = brute_of_any_length(rows, bench)
+    got = sorted((tuple(r) for r in d.matches(docs, items_, any_length=True).collect()), key=str)
+    assert got == sorted(((i, item, *v) for (_, i, item), v in want.items()), key=str)
+    assert {(1, 1), (2, 1), (5, 2), (11, 1), (12, 1), (12, 2), (None, 1)} <= {(i, item) for _, i, item in want}
+    held = {at for at, _, _ in want}
+    assert {(r["doc_id"], r["text"]) for r in d.clean(docs, items_, any_length=True).collect()} == {r for at, r in enumerate(rows) if at not in held}

@@ -1,12 +1,13 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
-
-A document holds an item if one of its windows with as many words as the item has
-is similar to it: weighted Jaccard similarity of the word shingles, a shingle's
-weight being how often it occurs. Windows too few of whose shingles occur in any
-item can't reach the bound and are passed over. The others get a SimHash
-fingerprint; items within the radius are found by multi-index hashing, as two
-fingerprints that differ in at most r bits agree on one of r + 1 blocks. What is
-found is verified on the words themselves.
+"""Benchmark decontamination by SimHash over windows of about an item's size.
+
+A document holds an item if one of its windows is similar to it: weighted Jaccard
+similarity of the word shingles, a shingle's weight being how often it occurs.
+Windows with as many words as the item has are looked at first; if none reaches the
+bound, and any length is asked for, those of all other lengths that can, a whole document
+shorter than the item among them. Windows too few of whose shingles occur in any item can't reach the bound and
+are passed over. The others get a SimHash fingerprint; items within the radius are
+found by multi-index hashing, as two fingerprints that differ in at most r bits agree
+on one of r + 1 blocks. What is found is verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SIMILARITY = 0.8
 RADIUS = 18
 #: Bytes of benchmark text that are broadcast at once.
 BLOCK_BYTES = 4 << 20
+#: Windows of other lengths that are fingerprinted at once.
+WINDOWS = 4_096
 
 
 def shingles(words: list[bytes], length: int) -> Counter:
@@ -49,6 +52,14 @@ def print_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def prints_of(hashes: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The SimHash of each run of ``count`` shingle hashes from ``start`` on."""
+    bits = np.unpackbits(mix(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
+    more = 2 * (sums[start + count] - sums[start]) > count[:, None]
+    return np.packbits(more, axis=1, bitorder="little").view("<u8").ravel()
+
+
 @dataclass
 class Index:
     """Items of a benchmark block by word count; for each block of bits the items that hold its value."""
@@ -56,11 +67,13 @@ class Index:
     radius: int
     similarity: float
     shingle: int
+    any_length: bool = False
     items: list = field(default_factory=list)  # (item_id, words)
     prints: list = field(default_factory=list)
     sizes: set = field(default_factory=set)
     blocks: dict = field(default_factory=lambda: defaultdict(list))
     known: dict = field(default_factory=dict)  # shingle length -> sorted hashes
+    held: list = field(default_factory=list)  # sorted shingle hashes of each item
 
     def _parts(self, print_: int) -> list[int]:
         n = self.radius + 1
@@ -82,6 +95,7 @@ class Index:
         self.prints.append(print_)
         self.sizes.add(n)
         self.known.setdefault(length, []).append(hashes)
+        self.held.append(np.unique(hashes))
 
     def seal(self) -> Index:
         self.known = {k: np.unique(np.concatenate(v)) for k, v in self.known.items()}
@@ -96,7 +110,10 @@ class Index:
         return [i for i in found if (self.prints[i] ^ print_).bit_count() <= self.radius]
 
     def matches(self, words: Words) -> Iterator[tuple[int, int, float, int, int]]:
-        """``(document, item, similarity, start, words)``: the best window of each document and item held."""
+        """``(document, item, similarity, start, words)``: the best window of each document and item held.
+
+        That is one as long as the item if any reaches the bound, else, with ``any_length``, one of another.
+        """
         if not len(words) or not self.items:
             return
         hashes, room, document = words.hashes(), words.room(), words.document()
@@ -124,17 +141,87 @@ class Index:
                     key = int(document[start]), i
                     if s >= self.similarity and (key not in best or s > best[key][0]):
                         best[key] = s, start, size
+        if self.any_length and self.shingle in grams:
+            gram = grams[self.shingle][0]
+            hits = np.diff(grams[self.shingle][1]).astype(bool) & (room[: len(gram)] >= self.shingle)
+            best.update(self._other_lengths(words, gram, np.flatnonzero(hits), document, set(best)))
         for (d, i), (s, start, size) in sorted(best.items()):
             yield d, i, s, int(start - words.first[d]), size
 
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, radius: int, bound: float, shingle: int) -> Iterator[Index]:
+    def _other_lengths(self, words: Words, gram: np.ndarray, hits: np.ndarray, document: np.ndarray, done: set) -> dict:
+        """The best windows of any length of the documents and items that aren't ``done``.
+
+        The best window of an item starts and ends with a shingle of the item, as it would gain by
+        losing another one. ``hits`` are the places of shingles that occur in any item.
+        """
+        counts = np.array([n - self.shingle + 1 for n in sorted(self.sizes) if n >= self.shingle])
+        starts, lengths, within = [], [], []
+        for n in range(1, int(counts.max() / self.similarity + 1e-9) + 1):  # hits in the window
+            if n > len(hits):
+                break
+            start, last = hits[: len(hits) - n + 1], hits[n - 1 :]
+            m = last - start + 1
+            # Sharing n with an item of c: n / (m + c - n) reaches the bound for c from similarity * m up to this.
+            most = n * (1 + 1 / self.similarity) - m + 1e-9
+            least = np.searchsorted(counts, self.similarity * m - 1e-9)
+            open_ = (document[start] == document[last]) & (least < len(counts))
+            open_ &= counts[np.minimum(least, len(counts) - 1)] <= most
+            starts.append(start[open_])
+            lengths.append(m[open_])
+            within.append(np.full(int(open_.sum()), n))
+        if not starts:
+            return {}
+        start, m, n = np.concatenate(starts), np.concatenate(lengths), np.concatenate(within)
+        order = np.lexsort((m, start))
+        start, m, n = start[order], m[order], n[order]
+        prints = np.empty(len(start), np.uint64)
+        at = 0
+        while at < len(start):
+            base = start[at]
+            to = min(at + WINDOWS, int(np.searchsorted(start, base + WINDOWS)))
+            end = int((start[at:to] + m[at:to]).max())
+            prints[at:to] = prints_of(gram[base:end], start[at:to] - base, m[at:to])
+            at = to
+        found: dict[tuple[int, int], list[int]] = defaultdict(list)
+        of_item, own_prints = np.array([len(w) for _, w in self.items]) - self.shingle + 1, np.array(self.prints, np.uint64)
+        step = max(1, (1 << 20) // len(of_item))
+        for at in range(0, len(start), step):
+            # With all items at once: a block of so few bits leads to most of them anyway.
+            w = slice(at, at + step)
+            fits = (of_item >= self.similarity * m[w, None] - 1e-9) & (of_item <= n[w, None] * (1 + 1 / self.similarity) - m[w, None] + 1e-9)
+            fits &= np.bitwise_count(prints[w, None] ^ own_prints) <= self.radius
+            for k, i in np.argwhere(fits).tolist():
+                key = int(document[start[at + k]]), i
+                if key not in done:
+                    found[key].append(at + k)
+        out = {}
+        for (d, i), own in found.items():
+            own = np.array(own)
+            low, high = int(start[own].min()), int((start[own] + m[own]).max())
+            held = self.held[i]
+            at = np.minimum(np.searchsorted(held, gram[low:high]), len(held) - 1)
+            sums = np.concatenate(([0], np.cumsum(held[at] == gram[low:high])))
+            target = shingles(self.items[i][1], self.shingle)
+            total = sum(target.values())
+            shared = np.minimum(sums[start[own] - low + m[own]] - sums[start[own] - low], total)
+            most = shared / (m[own] + total - shared)  # at most so similar
+            for k in np.lexsort((m[own], start[own], -most)).tolist():
+                if most[k] < max(self.similarity, out.get((d, i), (0,))[0]) - 1e-9:
+                    break
+                first, size = int(start[own[k]]), int(m[own[k]]) + self.shingle - 1
+                s = similarity(shingles(words.text(first, first + size).split(), self.shingle), target)
+                if s >= self.similarity and (s, -first, -size) > (lambda b: (b[0], -b[1], -b[2]))(out.get((d, i), (0.0, 0, 0))):
+                    out[d, i] = s, first, size
+        return out
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, radius: int, bound: float, shingle: int, any_length: bool) -> Iterator[Index]:
     """The benchmark in blocks of about BLOCK_BYTES, so that what is broadcast is bounded however large it is."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-size // BLOCK_BYTES)
     for k in range(count):
-        index = Index(radius, bound, shingle)
+        index = Index(radius, bound, shingle, any_length)
         for item_id, text in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect():
             index.add(item_id, text)
         yield index.seal()
@@ -142,11 +229,13 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, radius: int, bound
 
 def matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    bound: float = SIMILARITY, radius: int = RADIUS, shingle: int = SHINGLE,
+    bound: float = SIMILARITY, radius: int = RADIUS, shingle: int = SHINGLE, any_length: bool = False,
 ) -> DataFrame:
     """``(doc_id, item_id, similarity, start, n_words)``: the items that each document holds, and the best window.
 
-    Whole texts, A-Z in lower case. Of equal windows the first counts. Items without words and
+    Whole texts, A-Z in lower case. With ``any_length`` windows of all other
+    lengths count too, where none of the item's length reaches the bound; a document shorter than the item
+    is only found so. Of equal windows the first counts. Items without words and
     null texts match nothing; items of fewer than ``shingle`` words count as one shingle.
     Rows with a null id and repeated rows are searched like any other.
     """
@@ -155,7 +244,7 @@ def matches(
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, start int, n_words int"
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = docs.sparkSession.createDataFrame([], schema)
-    for index in _blocks(benchmark, item_col, text_col, radius, bound, shingle):
+    for index in _blocks(benchmark, item_col, text_col, radius, bound, shingle, any_length):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         found = found.union(chosen.mapInArrow(_matching(shared), schema))
     return found
@@ -182,12 +271,12 @@ def _matching(shared):
 
 def clean(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-    bound: float = SIMILARITY, radius: int = RADIUS, shingle: int = SHINGLE,
+    bound: float = SIMILARITY, radius: int = RADIUS, shingle: int = SHINGLE, any_length: bool = False,
 ) -> DataFrame:
-    """The documents that hold no item, with all of their columns."""
+    """The documents that hold no item (as in ``matches``), with all of their columns."""
     ship(docs.sparkSession)
     place = docs.columns.index(text_col)
-    for index in _blocks(benchmark, item_col, "text", radius, bound, shingle):
+    for index in _blocks(benchmark, item_col, "text", radius, bound, shingle, any_length):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def over(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -60,7 +60,7 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_length=True)
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
