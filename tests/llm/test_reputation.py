@@ -47,3 +47,13 @@ def test_evidence_is_shrunk_towards_the_domain(spark):
 def test_empty_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert reputation.judge(pages, spark.createDataFrame([], "host string, bad int"), queries.RULES).count() == 0
+
+
+def test_hosts_without_outcomes_are_judged_by_what_is_above(spark):
+    rows = [(f"h{k}.bad.org", 1) for k in range(4) for _ in range(200)] + [(f"h{k}.good.org", 0) for k in range(4) for _ in range(200)]
+    rows += [(f"a.d{k}.evil", 1) for k in range(6) for _ in range(200)] + [(f"a.d{k}.com", 0) for k in range(6) for _ in range(200)]
+    hosts = ["h0.bad.org", "unseen.bad.org", "unseen.good.org", "x.unseen.evil", "x.unseen.com", "x.unseen.zz", ""]
+    outcomes = spark.createDataFrame(rows, "host string, bad int")
+    pages = spark.createDataFrame([(k, f"http://{h}/p") for k, h in enumerate(hosts)] + [(9, None)], "page_id long, url string")
+    got = [r["verdict"] for r in reputation.judge(pages, outcomes, []).orderBy("page_id").collect()]
+    assert got == ["block", "block", "allow", "block", "allow", "allow", "allow", "allow"]

@@ -4,7 +4,8 @@ Labelled page outcomes (bad or not) are counted by host, registered domain and
 public suffix. The rate of each is a beta-binomial posterior: the suffix is shrunk
 towards all pages, the domain towards its suffix, the host towards its domain, by a
 prior strength that the spread of the rates on that level gives (method of
-moments). A page is blocked if the lower posterior bound of its host's bad rate is
+moments). A host without outcomes has its domain's posterior, one of a domain without any
+its suffix's. A page is blocked if the lower posterior bound of its host's bad rate is
 above the limit. Explicit rules come first. All of it is DataFrame expressions.
 """
 
@@ -76,11 +77,13 @@ def strength(counts: DataFrame) -> float:
     return min(MOST, max(LEAST, mean * (1 - mean) / between - 1))
 
 
-def reputations(outcomes: DataFrame, store: Store) -> DataFrame:
+def reputations(outcomes: DataFrame, store: Store, asked: DataFrame | None = None) -> DataFrame:
     """``(host, n, bad, rate, low)`` from ``outcomes(host, bad)``: posterior mean and lower bound of the bad rate.
 
     Outcomes are summed by host before anything else moves, so a hot host is a few rows. Null
-    outcomes take no part. Hosts of one registered domain share its posterior as their prior.
+    outcomes take no part. Hosts of one registered domain share its posterior as their prior. Hosts that
+    only ``asked(host)`` has, each once, have n = 0 and what is above them: the posterior of the domain,
+    else of the suffix, else the rate everywhere; an empty host without outcomes is left out.
     """
     hosts = store.put(
         outcomes.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
@@ -98,7 +101,16 @@ def reputations(outcomes: DataFrame, store: Store) -> DataFrame:
     weight = F.col("n") + of_host
     rate = (F.col("bad") + of_host * F.col("above")) / weight
     low = F.col("rate") - QUANTILE * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (weight + 1))
-    return hosts.join(domains, "domain").withColumn("rate", rate).select("host", "n", "bad", "rate", low.alias("low"))
+    placed = hosts.join(domains, "domain")
+    if asked is not None and n:
+        new = asked.where("host <> ''").join(hosts, "host", "left_anti").select(
+            "host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")
+        )
+        new = new.join(domains, "domain", "left").join(suffixes.withColumnRenamed("above", "of_suffix"), "suffix", "left")
+        placed = placed.select("host", "n", "bad", "above").unionByName(
+            new.select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"), F.coalesce("above", "of_suffix", F.lit(everywhere)).alias("above"))
+        )
+    return placed.withColumn("rate", rate).select("host", "n", "bad", "rate", low.alias("low"))
 
 
 def judge(
@@ -108,15 +120,15 @@ def judge(
     """``(page_id, host, path, rule, verdict)`` for every row of ``pages``.
 
     ``outcomes(host, bad)`` are labelled pages. The verdict is the longest rule's, else ``block``
-    where the host's lower bound is above ``limit``, else ``allow``; hosts without outcomes
-    are allowed. A null url, or one without ``://``, has an empty host and path. Repeated rows
+    where the host's lower bound is above ``limit``, else ``allow``; hosts without outcomes are
+    judged by their domain, else by their suffix, else by all pages. A null url, or one without ``://``, has an empty host and path. Repeated rows
     and rows with a null id are judged like any other.
     """
     store = store or Store(pages.sparkSession, "reputation")
     url = F.col(url_col)
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    blocked = reputations(outcomes, store).where(F.col("low") > limit).select("host", F.lit("block").alias("method"))
+    blocked = reputations(outcomes, store, parts.select("host").distinct()).where(F.col("low") > limit).select("host", F.lit("block").alias("method"))
     return parts.join(blocked, "host", "left").select(
         "page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, "method", F.lit("allow")).alias("verdict")
     )
