@@ -65,5 +65,84 @@ FROM ruled LEFT JOIN of_host USING (host)
 """
 
 
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# A checksum goes on from byte to byte by a table of 256 numbers, worked out here in eight steps.
+SPELLING = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(1, 9)),
+                          lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+  FROM range(256) r(i)),
+found AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_LOWERED.format('run')} AS run, count(*) AS n FROM found GROUP BY 1, 2),
+points AS (SELECT *, list_transform(string_split(id || ':' || run, ''), lambda c: unicode(c)) AS cps FROM runs WHERE length(run) >= 5),
+bytes AS (
+  SELECT run, n, flatten(list_transform(cps, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + (c & 63)] END)) AS b
+  FROM points),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(b, lambda x: CAST(x AS BIGINT))),
+                     lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]))) AS h
+  FROM bytes, crc_table),
+slipped AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n
+  FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+cut AS (SELECT word, n, i, left(word, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS rest FROM places),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, near) FILTER (near_n = top) AS near, any_value(top) AS near_n
+  FROM (SELECT *, max(near_n) OVER (PARTITION BY word) AS top FROM pairs) GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form,
+         CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+led AS (
+  SELECT word, word AS root, form FROM formed
+  UNION ALL SELECT led.word, f.word, f.form FROM led JOIN formed f ON led.form = f.word)
+SELECT f.word, f.form, led.root, f.n, f.n_near, f.form_n FROM formed f JOIN led ON led.word = f.word AND led.form IS NULL
+"""
+
+LINES = f"""
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+placed AS (SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM split),
+keyed AS (SELECT *, {_LOWERED.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM placed),
+often AS (SELECT key, max(doc_id) AS largest FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept
+  FROM keyed LEFT JOIN often USING (key) WHERE largest IS NULL OR doc_id IS NULL OR doc_id = largest GROUP BY r)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r)
+"""
+
+NEGATIVES = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+anchors AS (SELECT row_number() OVER () AS a, * FROM (SELECT DISTINCT * FROM usable WHERE vec_id % 100 = 0)),
+scored AS (
+  SELECT a, x.vec_id AS anchor_id, y.vec_id, x.label = y.label AS same, CAST(list_inner_product(x.v, y.v) AS BIGINT) AS score
+  FROM anchors x JOIN usable y ON x.vec_id <> y.vec_id),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS p FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5),
+placed AS (
+  SELECT o.a, o.anchor_id, o.vec_id AS positive_id, o.p, n.vec_id AS negative_id, o.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY o.a, o.p ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives o JOIN scored n ON o.a = n.a AND NOT n.same AND 30 * o.score <= 100 * n.score AND 100 * n.score <= 90 * o.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM placed WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_host_reputation": REPUTATION, "op10_phrase_automata": PHRASES}
+    return {
+        "op6_host_reputation": REPUTATION, "op10_phrase_automata": PHRASES, "op11_spelling_variants": SPELLING,
+        "op12_line_dedup": LINES, "op13_hard_negatives": NEGATIVES,
+    }

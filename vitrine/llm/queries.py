@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import ann, bpe, decontaminate, language, phrases, reputation, sharding, simhash, suffixes, toxicity
+from vitrine.llm import ann, bpe, decontaminate, language, lines, negatives, phrases, reputation, sharding, simhash, spelling, suffixes, toxicity
 from vitrine.llm.oracle import oracle_sql  # noqa: F401 - next to the queries
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -80,9 +80,26 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.kept_words(table(spark, sf_dir, "documents"), window=13)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.forms(spelling.word_counts(table(spark, sf_dir, "documents"), least=5, times=3, slip=97))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.without_repeated(table(spark, sf_dir, "documents"), points=20, least=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.select("vec_id", label.alias("label"), "embedding")
+    return negatives.mine(vectors, vectors.where("vec_id % 100 = 0"), positives=5, negatives=10, low=30, high=90, of=100, scale=256)
+
+
 def queries() -> dict:
     found = (
         op1_multi_index_search, op2_byte_bpe, op3_simhash, op4_label_propagation, op5_suffix_array, op6_host_reputation,
         op7_language_model, op8_decontamination, op9_toxicity, op10_phrase_automata,
+        op11_spelling_variants, op12_line_dedup, op13_hard_negatives,
     )
     return {f.__name__: f for f in found}
