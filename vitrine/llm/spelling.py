@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.store import Store
-from vitrine.llm.words import _LOWER, buffers, record
+from vitrine.llm.words import _BYTE_VALUES as _HALF_VALUES
+from vitrine.llm.words import _LOWER, Rolling, buffers, mix, record
 
 #: Letter groups: a code point's rest by this number. A level of the trie for each.
 GROUPS = 16
@@ -31,8 +32,15 @@ TOP = 3
 SUBTREE = 32_768
 #: Subtree names sent to all tasks, at most; beyond, the join alone finds which exist.
 NAMES = 200_000
-#: Pairs compared at once.
+#: Letters of a group that count, at most.
+MOST = 100
+#: Words that ask a subtree at once.
+ASKING = 200_000
+#: Visits of leaves looked up at once, and pairs compared at once.
+VISITS = 1 << 20
 PAIRS = 1 << 18
+#: Leaves times words up to which their vectors are compared at once.
+FEW = 4_096
 #: Letters up to which words are compared as rows of a matrix.
 SHORT = 40
 _SPAN = 1 << 20
@@ -42,6 +50,7 @@ _VECTORS = pa.schema([("word", pa.string()), ("n", pa.int64()), ("vector", pa.bi
 _ASKING = pa.schema([("word", pa.string()), ("n", pa.int64()), ("name", pa.binary())])
 _NEAR = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("down", pa.int64()), ("near", pa.string())])
 
+_HALVES = Rolling(0xA24BAED4963EE407)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
@@ -144,7 +153,7 @@ def word_counts(docs: DataFrame, least: int = 5, times: int = 3, slip: int = 0,
 
 
 class Letters:
-    """Words as bytes (one a letter) with their vectors; counts stop at 255, which never parts two near words."""
+    """Words as bytes (one a letter) with their vectors; counts stop at MOST, which never parts two near words."""
 
     def __init__(self, words: pa.Array):
         self.words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
@@ -158,7 +167,15 @@ class Letters:
     def vectors(self) -> np.ndarray:
         word = np.repeat(np.arange(len(self)), self.lengths)
         counts = np.bincount(word * GROUPS + self.flat % GROUPS, minlength=len(self) * GROUPS)
-        return np.minimum(counts, 255).astype(np.uint8).reshape(-1, GROUPS)
+        return np.minimum(counts, MOST).astype(np.int8).reshape(-1, GROUPS)
+
+    def halves(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Hashes of the first and the last half of each word, and of a word with one letter less in its place."""
+        first, values, out = self.ends - self.lengths, _HALF_VALUES[self.flat], []
+        for length in (self.lengths, np.maximum(self.lengths - 1, 0)):
+            half = length // 2
+            out.append((_HALVES.slices(values, first, first + half), _HALVES.slices(values, self.ends - (length - half), self.ends)))
+        return out
 
     def matrix(self, some: np.ndarray, width: int, right: bool) -> np.ndarray:
         """Words as rows, at the left or the right edge; places without a letter are 0."""
@@ -204,111 +221,117 @@ def verified(left: Letters, i: np.ndarray, right: Letters, j: np.ndarray) -> np.
 
 
 class Trie:
-    """Words arranged by the counts of their letter groups, one group a level."""
+    """Words arranged by the counts of their letter groups, one group a level; words of one vector and length share a leaf.
+
+    A leaf's words that share their first or their last half with a word are found by the hash of that half: one
+    letter more, less or other leaves one of the two as it is.
+    """
 
     def __init__(self, words: pa.Array):
         self.letters = Letters(words)
         vectors = self.letters.vectors()
-        self.order = np.lexsort(vectors.T[::-1])
-        self.vectors = vectors[self.order].astype(np.int16)
+        lengths = self.letters.lengths
+        order = np.lexsort((lengths, *vectors.T[::-1]))
+        new = np.ones(len(order), bool)
+        new[1:] = (vectors[order[1:]] != vectors[order[:-1]]).any(axis=1) | (lengths[order[1:]] != lengths[order[:-1]])
+        self.vectors = vectors[order[new]]  # of the leaves, sorted
+        leaf = np.empty(len(order), np.int64)
+        leaf[order] = np.cumsum(new) - 1
+        self.lengths = lengths[order[new]]
+        self.halves = [[_sorted(_at_leaf(leaf, h)) for h in pair] for pair in self.letters.halves()]
 
     def search(self, asking: Letters) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (word held, word asking) that are one letter apart; both sides hold a word once."""
-        wanted = asking.vectors().astype(np.int16)
-        queue: list[tuple[np.ndarray, np.ndarray]] = []
+        wanted, halves = asking.vectors(), asking.halves()
+        none = np.zeros(len(asking), np.int8)
+        stack = [(0, 0, len(self.vectors), np.arange(len(asking)), none, none)] if len(self.vectors) else []
+        reached: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
-        for low, high, asks in self._reached(wanted, 0, 0, len(self.vectors), np.arange(len(asking)), np.zeros(len(asking), np.int8), np.zeros(len(asking), np.int8)):
-            for i, j in self._candidates(low, high, asks, asking):
-                queue.append((i, j))
-                waiting += len(i)
-                if waiting >= PAIRS:
-                    yield self._near(queue, asking)
-                    queue, waiting = [], 0
-        if queue:
-            yield self._near(queue, asking)
-
-    def _near(self, queue, asking: Letters) -> tuple[np.ndarray, np.ndarray]:
-        i, j = (np.concatenate([q[k] for q in queue]) for k in (0, 1))
-        near = verified(self.letters, i, asking, j)
-        return i[near], j[near]
-
-    def _reached(self, wanted, depth: int, low: int, high: int, asks, surplus, deficit) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Leaves, as ranges of the sorted words, with the words whose budget lasts to there."""
+        while stack:
+            found = self._step(wanted, stack)
+            reached += found
+            waiting += sum(len(asks) for _, asks in found)
+            if waiting >= VISITS or not stack:
+                leaves, asks = (np.concatenate([r[k] for r in reached] or [none[:0]]).astype(np.int64) for k in (0, 1))
+                reached, waiting = [], 0
+                for i, j in self._candidates(leaves, asks, asking, halves):
+                    near = verified(self.letters, i, asking, j)
+                    yield i[near], j[near]
+
+    def _step(self, wanted: np.ndarray, stack: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Go on from the last node noted: leaves and the words that reach them; its children are noted in turn."""
+        depth, low, high, asks, surplus, deficit = stack.pop()
         while depth < GROUPS:
+            if (high - low) * len(asks) <= FEW:  # the rest of the vectors at once
+                difference = self.vectors[low:high, None, depth:] - wanted[None, asks, depth:]
+                up, down = np.maximum(difference, 0).sum(axis=2, dtype=np.int16), np.minimum(difference, 0).sum(axis=2, dtype=np.int16)
+                leaf, ask = np.nonzero((up + surplus <= 1) & (deficit - down <= 1))
+                return [(low + leaf, asks[ask])]
             column = self.vectors[low:high, depth]
-            if column[0] != column[-1]:
+            cuts = np.flatnonzero(column[1:] != column[:-1]) + 1
+            if len(cuts):
                 break
-            difference = column[0] - wanted[asks, depth]  # a single branch
-            up, down = surplus + (difference > 0), deficit + (difference < 0)
-            kept = (np.abs(difference) <= 1) & (up <= 1) & (down <= 1)
-            asks, surplus, deficit = asks[kept], up[kept], down[kept]
+            kept, surplus, deficit = _spent(column[0] - wanted[asks, depth], surplus, deficit)
+            asks, surplus, deficit = asks[kept], surplus[kept], deficit[kept]
             if not len(asks):
-                return
+                return []
             depth += 1
         if depth == GROUPS:
-            yield low, high, asks
-            return
-        if (high - low) * len(asks) <= 64:  # a handful of words: the rest of their vectors at once
-            difference = self.vectors[low:high, None, depth:] - wanted[None, asks, depth:]
-            open_ = (np.maximum(difference, 0).sum(axis=2) + surplus <= 1) & (np.maximum(-difference, 0).sum(axis=2) + deficit <= 1)
-            for k in np.flatnonzero(open_.any(axis=1)).tolist():
-                yield low + k, low + k + 1, asks[open_[k]]
-            return
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(column)) + 1, [high - low]))
-        difference = column[cuts[:-1]][:, None] - wanted[asks, depth]
-        up, down = surplus + (difference > 0), deficit + (difference < 0)
-        open_ = (np.abs(difference) <= 1) & (up <= 1) & (down <= 1)
+            return [(np.full(len(asks), leaf), asks) for leaf in range(low, high)]
+        cuts = [0, *cuts.tolist(), high - low]
+        kept, up, down = _spent(column[cuts[:-1]][:, None] - wanted[asks, depth], surplus, deficit)
         for k in range(len(cuts) - 1):
-            kept = np.flatnonzero(open_[k])
-            if len(kept):
-                yield from self._reached(
-                    wanted, depth + 1, low + int(cuts[k]), low + int(cuts[k + 1]), asks[kept], up[k, kept].astype(np.int8), down[k, kept].astype(np.int8)
-                )
-
-    def _candidates(self, low: int, high: int, asks: np.ndarray, asking: Letters) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of a leaf's words and those that reach it; at a large leaf only pairs that share a half."""
-        held = self.order[low:high]
-        if len(held) * len(asks) <= PAIRS // 16:
-            yield np.repeat(held, len(asks)), np.tile(asks, len(held))
-            return
-        for length in np.unique(self.letters.lengths[held]).tolist():
-            own = held[self.letters.lengths[held] == length]
-            for other in (length - 1, length, length + 1):
-                some = asks[asking.lengths[asks] == other]
-                if len(some):
-                    half, rest = min(length, other) // 2, min(length, other) - min(length, other) // 2
-                    yield from _sharing(_cut(self.letters, own, 0, half), _cut(asking, some, 0, half), own, some)
-                    yield from _sharing(_cut(self.letters, own, -rest, 0), _cut(asking, some, -rest, 0), own, some, half, (self.letters, asking))
-
-
-def _cut(letters: Letters, some: np.ndarray, start: int, end: int) -> np.ndarray:
-    """A hash of the first ``end`` or the last ``-start`` letters of each word."""
-    first = (letters.ends - letters.lengths)[some] if start == 0 else letters.ends[some] + start
-    width = end if start == 0 else -start
-    out = np.zeros(len(some), np.uint64)
-    for k in range(width):
-        out = (out ^ letters.flat[first + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
-
-
-def _sharing(held: np.ndarray, asked: np.ndarray, own: np.ndarray, some: np.ndarray, half: int | None = None, letters=None):
-    """Pairs with equal hashes; those whose first halves are alike too are left out if these are given."""
-    order = np.argsort(held, kind="stable")
-    low, high = np.searchsorted(held[order], asked, "left"), np.searchsorted(held[order], asked, "right")
-    count = high - low
-    at = 0
-    while at < len(some):
-        to = max(at + 1, int(np.searchsorted(np.cumsum(count[at:]), PAIRS, "right")) + at)
-        n = count[at:to]
-        j = np.repeat(some[at:to], n)
-        begins = np.repeat(low[at:to] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        i = own[order[begins + np.arange(n.sum())]]
-        if letters is not None and len(i):
-            fresh = _cut(letters[0], i, 0, half) != _cut(letters[1], j, 0, half)
-            i, j = i[fresh], j[fresh]
-        yield i, j
-        at = to
+            on = np.flatnonzero(kept[k])
+            if len(on):
+                stack.append((depth + 1, low + cuts[k], low + cuts[k + 1], asks[on], up[k, on], down[k, on]))
+        return []
+
+    def _candidates(self, leaves: np.ndarray, asks: np.ndarray, asking: Letters, halves) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a word and a word of a leaf that it reached, alike in the first or the last half."""
+        longer = asking.lengths[asks] - self.lengths[leaves]
+        for by in (-1, 0, 1):
+            # The halves are those of the shorter word: a whole word's, or those of a word with one letter less.
+            here, there = int(by < 0), int(by > 0)
+            some = longer == by
+            if not some.any():
+                continue
+            leaf, ask = leaves[some], asks[some]
+            first = [halves[there][0], self.halves[here][0]]
+            for side in (0, 1):
+                keys, order, _ = self.halves[here][side]
+                wanted = _at_leaf(leaf, halves[there][side][ask])
+                low, count = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+                count -= low
+                hit = np.flatnonzero(count)
+                low, count, own = low[hit], count[hit], ask[hit]
+                total = np.cumsum(count)
+                at = 0
+                while at < len(hit):
+                    to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+                    n = count[at:to]
+                    begins = np.repeat(low[at:to] - (np.cumsum(n) - n), n)
+                    i, j = order[begins + np.arange(n.sum())], np.repeat(own[at:to], n)
+                    if side:  # found by the first half already
+                        fresh = first[1][2][i] != _at_leaf(np.repeat(leaf[hit[at:to]], n), first[0][j])
+                        i, j = i[fresh], j[fresh]
+                    yield i, j
+                    at = to
+
+
+def _spent(difference: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whose budget lasts beyond these differences, and what is spent of it."""
+    up, down = surplus + (difference > 0), deficit + (difference < 0)
+    return (np.abs(difference) <= 1) & (up <= 1) & (down <= 1), up.astype(np.int8), down.astype(np.int8)
+
+
+def _at_leaf(leaf: np.ndarray, half: np.ndarray) -> np.ndarray:
+    return mix(half + leaf.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys in order, their places, and as they were."""
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order, keys
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +342,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _budgets(depth: int) -> np.ndarray:
     """Changes of ``depth`` counts by one surplus and one deficit at most, but none that lowers the vector."""
-    one = np.eye(depth, dtype=np.int16)
+    one = np.eye(depth, dtype=np.int8)
     both = [one[a] - one[b] for a in range(depth) for b in range(a + 1, depth)]
     return np.array([*one, *both]) if depth > 1 else one
 
@@ -330,13 +353,13 @@ def _asking(depths: list[int], names):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int16)
+            vectors = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(-1, GROUPS)
             for depth in depths:
                 known = names.value[depth] if names else None
                 for change in budgets[depth]:
                     there = vectors[:, :depth] + change
-                    fits = np.flatnonzero(((there >= 0) & (there <= 255)).all(axis=1))
-                    there = np.ascontiguousarray(there[fits].astype(np.uint8)).view(f"V{depth}").ravel()
+                    fits = np.flatnonzero(((there >= 0) & (there <= MOST)).all(axis=1))
+                    there = np.ascontiguousarray(there[fits]).view(f"V{depth}").ravel()
                     if known is not None:
                         held = np.isin(there, known)
                         fits, there = fits[held], there[held]
@@ -349,29 +372,53 @@ def _asking(depths: list[int], names):
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Near words, by word; rows are sorted so that a subtree's words come first, then those that ask."""
-    name, held, counts, trie = None, [], [], None
+    name, held, asking, waiting, trie = None, [], [], 0, None
+
+    def answered() -> Iterator[pa.RecordBatch]:
+        nonlocal trie, asking, waiting
+        if not held:  # a part that no word was dealt to
+            asking, waiting = [], 0
+            return
+        if trie is None:
+            words = pa.Table.from_batches(held)
+            trie = Trie(words["word"]), words["n"].to_numpy()
+        for own in (True, False):
+            rows = [r for r in asking if (r.column("kind")[0].as_py() == 1) == own]
+            if rows:
+                yield from _answered(*trie, pa.Table.from_batches(rows), own)
+        asking, waiting = [], 0
+
     for batch in batches:
-        names, part, kind = batch.column("name").to_pylist(), batch.column("part").to_pylist(), batch.column("kind").to_numpy()
-        keys = list(zip(names, part, kind.tolist(), strict=True))
+        names, part, kind = batch.column("name").to_pylist(), batch.column("part").to_pylist(), batch.column("kind").to_pylist()
+        keys = list(zip(names, part, kind, strict=True))
         cuts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]] + [len(keys)]
         for at, to in zip(cuts, cuts[1:]):
             if keys[at][:2] != name:
-                name, held, counts, trie = keys[at][:2], [], [], None
-            rows = batch.slice(at, to - at)
+                if asking:
+                    yield from answered()
+                name, held, trie = keys[at][:2], [], None
+            rows = batch.slice(at, to - at).select(["word", "n", "kind"])
             if keys[at][2] == 0:
-                held.append(rows.column("word"))
-                counts.append(rows.column("n"))
+                held.append(rows)
                 continue
-            if trie is None:
-                trie = Trie(pa.chunked_array(held, pa.string()))
-                numbers = pa.chunked_array(counts, pa.int64()).to_numpy()
-            asking, n = Letters(rows.column("word")), rows.column("n").to_numpy()
-            for i, j in trie.search(asking):
-                words, others = trie.letters.words.take(pa.array(i)).to_pylist(), asking.words.take(pa.array(j)).to_pylist()
-                if keys[at][2] == 1:  # the subtree's own words ask too: one of the two orders
-                    once = [k for k in range(len(i)) if words[k] < others[k]]
-                    i, j, words, others = i[once], j[once], [words[k] for k in once], [others[k] for k in once]
-                yield from _summed([*words, *others], [*others, *words], np.concatenate((n[j], numbers[i])))
+            asking.append(rows)
+            waiting += rows.num_rows
+            if waiting >= ASKING:
+                yield from answered()
+    if asking:
+        yield from answered()
+
+
+def _answered(trie: Trie, held: np.ndarray, rows: pa.Table, own: bool) -> Iterator[pa.RecordBatch]:
+    """The near words of some that ask, as rows for both sides; a subtree's own words all ask, so one order counts."""
+    asking, n = Letters(rows["word"]), rows["n"].to_numpy()
+    for i, j in trie.search(asking):
+        words, others = trie.letters.words.take(pa.array(i)), asking.words.take(pa.array(j))
+        if own:
+            once = pc.less(words, others)
+            words, others, once = words.filter(once), others.filter(once), once.to_numpy(zero_copy_only=False)
+            i, j = i[once], j[once]
+        yield from _summed(words.to_pylist() + others.to_pylist(), others.to_pylist() + words.to_pylist(), np.concatenate((n[j], held[i])))
 
 
 def _summed(words: list[str], near: list[str], n: np.ndarray) -> Iterator[pa.RecordBatch]:
