@@ -170,6 +170,33 @@ def test_broken_rows_fail_or_go_to_quarantine(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("newest", [False, True])
+def test_mended_rows_are_taken_in_again(spark, tmp_path, newest):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(source, "products.csv", "id,name\n1,a\n2,b\n2,c\n,d\n,e\n,f\n")
+    layers.full_refresh(spark, source, out, broken="quarantine", newest_wins=newest)
+
+    def named_ids(*pairs):
+        return lambda df: df.withColumn(
+            "id", F.coalesce(F.create_map(*[F.lit(x) for p in pairs for x in p])[F.col("name")].cast("long"), "id")
+        )
+
+    taken = layers.replay(spark, out, "products", named_ids(("c", 3), ("d", 4), ("e", 1)))
+    assert taken == (1 + (0 if newest else 2))  # d, and where both rows of key 2 were kept, b and c
+    ids = lambda df: sorted((r["id"] or 0, r["name"]) for r in df.collect())
+    good = [(1, "a"), (2, "c"), (4, "d")] if newest else [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    assert ids(layers.read_treated(spark, out)["products"]) == good
+    apart = layers.read_quarantine(spark, out)["products"]
+    assert [(r["name"], r["regras_violadas"]) for r in apart.orderBy("name").collect()] == [
+        ("e", ["primary_key:id"]), ("f", ["not_null:id"]),
+    ]
+    assert layers.replay(spark, out, "products", named_ids(("e", 5), ("f", 6))) == 2
+    assert ids(layers.read_treated(spark, out)["products"]) == [*good, (5, "e"), (6, "f")]
+    assert layers.read_quarantine(spark, out)["products"].isEmpty()
+    with pytest.raises(ValueError, match="quarantine"):
+        layers.replay(spark, out, "orders", lambda df: df)
+
+
 def test_refresh_of_a_header_only_file_and_of_an_empty_folder(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     write(source, "products.csv", "id,name,surplus\n")

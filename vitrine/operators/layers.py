@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vitrine import schemas
 from vitrine.functions.names import named
+from vitrine.operators.manifest import REFRESH, Part, Snapshot, commit, read, snapshot
 from vitrine.operators.quality import fill_defaults, require_valid, row_rules
-from vitrine.operators.treatment import treat_table
-from vitrine.sources.csv_files import (
-    ROW_NUMBER, list_csv_tables, read_csv_numbered, read_csv_text, record_layout,
-)
+from vitrine.operators.treatment import coerce_table, treat_table
+from vitrine.sources.csv_files import ROW_NUMBER, list_csv_tables, read_csv_numbered
+from vitrine.sources.folded_csv import Survey, survey
 
 
 def raw_json_rows(numbered: DataFrame, table: str, run_id: int) -> DataFrame:
@@ -54,8 +58,8 @@ def run_log(spark: SparkSession, runs: list[Run]) -> DataFrame:
     return fill_defaults(records, log).select(*log.schema.names)
 
 
-def conform(df: DataFrame, declared: schemas.Table) -> DataFrame:
-    """The declared columns in their types; a missing one is null, an unfit value too."""
+def conform(df: DataFrame, declared: schemas.Table, also: Iterable[str] = ()) -> DataFrame:
+    """The declared columns in their types; a missing one is null, an unfit value too. ``also`` names columns to keep."""
     return df.select(
         *[
             (
@@ -64,7 +68,8 @@ def conform(df: DataFrame, declared: schemas.Table) -> DataFrame:
                 else F.lit(None).cast(c.spark_type)
             ).alias(c.name)
             for c in declared.columns
-        ]
+        ],
+        *also,
     )
 
 
@@ -73,69 +78,95 @@ def treated_rows(raw_text: DataFrame, table: str, run_id: int) -> DataFrame:
     return treated.withColumn("source_run_id", F.lit(run_id).cast("long"))
 
 
-def treated_path(place: str, table: str) -> str:
-    return f"{place}/treated_{table}"
+def payload_text(raw: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The CSV cells of raw rows as text again, with ``source_row_number``."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    parsed = raw.select(ROW_NUMBER, F.from_json("payload", schema).alias("_row"))
+    return parsed.select(*[F.col("_row")[c].alias(c) for c in columns], ROW_NUMBER)
 
 
-REFRESHES = "number long, place string, last_run long"
+def treated_schema(table: str) -> T.StructType:
+    return schemas.table_schemas()[f"treated.{table}"]
 
 
-def _refreshes(spark: SparkSession, out: str) -> DataFrame:
-    """The refreshes that were completed, one row each; appended last, so it is what switches."""
-    path = f"{out}/refreshes"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], REFRESHES)
-    return spark.read.schema(REFRESHES).parquet(path)
+def _quarantine_schema(table: str) -> T.StructType:
+    return T.StructType([*treated_schema(table).fields, T.StructField("regras_violadas", T.ArrayType(T.StringType()))])
 
 
-def current(spark: SparkSession, out: str) -> str:
-    """The folder of the last complete refresh."""
-    last = _refreshes(spark, out).orderBy(F.desc("number"), "place").first()
-    if last is None:
+def current(spark: SparkSession, out: str) -> Snapshot:
+    """The committed state of a lake folder that was refreshed or that files arrived at."""
+    found = snapshot(spark, out)
+    if not found.number:
         raise FileNotFoundError(f"no complete refresh below {out}")
-    return f"{out}/{last['place']}"
+    return found
 
 
 def read_log(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(schemas.CONTROL["ingestion_runs"].schema).parquet(
-        f"{current(spark, out)}/ingestion_runs"
-    )
+    """The ingestion runs of the last refresh and of the batches since."""
+    found = current(spark, out)
+    return read(spark, schemas.CONTROL["ingestion_runs"].schema, [f"{out}/{p.path}" for _, p in found.of("log")])
 
 
-def read_raw(spark: SparkSession, out: str) -> DataFrame:
-    schema = schemas.CONTROL["raw_csv_rows"].schema
-    return spark.read.schema(schema).parquet(f"{current(spark, out)}/raw_csv_rows")
+_RAW = schemas.CONTROL["raw_csv_rows"].schema
 
 
-def _read_tables(spark: SparkSession, out: str, path, extra: list[T.StructField]) -> dict[str, DataFrame]:
-    place = current(spark, out)
-    written = read_log(spark, out).filter("layer = 'treated'").select("source_table").distinct()
-    declared = schemas.table_schemas()
-    return {
-        name: spark.read.schema(T.StructType([*declared[f"treated.{name}"].fields, *extra])).parquet(path(place, name))
-        for name in sorted(r["source_table"] for r in written.collect())
-    }
+def _raw_parts(spark: SparkSession, found: Snapshot, parts: list[Part]) -> DataFrame:
+    paths = [f"{found.out}/{p.path}" for p in parts]
+    if not paths:
+        return spark.createDataFrame([], _RAW)
+    # Folders are named by table, so a filter on the table reads no other one's.
+    return spark.read.schema(_RAW).option("basePath", f"{found.out}/raw_csv_rows").parquet(*paths).select(*_RAW.names)
 
 
-def read_treated(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The treated tables that the last complete refresh wrote."""
-    return _read_tables(spark, out, treated_path, [])
+def read_raw(spark: SparkSession, out: str) -> DataFrame:
+    """Every raw row: those of the last refresh and those of the files that arrived since."""
+    found = current(spark, out)
+    return _raw_parts(spark, found, [p for _, p in found.of("raw")])
 
 
-def _quarantine_path(place: str, table: str) -> str:
-    return f"{place}/quarantine_{table}"
+def read_treated(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The treated tables of the committed state."""
+    found = current(spark, out)
+    return {t: read(spark, treated_schema(t), found.paths("treated", t)) for t in found.tables("treated")}
 
 
 def read_quarantine(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The rows that the last refresh with ``broken="quarantine"`` set apart, and the rules they break."""
-    rules = T.StructField("regras_violadas", T.ArrayType(T.StringType()))
-    return _read_tables(spark, out, _quarantine_path, [rules])
+    """The rows that a refresh with ``broken="quarantine"`` set apart, and the rules they break."""
+    found = current(spark, out)
+    return {t: read(spark, _quarantine_schema(t), found.paths("quarantine", t)) for t in found.tables("quarantine")}
+
+
+def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Of the rows of one key the last by ``order``; rows without key are the same where all their values are.
+
+    Rows of a key are reduced within each task before they are shuffled. The ``order`` columns go.
+    """
+    columns = [c for c in rows.columns if c not in order]
+    whole = F.struct(*columns)
+    keyless = F.when(F.col(key).isNull(), F.to_json(whole)).alias("_keyless")
+    last = F.max_by(whole, F.struct(*order)).alias("_last")
+    return rows.groupBy(key, keyless).agg(last).select(*[F.col("_last")[c].alias(c) for c in columns])
 
 
-def _with_broken(treated: DataFrame, table: str) -> DataFrame:
-    """``treated`` plus ``regras_violadas``: required columns that are null, a key that comes twice."""
+def _newest_treated(text: DataFrame, table: str, order: list[str], run_id: int) -> DataFrame:
+    declared = schemas.TREATED[table]
+    typed = conform(coerce_table(text, table), declared, order)
+    return newest(typed, declared.key, order).withColumn("source_run_id", F.lit(run_id).cast("long"))
+
+
+def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Rows with the bucket of their key, or of all their values where they have none."""
+    others = F.xxhash64(*[c for c in rows.columns if c != "source_run_id"])
+    hashed = F.when(F.col(key).isNull(), others).otherwise(F.xxhash64(key))
+    return rows.withColumn("bucket", F.pmod(hashed, F.lit(buckets)).cast("int"))
+
+
+def _write_buckets(rows: DataFrame, path: str) -> None:
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def _with_broken(treated: DataFrame, table: str, taken: DataFrame | None = None) -> DataFrame:
+    """``treated`` plus ``regras_violadas``: required columns that are null, a key that comes twice or is ``taken``."""
     declared = schemas.TREATED[table]
     rules = [
         F.when(broken, F.lit(name)) for name, broken in row_rules(treated, declared).items() if name.startswith("not_null:")
@@ -145,81 +176,202 @@ def _with_broken(treated: DataFrame, table: str) -> DataFrame:
             treated.groupBy(declared.key).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").drop("_times")
             .withColumn("_twice", F.lit(True))
         )
+        if taken is not None:  # rows that are reduced to the keys at hand before any is matched
+            held = taken.select(declared.key).join(treated.select(declared.key).distinct(), declared.key, "left_semi")
+            twice = twice.unionByName(held.withColumn("_twice", F.lit(True))).distinct()
         treated = treated.join(twice, declared.key, "left")
         rules.append(F.when(F.col("_twice"), F.lit(f"primary_key:{declared.key}")))
-    names = schemas.table_schemas()[f"treated.{table}"].names
     found = F.array_compact(F.array(*rules)) if rules else F.array().cast("array<string>")
-    return treated.select(*names, found.alias("regras_violadas"))
+    return treated.select(*treated_schema(table).names, found.alias("regras_violadas"))
+
+
+#: Tables that a refresh loads side by side.
+SIDE_BY_SIDE = 4
 
 
 def full_refresh(
-    spark: SparkSession, folder: str, out: str, layout: str | None = None, broken: str | None = None
+    spark: SparkSession, folder: str, out: str, broken: str | None = None, newest_wins: bool = False, buckets: int = 16
 ) -> DataFrame:
     """Rebuild both layers from a CSV folder and return the ingestion log.
 
-    The layers are built in a folder of their own, which readers see once its refresh is noted
-    as complete; if the refresh fails, they go on reading the one before. Run numbers go on from
-    refresh to refresh. ``broken`` says what to do with treated rows that lack a required value or
-    whose key comes twice: keep them (None), ``"fail"``, or ``"quarantine"`` them in tables of
-    their own. The record layout of each table is looked up unless one is given for all.
+    Two scans read the CSV text: a survey of all tables, and the raw layer, whose payloads give the treated
+    rows. The layers are built in folders of their own, which readers see once the refresh is committed; if it
+    fails, they go on reading the one before, and if another writer commits meanwhile, it is void. Run numbers go
+    on from refresh to refresh.
 
-    The driver only walks over the table names. Row counts come from the written
-    Parquet files, so the CSV text is not parsed again to count it.
+    ``broken`` says what to do with treated rows that lack a required value or whose key comes twice: keep them
+    (None), ``"fail"``, or ``"quarantine"`` them in tables of their own. With ``newest_wins`` the
+    last row of a key stays alone, and treated tables lie in ``buckets`` by key, so that
+    :func:`merge_arrivals` can keep them up.
     """
     if broken not in (None, "fail", "quarantine"):
         raise ValueError(f"broken: {broken}")
-    last = _refreshes(spark, out).agg(
-        F.coalesce(F.max("number"), F.lit(0)).alias("number"), F.coalesce(F.max("last_run"), F.lit(0)).alias("run")
-    ).first()
-    number, run_id = last["number"] + 1, last["run"]
-    name = f"refresh-{number}-{uuid.uuid4().hex}"
-    place = f"{out}/{name}"
-    raw_schema = schemas.CONTROL["raw_csv_rows"].schema
-    (
-        spark.createDataFrame([], raw_schema)
-        .write.mode("overwrite").partitionBy("source_table").parquet(f"{place}/raw_csv_rows")
-    )
-    runs: list[Run] = []
-    for table, path in list_csv_tables(spark, folder).items():
-        file_name, run_id = f"{table}.csv", run_id + 1
-        records = layout or record_layout(spark, path)
-        numbered = read_csv_numbered(spark, path, layout=records)
-        columns = [c for c in numbered.columns if c != ROW_NUMBER]
-        raw_out = f"{place}/raw_csv_rows/source_table={table}"
-        (
-            raw_json_rows(numbered, table, run_id)
-            .drop("source_table").write.mode("overwrite").parquet(raw_out)
-        )
-        raw_count = spark.read.parquet(raw_out).count()
-        runs.append(raw_run(run_id, file_name, table, raw_count, columns))
-        if table in schemas.TREATED:
-            run_id += 1
-            text = read_csv_text(spark, path, layout=records)
-            count = _write_treated(spark, treated_rows(text, table, run_id), table, place, broken)
-            runs.append(treated_run(run_id, file_name, table, raw_count, count, columns))
-    run_log(spark, runs).coalesce(1).write.parquet(f"{place}/ingestion_runs")  # two rows per table
-    spark.createDataFrame([(number, name, run_id)], REFRESHES).coalesce(1).write.mode("append").parquet(f"{out}/refreshes")
+    before = snapshot(spark, out)
+    name = f"refresh-{before.number + 1}-{uuid.uuid4().hex}"
+    found = survey(spark, list_csv_tables(spark, folder))
+    numbers, run_id = {}, before.last_run
+    for table in found:
+        numbers[table] = run_id + 1
+        run_id += 2 if table in schemas.TREATED else 1
+
+    def load(table: str) -> tuple[list[Part], list[Run]]:
+        return _load(spark, found[table], table, out, name, numbers[table], broken, newest_wins, buckets)
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        loaded = list(pool.map(load, found))
+    parts = [p for some, _ in loaded for p in some]
+    runs = [r for _, some in loaded for r in some]
+    commit(spark, before, REFRESH, name, [*parts, _log(spark, out, name, runs)], run_id)
     return read_log(spark, out)
 
 
-def _write_treated(spark: SparkSession, treated: DataFrame, table: str, place: str, broken: str | None) -> int:
-    """Write one treated table, and what is quarantined, and return the rows of both."""
-    path = treated_path(place, table)
-    treated.write.mode("overwrite").parquet(path)
-    written = spark.read.schema(schemas.table_schemas()[f"treated.{table}"]).parquet(path)
-    count = written.count()
+def _load(spark, found: Survey, table: str, out: str, name: str, run_id: int, broken, newest_wins: bool, buckets: int) -> tuple[list[Part], list[Run]]:
+    """Write the raw rows of one table and, from their payloads, its treated rows."""
+    raw = Part("raw", table, f"raw_csv_rows/source_table={table}/part={name}")
+    numbered = read_csv_numbered(spark, found.path, found=found)
+    raw_json_rows(numbered, table, run_id).drop("source_table").write.parquet(f"{out}/{raw.path}")
+    file_name, columns = f"{table}.csv", found.names
+    parts, runs = [raw], [raw_run(run_id, file_name, table, found.rows, columns)]
+    if table not in schemas.TREATED:
+        return parts, runs
+    written = spark.read.schema(_RAW).parquet(f"{out}/{raw.path}")
+    key = schemas.TREATED[table].key
+    if newest_wins:
+        rows = _newest_treated(payload_text(written, schemas.TREATED[table].schema.names), table, [ROW_NUMBER], run_id + 1)
+    else:
+        rows = treated_rows(payload_text(written, columns).drop(ROW_NUMBER), table, run_id + 1)
+    treated = Part("treated", table, f"treated_{table}/part={name}")
+    apart, count = _write_treated(spark, rows, table, f"{out}/{treated.path}", broken, key, buckets if newest_wins else None)
+    if newest_wins:
+        treated = replace(treated, buckets=_buckets_at(spark, f"{out}/{treated.path}"), modulus=buckets)
+    if apart is not None:
+        parts.append(Part("quarantine", table, apart.removeprefix(f"{out}/")))
+    return [*parts, treated], [*runs, treated_run(run_id + 1, file_name, table, found.rows, count, columns)]
+
+
+def _buckets_at(spark: SparkSession, path: str) -> tuple[int, ...]:
+    """The buckets that a folder holds, by its listing."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)]
+    return tuple(sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")))
+
+
+def _write_treated(
+    spark: SparkSession, treated: DataFrame, table: str, path: str, broken: str | None, key: str, buckets: int | None
+) -> tuple[str | None, int]:
+    """Write one treated table, and what is quarantined; the path of this and the rows of both.
+
+    Rows are marked before any is written, and each goes to its place in one write.
+    """
+    schema = treated_schema(table)
     if broken is None:
-        return count
-    marked = _with_broken(written, table)
+        if buckets:
+            _write_buckets(_bucketed(treated, key, buckets), path)
+        else:
+            treated.write.parquet(path)
+        return None, spark.read.schema(schema).parquet(path).count()
+    marked = f"{path}-marked"
     bad = F.size("regras_violadas") > 0
+    _with_broken(treated, table).withColumn("apart", bad).write.partitionBy("apart").parquet(marked)
+    written = spark.read.schema(_quarantine_schema(table).add("apart", T.BooleanType())).parquet(marked)
+    count = written.count()
     if broken == "fail":
-        rules = marked.select(F.explode("regras_violadas").alias("regra"))
+        rules = written.filter("apart").select(F.explode("regras_violadas").alias("regra"))
         report = rules.groupBy("regra").agg(F.count(F.lit(1)).alias("violacoes"))
         require_valid(report.select(F.concat(F.lit(f"{table}."), "regra").alias("regra"), "violacoes"))
-        return count
-    marked.filter(bad).write.parquet(_quarantine_path(place, table))
-    if not spark.read.schema(marked.schema).parquet(_quarantine_path(place, table)).isEmpty():
-        kept = f"{place}/valid_{table}"
-        marked.filter(~bad).drop("regras_violadas").write.parquet(kept)
-        spark.read.schema(written.schema).parquet(kept).write.mode("overwrite").parquet(path)
+    kept = written.filter("not apart").select(*schema.names)
+    if buckets:
+        _write_buckets(_bucketed(kept, key, buckets), path)
+    else:
+        kept.write.parquet(path)
+    if broken == "fail":
+        return None, count
+    apart = path.replace(f"/treated_{table}/", f"/quarantine_{table}/")
+    written.filter("apart").drop("apart").write.parquet(apart)
+    return apart, count
+
+
+def _rewrite(spark: SparkSession, found: Snapshot, table: str, rows: DataFrame, name: str, merged: int | None) -> Part:
+    """Write the buckets that ``rows`` touch anew, with these in place of the rows of their keys."""
+    old = [p for _, p in found.of("treated", table)]
+    schema, key, modulus = treated_schema(table), schemas.TREATED[table].key, old[0].modulus
+    place = f"treated_{table}/part={name}"
+    _bucketed(rows, key, modulus).write.parquet(f"{found.out}/{place}-rows")
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{found.out}/{place}-rows")
+    touched = {r["bucket"] for r in rows.select("bucket").distinct().collect()}  # at most ``modulus``
+    before = _bucketed(read(spark, schema, found.paths("treated", table, touched)), key, modulus)
+    same = reduce(
+        lambda a, b: a & b, [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in schema.names if c not in (key, "source_run_id")], F.lit(True)
+    )
+    replaced = (F.col("n.bucket") == F.col("o.bucket")) & F.col(f"n.{key}").eqNullSafe(F.col(f"o.{key}")) & (F.col(f"n.{key}").isNotNull() | same)
+    kept = before.alias("o").join(rows.alias("n"), replaced, "left_anti")
+    _write_buckets(kept.unionByName(rows), f"{found.out}/{place}")
+    return Part("treated", table, place, tuple(sorted(touched)), modulus, merged)
+
+
+def merge_arrivals(spark: SparkSession, out: str, table: str) -> int:
+    """Bring the files of ``table`` that arrived since the last merge into its treated table; the number of keys brought.
+
+    The newest row of a key wins, and only the buckets that hold the key of an arrived row are written anew. The table
+    is then that of a refresh with ``newest_wins`` over the same files. Where nothing arrived, nothing is written.
+    """
+    found = current(spark, out)
+    treated = found.of("treated", table)
+    if not treated or treated[0][1].modulus is None:
+        raise ValueError(f"refresh {table} with newest_wins first")
+    seen = max(n if p.merged is None else p.merged for n, p in treated)
+    arrived = [(n, p) for n, p in found.of("raw", table) if n > seen]
+    if not arrived:
+        return 0
+    name, run_id = f"merge-{found.number + 1}-{uuid.uuid4().hex}", found.last_run + 1
+    columns = schemas.TREATED[table].schema.names
+    text = reduce(
+        DataFrame.unionByName,
+        [payload_text(_raw_parts(spark, found, [p]), columns).withColumn("_commit", F.lit(n)) for n, p in arrived],
+    )
+    part = _rewrite(spark, found, table, _newest_treated(text, table, ["_commit", ROW_NUMBER], run_id), name, max(n for n, _ in arrived))
+    count = spark.read.schema(treated_schema(table)).parquet(f"{out}/{part.path}-rows").count()
+    raw_count = _raw_parts(spark, found, [p for _, p in arrived]).count()
+    log = _log(spark, out, name, [treated_run(run_id, f"{table}.csv", table, raw_count, count, columns)])
+    commit(spark, found, "merge", name, [part, log], run_id)
     return count
+
+
+def replay(spark: SparkSession, out: str, table: str, correct: Callable[[DataFrame], DataFrame]) -> int:
+    """Take quarantined rows in again after ``correct`` has mended them; the number of rows taken in.
+
+    What ``correct`` returns, in the columns of the treated table, is audited anew, against the treated rows too: a key that these hold already is
+    broken. Rows without broken rules are added, the others stay in quarantine; rows left out are gone.
+    """
+    found = current(spark, out)
+    if table not in found.tables("quarantine"):
+        raise ValueError(f"{table} has no quarantine")
+    schema, name, run_id = treated_schema(table), f"replay-{found.number + 1}-{uuid.uuid4().hex}", found.last_run + 1
+    apart = read(spark, _quarantine_schema(table), found.paths("quarantine", table))
+    mended = correct(apart.drop("regras_violadas")).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    mended = mended.withColumn("source_run_id", F.lit(run_id).cast("long"))
+    taken = read(spark, schema, found.paths("treated", table))
+    left = Part("quarantine", table, f"quarantine_{table}/part={name}")
+    marked = f"{out}/{left.path}-marked"
+    _with_broken(mended, table, taken).withColumn("apart", F.size("regras_violadas") > 0).write.partitionBy("apart").parquet(marked)
+    written = spark.read.schema(_quarantine_schema(table).add("apart", T.BooleanType())).parquet(marked)
+    written.filter("apart").drop("apart").write.parquet(f"{out}/{left.path}")
+    good = written.filter("not apart").select(*schema.names)
+    count = good.count()
+    old = found.of("treated", table)
+    if any(p.modulus for _, p in old):
+        part = _rewrite(spark, found, table, good, name, max(n if p.merged is None else p.merged for n, p in old))
+    else:
+        part = Part("treated", table, f"treated_{table}/part={name}")
+        good.write.parquet(f"{out}/{part.path}")
+    log = _log(spark, out, name, [treated_run(run_id, f"{table}.csv", table, count, count, schemas.TREATED[table].schema.names)])
+    commit(spark, found, "replay", name, [part, left, log], run_id)
+    return count
+
+
+def _log(spark: SparkSession, out: str, name: str, runs: list[Run]) -> Part:
+    """Write the records of a batch, at most two a table."""
+    part = Part("log", "", f"ingestion_runs/part={name}")
+    run_log(spark, runs).coalesce(1).write.parquet(f"{out}/{part.path}")
+    return part

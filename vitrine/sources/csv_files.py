@@ -13,11 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from vitrine import schemas
 from vitrine.functions.coercion import null_if_token
 from vitrine.functions.names import named
-from vitrine.sources.folded_csv import SURPLUS, read_folded_csv, text_schema, without_surplus
+from vitrine.sources.folded_csv import SURPLUS, Survey, parse, read_folded_csv, records, survey, text_schema, without_surplus
 
 ROW_NUMBER = "source_row_number"
-# Up to so many file splits (some 100 bytes each) are broadcast to number the rows.
-BROADCAST_SPLITS = 1_000_000
 
 
 def list_csv_tables(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -62,16 +60,18 @@ def read_csv_text(
     path: str,
     na_tokens: Iterable[str] = schemas.NA_TOKENS,
     layout: str | None = None,
+    found: Survey | None = None,
 ) -> DataFrame:
     """Every column as text, so leading zeros and the written form of a value stay.
 
-    The record layout is looked up unless it is given.
+    The table is surveyed for its columns and record layout unless that was done.
     """
-    layout = layout or record_layout(spark, path)
+    found = found or survey(spark, {"": path})[""]
+    layout = layout or (FOLDED if found.folded else ONE_LINE)
     if layout == FOLDED:
-        df = read_folded_csv(spark, path, ROW_NUMBER).drop(ROW_NUMBER)
+        df = read_folded_csv(spark, path, ROW_NUMBER, found=found).drop(ROW_NUMBER)
     else:
-        df = without_surplus(_csv(spark, path))
+        df = without_surplus(_csv(spark, path, found.names))
     return null_tokens(df, na_tokens)
 
 
@@ -80,21 +80,24 @@ def read_csv_numbered(
     path: str,
     na_tokens: Iterable[str] = schemas.NA_TOKENS,
     layout: str | None = None,
+    found: Survey | None = None,
 ) -> DataFrame:
-    """:func:`read_csv_text` plus ``source_row_number``, 1-based in file order."""
-    layout = layout or record_layout(spark, path)
-    if layout == FOLDED:
-        numbered = read_folded_csv(spark, path, ROW_NUMBER)
+    """:func:`read_csv_text` plus ``source_row_number``, 1-based in file order.
+
+    Rows stay where they are read, but for records that cross the end of a file split. With a
+    layout of one line quotes are taken as Spark's reader takes them.
+    """
+    found = found or survey(spark, {"": path})[""]
+    if (layout or ONE_LINE) == ONE_LINE and not found.folded:
+        numbered = parse(records(spark, found), found, ROW_NUMBER)
     else:
-        numbered = without_surplus(number_source_rows(_csv(spark, path), path))
-    columns = [c for c in numbered.columns if c != ROW_NUMBER]
-    return null_tokens(numbered, na_tokens, columns)
+        numbered = read_folded_csv(spark, path, ROW_NUMBER, found=found)
+    return null_tokens(numbered, na_tokens, found.names)
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
+def _csv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """The header's columns as text, and what a record has beyond them."""
     reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"')
-    names = reader.csv(path).columns
     return reader.schema(text_schema([*names, SURPLUS])).csv(path)
 
 
@@ -104,10 +107,10 @@ def scan_csv_dir(
     na_tokens: Iterable[str] = schemas.NA_TOKENS,
     layout: str | None = None,
 ) -> dict[str, DataFrame]:
-    return {
-        name: read_csv_text(spark, path, na_tokens, layout)
-        for name, path in list_csv_tables(spark, folder).items()
-    }
+    """All tables of a folder as text, surveyed in one scan."""
+    paths = list_csv_tables(spark, folder)
+    found = survey(spark, paths)
+    return {name: read_csv_text(spark, path, na_tokens, layout, found[name]) for name, path in paths.items()}
 
 
 # Stands for a quoted empty text while a file is read; no text file holds this character.
@@ -133,7 +136,7 @@ def read_csv_typed(
     }
     layout = layout or record_layout(spark, path)
     if layout == FOLDED:
-        loaded = read_folded_csv(spark, path, ROW_NUMBER, schema, **options).drop(ROW_NUMBER)
+        loaded = read_folded_csv(spark, path, ROW_NUMBER, schema, found=None, **options).drop(ROW_NUMBER)
     else:
         loaded = (
             spark.read.schema(schema)
@@ -180,9 +183,7 @@ def with_splits(scan: DataFrame) -> DataFrame:
     )
 
 
-def number_split_rows(
-    scan: DataFrame, name: str = ROW_NUMBER, broadcast_splits: bool = False
-) -> DataFrame:
+def number_split_rows(scan: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
     """Number the rows of :func:`with_splits` from 1, in file order and then in row order.
 
     A first pass keeps one row per file split (its row count and first position);
@@ -199,8 +200,6 @@ def number_split_rows(
             *_SPLIT, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
         )
     )
-    if broadcast_splits:
-        offsets = F.broadcast(offsets)
     # Task number and place within the task are packed in the position.
     same_task = F.shiftright("_position", 33) == F.shiftright("_first", 33)
     number = F.when(
@@ -209,15 +208,3 @@ def number_split_rows(
     ).otherwise(F.raise_error(F.lit("file splits changed between the two passes")).cast("long"))
     kept = [named(c) for c in scan.columns if c not in _SPLIT]
     return scanned.join(offsets, _SPLIT, "left").select(*kept, number.alias(name))
-
-
-def number_source_rows(scan: DataFrame, path: str, name: str = ROW_NUMBER) -> DataFrame:
-    """Add the row number to a DataFrame that comes straight from ``spark.read`` of ``path``.
-
-    The table of splits is broadcast if it is known to be small, so that the rows
-    stay where they are read. Otherwise Spark joins it as it sees fit.
-    """
-    files = scan.sparkSession.read.format("binaryFile").load(path).select("path").count()
-    # A split either fills a task or is the rest of a file.
-    splits = scan.rdd.getNumPartitions() + files
-    return number_split_rows(with_splits(scan), name, splits <= BROADCAST_SPLITS)

@@ -2,12 +2,14 @@
 
 A full refresh reads every file again. Where files only ever get added, the same
 raw rows can be written file by file: Structured Streaming remembers which files
-were taken, and each batch goes to a folder of its own that a repeated batch
-overwrites, so a lost run leaves neither gaps nor copies.
+were taken, and each batch is committed once to the manifest that all readers go
+by, so a lost run leaves neither gaps nor copies. A refresh takes the place of the arrivals before it; none may
+come in while it runs.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Sequence
 
@@ -16,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vitrine import schemas
 from vitrine.operators.layers import raw_json_rows, raw_run, run_log
+from vitrine.operators.manifest import ConcurrentCommit, Part, commit, snapshot
 from vitrine.sources.csv_files import ROW_NUMBER, null_tokens, number_split_rows, with_splits
 from vitrine.sources.folded_csv import SURPLUS, text_schema, without_surplus
 
@@ -51,16 +54,23 @@ def ingest_arrivals(
     )
 
     def write(batch: DataFrame, number: int) -> None:
-        session, run_id = batch.sparkSession, arrival_run(table, number)
+        session, run_id, name = batch.sparkSession, arrival_run(table, number), f"{table}/{number}"
+        if name in snapshot(session, out).batches:
+            return  # committed before the run was lost
         numbered = null_tokens(without_surplus(number_split_rows(batch, ROW_NUMBER)), columns=columns)
-        rows_out = f"{out}/raw_csv_rows/source_table={table}/batch={number}"
-        rows = raw_json_rows(numbered, table, run_id).drop("source_table")
-        rows.write.mode("overwrite").parquet(rows_out)
-        count = session.read.schema(schemas.CONTROL["raw_csv_rows"].schema).parquet(rows_out).count()
+        place = f"part=arrival-{number}-{uuid.uuid4().hex}"
+        raw = Part("raw", table, f"raw_csv_rows/source_table={table}/{place}")
+        raw_json_rows(numbered, table, run_id).drop("source_table").write.parquet(f"{out}/{raw.path}")
+        count = session.read.schema(schemas.CONTROL["raw_csv_rows"].schema).parquet(f"{out}/{raw.path}").count()
+        log = Part("log", "", f"ingestion_runs/{place}")
         record = raw_run(run_id, f"{table}.csv", table, count, list(columns))
-        run_log(session, [record]).write.mode("overwrite").parquet(
-            f"{out}/ingestion_runs/source_table={table}/batch={number}"
-        )
+        run_log(session, [record]).coalesce(1).write.parquet(f"{out}/{log.path}")
+        while True:
+            try:
+                commit(session, snapshot(session, out), "arrival", name, [raw, log])
+                return
+            except ConcurrentCommit:  # rows only get added, so the next number does as well
+                continue
 
     return (
         with_splits(arriving)
