@@ -66,3 +66,36 @@ def test_table_audit_and_stop(spark):
     assert rows(broken.select("id", "regras_violadas"), "id")[2:] == [
         (2, ["length:kind", "domain:kind"]), (3, ["not_null:kind"]),
     ]
+
+
+def test_all_keys_in_one_pass_are_those_of_the_single_audits(spark):
+    data = [(1, "a", None), (1, "b", "x"), (2, "b", "x"), (None, "c", "y"), (3, "b", None), (None, "d", "z")]
+    df = spark.createDataFrame(data, "id long, code string, slug string")
+    found = quality.audit_keys(df, "id", ("code", "slug"))
+    assert rows(found.filter("regra = 'primary_key:id'").select("valor", "linhas"), "valor") == [(None, 2), ("1", 2)]
+    assert rows(quality.audit_pk(df, "id"), "id") == [(None, 2), (1, 2)]
+    for column in ("code", "slug"):
+        one = found.filter(f"regra = 'unique:{column}'").select("valor", "linhas")
+        assert rows(one, "valor") == rows(quality.audit_unique(df, column), column) and not one.isEmpty()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert quality.audit_keys(df.drop("id"), "id").isEmpty()
+
+
+def test_all_references_in_one_job(spark):
+    declared = {
+        "a": schemas.Table(schemas._columns("id int"), references={"up": "a", "b_id": "b", "gone": "missing"}),
+        "b": schemas.Table(schemas._columns("id int"), references={"a_id": "a"}),
+    }
+    a = spark.createDataFrame([(1, None, 5, 1), (2, 1, 6, 1), (3, 9, 6, 1), (4, 9, None, 1)], "id int, up int, b_id int, gone int")
+    b = spark.createDataFrame([(5, 1), (5, 7), (None, 8)], "id long, a_id long")
+    found = quality.audit_references({"a": a, "b": b}, declared)
+    assert rows(found, "tabela", "coluna") == [("a", "b_id", "b.id", 1, 2), ("a", "up", "a.id", 1, 2), ("b", "a_id", "a.id", 2, 2)]
+    assert quality.audit_references({"b": b}, declared).isEmpty()
+
+
+def test_all_domains_in_one_job(spark):
+    declared = {"t": schemas.Table(schemas._columns("id int"), domains={"kind": ("x", "y")}), "u": schemas.Table(schemas._columns("id int"))}
+    t = spark.createDataFrame([("x",), (None,), ("z",), ("z",)], "kind string")
+    assert rows(quality.audit_domains({"t": t, "u": t}, declared)) == [("t", "kind", "z", 2)]
+    assert quality.audit_domains({"u": t}, declared).isEmpty()

@@ -8,6 +8,7 @@ the shuffle; row rules need no shuffle at all.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -43,6 +44,82 @@ def audit_fk(child: DataFrame, column: str, parent: DataFrame, key: str = "id")
     return referenced.join(keys, F.col(column) == F.col("_key"), "left_anti")
 
 
+def audit_keys(df: DataFrame, key: str, unique: Iterable[str] = ()) -> DataFrame:
+    """All broken key and unique values of a table, with their row counts: ``(regra, valor, linhas)``.
+
+    Each row gives one (rule, value) a rule, and these are counted together: one pass, one exchange, and
+    a value that fills the table is one row a task in it. Null keys are broken, null unique values are not.
+    """
+
+    def entry(rule: str, column: str) -> Column:
+        return F.struct(F.lit(rule).alias("regra"), F.col(column).cast("string").alias("valor"))
+
+    entries = [entry(f"primary_key:{key}", key)] if key in df.columns else []
+    entries += [F.when(F.col(c).isNotNull(), entry(f"unique:{c}", c)) for c in unique if c in df.columns]
+    if not entries:
+        return df.sparkSession.createDataFrame([], "regra string, valor string, linhas long")
+    counted = (
+        df.select(F.explode(F.array(*entries)).alias("_entry")).filter("_entry is not null").select("_entry.*")
+        .groupBy("regra", "valor").agg(F.count(F.lit(1)).alias("linhas"))
+    )
+    return counted.filter((F.col("linhas") > 1) | F.col("valor").isNull())
+
+
+def audit_references(tables: Mapping[str, DataFrame], declared: Mapping[str, Table]) -> DataFrame:
+    """References without a parent row, of all tables at once: ``(tabela, coluna, referencia, valores, linhas)``.
+
+    The values of child columns and the keys of parents are tagged and counted together, by the parent they
+    belong to; so all references, those of a table to itself too, take one exchange of values
+    that were reduced in each task. References to tables that aren't there are left out; one
+    without broken values has zeros.
+    """
+    found = [
+        (name, column, parent, declared[parent].key)
+        for name, table in declared.items() if name in tables
+        for column, parent in table.references.items() if column in tables[name].columns and parent in tables
+    ]
+    schema = "tabela string, coluna string, referencia string, valores long, linhas long"
+    if not found:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], schema)
+    parents = {parent: key for _, _, parent, key in found}
+    sides = [
+        tables[p].select(F.lit(p).alias("_parent"), F.col(key).cast("string").alias("_value"), F.lit(-1).alias("_tag")) for p, key in parents.items()
+    ]
+    sides += [
+        tables[name].select(F.lit(parent).alias("_parent"), F.col(column).cast("string").alias("_value"), F.lit(tag).alias("_tag"))
+        for tag, (name, column, parent, _) in enumerate(found)
+    ]
+    tagged = reduce(DataFrame.unionByName, sides).filter("_value is not null")
+    counts = [F.count_if(F.col("_tag") == tag).alias(f"_{tag}") for tag in range(len(found))]
+    values = tagged.groupBy("_parent", "_value").agg(F.max(F.col("_tag") == -1).alias("_held"), *counts).filter("not _held")
+    sums = values.agg(
+        *[F.count_if(F.col(f"_{tag}") > 0).alias(f"_values{tag}") for tag in range(len(found))],
+        *[F.coalesce(F.sum(f"_{tag}"), F.lit(0)).alias(f"_rows{tag}") for tag in range(len(found))],
+    )
+    rows = [
+        F.struct(
+            F.lit(name).alias("tabela"), F.lit(column).alias("coluna"), F.lit(f"{parent}.{key}").alias("referencia"),
+            F.col(f"_values{tag}").alias("valores"), F.col(f"_rows{tag}").alias("linhas"),
+        )
+        for tag, (name, column, parent, key) in enumerate(found)
+    ]
+    return sums.select(F.explode(F.array(*rows)).alias("_row")).select("_row.*")
+
+
+def audit_domains(tables: Mapping[str, DataFrame], declared: Mapping[str, Table]) -> DataFrame:
+    """Values outside the declared domains of all tables: ``(tabela, coluna, valor, linhas)``; null is in every domain."""
+    parts = [
+        tables[name].filter(breaks_domain(F.col(column), values)).select(
+            F.lit(name).alias("tabela"), F.lit(column).alias("coluna"), F.col(column).cast("string").alias("valor")
+        )
+        for name, table in declared.items() if name in tables
+        for column, values in table.domains.items() if column in tables[name].columns
+    ]
+    if not parts:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "tabela string, coluna string, valor string, linhas long")
+    return reduce(DataFrame.unionByName, parts).groupBy("tabela", "coluna", "valor").agg(F.count(F.lit(1)).alias("linhas"))
+
+
 def breaks_domain(col: Column, values: Iterable[str]) -> Column:
     return ~col.isin(*values)
 
@@ -116,20 +193,15 @@ def audit_table(df: DataFrame, table: Table, parents: Mapping[str, DataFrame]) -
     counted = df.agg(*[F.count_if(broken).alias(name) for name, broken in rules.items()])
     report = counted.unpivot([], [F.col(f"`{n}`") for n in rules], "regra", "violacoes")
 
-    def count(name: str, broken: DataFrame) -> DataFrame:
-        return broken.agg(F.count(F.lit(1)).alias("violacoes")).select(
-            F.lit(name).alias("regra"), "violacoes"
-        )
-
-    if table.key in df.columns:
-        report = report.unionByName(count(f"primary_key:{table.key}", audit_pk(df, table.key)))
-    for c in table.unique:
-        if c in df.columns:
-            report = report.unionByName(count(f"unique:{c}", audit_unique(df, c)))
+    unique = [c for c in table.unique if c in df.columns]
+    names = [f"primary_key:{table.key}"] * (table.key in df.columns) + [f"unique:{c}" for c in unique]
+    if names:
+        broken = audit_keys(df, table.key, unique).groupBy().agg(*[F.count_if(F.col("regra") == n).alias(n) for n in names])
+        report = report.unionByName(broken.unpivot([], [F.col(f"`{n}`") for n in names], "regra", "violacoes"))
     for c, parent in table.references.items():
         if c in df.columns and parent in parents:
-            broken = audit_fk(df, c, parents[parent])
-            report = report.unionByName(count(f"reference:{c}", broken))
+            broken = audit_fk(df, c, parents[parent]).agg(F.count(F.lit(1)).alias("violacoes"))
+            report = report.unionByName(broken.select(F.lit(f"reference:{c}").alias("regra"), "violacoes"))
     return report
 
 

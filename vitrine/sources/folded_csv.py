@@ -133,9 +133,7 @@ def survey(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Survey]:
         # An empty authority is left out in the paths that rows carry.
         files += [(numbered[name], re.sub("^([^:/]+):///", r"\1:/", f)) for f in spark.read.text(path).inputFiles()]
         lines = text if lines is None else lines.unionByName(text)
-    place = scratch_dir(spark, "survey")
-    lines.select("value", "_table", "_file", "_block").mapInArrow(_counting(), _SPLIT_ROWS).write.parquet(f"{place}/counts")
-    counted = spark.read.schema(_SPLIT_ROWS).parquet(f"{place}/counts")
+    counted = lines.select("value", "_table", "_file", "_block").mapInArrow(_counting(), _SPLIT_ROWS)
     known = spark.createDataFrame(files, "_table int, _path string").withColumn("_file", F.xxhash64("_path"))
     counted = counted.join(known, ["_table", "_file"], "left")
 
@@ -160,8 +158,9 @@ def survey(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Survey]:
             F.row_number().over(in_table).cast("long").alias("_split"),
         )
     )
-    settled.write.parquet(f"{place}/splits")
-    splits = spark.read.schema(settled.schema).parquet(f"{place}/splits")
+    place = scratch_dir(spark, "survey")
+    settled.write.parquet(place)
+    splits = spark.read.schema(settled.schema).parquet(place)
     facts = splits.groupBy("_table").agg(
         F.sum("_starts").alias("starts"), F.countDistinct("_file").alias("files"), F.max(F.col("_odds") > 0).alias("folded"),
         F.max("_open").alias("crossing"), F.collect_set("_header").alias("headers"), F.count_if(F.col("_path").isNull()).alias("lost"),
@@ -211,6 +210,7 @@ def _joining():
             nonlocal pieces
             text, pieces = "\n".join(pieces or ()), None
             crossing = started == 0 or last and facts["_next_open"]
+            text = text if crossing else text.rstrip("\r")
             in_file, number = facts["_before_in_file"] + started, facts["_before"] + started
             if crossing or in_file > 1:
                 row = [number, text, *([facts["_file"], in_file, facts["_split"]] if crossing else [None] * 3)]
@@ -218,7 +218,7 @@ def _joining():
 
         def whole(lines, starts, first: int) -> Iterator[pa.RecordBatch]:
             """Records between two starts each, the header left out."""
-            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), lines), "\n")
+            texts = pc.utf8_rtrim(pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), lines), "\n"), "\r")
             n = len(texts)
             skip = 1 if facts["_before_in_file"] + first == 1 else 0
             numbers = facts["_before"] + first + np.arange(n)
@@ -280,7 +280,7 @@ def records(spark: SparkSession, found: Survey) -> DataFrame:
         return plain
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "text"))), lambda p: p["text"]), "\n")
     crossing = parts.filter("file is not null").groupBy("file", "in_file").agg(F.min("number").alias("number"), text.alias("text"))
-    return plain.unionByName(crossing.filter("in_file > 1").select("number", "text"))
+    return plain.unionByName(crossing.filter("in_file > 1").select("number", F.rtrim("text", F.lit("\r")).alias("text")))
 
 
 def parse(rows: DataFrame, found: Survey, row_number: str, typed: T.StructType | None = None, **options: str) -> DataFrame:
@@ -293,11 +293,10 @@ def parse(rows: DataFrame, found: Survey, row_number: str, typed: T.StructType |
     schema = typed or text_schema([*found.names, SURPLUS])
     options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", **options}
     ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
-    text = F.regexp_replace("text", "\r$", "")
-    parsed = F.from_csv(text, ddl, options)
+    parsed = F.from_csv("text", ddl, options)
     if found.folded:
         stray = F.raise_error(F.lit(f"stray quote in a table with records over several lines: {found.path}")).cast(schema)
-        parsed = F.when(text.rlike(WELL_FORMED), parsed).otherwise(stray)
+        parsed = F.when(F.col("text").rlike(WELL_FORMED), parsed).otherwise(stray)
     cells = rows.select(parsed.alias("_row"), F.col("number").alias(row_number))
     cells = cells.select(*[F.col("_row")[f.name].alias(f.name) for f in schema.fields], row_number)
     return cells if typed else without_surplus(cells)
