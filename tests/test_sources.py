@@ -12,6 +12,7 @@ from tests.conftest import rows
 from vitrine import schemas
 from vitrine.session import scratch_dir
 from vitrine.sources import csv_files, tables as sources
+from vitrine.sources.folded_csv import survey
 
 
 def write(folder, name, text):
@@ -252,3 +253,35 @@ def test_typed_load_of_folded_records(spark, tmp_path):
     bad = write(tmp_path, "u.csv", 'id,total,note\nx,2.50,"a\nb"\n')
     with pytest.raises(Exception, match="MALFORMED"):
         csv_files.read_csv_typed(spark, bad, schema).collect()
+
+
+def test_a_cell_of_one_null_character_stays(spark, tmp_path):
+    path = write(tmp_path, "t.csv", 'id,note\n1,\x00\n2,""\n3,\n')
+    schema = T.StructType.fromDDL("id long, note string")
+    assert rows(csv_files.read_csv_typed(spark, path, schema), "id") == [(1, "\x00"), (2, ""), (3, None)]
+
+
+def test_a_survey_counts_records_and_refuses_other_headers(spark, tmp_path, small_splits):
+    folded_file(tmp_path, "t.csv/part-0.csv", 1)
+    folded_file(tmp_path, "t.csv/part-1.csv", 151, "\r\n")
+    write(tmp_path, "plain.csv", "a,A,,b\n" + "1,2,3,4\n\n" * 100)
+    write(tmp_path, "empty.csv", "")
+    found = survey(spark, csv_files.list_csv_tables(spark, str(tmp_path)))
+    assert {n: (s.rows, s.folded, s.crossing) for n, s in found.items()} == {
+        "t": (300, True, True), "plain": (100, False, False), "empty": (0, False, False),
+    }
+    assert found["plain"].names == ["a0", "A1", "_c2", "b"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "plain.csv")).columns == found["plain"].names
+    write(tmp_path, "t.csv/part-2.csv", "id,other\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        survey(spark, {"t": str(tmp_path / "t.csv")})
+
+
+def test_drift_of_schemas(spark, tmp_path):
+    spark.range(3).selectExpr("id", "cast(id as string) as name", "1 as extra").write.parquet(str(tmp_path / "t"))
+    found = sources.file_schemas(spark, {"t": str(tmp_path / "t")})
+    declared = {"t": T.StructType.fromDDL("id long, name varchar(9), gone date"), "u": T.StructType.fromDDL("x int")}
+    declared["t"]["name"].dataType = T.LongType()
+    assert rows(sources.schema_drift(spark, found, declared), "coluna") == [
+        ("t", "extra", "nova", None, "int"), ("t", "gone", "perdida", "date", None), ("t", "name", "tipo", "bigint", "string"),
+    ]

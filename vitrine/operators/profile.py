@@ -257,7 +257,7 @@ def q1_quality(orders: DataFrame) -> DataFrame:
         F.count_if(total.isNull()).alias("nulos_total"),
         F.count_if(total < 0).alias("negativos_total"),
         F.count_if(F.col("created_at").isNull()).alias("nulos_created_at"),
-        F.count_if(F.isnan(total.cast("double"))).alias("valores_nao_finitos_total"),
+        F.count_if(F.isnan(total.cast("double")) | (F.abs(total.cast("double")) == float("inf"))).alias("valores_nao_finitos_total"),
     )
 
 

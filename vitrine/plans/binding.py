@@ -7,7 +7,7 @@ rows, unparsable cells, blanks around identifiers, spelled-out nulls).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # The test tables. A declared schema spares a look into the files for each plan.
 SCHEMAS = {
@@ -214,6 +214,97 @@ def raw_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataF
     return {name: build[name]() for name in names or build}
 
 
+_STAMP = "timestamp_ntz '2024-01-01 00:00:00'"
+_STAMPS = [f"{_STAMP} as created_at", f"{_STAMP} as updated_at"]
+_W_BRANDS = ["cast(substring(p_brand, 7) as bigint) as id", "p_brand as name", "cast(null as string) as country", "true as is_active", *_STAMPS]
+_W_CATEGORIES = [
+    "id", "p_type as name", "lower(p_type) as slug", "nullif(id - 1, 0) as parent_category_id", "true as is_active", *_STAMPS,
+]
+_W_CUSTOMERS = [
+    "c_custkey as id",
+    "case when c_mktsegment in ('BUILDING', 'HOUSEHOLD') then 'PF' else 'PJ' end as person_type",
+    "c_name as legal_name", "cast(null as string) as trade_name", "lpad(cast(c_custkey as string), 11, '0') as tax_id",
+    "cast(null as string) as state_registration", "concat('c', c_custkey, '@example.com') as email",
+    "lpad(cast(c_custkey as string), 11, '0') as phone", "c_acctbal >= 0 as is_active", *_STAMPS,
+]
+_W_EMPLOYEES = [
+    "s_suppkey as id", "s_name as full_name", "lpad(cast(s_suppkey as string), 11, '0') as cpf",
+    "concat('e', s_suppkey, '@example.com') as email", "'vendas' as role", "cast(s_nationkey as bigint) as primary_location_id",
+    "date '2020-01-31' as hire_date", "cast(null as date) as termination_date", "s_acctbal >= 0 as is_active", *_STAMPS,
+]
+_W_ORDERS = [
+    "o_orderkey as id", "concat('ORD-', o_orderkey) as order_number", "o_orderpriority as channel", "o_custkey as customer_id",
+    "o_orderkey % 10 as salesperson_id", "cast(1 as bigint) as location_id", "o_orderstatus as status",
+    "cast(o_totalprice as decimal(15,2)) as subtotal", "cast(0 as decimal(15,2)) as discount_amount",
+    "cast(o_totalprice as decimal(15,2)) as total", "o_orderdate as placed_at", "o_orderdate as created_at", "o_orderdate as updated_at",
+]
+_W_INVOICES = [
+    "o_orderkey as id", "o_orderkey as order_id", "concat('NF-', o_orderkey) as nfe_number",
+    "lpad(cast(o_orderkey as string), 44, '0') as nfe_access_key", "cast(1 as bigint) as series", "o_orderdate as issued_at",
+    "'emitida' as status", "cast(o_totalprice as decimal(15,2)) as total_amount", "concat('/nfe/', o_orderkey, '.xml') as xml_storage_uri",
+    "o_orderdate as created_at", "o_orderdate as updated_at",
+]
+
+
+def warehouse_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The six declared warehouse tables, sound and in their types."""
+    part, orders = read_table(spark, sf_dir, "part"), read_table(spark, sf_dir, "orders")
+    kinds = part.select("p_type").distinct().withColumn("id", F.row_number().over(Window.orderBy("p_type")).cast("long"))  # a handful
+    return {
+        "brands": part.select("p_brand").distinct().selectExpr(*_W_BRANDS),
+        "categories": kinds.selectExpr(*_W_CATEGORIES),
+        "customers": read_table(spark, sf_dir, "customer").selectExpr(*_W_CUSTOMERS),
+        "employees": read_table(spark, sf_dir, "supplier").selectExpr(*_W_EMPLOYEES),
+        "orders": orders.selectExpr(*_W_ORDERS),
+        "fiscal_invoices": orders.filter("o_orderstatus = 'F'").selectExpr(*_W_INVOICES),
+    }
+
+
+def broken_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The same with references that lead nowhere, and customers of no known kind."""
+    t = warehouse_tables(spark, sf_dir)
+    missing = "case when status = 'P' and channel = '5-LOW' then customer_id + 100000000 else customer_id end"
+    return t | {
+        "categories": t["categories"].withColumn("parent_category_id", F.col("id") + 1),
+        "customers": t["customers"].withColumn("person_type", F.expr("case when not is_active then 'XX' when id % 5 = 0 then null else person_type end")),
+        "orders": t["orders"].withColumns(
+            {
+                "salesperson_id": F.expr("case when status = 'P' then -1 - id % 7 when status = 'O' then null else salesperson_id end"),
+                "customer_id": F.expr(missing),
+            }
+        ),
+        "fiscal_invoices": t["fiscal_invoices"].withColumn("order_id", F.expr("case when id % 50 = 0 then -1 - id else order_id end")),
+    }
+
+
+def as_text(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {name: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]) for name, df in tables.items()}
+
+
+# Orders of which some lack their id and others have that of the next one.
+_BROKEN_ORDERS = [
+    "case when o_orderstatus = 'P' and o_orderpriority = '1-URGENT' then null "
+    "when o_orderstatus = 'P' and o_orderpriority in ('2-HIGH', '5-LOW') then cast(o_orderkey + 1 as string) "
+    "else cast(o_orderkey as string) end as id",
+    *_RAW_ORDERS[1:],
+]
+# What arrives after a refresh: some orders with another total, some under new ids.
+_LATER_ORDERS = [
+    "cast(case when o_orderstatus = 'F' then o_orderkey + 100000000 else o_orderkey end as string) as id",
+    *[c for c in _RAW_ORDERS[1:] if not c.endswith(" as total")],
+    "cast(cast(o_totalprice + 100 as decimal(18,2)) as string) as total",
+]
+
+
+def broken_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "orders").selectExpr(*_BROKEN_ORDERS)
+
+
+def later_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    later = read_table(spark, sf_dir, "orders").filter("o_orderstatus in ('O', 'F') and o_orderpriority = '1-URGENT'").selectExpr(*_LATER_ORDERS)
+    return later.select("id", "order_number", "channel", "customer_id", "status", "total", "placed_at", "created_at")
+
+
 def export_csv(tables: dict[str, DataFrame], folder: str) -> None:
     """Write each table as ``folder/<table>.csv/`` part files, cells as they are."""
     for name, df in tables.items():

@@ -115,6 +115,33 @@ _CTE = {
                CASE WHEN l_linenumber = 3 THEN 'a combinar'
                     ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END AS total_refund_amount
         FROM lineitem WHERE l_returnflag = 'R'""",
+    # The declared warehouse tables, and what is broken in them.
+    "w_brands": """
+        SELECT DISTINCT CAST(substr(p_brand, 7) AS BIGINT) AS id, p_brand AS name, CAST(NULL AS VARCHAR) AS country FROM part""",
+    "w_categories": """
+        SELECT id, name, nullif(id - 1, 0) AS parent_category_id
+        FROM (SELECT p_type AS name, row_number() OVER (ORDER BY p_type) AS id FROM (SELECT DISTINCT p_type FROM part))""",
+    "b_orders": """
+        SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN -1 - o_orderkey % 7 WHEN o_orderstatus = 'F' THEN o_orderkey % 10 END AS salesperson_id,
+               CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN o_custkey + 100000000 ELSE o_custkey END AS customer_id
+        FROM orders""",
+    "b_invoices": """
+        SELECT CASE WHEN o_orderkey % 50 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS order_id FROM orders WHERE o_orderstatus = 'F'""",
+    # Orders set apart, and mended.
+    "x_orders": """
+        SELECT CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN NULL
+                    WHEN o_orderstatus = 'P' AND o_orderpriority IN ('2-HIGH', '5-LOW') THEN o_orderkey + 1 ELSE o_orderkey END AS id,
+               'ORD-' || o_orderkey AS order_number, o_orderkey AS own
+        FROM orders""",
+    "x_marked": """
+        SELECT id, order_number, own, CASE WHEN id IS NULL THEN 'not_null:id'
+                    WHEN COUNT(*) OVER (PARTITION BY id) > 1 THEN 'primary_key:id' ELSE '' END AS regras
+        FROM x_orders""",
+    "later": """
+        SELECT CAST(CASE WHEN o_orderstatus = 'F' THEN o_orderkey + 100000000 ELSE o_orderkey END AS VARCHAR) AS id, o.order_number,
+               o.channel, o.customer_id, o.status, CAST(CAST(o_totalprice + 100 AS DECIMAL(18,2)) AS VARCHAR) AS total, o.placed_at, o.created_at
+        FROM orders JOIN one_order o ON CAST(o_orderkey AS VARCHAR) = o.id
+        WHERE o_orderstatus IN ('O', 'F') AND o_orderpriority = '1-URGENT'""",
     # Shared steps.
     "fences": """
         SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
@@ -506,8 +533,192 @@ _CLEAN_ORDERS = (
 )
 
 
+def _line(cells) -> str:
+    return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cells)
+
+
+# Types in which the payload cells of raw tables are read; other cells are text.
+_PAYLOAD_TYPES = {
+    "BIGINT": "id customer_id order_id product_variant_id product_id",
+    "DECIMAL(18,2)": "total line_total sale_price cost_price total_refund_amount",
+    "DECIMAL(18,4)": "quantity",
+    "TIMESTAMP": "placed_at created_at",
+    "BOOLEAN": "is_active",
+}
+# The declared columns of the treated tables, in order.
+_TREATED_COLUMNS = {
+    "orders": "id order_number channel customer_id salesperson_id location_id status subtotal discount_amount total placed_at created_at updated_at",
+    "order_items": "id order_id product_variant_id quantity unit_price icms_rate ipi_rate line_total",
+    "products": "id name description brand_id category_id ncm_code unit_of_measure is_active",
+    "product_variants": "id product_id sku barcode_ean sale_price cost_price weight_kg icms_rate ipi_rate is_active",
+    "customers": "id person_type legal_name trade_name tax_id state_registration email phone is_active created_at updated_at",
+    "addresses": "id customer_id address_type city state country is_primary",
+    "returns": "id order_id customer_id status reason total_refund_amount created_at",
+}
+_KIND = {c: kind for kind, names in _PAYLOAD_TYPES.items() for c in names.split()}
+
+
+def _typed(column: str) -> str:
+    cell = _na(column)
+    return f"TRY_CAST({cell} AS {_KIND[column]})" if column in _KIND else cell
+
+
+def _payload_lines() -> str:
+    parts = ["SELECT 'documents' AS tabela, " + _line(["doc_id", "text", "lang", "source"]) + " AS linha FROM documents"]
+    for table, (cte, names) in _RAW_COLUMNS.items():
+        held = [c for c in _TREATED_COLUMNS[table].split() if c in names.split()]
+        parts.append(f"SELECT '{table}', {_line(map(_typed, held))} FROM {cte}")
+    return " UNION ALL ".join(parts)
+
+
+_TRIMMED = "trim({c}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def _treated_lines() -> str:
+    parts, run = [], 0
+    for table in _LOADED:
+        run += 1
+        if table not in _RAW_COLUMNS:
+            continue
+        run += 1
+        cte, names = _RAW_COLUMNS[table]
+        clean = ", ".join(f"{_na(c)} AS {c}" for c in names.split())
+
+        def cell(c: str) -> str:
+            if c not in names.split():
+                return "NULL"
+            if table == "customers" and c in ("tax_id", "phone", "email"):
+                return _TRIMMED.format(c=c)
+            return _coerced(c) if c in _COERCED else f"TRY_CAST({c} AS {_KIND[c]})" if c in _KIND else c
+
+        cells = [*map(cell, _TREATED_COLUMNS[table].split()), str(run)]
+        parts.append(f"SELECT '{table}' AS tabela, {_line(cells)} AS linha FROM (SELECT DISTINCT {clean} FROM {cte})")
+    return " UNION ALL ".join(parts)
+
+
+def _numbered_payload() -> str:
+    stamp = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
+    cells = {c: stamp.format(c=c) if c.endswith("_at") else f"CAST({c} AS VARCHAR)" for c in _TREATED_COLUMNS["orders"].split()}
+    pairs = ", ".join(f"'{c}', {cell}" for c, cell in cells.items())
+    return (
+        "SELECT CAST(1 AS BIGINT) AS ingestion_run_id, 'orders' AS source_table, row_number() OVER (ORDER BY id) AS source_row_number, "
+        f"CAST(json_object({pairs}) AS VARCHAR) AS payload FROM l_orders"
+    )
+
+
+def _followed_payload() -> str:
+    names = _RAW_COLUMNS["orders"][1].split()
+    pairs = ", ".join(f"'{c}', {_na(c)}" for c in names)
+    both = f"(SELECT {', '.join(names)} FROM r_orders UNION ALL SELECT {', '.join(names)} FROM later)"
+    return f"SELECT 'orders' AS source_table, CAST(json_object({pairs}) AS VARCHAR) AS payload FROM {both}"
+
+
+def _merged() -> str:
+    names = _RAW_COLUMNS["orders"][1].split()
+    clean = ", ".join(f"{_na(c)} AS {c}" for c in names)
+    source = f"(SELECT DISTINCT {clean} FROM one_order WHERE id NOT IN (SELECT id FROM later) UNION ALL SELECT {clean} FROM later)"
+
+    def cell(c: str) -> str:
+        if c in ("subtotal", "discount_amount"):
+            return f"CAST(NULL AS DOUBLE) AS {c}"
+        if c not in names:
+            return f"CAST(NULL AS {'TIMESTAMP' if c == 'updated_at' else 'BIGINT'}) AS {c}"
+        if c in ("id", "customer_id"):
+            return f"CAST({c} AS BIGINT) AS {c}"
+        return f"CAST({_coerced(c)} AS DOUBLE) AS {c}" if c == "total" else f"{_coerced(c)} AS {c}"
+
+    return f"SELECT {', '.join(map(cell, _TREATED_COLUMNS['orders'].split()))} FROM {source}"
+
+
+_REPLAYED = """
+    SELECT id, order_number, regras FROM x_marked WHERE regras = ''
+    UNION ALL
+    SELECT own, order_number, CASE WHEN own IN (SELECT id FROM x_marked WHERE regras = '') THEN 'primary_key:id' ELSE '' END
+    FROM x_marked WHERE regras <> ''"""
+
+_WAREHOUSE_ROWS = """
+    SELECT 'brands' AS tabela, COUNT(*) AS linhas, COUNT(*) AS celulas_nulas, CAST(SUM(id) AS BIGINT) AS soma_ids FROM w_brands
+    UNION ALL SELECT 'categories', COUNT(*), COUNT(*) - COUNT(parent_category_id), CAST(SUM(id) AS BIGINT) FROM w_categories
+    UNION ALL SELECT 'customers', COUNT(*), 2 * COUNT(*), CAST(SUM(c_custkey) AS BIGINT) FROM customer
+    UNION ALL SELECT 'employees', COUNT(*), COUNT(*), CAST(SUM(s_suppkey) AS BIGINT) FROM supplier
+    UNION ALL SELECT 'orders', COUNT(*), 0, CAST(SUM(o_orderkey) AS BIGINT) FROM orders
+    UNION ALL SELECT 'fiscal_invoices', COUNT(*), 0, CAST(SUM(o_orderkey) AS BIGINT) FROM orders WHERE o_orderstatus = 'F'"""
+
+# (esquema, declared columns, rows and filled cells, columns lost, added and of another type)
+_SCHEMAS = [
+    ("treated.orders", 14, "l_orders", "id order_number channel customer_id status total placed_at created_at", 1, 0, 0),
+    ("treated.order_items", 9, "l_items", "order_id product_variant_id quantity line_total", 5, 0, 0),
+    ("treated.products", 9, "l_products", "id name", 7, 0, 0),
+    ("treated.product_variants", 11, "l_variants", "id product_id sale_price cost_price", 7, 0, 0),
+    ("treated.customers", 12, "l_customers", "id person_type legal_name", 9, 0, 0),
+    ("treated.addresses", 8, "l_addresses", "customer_id address_type state", 5, 0, 0),
+    ("treated.returns", 8, "l_returns", "order_id total_refund_amount", 6, 0, 0),
+]
+
+
+def _all_schemas() -> str:
+    parts = [
+        f"SELECT '{name}' AS esquema, CAST({n} AS BIGINT) AS colunas, COUNT(*) AS linhas, "
+        f"CAST({' + '.join(f'COUNT({c})' for c in filled.split())} AS BIGINT) AS celulas_preenchidas, "
+        f"CAST({lost} AS BIGINT) AS perdidas, CAST({added} AS BIGINT) AS novas, CAST({other} AS BIGINT) AS retipadas FROM {cte}"
+        for name, n, cte, filled, lost, added, other in _SCHEMAS
+    ]
+    sizes = {"brands": 6, "categories": 7, "customers": 11, "employees": 11, "orders": 13, "fiscal_invoices": 11}
+    parts += [
+        f"SELECT 'warehouse.{t}', {n}, linhas, CAST({n} * linhas - celulas_nulas AS BIGINT), 0, 0, 0 FROM ({_WAREHOUSE_ROWS}) WHERE tabela = '{t}'"
+        for t, n in sizes.items()
+    ]
+    parts.append(f"SELECT 'control.ingestion_runs', 8, COUNT(*), 8 * COUNT(*), 0, 0, 0 FROM ({_raw_log()} UNION ALL {_treated_log()})")
+    parts.append(
+        f"SELECT 'control.raw_csv_rows', 5, CAST(SUM(row_count) AS BIGINT), CAST(5 * SUM(row_count) AS BIGINT), 0, 0, 0 FROM ({_raw_log()})"
+    )
+    return " UNION ALL ".join(parts)
+
+
+def _reference(table: str, column: str, to: str, values: str, parent: str) -> str:
+    return (
+        f"SELECT '{table}' AS tabela, '{column}' AS coluna, '{to}.id' AS referencia, COUNT(DISTINCT v) AS valores, COUNT(v) AS linhas "
+        f"FROM ({values}) WHERE v NOT IN ({parent})"
+    )
+
+
+def _references() -> str:
+    return " UNION ALL ".join(
+        [
+            _reference("categories", "parent_category_id", "categories", "SELECT id + 1 AS v FROM w_categories", "SELECT id FROM w_categories"),
+            _reference("orders", "customer_id", "customers", "SELECT customer_id AS v FROM b_orders", "SELECT c_custkey FROM customer"),
+            _reference("orders", "salesperson_id", "employees", "SELECT salesperson_id AS v FROM b_orders", "SELECT s_suppkey FROM supplier"),
+            _reference("fiscal_invoices", "order_id", "orders", "SELECT order_id AS v FROM b_invoices", "SELECT id FROM b_orders"),
+            "SELECT 'raw_csv_rows', 'ingestion_run_id', 'ingestion_runs.id', 0, 0",
+        ]
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     body = {
+        "json_payload_tables": _payload_lines(),
+        "treated_tables_write": _treated_lines(),
+        "raw_json_numbered": _numbered_payload(),
+        "raw_after_arrivals": _followed_payload(),
+        "treated_after_merge": _merged(),
+        "quarantine_rows": "SELECT id, order_number, regras FROM x_marked WHERE regras <> ''",
+        "quarantine_replay": _REPLAYED,
+        "warehouse_load": _WAREHOUSE_ROWS,
+        "warehouse_by_channel": "SELECT o_orderpriority AS channel, COUNT(*) AS orders_count, "
+        "CAST(SUM(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) AS total_sales, "
+        "CAST(SUM(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / COUNT(*) AS average_ticket FROM orders GROUP BY 1",
+        "table_schemas_all": _all_schemas(),
+        "audit_keys": " UNION ALL ".join(
+            f"SELECT '{kind}:{c}' AS regra, {c} AS valor, COUNT(*) AS linhas FROM r_customers GROUP BY {c} HAVING COUNT(*) > 1"
+            for kind, c in (("primary_key", "id"), ("unique", "tax_id"), ("unique", "email"))
+        ),
+        "audit_references": _references(),
+        "audit_domains": "SELECT 'customers' AS tabela, 'person_type' AS coluna, 'XX' AS valor, COUNT(*) AS linhas "
+        "FROM customer WHERE c_acctbal < 0 HAVING COUNT(*) > 0 UNION ALL SELECT 'ingestion_runs', 'layer', 'bruto', 1",
+        "q1_quality_series": "SELECT COUNT(*) FILTER (WHERE total IS NULL) AS nulos_total, COUNT(*) FILTER (WHERE total < 0) AS negativos_total, "
+        "COUNT(*) FILTER (WHERE ts IS NULL) AS nulos_created_at, COUNT(*) FILTER (WHERE isnan(total) OR isinf(total)) AS valores_nao_finitos_total "
+        "FROM (SELECT ts, CASE event_type WHEN 'error' THEN CAST('NaN' AS DOUBLE) WHEN 'signup' THEN CAST('Infinity' AS DOUBLE) "
+        "WHEN 'purchase' THEN CAST('-Infinity' AS DOUBLE) ELSE value END AS total FROM events)",
         # Sources and layers.
         "csv_dir_scan": _csv_scan(),
         "csv_typed_load": "SELECT * REPLACE (CAST(subtotal AS DOUBLE) AS subtotal, "

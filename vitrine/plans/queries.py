@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from vitrine import schemas
 from vitrine.functions import coercion, text
 from vitrine.operators import (
-    customers as cust, forecast as fc, layers, profile, quality, recommend, sales, treatment,
+    customers as cust, forecast as fc, layers, profile, quality, recommend, sales, treatment, warehouse,
 )
 from vitrine.plans import binding
 from vitrine.session import scratch_dir
 from vitrine.sources import csv_files, tables as sources
+from vitrine.streaming.arrivals import ingest_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -95,6 +96,48 @@ def refreshed(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
+def quarantined(spark: SparkSession, sf_dir: str) -> str:
+    """A refresh that sets broken orders apart."""
+    orders = {"orders": binding.broken_orders(spark, sf_dir)}
+    folder = raw_csv_of(spark, sf_dir, "broken", orders)
+    return _once(spark, sf_dir, "apart", lambda out: layers.full_refresh(spark, folder, out, broken="quarantine"))
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> str:
+    """The same, the broken orders taken in again under the ids that their numbers hold."""
+    folder = raw_csv_of(spark, sf_dir, "broken", {"orders": binding.broken_orders(spark, sf_dir)})
+
+    def write(out: str) -> None:
+        layers.full_refresh(spark, folder, out, broken="quarantine")
+        layers.replay(spark, out, "orders", lambda df: df.withColumn("id", F.substring("order_number", 5, 30).cast("long")))
+
+    return _once(spark, sf_dir, "replayed", write)
+
+
+def raw_csv_of(spark: SparkSession, sf_dir: str, label: str, tables: dict[str, DataFrame]) -> str:
+    return _once(spark, sf_dir, label, lambda out: binding.export_csv(tables, out))
+
+
+def followed(spark: SparkSession, sf_dir: str) -> str:
+    """A refresh of the raw orders, and more orders that arrived since, merged."""
+    first = raw_csv_of(spark, sf_dir, "first", binding.raw_tables(spark, sf_dir, "orders"))
+    later = raw_csv_of(spark, sf_dir, "later", {"orders": binding.later_orders(spark, sf_dir)})
+    columns = binding.later_orders(spark, sf_dir).columns
+
+    def write(out: str) -> None:
+        layers.full_refresh(spark, first, out, newest_wins=True)
+        ingest_arrivals(spark, f"{later}/orders.csv", "orders", columns, out, f"{out}/state", multi_line=False).awaitTermination()
+        layers.merge_arrivals(spark, out, "orders")
+
+    return _once(spark, sf_dir, "followed", write)
+
+
+def loaded_warehouse(spark: SparkSession, sf_dir: str) -> str:
+    tables = binding.as_text(binding.warehouse_tables(spark, sf_dir))
+    folder = raw_csv_of(spark, sf_dir, "declared", tables)
+    return _once(spark, sf_dir, "warehouse", lambda out: warehouse.load_warehouse(spark, folder, out))
+
+
 # --- Sources ----------------------------------------------------------------
 
 
@@ -170,12 +213,11 @@ def json_payload_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns and rows of every table, by the schema that its files hold."""
+    paths = {name: f"{sf_dir}/{name}.parquet" for name in binding.TABLES}
     frames = []
-    for name in binding.TABLES:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        columns = sources.catalog_columns(df).agg(F.max("posicao").cast("long").alias("colunas"))
-        rows = df.agg(F.count(F.lit(1)).alias("linhas"))
-        frames.append(rows.select(F.lit(name).alias("tabela"), columns.scalar().alias("colunas"), "linhas"))
+    for name, schema in sources.file_schemas(spark, paths).items():
+        rows = spark.read.schema(schema).parquet(paths[name]).agg(F.count(F.lit(1)).alias("linhas"))
+        frames.append(rows.select(F.lit(name).alias("tabela"), F.lit(len(schema)).cast("long").alias("colunas"), "linhas"))
     return _union(frames)
 
 
@@ -275,6 +317,105 @@ def decimal_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _as_line(df: DataFrame, table: str) -> DataFrame:
+    """Each row as one text, so that rows of several tables can stand together."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns]
+    return df.select(F.lit(table).alias("tabela"), F.concat_ws("|", *cells).alias("linha"))
+
+
+@query
+def json_payload_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every raw table, read back from its payloads in the declared types."""
+    raw = layers.read_raw(spark, refreshed(spark, sf_dir))
+    found = {"documents": T.StructType.fromDDL("doc_id long, text string, lang string, source string")}
+    for name, df in binding.raw_tables(spark, sf_dir).items():
+        found[name] = T.StructType([f for f in schemas.TREATED[name].schema.fields if f.name in df.columns])
+    return _union([_as_line(sources.payload_table(raw, n, schema).drop("source_row_number"), n) for n, schema in found.items()])
+
+
+@query
+def treated_tables_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every treated table as written, with all its declared columns."""
+    return _union([_as_line(df, name) for name, df in layers.read_treated(spark, refreshed(spark, sf_dir)).items()])
+
+
+@query
+def raw_json_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = csv_files.read_csv_numbered(spark, f"{clean_csv(spark, sf_dir)}/orders.csv")
+    return layers.raw_json_rows(numbered, "orders", 1).drop("created_at")
+
+
+@query
+def raw_after_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw rows of a refresh and of the files that arrived since."""
+    return layers.read_raw(spark, followed(spark, sf_dir)).select("source_table", "payload")
+
+
+@query
+def treated_after_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The treated orders that follow those files, the newest row of each key."""
+    orders = layers.read_treated(spark, followed(spark, sf_dir))["orders"]
+    return _double(orders.drop("source_run_id"), "subtotal", "discount_amount", "total")
+
+
+@query
+def quarantine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders that a refresh sets apart, with the rules they break."""
+    apart = layers.read_quarantine(spark, quarantined(spark, sf_dir))["orders"]
+    return apart.select("id", "order_number", F.array_join("regras_violadas", ",").alias("regras"))
+
+
+@query
+def quarantine_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each order is after the broken ones were mended and taken in again."""
+    out = replayed(spark, sf_dir)
+    taken, left = layers.read_treated(spark, out)["orders"], layers.read_quarantine(spark, out)["orders"]
+    return taken.select("id", "order_number", F.lit("").alias("regras")).unionByName(
+        left.select("id", "order_number", F.array_join("regras_violadas", ",").alias("regras"))
+    )
+
+
+@query
+def warehouse_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, null cells and sum of the ids of each declared table, as loaded."""
+    frames = []
+    for name, df in warehouse.read_warehouse(spark, loaded_warehouse(spark, sf_dir)).items():
+        nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in df.columns])
+        measured = df.agg(F.count(F.lit(1)).alias("linhas"), F.sum(nulls).alias("celulas_nulas"), F.sum("id").alias("soma_ids"))
+        frames.append(measured.select(F.lit(name).alias("tabela"), "*"))
+    return _union(frames)
+
+
+@query
+def warehouse_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared view over the loaded orders, by its name."""
+    warehouse.order_views(warehouse.read_warehouse(spark, loaded_warehouse(spark, sf_dir)))
+    return sources.sql_source(spark, "SELECT * FROM v_orders_by_channel")
+
+
+@query
+def table_schemas_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All declared schemas: columns, how the tables at hand differ, and the rows and filled cells once they conform."""
+    out = refreshed(spark, sf_dir)
+    control = {"ingestion_runs": layers.read_log(spark, out), "raw_csv_rows": layers.read_raw(spark, out)}
+    found = {f"treated.{n}": df for n, df in binding.logical_tables(spark, sf_dir).items()}
+    found |= {f"warehouse.{n}": df for n, df in binding.warehouse_tables(spark, sf_dir).items()}
+    found |= {f"control.{n}": df for n, df in control.items()}
+    declared = schemas.table_schemas()
+    drift = sources.schema_drift(spark, {n: df.schema for n, df in found.items()}, declared)
+    kinds = {sources.LOST: "perdidas", sources.ADDED: "novas", sources.RETYPED: "retipadas"}
+    counted = drift.groupBy(F.col("tabela").alias("esquema")).agg(
+        *[F.count_if(F.col("situacao") == kind).alias(name) for kind, name in kinds.items()]
+    )
+    frames = []
+    for name, df in found.items():
+        conformed = layers.conform(df, schemas.declared_table(name))
+        filled = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("long") for c in conformed.columns])
+        measured = conformed.agg(F.count(F.lit(1)).alias("linhas"), F.sum(filled).alias("celulas_preenchidas"))
+        frames.append(measured.select(F.lit(name).alias("esquema"), F.lit(len(declared[name])).cast("long").alias("colunas"), "*"))
+    return _union(frames).join(counted, "esquema", "left").na.fill(0, list(kinds.values()))
+
+
 # --- Treatment --------------------------------------------------------------
 
 
@@ -419,6 +560,29 @@ def audit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.audit_table(t["orders"], schemas.WAREHOUSE["orders"], t)
 
 
+@query
+def audit_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = binding.raw_tables(spark, sf_dir, "customers")["customers"]
+    return quality.audit_keys(customers, "id", ("tax_id", "email"))
+
+
+@query
+def audit_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All declared references, those of the control tables too."""
+    out = refreshed(spark, sf_dir)
+    control = {"ingestion_runs": layers.read_log(spark, out), "raw_csv_rows": layers.read_raw(spark, out)}
+    return quality.audit_references(binding.broken_tables(spark, sf_dir) | control, schemas.WAREHOUSE | schemas.CONTROL)
+
+
+@query
+def audit_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All declared domains: the kinds of customers, and the layers in the log, one record of which has a layer of its own."""
+    log = layers.read_log(spark, refreshed(spark, sf_dir))
+    log = log.withColumn("layer", F.when(F.col("source_table") == "documents", F.lit("bruto")).otherwise(F.col("layer")))
+    tables = binding.broken_tables(spark, sf_dir) | {"ingestion_runs": log}
+    return quality.audit_domains(tables, schemas.WAREHOUSE | schemas.CONTROL)
+
+
 # --- Exploration ------------------------------------------------------------
 
 
@@ -527,6 +691,14 @@ def q1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.q1_quality(_orders(spark, sf_dir))
 
 
+@query
+def q1_quality_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over doubles that hold NaN and infinities."""
+    total = "case event_type when 'error' then double('NaN') when 'signup' then double('Infinity') when 'purchase' then -double('Infinity') else value end"
+    events = binding.read_table(spark, sf_dir, "events").selectExpr("ts as created_at", f"{total} as total")
+    return profile.q1_quality(events)
+
+
 @query
 def q1_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     treated = treatment.treat_table(

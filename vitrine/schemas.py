@@ -224,7 +224,7 @@ CONTROL: dict[str, Table] = {
             required="ingestion_run_id source_table source_row_number payload",
             defaults={"created_at": _NOW},
         ),
-        key="source_row_number",
+        key="",  # row numbers are unique within a run only
         references={"ingestion_run_id": "ingestion_runs"},
     ),
 }
@@ -266,6 +266,12 @@ def numeric_type(name: str) -> T.DecimalType:
     return T.DecimalType(18, 4 if name in FOUR_DECIMAL_COLUMNS else 2)
 
 
+def declared_table(name: str) -> Table:
+    """The declaration of ``layer.table``."""
+    layer, table = name.split(".")
+    return {"warehouse": WAREHOUSE, "treated": TREATED, "control": CONTROL}[layer][table]
+
+
 def table_schemas() -> dict[str, T.StructType]:
     """All declared schemas, keyed ``layer.table``."""
     layers = {"warehouse": WAREHOUSE, "treated": TREATED, "control": CONTROL}

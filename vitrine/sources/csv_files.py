@@ -6,6 +6,7 @@ of part files, which is how a large table is kept.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -113,10 +114,6 @@ def scan_csv_dir(
     return {name: read_csv_text(spark, path, na_tokens, layout, found[name]) for name, path in paths.items()}
 
 
-# Stands for a quoted empty text while a file is read; no text file holds this character.
-_QUOTED_EMPTY = "\x00"
-
-
 def read_csv_typed(
     spark: SparkSession, path: str, schema: T.StructType, layout: str | None = None
 ) -> DataFrame:
@@ -126,9 +123,10 @@ def read_csv_typed(
 
     A job converts the columns that it reads; writing the table checks them all.
     """
+    quoted_empty = uuid.uuid4().hex  # stands for a quoted empty text while the file is read; no cell can hold it
     options = {
         "nullValue": "",
-        "emptyValue": _QUOTED_EMPTY,
+        "emptyValue": quoted_empty,
         "escape": '"',
         "mode": "FAILFAST",
         "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
@@ -149,7 +147,7 @@ def read_csv_typed(
     text = [f.name for f in schema.fields if f.dataType == T.StringType()]
     return loaded.withColumns(
         {
-            c: F.when(named(c) == _QUOTED_EMPTY, F.lit("")).otherwise(named(c))
+            c: F.when(named(c) == quoted_empty, F.lit("")).otherwise(named(c))
             for c in text
         }
     )

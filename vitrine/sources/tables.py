@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -48,6 +49,31 @@ def catalog_columns(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "posicao int, coluna string, tipo string")
 
 
+def file_schemas(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, T.StructType]:
+    """The schemas that Parquet tables hold, by their footers, several looked up at a time."""
+    with ThreadPoolExecutor(8) as pool:
+        return dict(zip(paths, pool.map(lambda p: spark.read.parquet(p).schema, paths.values()), strict=True))
+
+
+#: How a column differs from its declaration.
+LOST, ADDED, RETYPED = "perdida", "nova", "tipo"
+
+
+def schema_drift(spark: SparkSession, found: Mapping[str, T.StructType], declared: Mapping[str, T.StructType]) -> DataFrame:
+    """Where the schemas of files differ from the declared ones: ``(tabela, coluna, situacao, declarado, encontrado)``.
+
+    A column is lost, added or of another type. Only schemas are compared, so no row is read; tables
+    on one side only are left out.
+    """
+    rows = []
+    for name in sorted(set(found) & set(declared)):
+        have, want = ({f.name: f.dataType.simpleString() for f in side[name].fields} for side in (found, declared))
+        rows += [(name, c, LOST, kind, None) for c, kind in want.items() if c not in have]
+        rows += [(name, c, ADDED, None, kind) for c, kind in have.items() if c not in want]
+        rows += [(name, c, RETYPED, kind, have[c]) for c, kind in want.items() if have.get(c, kind) != kind]
+    return spark.createDataFrame(rows, "tabela string, coluna string, situacao string, declarado string, encontrado string")
+
+
 def load_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     """How many tables were loaded, and how many orders."""
     count = F.count(F.lit(1)).alias("pedidos")
