@@ -108,3 +108,15 @@ def test_empty_tables(spark):
     assert phrases.kept_words(docs).count() == 0
     assert suffixes.report(docs).count() == 0
     assert suffixes.without_passages(docs).count() == 0
+
+
+def test_control_characters_in_words(spark):
+    """They sort before the space, but belong to words."""
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, passage), (2, passage + "\x01 more"), (3, passage + " other words"), (4, "\x02 " + passage + "\x1f"), (5, "x " + passage + " \x00 y")]
+    docs = cases.documents(spark, rows)
+    want = {i: sum(flags) for i, _, _, flags in covered_by_place(rows, 50)}
+    assert {r["doc_id"]: r["n_removed"] for r in suffixes.report(docs).collect()} == want
+    rows = [(1, "a b"), (2, "a b\x01"), (3, "a b c")]
+    found = suffixes.repeated_passages(cases.documents(spark, rows), window=2).collect()
+    assert [(r["id"], [tuple(s) for s in r["spans"]]) for r in found] == [(3, [(0, 2)])]

@@ -9,6 +9,7 @@ allows, those whose words are equal to an earlier window's repeat.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -24,6 +25,7 @@ from vitrine.llm.words import pieces
 #: Words that a repeated passage has at least.
 WINDOW = 50
 GRAM = 16
+_CONTROL = re.compile(rb"[\x00-\x08\x0E-\x1F]")
 
 
 def common(a: list[bytes], b: list[bytes]) -> int:
@@ -41,6 +43,9 @@ def extended(group: list[tuple], window: int) -> Iterator[tuple[int, int, int, i
 
     The group is all suffixes that begin with one minimiser: ``(before, after, id, copy, start, n)``.
     """
+    if any(_CONTROL.search(g[1]) for g in group):
+        # Such bytes are part of words but sort before the space, so the order of bytes isn't that of words.
+        group = sorted(group, key=lambda g: (g[1].split(), g[0]))
     before = [g[0].split() for g in group]
     after = [g[1].split() for g in group]
     shared = [common(x, y) for x, y in zip(after, after[1:], strict=False)]
