@@ -7,7 +7,7 @@ from tests.conftest import rows
 from tests.test_sources import write
 from vitrine import schemas
 from vitrine.operators.quality import ConstraintViolation
-from vitrine.operators import layers, treatment
+from vitrine.operators import layers, profile, treatment
 from vitrine.sources import csv_files, tables as sources
 
 
@@ -228,3 +228,17 @@ def test_declared_schemas(spark):
 def test_null_tokens_leave_other_types(spark):
     df = spark.createDataFrame([(1, "NA"), (2, "x")], "n int, v string")
     assert rows(csv_files.null_tokens(df), "n") == [(1, None), (2, "x")]
+
+
+def test_stored_counts_give_the_reports_of_the_layers(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(source, "products.csv", "id,name,description\n1,a,\n1,a,\n2,,N/A\n3,c,x\n")
+    write(source, "brands.csv", "id,name\n1,\n")
+    for options in ({}, {"newest_wins": True, "buckets": 4}, {"broken": "quarantine"}):
+        layers.full_refresh(spark, source, out, **options)
+        counts = layers.read_profile(spark, out)
+        assert rows(treatment.stored_report(counts)) == [("products", 4, 3, 1, 4, 3)]
+        assert rows(counts.filter("source_table = 'brands'").drop("source_table"), "coluna") == [("raw", "id", 1, 0), ("raw", "name", 1, 1)]
+        found = rows(profile.stored_null_profile(counts, "products"))
+        want = rows(profile.eda_null_profile(layers.read_treated(spark, out)["products"]))
+        assert found == want

@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from vitrine import schemas
 from vitrine.functions.names import named
@@ -185,6 +185,58 @@ def _with_broken(treated: DataFrame, table: str, taken: DataFrame | None = None)
     return treated.select(*treated_schema(table).names, found.alias("regras_violadas"))
 
 
+PROFILE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("layer", "source_table", "path")]
+    + [T.StructField("bucket", T.IntegerType()), T.StructField("coluna", T.StringType())]
+    + [T.StructField(n, T.LongType()) for n in ("linhas", "nulos")]
+)
+Count = tuple[str, str, str, int | None, str, int, int]
+
+
+def counting(df: DataFrame, columns: Iterable[str]) -> tuple[DataFrame, Callable[[Part], list[Count]]]:
+    """The frame, whose next write counts its rows and nulls by the way, and what gives these counts then."""
+    columns, counted = list(columns), Observation()
+    nulls = [F.count_if(named(c).isNull()).alias(f"n{k}") for k, c in enumerate(columns)]
+    observed = df.observe(counted, F.count(F.lit(1)).alias("rows"), *nulls)
+
+    def counts(part: Part) -> list[Count]:
+        found = counted.get
+        return [(part.layer, part.source_table, part.path, None, c, found["rows"], found[f"n{k}"]) for k, c in enumerate(columns)]
+
+    return observed, counts
+
+
+def _bucket_counts(written: DataFrame, part: Part) -> list[Count]:
+    """Rows and nulls of each bucket of a part: so many rows as it has buckets and columns."""
+    columns = [c for c in written.columns if c != "bucket"]
+    nulls = [F.count_if(F.col(c).isNull()).alias(c) for c in columns]
+    by_bucket = written.groupBy("bucket").agg(F.count(F.lit(1)).alias("_rows"), *nulls)
+    return [
+        (part.layer, part.source_table, part.path, r["bucket"], c, r["_rows"], r[c]) for r in by_bucket.collect() for c in columns
+    ]
+
+
+def write_profile(spark: SparkSession, out: str, name: str, counts: list[Count]) -> Part:
+    """Write the counts of a batch beside its layers."""
+    part = Part("profile", "", f"profiles/part={name}")
+    spark.createDataFrame(counts, PROFILE).coalesce(1).write.parquet(f"{out}/{part.path}")
+    return part
+
+
+def read_profile(spark: SparkSession, out: str) -> DataFrame:
+    """Rows and nulls of every column of the raw and treated tables, added up from the counts that were written
+    with their parts: ``(layer, source_table, coluna, linhas, nulos)``. No layer is read."""
+    found = current(spark, out)
+    held = [(p.path, None) for _, p in found.parts if p.layer in ("raw", "treated") and p.buckets is None]
+    for table in found.tables("treated"):
+        last = {b: p.path for _, p in found.of("treated", table) for b in p.buckets or ()}
+        held += [(path, b) for b, path in last.items()]
+    counts = read(spark, PROFILE, [f"{out}/{p.path}" for _, p in found.of("profile")])
+    valid = spark.createDataFrame(held, "path string, bucket int").withColumnRenamed("path", "_path").withColumnRenamed("bucket", "_bucket")
+    kept = counts.join(valid, (F.col("path") == F.col("_path")) & F.col("bucket").eqNullSafe(F.col("_bucket")), "left_semi")
+    return kept.groupBy("layer", "source_table", "coluna").agg(F.sum("linhas").alias("linhas"), F.sum("nulos").alias("nulos"))
+
+
 #: Tables that a refresh loads side by side.
 SIDE_BY_SIDE = 4
 
@@ -214,26 +266,27 @@ def full_refresh(
         numbers[table] = run_id + 1
         run_id += 2 if table in schemas.TREATED else 1
 
-    def load(table: str) -> tuple[list[Part], list[Run]]:
+    def load(table: str) -> tuple[list[Part], list[Run], list[Count]]:
         return _load(spark, found[table], table, out, name, numbers[table], broken, newest_wins, buckets)
 
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
         loaded = list(pool.map(load, found))
-    parts = [p for some, _ in loaded for p in some]
-    runs = [r for _, some in loaded for r in some]
-    commit(spark, before, REFRESH, name, [*parts, _log(spark, out, name, runs)], run_id)
+    parts, runs, counts = ([x for one in loaded for x in one[k]] for k in range(3))
+    commit(spark, before, REFRESH, name, [*parts, _log(spark, out, name, runs), write_profile(spark, out, name, counts)], run_id)
     return read_log(spark, out)
 
 
-def _load(spark, found: Survey, table: str, out: str, name: str, run_id: int, broken, newest_wins: bool, buckets: int) -> tuple[list[Part], list[Run]]:
+def _load(
+    spark: SparkSession, found: Survey, table: str, out: str, name: str, run_id: int, broken: str | None, newest_wins: bool, buckets: int
+) -> tuple[list[Part], list[Run], list[Count]]:
     """Write the raw rows of one table and, from their payloads, its treated rows."""
     raw = Part("raw", table, f"raw_csv_rows/source_table={table}/part={name}")
-    numbered = read_csv_numbered(spark, found.path, found=found)
+    numbered, raw_counts = counting(read_csv_numbered(spark, found.path, found=found), found.names)
     raw_json_rows(numbered, table, run_id).drop("source_table").write.parquet(f"{out}/{raw.path}")
     file_name, columns = f"{table}.csv", found.names
     parts, runs = [raw], [raw_run(run_id, file_name, table, found.rows, columns)]
     if table not in schemas.TREATED:
-        return parts, runs
+        return parts, runs, raw_counts(raw)
     written = spark.read.schema(_RAW).parquet(f"{out}/{raw.path}")
     key = schemas.TREATED[table].key
     if newest_wins:
@@ -241,12 +294,12 @@ def _load(spark, found: Survey, table: str, out: str, name: str, run_id: int, br
     else:
         rows = treated_rows(payload_text(written, columns).drop(ROW_NUMBER), table, run_id + 1)
     treated = Part("treated", table, f"treated_{table}/part={name}")
-    apart, count = _write_treated(spark, rows, table, f"{out}/{treated.path}", broken, key, buckets if newest_wins else None)
+    apart, count, counts = _write_treated(spark, rows, treated, out, broken, key, buckets if newest_wins else None)
     if newest_wins:
         treated = replace(treated, buckets=_buckets_at(spark, f"{out}/{treated.path}"), modulus=buckets)
     if apart is not None:
         parts.append(Part("quarantine", table, apart.removeprefix(f"{out}/")))
-    return [*parts, treated], [*runs, treated_run(run_id + 1, file_name, table, found.rows, count, columns)]
+    return [*parts, treated], [*runs, treated_run(run_id + 1, file_name, table, found.rows, count, columns)], [*raw_counts(raw), *counts]
 
 
 def _buckets_at(spark: SparkSession, path: str) -> tuple[int, ...]:
@@ -258,19 +311,26 @@ def _buckets_at(spark: SparkSession, path: str) -> tuple[int, ...]:
 
 
 def _write_treated(
-    spark: SparkSession, treated: DataFrame, table: str, path: str, broken: str | None, key: str, buckets: int | None
-) -> tuple[str | None, int]:
-    """Write one treated table, and what is quarantined; the path of this and the rows of both.
+    spark: SparkSession, treated: DataFrame, part: Part, out: str, broken: str | None, key: str, buckets: int | None
+) -> tuple[str | None, int, list[Count]]:
+    """Write one treated table, and what is quarantined; the path of this, the rows of both, and the counts of the table.
 
     Rows are marked before any is written, and each goes to its place in one write.
     """
+    table, path = part.source_table, f"{out}/{part.path}"
     schema = treated_schema(table)
-    if broken is None:
+
+    def write(rows: DataFrame) -> list[Count]:
         if buckets:
-            _write_buckets(_bucketed(treated, key, buckets), path)
-        else:
-            treated.write.parquet(path)
-        return None, spark.read.schema(schema).parquet(path).count()
+            _write_buckets(_bucketed(rows, key, buckets), path)
+            return _bucket_counts(spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path), part)
+        rows, counts = counting(rows, schema.names)
+        rows.write.parquet(path)
+        return counts(part)
+
+    if broken is None:
+        counts = write(treated)
+        return None, spark.read.schema(schema).parquet(path).count(), counts
     marked = f"{path}-marked"
     bad = F.size("regras_violadas") > 0
     _with_broken(treated, table).withColumn("apart", bad).write.partitionBy("apart").parquet(marked)
@@ -280,25 +340,22 @@ def _write_treated(
         rules = written.filter("apart").select(F.explode("regras_violadas").alias("regra"))
         report = rules.groupBy("regra").agg(F.count(F.lit(1)).alias("violacoes"))
         require_valid(report.select(F.concat(F.lit(f"{table}."), "regra").alias("regra"), "violacoes"))
-    kept = written.filter("not apart").select(*schema.names)
-    if buckets:
-        _write_buckets(_bucketed(kept, key, buckets), path)
-    else:
-        kept.write.parquet(path)
+    counts = write(written.filter("not apart").select(*schema.names))
     if broken == "fail":
-        return None, count
+        return None, count, counts
     apart = path.replace(f"/treated_{table}/", f"/quarantine_{table}/")
     written.filter("apart").drop("apart").write.parquet(apart)
-    return apart, count
+    return apart, count, counts
 
 
-def _rewrite(spark: SparkSession, found: Snapshot, table: str, rows: DataFrame, name: str, merged: int | None) -> Part:
+def _rewrite(spark: SparkSession, found: Snapshot, table: str, rows: DataFrame, name: str, merged: int | None) -> tuple[Part, list[Count]]:
     """Write the buckets that ``rows`` touch anew, with these in place of the rows of their keys."""
     old = [p for _, p in found.of("treated", table)]
     schema, key, modulus = treated_schema(table), schemas.TREATED[table].key, old[0].modulus
     place = f"treated_{table}/part={name}"
     _bucketed(rows, key, modulus).write.parquet(f"{found.out}/{place}-rows")
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{found.out}/{place}-rows")
+    with_bucket = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    rows = spark.read.schema(with_bucket).parquet(f"{found.out}/{place}-rows")
     touched = {r["bucket"] for r in rows.select("bucket").distinct().collect()}  # at most ``modulus``
     before = _bucketed(read(spark, schema, found.paths("treated", table, touched)), key, modulus)
     same = reduce(
@@ -307,7 +364,8 @@ def _rewrite(spark: SparkSession, found: Snapshot, table: str, rows: DataFrame,
     replaced = (F.col("n.bucket") == F.col("o.bucket")) & F.col(f"n.{key}").eqNullSafe(F.col(f"o.{key}")) & (F.col(f"n.{key}").isNotNull() | same)
     kept = before.alias("o").join(rows.alias("n"), replaced, "left_anti")
     _write_buckets(kept.unionByName(rows), f"{found.out}/{place}")
-    return Part("treated", table, place, tuple(sorted(touched)), modulus, merged)
+    part = Part("treated", table, place, tuple(sorted(touched)), modulus, merged)
+    return part, _bucket_counts(spark.read.schema(with_bucket).parquet(f"{found.out}/{place}"), part) if touched else []
 
 
 def merge_arrivals(spark: SparkSession, out: str, table: str) -> int:
@@ -330,11 +388,12 @@ def merge_arrivals(spark: SparkSession, out: str, table: str) -> int:
         DataFrame.unionByName,
         [payload_text(_raw_parts(spark, found, [p]), columns).withColumn("_commit", F.lit(n)) for n, p in arrived],
     )
-    part = _rewrite(spark, found, table, _newest_treated(text, table, ["_commit", ROW_NUMBER], run_id), name, max(n for n, _ in arrived))
+    rows = _newest_treated(text, table, ["_commit", ROW_NUMBER], run_id)
+    part, counts = _rewrite(spark, found, table, rows, name, max(n for n, _ in arrived))
     count = spark.read.schema(treated_schema(table)).parquet(f"{out}/{part.path}-rows").count()
     raw_count = _raw_parts(spark, found, [p for _, p in arrived]).count()
     log = _log(spark, out, name, [treated_run(run_id, f"{table}.csv", table, raw_count, count, columns)])
-    commit(spark, found, "merge", name, [part, log], run_id)
+    commit(spark, found, "merge", name, [part, log, write_profile(spark, out, name, counts)], run_id)
     return count
 
 
@@ -361,12 +420,14 @@ def replay(spark: SparkSession, out: str, table: str, correct: Callable[[DataFra
     count = good.count()
     old = found.of("treated", table)
     if any(p.modulus for _, p in old):
-        part = _rewrite(spark, found, table, good, name, max(n if p.merged is None else p.merged for n, p in old))
+        part, counts = _rewrite(spark, found, table, good, name, max(n if p.merged is None else p.merged for n, p in old))
     else:
         part = Part("treated", table, f"treated_{table}/part={name}")
+        good, counted = counting(good, schema.names)
         good.write.parquet(f"{out}/{part.path}")
+        counts = counted(part)
     log = _log(spark, out, name, [treated_run(run_id, f"{table}.csv", table, count, count, schemas.TREATED[table].schema.names)])
-    commit(spark, found, "replay", name, [part, left, log], run_id)
+    commit(spark, found, "replay", name, [part, left, log, write_profile(spark, out, name, counts)], run_id)
     return count
 
 

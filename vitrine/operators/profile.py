@@ -172,6 +172,12 @@ def eda_null_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def stored_null_profile(profile: DataFrame, table: str, layer: str = "treated") -> DataFrame:
+    """The null profile of a table of a layer, from the counts that were kept when it was written."""
+    own = profile.filter((F.col("layer") == layer) & (F.col("source_table") == table))
+    return own.select("coluna", "nulos", _share("nulos", "linhas").cast("double").alias("percentual")).orderBy(F.desc("nulos"), "coluna")
+
+
 # --- The order views -------------------------------------------------------
 
 

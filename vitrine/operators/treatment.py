@@ -98,6 +98,27 @@ def treatment_report(raw: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, reports).orderBy(F.desc("nulos_raw"), "tabela")
 
 
+def stored_report(profile: DataFrame) -> DataFrame:
+    """The same from the counts ``(layer, source_table, coluna, linhas, nulos)`` that were kept when the layers were written.
+
+    Null cells are those of the columns that a table has in both layers.
+    """
+    def side(layer: str) -> DataFrame:
+        rows = F.col("linhas").alias(f"{layer}_linhas")
+        return profile.filter(F.col("layer") == layer).select("source_table", "coluna", rows, F.col("nulos").alias(f"nulos_{layer}"))
+
+    both = side("raw").join(side("treated"), ["source_table", "coluna"])
+    return (
+        both.groupBy(F.col("source_table").alias("tabela"))
+        .agg(
+            F.max("raw_linhas").alias("raw_linhas"), F.max("treated_linhas").alias("treated_linhas"),
+            F.max(F.col("raw_linhas") - F.col("treated_linhas")).alias("duplicados_removidos"),
+            F.sum("nulos_raw").alias("nulos_raw"), F.sum("nulos_treated").alias("nulos_treated"),
+        )
+        .orderBy(F.desc("nulos_raw"), "tabela")
+    )
+
+
 def top_tables(report: DataFrame, measure: str, n: int = 12) -> DataFrame:
     """The ``n`` tables with the highest ``measure`` of the report."""
     return report.select("tabela", measure).orderBy(F.desc(measure), "tabela").limit(n)

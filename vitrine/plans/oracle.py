@@ -765,6 +765,11 @@ def oracle_sql() -> dict[str, str]:
         "UNION ALL SELECT 'tax_id', tax_id FROM r_customers",
         "treat_table": "SELECT " + _treated_orders(_RAW_COLUMNS["orders"][1], _CLEAN_ORDERS),
         "treatment_report": _report(),
+        "treatment_report_stored": _report(),
+        "null_profile_stored": " UNION ALL ".join(
+            f"SELECT '{c}' AS coluna, COUNT(*) - COUNT({c}) AS nulos, round((COUNT(*) - COUNT({c})) * 100.0 / COUNT(*), 6) AS percentual FROM ({_merged()})"
+            for c in _TREATED_COLUMNS["orders"].split()
+        ) + f" UNION ALL SELECT 'source_run_id', 0, 0.0 FROM (SELECT 1)",
         "top12_null_tables": f"SELECT tabela, nulos_raw FROM ({_report()}) "
         "ORDER BY nulos_raw DESC, tabela LIMIT 12",
         "top12_dup_tables": f"SELECT tabela, duplicados_removidos FROM ({_report()}) "

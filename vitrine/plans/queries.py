@@ -476,6 +476,18 @@ def treatment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir)
 
 
+@query
+def treatment_report_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the counts kept with the layers; none of these is read."""
+    return treatment.stored_report(layers.read_profile(spark, refreshed(spark, sf_dir)))
+
+
+@query
+def null_profile_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls of the treated orders after a merge, from those counts."""
+    return _round(profile.stored_null_profile(layers.read_profile(spark, followed(spark, sf_dir)), "orders"), "percentual")
+
+
 @query
 def top12_null_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treatment.top_tables(_report(spark, sf_dir), "nulos_raw")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from vitrine import schemas
-from vitrine.operators.layers import raw_json_rows, raw_run, run_log
+from vitrine.operators.layers import counting, write_profile, raw_json_rows, raw_run, run_log
 from vitrine.operators.manifest import ConcurrentCommit, Part, commit, snapshot
 from vitrine.sources.csv_files import ROW_NUMBER, null_tokens, number_split_rows, with_splits
 from vitrine.sources.folded_csv import SURPLUS, text_schema, without_surplus
@@ -60,14 +60,16 @@ def ingest_arrivals(
         numbered = null_tokens(without_surplus(number_split_rows(batch, ROW_NUMBER)), columns=columns)
         place = f"part=arrival-{number}-{uuid.uuid4().hex}"
         raw = Part("raw", table, f"raw_csv_rows/source_table={table}/{place}")
+        numbered, counts = counting(numbered, columns)
         raw_json_rows(numbered, table, run_id).drop("source_table").write.parquet(f"{out}/{raw.path}")
+        profile = write_profile(session, out, place.removeprefix("part="), counts(raw))
         count = session.read.schema(schemas.CONTROL["raw_csv_rows"].schema).parquet(f"{out}/{raw.path}").count()
         log = Part("log", "", f"ingestion_runs/{place}")
         record = raw_run(run_id, f"{table}.csv", table, count, list(columns))
         run_log(session, [record]).coalesce(1).write.parquet(f"{out}/{log.path}")
         while True:
             try:
-                commit(session, snapshot(session, out), "arrival", name, [raw, log])
+                commit(session, snapshot(session, out), "arrival", name, [raw, log, profile])
                 return
             except ConcurrentCommit:  # rows only get added, so the next number does as well
                 continue
