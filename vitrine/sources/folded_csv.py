@@ -135,7 +135,8 @@ def survey(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Survey]:
         lines = text if lines is None else lines.unionByName(text)
     counted = lines.select("value", "_table", "_file", "_block").mapInArrow(_counting(), _SPLIT_ROWS)
     known = spark.createDataFrame(files, "_table int, _path string").withColumn("_file", F.xxhash64("_path"))
-    counted = counted.join(known, ["_table", "_file"], "left")
+    # Dealt by table once, which is what all windows below need.
+    counted = counted.join(known, ["_table", "_file"], "left").repartition("_table")
 
     in_file = Window.partitionBy("_table", "_file").orderBy("_block")
     earlier_in_file = in_file.rowsBetween(Window.unboundedPreceding, -1)
