@@ -1,16 +1,20 @@
 """Sharding by balanced label propagation.
 
 Documents that share a hub (here: an equal text) are linked. All start in a shard
-given by hash. In each round, every hub looks up in which shards
-its documents lie; those elsewhere move to the one that holds most of them, among
-shards with room, as far as room allows. Last, shards above their quota pass on
-documents without links, and then parts of the smallest hubs, to shards below
-theirs, so that counts end at most one apart; what is passed on goes hub by hub.
+given by hash. Hubs that take a good part of a shard are placed first, the largest
+first, in the shard that holds most of them, else in the emptiest; one larger than a
+shard fills several. Then, in each round, every other hub whose documents still lie in
+several shards, or in one that never granted it room, asks for the shard that holds
+most of them, among shards where it fits, else for one drawn by the room left. Shards grant what
+they have room for; the documents of granted hubs move there together. What is granted
+no room, and documents without links, fill the rest of the shards hub by hub, so that
+counts end at most one apart and a shard's border cuts a hub at most.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +22,12 @@ from pyspark.sql import functions as F
 from vitrine.llm.store import Store
 
 SHARDS = 40
+#: Rounds of asking, at most; hubs left after them are dealt one after another, which keeps them together too.
 ROUNDS = 16
-#: A shard is full if less than this part of its quota is left.
-SLACK = 10
+#: Hubs above this part of a quota are placed one by one: fewer than ``LARGE`` a shard.
+LARGE = 8
+#: Rounds end once they grant less than this part of the room that is left.
+WORTH = 100
 
 
 def _fraction(*columns) -> Column:
@@ -32,45 +39,64 @@ def _of_shard(values: list, shard: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), shard + 1)
 
 
-def _loads(rows: DataFrame, shards: int) -> list[int]:
-    """Documents of each shard; one row a shard comes to the driver."""
-    loads = [0] * shards
-    for shard, n in rows.groupBy("shard").count().collect():
-        loads[shard] = n
-    return loads
-
+def packed(large: list[tuple], quotas: list[int]) -> tuple[list[tuple], list[int]]:
+    """``(which, low, high, shard)``: documents low to high - 1 of hub ``which`` go to a shard; and the room left.
 
-def propagate(linked: DataFrame, quota: int, shards: int, rounds: int, store: Store) -> DataFrame:
-    """``linked(row, hub, shard)`` with better shards, no more than ``quota`` moving up to in any.
-
-    Documents without links don't count, as they make room at no cost. Documents outside the shard that holds most of their hub, never grow in
-    number by a move. A move to a shard is taken with the chance that its room allows,
-    by hash, so that a hot hub fills a shard and goes on to the next. Documents of one hub
-    and shard are counted before they are shuffled.
+    ``large`` has (documents, shard that holds most of them) of each hub. Hubs are placed by falling size, whole where
+    they fit; the quotas add up to the number of documents at least.
+    """
+    room = list(quotas)
+    shards = range(len(room))
+    parts = []
+    for which, (size, home) in sorted(enumerate(large), key=lambda r: (-r[1][0], r[0])):
+        shard = home if room[home] >= max(1, min(size, quotas[home])) else max(shards, key=room.__getitem__)
+        done = 0
+        while done < size:
+            n = min(size - done, room[shard])
+            parts.append((which, done, done + n, shard))
+            room[shard] -= n
+            done += n
+            shard = max(shards, key=room.__getitem__)
+    return parts, room
+
+
+def _drawn(room: list[int], *columns) -> Column:
+    """A shard by hash, as likely as its share of the room."""
+    sums = list(accumulate(room))
+    at = _fraction(*columns) * sums[-1]
+    return F.size(F.filter(F.array(*[F.lit(float(v)) for v in sums[:-1]]), lambda v: v <= at)) if len(room) > 1 else F.lit(0)
+
+
+def propagate(counts: DataFrame, room: list[int], rounds: int, store: Store) -> DataFrame:
+    """``(hub, target)`` for the hubs of ``counts(hub, hub_size, shard, n)`` that were granted room.
+
+    A hub asks where most of its documents lie (ties by hash), as long as it fits there. A shard asked
+    for more than its room grants each with the chance that this allows, so it may end a little above; the caller
+    evens that out. Only sums by shard come to the driver.
     """
-    current = store.put(linked, "round0")
+    left, granted = store.put(counts, "left0"), counts.select("hub", F.col("shard").alias("target")).limit(0)
     for k in range(rounds):
-        room = [quota - n if quota - n >= max(1, quota // SLACK) else 0 for n in _loads(current, shards)]
-        counts = current.groupBy("hub", "shard").agg(F.count("*").alias("n"))
-        best = counts.groupBy("hub").agg(
-            F.max(F.when(_of_shard(room, F.col("shard")) > 0, F.struct("n", (-F.col("shard")).alias("s")))).alias("best"),
-            F.max("n").alias("most"), F.count("*").alias("parts"),
-        ).where("parts > 1 and best is not null").select("hub", F.col("best.n").alias("there"), (-F.col("best.s")).alias("target"))
-        moves = counts.join(best, "hub").where("n < there or n = there and shard > target").where("shard <> target")
-        moves = store.put(moves.select("hub", "shard", "n", "target"), f"moves{k}")
-        demand = {t: n for t, n in moves.groupBy("target").agg(F.sum("n")).collect()}
-        if not demand:
+        if not any(room):
             break
-        chance = [min(1.0, room[s] / demand[s]) if demand.get(s) else 0.0 for s in range(shards)]
-        moved = current.join(moves.select("hub", "shard", "target"), ["hub", "shard"], "left").select(
-            "row", "hub",
-            F.when(
-                F.col("target").isNotNull() & (_fraction(F.lit(k), "row") < _of_shard(chance, F.col("target"))), F.col("target")
-            ).otherwise(F.col("shard")).alias("shard"),
+        fits = _of_shard(room, F.col("shard")) >= F.col("hub_size")
+        own = F.max(F.when(fits, F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")))
+        asked = left.groupBy("hub", "hub_size").agg(own.alias("own")).select(
+            "hub", "hub_size", F.coalesce("own.shard", _drawn(room, F.lit(-1 - k), "hub")).alias("target")
         )
-        current = store.put(moved, f"round{k + 1}")
-        store.drop(f"round{k}", f"moves{k}")
-    return current
+        asked = store.put(asked, f"asked{k}")
+        demand = {t: n for t, n in asked.groupBy("target").agg(F.sum("hub_size")).collect()}
+        if not demand:
+            break
+        chance = [min(1.0, room[s] / demand[s]) if demand.get(s) else 0.0 for s in range(len(room))]
+        won = store.put(asked.where(_fraction(F.lit(k), "hub") < _of_shard(chance, F.col("target"))), f"won{k}")
+        taken = {t: n for t, n in won.groupBy("target").agg(F.sum("hub_size")).collect()}
+        room = [max(0, r - taken.get(s, 0)) for s, r in enumerate(room)]
+        granted = granted.union(won.select("hub", "target"))
+        left = store.put(left.join(won.select("hub"), "hub", "left_anti"), f"left{k + 1}")
+        store.drop(f"left{k}", f"asked{k}")
+        if sum(taken.values()) * WORTH < sum(room):
+            break
+    return granted
 
 
 def numbered(rows: DataFrame, group: str, groups: int, order: list, store: Store) -> DataFrame:
@@ -103,7 +129,8 @@ def by_rows(
     Equal texts are linked; a hub larger than a shard fills several. Repeated rows are
     documents of their own, rows with a null id too. ``slot`` counts from 0 without gaps.
     """
-    store = store or Store(docs.sparkSession, "shards")
+    spark = docs.sparkSession
+    store = store or Store(spark, "shards")
     text = F.col(text_col)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
@@ -114,36 +141,40 @@ def by_rows(
     rows = store.put(rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")), "rows")
     total = rows.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
-    hubs = store.put(rows.where("hub is not null").groupBy("hub").agg(F.count("*").alias("hub_size")).where("hub_size > 1"), "hubs")
-    linked = store.put(rows.select("row", "hub", "shard").join(hubs, "hub").select("row", "hub", "shard"), "linked")
-    settled = propagate(linked, -(-total // shards), shards, rounds, store)
-    placed = (
-        rows.withColumnRenamed("shard", "start").join(settled.select("row", F.col("shard").alias("moved")), "row", "left")
-        .join(hubs, "hub", "left")
-        .select(
-            "doc_id", "size", "text_crc32", "hub", "row", F.coalesce("moved", "start").alias("label"),
-            F.coalesce("hub_size", F.lit(1)).alias("hub_size"),
-        )
-    )
-    ranked = numbered(placed, "label", shards, [F.desc("hub_size"), "hub", "doc_id", "row"], store)
+    held = rows.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"))
+    hubs = held.groupBy("hub").agg(F.sum("n").alias("hub_size"), F.collect_list(F.struct("n", "shard")).alias("held"))  # one entry a shard
+    hubs = store.put(hubs.where("hub_size > 1"), "hubs")
+    is_large = F.col("hub_size") * LARGE > quotas[0]
+    large = hubs.where(is_large).select("hub", "hub_size", F.array_max("held").getField("shard")).collect()  # below LARGE * shards rows
+    parts, room = packed([(n, home) for _, n, home in large], quotas)
+    granted = propagate(hubs.where(~is_large).select("hub", "hub_size", F.inline("held")), room, rounds, store)
+
+    columns = ["doc_id", "size", "text_crc32", "hub", "row", "hub_size", "target"]
+    named = spark.createDataFrame([(*r[:2], k) for k, r in enumerate(large)], "hub struct<a:long,b:long>, hub_size long, which int")
+    named, parts = F.broadcast(named), F.broadcast(spark.createDataFrame(parts, "which int, low long, high long, target int"))
+    of_large = numbered(rows.drop("shard").join(named, "hub"), "which", len(large), ["doc_id", "row"], Store(spark, "large"))
+    of_large = of_large.join(parts, "which").where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))).select(columns)
+    labels = hubs.where(~is_large).select("hub", "hub_size").join(granted, "hub", "left")
+    others = rows.join(named.select("hub"), "hub", "left_anti").join(labels, "hub", "left")
+    others = others.withColumn("hub_size", F.coalesce("hub_size", F.lit(1))).select(columns)
+    placed = store.put(of_large.union(others).withColumnRenamed("target", "label"), "placed")
+    order = [F.desc("hub_size"), "hub", "doc_id", "row"]
+    ranked = numbered(placed.where("label is not null"), "label", shards, order, store)
     loads = [0] * shards
     for label, n in ranked.groupBy("label").count().collect():
         loads[label] = n
-    under = [max(0, q - n) for n, q in zip(loads, quotas, strict=True)]
-    first = [sum(under[:s]) for s in range(shards)]
     out = F.col("place") >= _of_shard(quotas, F.col("label"))
-    passed = ranked.where(out).drop("place").withColumn("label", F.lit(0))
-    passed = numbered(passed, "label", 1, [F.desc("hub_size"), "hub", "doc_id", "row"], Store(docs.sparkSession, "passed"))
-    target = reduce(
-        lambda c, s: F.when(F.col("place") >= F.lit(first[s]), F.lit(s)).otherwise(c), [s for s in range(shards) if under[s]], F.lit(0)
-    )
-    held = [min(n, q) for n, q in zip(loads, quotas, strict=True)]
-    columns = ["doc_id", "size", "text_crc32"]
-    stay = ranked.where(~out).select(*columns, F.col("label").alias("shard"), F.col("place").alias("slot"))
-    moved = passed.withColumn("shard", target).select(
-        *columns, "shard", (F.col("place") - _of_shard(first, F.col("shard")) + _of_shard(held, F.col("shard"))).alias("slot")
-    )
-    return stay.union(moved).select(
-        *columns, F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
+    rest = ranked.where(out).drop("place").unionByName(placed.where("label is null"))
+    rest = numbered(rest.withColumn("label", F.lit(0)), "label", 1, order, Store(spark, "rest"))
+    under = [max(0, q - n) for n, q in zip(loads, quotas, strict=True)]
+    by_room = sorted(range(shards), key=lambda s: -under[s])
+    first = dict(zip(by_room, accumulate([0] + [under[s] for s in by_room[:-1]]), strict=True))
+    target = reduce(lambda c, s: F.when(F.col("place") >= F.lit(first[s]), F.lit(s)).otherwise(c), [s for s in by_room if under[s]], F.lit(0))
+    shift = [min(n, q) - first[s] for s, (n, q) in enumerate(zip(loads, quotas, strict=True))]
+    names = ["doc_id", "size", "text_crc32"]
+    stay = ranked.where(~out).select(*names, F.col("label").alias("shard"), F.col("place").alias("slot"))
+    filled = rest.withColumn("shard", target).select(*names, "shard", (F.col("place") + _of_shard(shift, F.col("shard"))).alias("slot"))
+    return stay.union(filled).select(
+        *names, F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
