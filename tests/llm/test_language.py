@@ -41,10 +41,55 @@ def test_rare_words_are_joined(spark, monkeypatch):
     check(spark, cases.texts())
 
 
-def test_classes_of_pairs_add_up(spark):
+def test_blocks_of_pairs_add_up(spark, monkeypatch):
     whole = {r["doc_id"]: r["score"] for r in check(spark, cases.texts()) if r["doc_id"] is not None}
-    parts = {r["doc_id"]: r["score"] for r in check(spark, cases.texts(), most_bytes=1_000) if r["doc_id"] is not None}
-    assert all(abs(parts[i] - whole[i]) < 0.1 * abs(whole[i]) + 1 for i in whole)
+    monkeypatch.setattr(language, "blocks", lambda words, pairs, most: 3)
+    parts = {r["doc_id"]: r["score"] for r in check(spark, cases.texts()) if r["doc_id"] is not None}
+    assert all(abs(parts[i] - whole[i]) < 1e-6 for i in whole)
+
+
+def test_blocks_keep_the_bound():
+    draw = np.random.default_rng(2)
+    words, pairs = draw.integers(0, 90, 16), draw.integers(0, 90, (16, 16))
+    for most in (1 << 20, 6_000, 1_500, 400):
+        groups = language.blocks(words, pairs, most)
+        group = np.arange(16) * groups // 16
+        for a in range(groups):
+            for b in range(groups):
+                assert words[(group == a) | (group == b)].sum() + pairs[np.ix_(group == a, group == b)].sum() <= most
+    assert language.blocks(words, pairs, 1 << 20) == 1 and language.blocks(words, pairs, 1) == 16
+
+
+def quantised_score(rows, prior=language.PRIOR):
+    """The score with the levels held in dicts instead of filters."""
+    words, pairs = Counter(), Counter()
+    for i, t in rows:
+        if not is_held_out(i):
+            own = tokens(t)
+            words.update(own)
+            pairs.update(zip([None, *own[:-1]], own, strict=True))
+    value = lambda n, base: language.values_of(base)[language.levels_of(np.array([n]), base)[0]] if n else 0.0
+    mass, distinct = sum(value(n, language.WORD_BASE) for n in words.values()), len(words)
+    out = {}
+    for i, t in rows:
+        total, before = 0.0, None
+        for w in tokens(t):
+            pair = value(pairs[before, w], language.PAIR_BASE)
+            context = max(value(words[before], language.WORD_BASE), pair)
+            plain = (value(words[w], language.WORD_BASE) + language.ADD) / (mass + language.ADD * (distinct + 1))
+            total += math.log10((pair + prior * plain) / (context + prior))
+            before = w
+        out[i] = total
+    return out
+
+
+def test_score_is_that_of_exact_levels_but_for_false_positives(spark):
+    rows = [(i, t) for i, t in cases.texts() if i is not None]
+    rows = [r for k, r in enumerate(rows) if r[0] not in {i for i, _ in rows[:k]}]
+    want = quantised_score(rows)
+    got = {r["doc_id"]: r["score"] for r in language.score(cases.documents(spark, rows)).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[i] - want[i]) <= 0.02 * abs(want[i]) for i in want)
 
 
 def test_empty_table(spark):
@@ -65,11 +110,11 @@ def test_filter_holds_at_least_the_levels(base):
     draw = np.random.default_rng(1)
     keys = draw.integers(0, 1 << 63, 4_000, np.uint64)
     counts = draw.geometric(0.2, 4_000)
-    bits = np.zeros((language.SLICES, 256), np.uint8)
-    for s in range(language.SLICES):
-        own = (keys >> np.uint64(56)) == s
-        bits[s] = language.slice_bits(keys[own], counts[own], base, 2_048)
-    found = language.Filter(bits, base).levels(keys)
+    at = language.cell_of(keys, 16)
+    slices = {s: language.slice_bits(keys[at == s], counts[at == s], base, 12).tobytes() for s in range(15)}  # one isn't held
+    found = language.Filter.of(slices, 16, base).levels(keys, at)
+    assert (found[at == 15] == 0).all()
+    found, counts = found[at < 15], counts[at < 15]
     exact = language.levels_of(counts, base)
     assert (found >= exact).all()
     assert (found == exact).mean() > 0.9

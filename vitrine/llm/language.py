@@ -3,15 +3,18 @@
 Counts of words and word pairs are quantised to levels, a step a factor. The filter
 holds (n-gram, 1) up to (n-gram, level); a reader probes level after level until
 one is missing. It is sent to the workers, which score whole texts:
-p(w | v) = (c(v, w) + prior * p(w)) / (c(v) + prior), with p(w) smoothed as well. Filters have
-a bound: if the pairs need more, they are divided by the word that comes first into
-classes, each with a filter of its own, sent one after another.
+p(w | v) = (c(v, w) + prior * p(w)) / (c(v) + prior), with p(w) smoothed as well. Each slice
+of a filter has bits for what it holds, so false positives are as rare at every size. What is
+sent at once has a bound: if words and pairs need more, words are divided into groups by hash,
+and pairs by the groups of both their words; each block of pairs goes out with the words of its two groups.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +26,15 @@ from vitrine.llm.words import mix, pieces, signed
 
 #: The token that ends a text, and stands before its first word.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Filter bits a training token for pairs and for words, and the greatest filter in bytes.
-PAIR_BITS, WORD_BITS = 4, 1
+#: Filter bits an entry (an n-gram at a level) for pairs and for words, and the greatest filters sent at once, in bytes.
+PAIR_BITS, WORD_BITS = 6, 12
 MOST_BYTES = 64 << 20
 #: Levels of counts: a factor each.
 PAIR_BASE, WORD_BASE = 2.0, 1.25
 PROBES = 3
-SLICES = 256
+#: Pairs are cut into at least CELLS * CELLS slices, words into FINE for each of the CELLS; a pair's slice holds about PAIRS at most.
+CELLS, FINE = 16, 16
+PAIRS = 500_000
 PRIOR = 5_000.0
 #: Words are frequent if they make up over one in so many tokens, hence fewer than that.
 FREQUENT = 1_000_000
@@ -48,17 +53,18 @@ def values_of(base: float) -> np.ndarray:
     return np.concatenate(([0.0], np.sqrt(low * high)))
 
 
-def _places(keys: np.ndarray, level: np.ndarray | int, size: int) -> Iterator[np.ndarray]:
+def _places(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> Iterator[np.ndarray]:
     """Bit places of (key, level) within the key's slice."""
     item = mix(keys + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, np.uint64))
     step = (item >> np.uint64(32)) | np.uint64(1)
     for probe in range(PROBES):
-        yield ((item + np.uint64(probe) * step) & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)
+        yield ((item + np.uint64(probe) * step) & np.uint64(0xFFFFFFFF)) * np.asarray(size, np.uint64) >> np.uint64(32)
 
 
-def slice_bits(keys: np.ndarray, counts: np.ndarray, base: float, size: int) -> np.ndarray:
-    """The bitmap of one slice, ``size`` bits, that holds all levels of the keys."""
+def slice_bits(keys: np.ndarray, counts: np.ndarray, base: float, room: int) -> np.ndarray:
+    """The bitmap of one slice that holds all levels of the keys, ``room`` bits for each."""
     level = levels_of(counts, base)
+    size = int(level.sum()) * room // 64 * 64 + 64
     bits = np.zeros(size, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
         for place in _places(keys[level >= q], q, size):
@@ -68,25 +74,32 @@ def slice_bits(keys: np.ndarray, counts: np.ndarray, base: float, size: int) ->
 
 @dataclass
 class Filter:
-    """Slices of bits, SLICES rows; a key's highest byte is its slice."""
+    """Slices of bits one after another: where each begins, and its bytes, 0 if it isn't held."""
 
     bits: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
     base: float
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key: probed from 1 on until one is missing."""
-        size = self.bits.shape[1] * 8
-        flat = self.bits.reshape(-1)
+    @classmethod
+    def of(cls, slices: dict[int, bytes], count: int, base: float) -> Filter:
+        size = np.zeros(count, np.int64)
+        for at, own in slices.items():
+            size[at] = len(own)
+        bits = np.frombuffer(b"".join(slices[at] for at in sorted(slices)), np.uint8)
+        return cls(bits, np.cumsum(size) - size, size, base)
+
+    def levels(self, keys: np.ndarray, slices: np.ndarray) -> np.ndarray:
+        """The level of each key of a slice: probed from 1 on until one is missing."""
         out = np.zeros(len(keys), np.int64)
-        open_ = np.arange(len(keys))
+        open_ = np.flatnonzero(self.size[slices] > 0)
         level = 1
         while len(open_):
-            own = keys[open_]
-            row = (own >> np.uint64(56)).astype(np.int64) * self.bits.shape[1]
-            there = np.ones(len(own), bool)
-            for place in _places(own, level, size):
+            own, at = keys[open_], slices[open_]
+            first, there = self.first[at], np.ones(len(own), bool)
+            for place in _places(own, level, self.size[at] * 8):
                 place = place.astype(np.int64)
-                there &= (flat[row + (place >> 3)] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+                there &= (self.bits[first + (place >> 3)] >> (place & 7).astype(np.uint8) & 1).astype(bool)
             open_ = open_[there]
             out[open_] = level
             level += 1
@@ -117,8 +130,24 @@ class Tokens:
         return mix(self.before * np.uint64(0xD6E8FEB86659FD93) + self.word)
 
 
-def _class(before: np.ndarray, classes: int) -> np.ndarray:
-    return (mix(before) % np.uint64(classes)).astype(np.int32)
+def cell_of(words: np.ndarray, cells: int) -> np.ndarray:
+    """Which of ``cells`` parts a word lies in, by its highest 16 bits."""
+    return ((words >> np.uint64(48)) * np.uint64(cells) >> np.uint64(16)).astype(np.int64)
+
+
+def blocks(words: np.ndarray, pairs: np.ndarray, most: int) -> int:
+    """The least number of groups such that no two groups of words and their pairs take over ``most`` bytes.
+
+    ``words`` has the bytes of each cell, ``pairs`` those of each two; cells next to each other share a group.
+    """
+    cells = len(words)
+    for groups in range(1, cells + 1):
+        begin = np.searchsorted(np.arange(cells) * groups // cells, np.arange(groups))
+        own = np.add.reduceat(words, begin)
+        both = np.add.reduceat(np.add.reduceat(pairs, begin, 0), begin, 1) + own[:, None] + own[None, :] - np.diag(own)
+        if both.max() <= most:
+            break
+    return groups
 
 
 def remainder(id_col: str) -> Column:
@@ -126,77 +155,78 @@ def remainder(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10
 
 
-def _counting(classes: int):
-    """Partial counts: words as class -1, pairs by the class of their first word."""
+def _counting(cells: int):
+    """Partial counts: words in slices from -1 downwards, pairs in slices from 0 on, by the cells of both words."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, words in pieces(batch, 0, lower=True):
                 tokens = Tokens.of(words)
                 key, n = np.unique(tokens.word, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), -1, np.int32)), signed(key), pa.array(n)], ["cls", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - cell_of(key, cells * FINE)), signed(key), pa.array(n)], ["slice", "key", "n"])
                 key, at, n = np.unique(tokens.pairs(), return_index=True, return_counts=True)
-                own = _class(tokens.before[at], classes)
-                yield pa.RecordBatch.from_arrays([pa.array(own), signed(key), pa.array(n)], ["cls", "key", "n"])
+                own = cell_of(tokens.before[at], cells) * cells + cell_of(tokens.word[at], cells)
+                yield pa.RecordBatch.from_arrays([pa.array(own), signed(key), pa.array(n)], ["slice", "key", "n"])
 
     return over
 
 
-def _building(word_size: int, pair_size: int):
-    """Over counted n-grams, whole slices in a task: a row a slice with its bitmap, and a row a word."""
+def _building(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over counted n-grams, whole slices in a task: a row a slice with its bitmap and bytes, and a row a word."""
+    names = ["slice", "key", "n", "bits", "value"]
     value = values_of(WORD_BASE)
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            cls = batch.column(0).to_numpy()
-            key = batch.column(1).to_numpy().view(np.uint64)
-            n = batch.column(2).to_numpy()
-            word = np.flatnonzero(cls < 0)
-            if len(word):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls[word]), signed(key[word]), pa.array(n[word]), pa.nulls(len(word), pa.binary()), pa.array(value[levels_of(n[word], WORD_BASE)])],
-                    ["cls", "key", "n", "bits", "value"],
-                )
-            group = cls.astype(np.int64) * SLICES + (key >> np.uint64(56)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            cuts = np.flatnonzero(np.diff(group[order])) + 1
-            for own in np.split(order, cuts):
-                if len(own):
-                    held.setdefault((int(cls[own[0]]), int(key[own[0]] >> np.uint64(56))), []).append((key[own], n[own]))
-        for (cls_, slice_), parts in held.items():
-            key, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-            bits = slice_bits(key, n, WORD_BASE if cls_ < 0 else PAIR_BASE, word_size if cls_ < 0 else pair_size)
+    held: dict[int, list] = {}
+    for batch in batches:
+        slice_ = batch.column(0).to_numpy()
+        key = batch.column(1).to_numpy().view(np.uint64)
+        n = batch.column(2).to_numpy()
+        word = np.flatnonzero(slice_ < 0)
+        if len(word):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([cls_], pa.int32()), pa.array([slice_], pa.int64()), pa.array([0], pa.int64()), pa.array([bits.tobytes()], pa.binary()), pa.array([0.0])],
-                ["cls", "key", "n", "bits", "value"],
+                [pa.array(slice_[word]), signed(key[word]), pa.array(n[word]), pa.nulls(len(word), pa.binary()), pa.array(value[levels_of(n[word], WORD_BASE)])],
+                names,
             )
-
-    return over
+        order = np.argsort(slice_, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(slice_[order])) + 1):
+            if len(own):
+                held.setdefault(int(slice_[own[0]]), []).append((key[own], n[own]))
+    for at, parts in held.items():
+        key, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        bits = slice_bits(key, n, *((WORD_BASE, WORD_BITS) if at < 0 else (PAIR_BASE, PAIR_BITS)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([at]), pa.array([0]), pa.array([len(bits)]), pa.array([bits.tobytes()], pa.binary()), pa.array([0.0])], names
+        )
 
 
-def _filter(built: DataFrame, cls: int, size: int, base: float) -> Filter:
-    """One filter on the driver: SLICES rows, at most MOST_BYTES in all."""
-    bits = np.zeros((SLICES, size // 8), np.uint8)
-    for key, own in built.where((F.col("cls") == cls) & F.col("bits").isNotNull()).select("key", "bits").collect():
-        bits[key] = np.frombuffer(own, np.uint8)
-    return Filter(bits, base)
+def _held(bitmaps: DataFrame, cells: int, groups: int, a: int, b: int) -> tuple[Filter, Filter]:
+    """The words of two groups and the pairs between them, on the driver: MOST_BYTES in all (see ``blocks``)."""
+    group = lambda cell: F.floor(cell * groups / cells)
+    word = F.floor((-1 - F.col("slice")) / FINE)
+    wanted = F.when(F.col("slice") < 0, group(word).isin(a, b)).otherwise(
+        (group(F.floor(F.col("slice") / cells)) == a) & (group(F.col("slice") % cells) == b)
+    )
+    words, pairs = {}, {}
+    for at, own in bitmaps.where(wanted).select("slice", "bits").toLocalIterator():
+        (words if at < 0 else pairs)[-1 - at if at < 0 else at] = bytes(own)
+    return Filter.of(words, cells * FINE, WORD_BASE), Filter.of(pairs, cells * cells, PAIR_BASE)
 
 
-def _scoring(shared, classes: int, first: bool, prior: float):
-    """Scores of the pairs of one class; with the first class also the counts and the exact base."""
+def _scoring(shared, cells: int, groups: int, a: int, b: int, prior: float):
+    """Scores of the pairs of groups a and b; with the first block also the counts and the exact base."""
+    first = not a and not b
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, pairs_, cls, known, frequent, counts, n_all, distinct, mass = shared.value
+        words_, pairs_, frequent, counts, n_all, distinct, mass = shared.value
         word_value, pair_value = values_of(WORD_BASE), values_of(PAIR_BASE)
         for batch in batches:
             for part, words in pieces(batch, 2, lower=True):
                 tokens = Tokens.of(words)
                 rows = part.num_rows
                 key, at = np.unique(tokens.word, return_inverse=True)
-                estimate = word_value[words_.levels(key)]
-                own = np.flatnonzero(_class(tokens.before, classes) == cls) if classes > 1 else np.arange(len(tokens.word))
-                pair = pair_value[pairs_.levels(tokens.pairs()[own])]
+                estimate = word_value[words_.levels(key, cell_of(key, cells * FINE))]
+                left, right = cell_of(tokens.before, cells), cell_of(tokens.word, cells)
+                own = np.flatnonzero((left * groups // cells == a) & (right * groups // cells == b)) if groups > 1 else np.arange(len(left))
+                pair = pair_value[pairs_.levels(tokens.pairs()[own], left[own] * cells + right[own])]
                 before = np.searchsorted(key, tokens.before[own])
                 context = np.maximum(estimate[np.minimum(before, len(key) - 1)], pair)
                 plain = (estimate[at[own]] + ADD) / (mass + ADD * (distinct + 1))
@@ -244,15 +274,15 @@ def score(
     )
     learnt = texts.where("rest <> 0").select(F.coalesce("text", F.lit("")).alias("text"))
     guess = learnt.agg(F.sum(F.octet_length("text") / 6 + 1)).first()[0] or 1.0
-    classes = max(1, -int(-(guess * PAIR_BITS / 8) // most_bytes))
-    pair_size = int(guess * PAIR_BITS / classes / SLICES) // 64 * 64 + 64
-    word_size = int(min(guess * WORD_BITS, most_bytes * 8) / SLICES) // 64 * 64 + 64
-    rows = learnt.mapInArrow(_counting(classes), "cls int, key long, n long")
-    sliced = rows.withColumn("slice", F.shiftrightunsigned("key", 56)).repartition("cls", "slice")
-    counted = sliced.groupBy("cls", "slice", "key").agg(F.sum("n").alias("n")).select("cls", "key", "n")
-    built = store.put(
-        counted.mapInArrow(_building(word_size, pair_size), "cls int, key long, n long, bits binary, value double"), "built"
-    )
+    cells = CELLS * max(1, math.ceil(math.sqrt(guess / (PAIRS * CELLS * CELLS))))
+    rows = learnt.mapInArrow(_counting(cells), "slice long, key long, n long").repartition("slice")
+    counted = rows.groupBy("slice", "key").agg(F.sum("n").alias("n"))
+    built = store.put(counted.mapInArrow(_building, "slice long, key long, n long, bits binary, value double"), "built")
+    bitmaps = built.where("bits is not null")
+    of_words, of_pairs = np.zeros(cells * FINE, np.int64), np.zeros(cells * cells, np.int64)
+    for at, n in bitmaps.select("slice", "n").collect():  # a number a slice
+        (of_words if at < 0 else of_pairs)[-1 - at if at < 0 else at] = n
+    groups = blocks(of_words.reshape(cells, FINE).sum(1), of_pairs.reshape(cells, cells), most_bytes)
     vocabulary = built.where("bits is null").select("key", "n")
     n_all, distinct, mass = built.where("bits is null").agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("value"), F.lit(0.0))
@@ -261,20 +291,16 @@ def score(
     keys = often["key"].to_numpy().view(np.uint64) if often is not None else np.zeros(0, np.uint64)
     order = np.argsort(keys)
     frequent = keys[order], (often["n"].to_numpy()[order] if often is not None else np.zeros(0, np.int64))
-    words_ = _filter(built, -1, word_size, WORD_BASE)
     table, scores = None, None
-    for cls in range(classes):
-        shared = spark.sparkContext.broadcast(
-            (words_, _filter(built, cls, pair_size, PAIR_BASE), cls, None, *frequent, n_all, distinct, mass)
-        )
+    for a, b in product(range(groups), repeat=2):
+        shared = spark.sparkContext.broadcast((*_held(bitmaps, cells, groups, a, b), *frequent, n_all, distinct, mass))
         schema = "row long, doc_id long, part double"
-        if not cls:
+        if table is None:
             schema += ", n_tokens long, known long, base double, rare array<struct<key:long,times:int>>"
         source = texts.select("row", "doc_id", "text")
-        part = store.put(source.mapInArrow(_scoring(shared, classes, not cls, prior), schema), f"scores{cls}")
+        part = store.put(source.mapInArrow(_scoring(shared, cells, groups, a, b, prior), schema), f"scores{a}-{b}")
         shared.unpersist()
-        if not cls:
-            table = part
+        table = part if table is None else table
         scores = part.select("row", "part") if scores is None else scores.union(part.select("row", "part"))
     log = F.log10((F.coalesce("n", F.lit(0)) + ADD) / F.lit(n_all + ADD * (distinct + 1)))
     rare = (
@@ -283,7 +309,7 @@ def score(
         .agg(F.sum(F.col("times") * log).alias("rare_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"))
     )
     out = table.drop("rare")
-    if classes > 1:
+    if groups > 1:
         out = out.drop("part").join(scores.groupBy("row").agg(F.sum("part").alias("part")), "row")
     return out.join(rare, "row", "left").select(
         "doc_id", (remainder("doc_id") == 0).alias("held_out"), "n_tokens",
