@@ -28,7 +28,7 @@ from vitrine.llm.words import mix, pieces, signed
 END = np.uint64(0x5851F42D4C957F2D)
 #: Filter bits an entry (an n-gram at a level) for pairs and for words, and the greatest filters sent at once, in bytes.
 PAIR_BITS, WORD_BITS = 6, 12
-MOST_BYTES = 64 << 20
+MOST_BYTES = 128 << 20
 #: Levels of counts: a factor each.
 PAIR_BASE, WORD_BASE = 2.0, 1.25
 PROBES = 3
