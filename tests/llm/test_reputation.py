@@ -1,5 +1,8 @@
 import re
 
+import duckdb
+import pandas as pd
+
 from vitrine.llm import queries, reputation
 
 URLS = [
@@ -57,3 +60,21 @@ def test_hosts_without_outcomes_are_judged_by_what_is_above(spark):
     pages = spark.createDataFrame([(k, f"http://{h}/p") for k, h in enumerate(hosts)] + [(9, None)], "page_id long, url string")
     got = [r["verdict"] for r in reputation.judge(pages, outcomes, []).orderBy("page_id").collect()]
     assert got == ["block", "block", "allow", "block", "allow", "allow", "allow", "allow"]
+
+
+def test_sql_judges_hosts_without_outcomes_too(spark, tmp_path):
+    urls = [f"https://h{k % 6}.bad.test/a" for k in range(60)] + [f"https://h{k % 6}.good.org/a" for k in range(60)]
+    labelled = len(urls)
+    urls += ["https://new.bad.test/a", "https://new.good.org/", "https://new.other.test/", "https://new.elsewhere.example/", "no address", None]
+    pages = pd.DataFrame({"page_id": range(len(urls)), "url": urls})
+    labels = pd.DataFrame({"doc_id": range(labelled), "quality": [0 if ".bad." in u else 1 for u in urls[:labelled]]})
+    pages.to_parquet(tmp_path / "pages.parquet")
+    labels.to_parquet(tmp_path / "labels.parquet")
+    got = sorted(tuple(r) for r in queries.op6_host_reputation(spark, str(tmp_path)).collect())
+    with duckdb.connect() as db:
+        db.register("pages", pages)
+        db.register("labels", labels)
+        want = sorted(db.execute("SELECT page_id, host, path, rule, verdict FROM (" + queries.oracle_sql()["op6_host_reputation"] + ")").fetchall())
+    assert got == want
+    verdicts = {r[1]: r[4] for r in got}
+    assert verdicts["new.bad.test"] == "block" and verdicts["new.good.org"] == "allow"

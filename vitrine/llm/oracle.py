@@ -58,7 +58,14 @@ strengths AS (SELECT ({_strength('hosts')}) AS h, ({_strength('domains')}) AS d,
                      (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM hosts) AS mean),
 of_suffix AS (SELECT suffix, (bad + s * mean) / (n + s) AS above FROM suffixes, strengths),
 of_domain AS (SELECT domain, (bad + d * above) / (n + d) AS above FROM domains JOIN of_suffix USING (suffix), strengths),
-of_host AS (SELECT host, n + h AS weight, (bad + h * above) / (n + h) AS rate FROM hosts JOIN of_domain USING (domain), strengths)
+asked AS (
+  SELECT DISTINCT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix
+  FROM parts WHERE host <> '' AND host NOT IN (SELECT host FROM hosts)),
+placed AS (
+  SELECT host, n, bad, above FROM hosts JOIN of_domain USING (domain)
+  UNION ALL SELECT host, 0.0, 0.0, coalesce(of_domain.above, of_suffix.above, mean)
+  FROM asked LEFT JOIN of_domain USING (domain) LEFT JOIN of_suffix USING (suffix), strengths),
+of_host AS (SELECT host, n + h AS weight, (bad + h * above) / (n + h) AS rate FROM placed, strengths)
 SELECT page_id, host, path, rule,
        coalesce(own, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.5 THEN 'block' END, 'allow') AS verdict
 FROM ruled LEFT JOIN of_host USING (host)
