@@ -3,7 +3,7 @@
 A linear classifier over hashed words and word beginnings is trained with numpy from confirmed
 toxic texts and unlabelled ones. Its risk, with prior pi of the toxic class, is
 pi * R(positive as 1) + max(0, R(unlabelled as 0) - pi * R(positive as 0)). Where
-the second part falls below zero, the step goes the other way, so that the model
+the second part falls below zero it counts as zero and has no gradient, so that the model
 doesn't fit the positives hidden among the unlabelled as clean.
 """
 
