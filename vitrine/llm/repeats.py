@@ -12,8 +12,8 @@ minimiser position make a segment. Stored tables keep each step short:
 
 A minimiser with more than HOT segments isn't gathered: its windows are told
 apart by 128 bits of hash, with partial aggregation and a plain join that
-adaptive execution splits. Of equal texts only the first is compared; the others
-repeat whole. Documents with a null id take no part.
+adaptive execution splits. Of equal texts, by 128 bits of hash, only the first is
+compared; the others repeat whole. Documents with a null id take no part.
 """
 
 from __future__ import annotations
@@ -72,7 +72,9 @@ class Segments:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
+    """``copy`` and ``other`` are hashes of the text with two seeds."""
+    other = F.xxhash64(F.lit("other"), F.col(text_col))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"), other.alias("other"))
 
 
 def _joined(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -90,8 +92,11 @@ def _seeds(window: int, gram: int):
                 total = np.diff(words.first)
                 long = pa.array(np.flatnonzero(total >= window))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(long), pa.int64()), part.column(0).take(long), part.column(1).take(long), pa.array(total, pa.int32()).take(long)],
-                    ["seed", "id", "copy", "n"],
+                    [
+                        pa.nulls(len(long), pa.int64()), part.column(0).take(long), part.column(1).take(long), part.column(3).take(long),
+                        pa.array(total, pa.int32()).take(long),
+                    ],
+                    ["seed", "id", "copy", "other", "n"],
                 )
                 s = Segments(words, words.hashes(), window, gram)
                 order = np.lexsort((s.key, s.document))
@@ -102,8 +107,11 @@ def _seeds(window: int, gram: int):
                 count = np.diff(np.concatenate((begin, [len(key)])))
                 rows = pa.array(document[begin])
                 yield pa.RecordBatch.from_arrays(
-                    [signed(key[begin]), part.column(0).take(rows), part.column(1).take(rows), pa.array(count, pa.int32())],
-                    ["seed", "id", "copy", "n"],
+                    [
+                        signed(key[begin]), part.column(0).take(rows), part.column(1).take(rows), pa.nulls(len(rows), pa.int64()),
+                        pa.array(count, pa.int32()),
+                    ],
+                    ["seed", "id", "copy", "other", "n"],
                 )
 
     return over
@@ -178,15 +186,15 @@ def repeated(
     windows have a row.
     """
     texts = _keyed(docs, id_col, text_col).where("id is not null and text is not null")
-    seeds = store.put(texts.mapInArrow(_seeds(window, gram), "seed long, id long, copy long, n int"), "seeds")
+    seeds = store.put(texts.mapInArrow(_seeds(window, gram), "seed long, id long, copy long, other long, n int"), "seeds")
     counted = seeds.where("seed is not null").groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("all"))
     recurring = store.put(
         counted.where("low < high" if across else "all > 1").select("seed", (F.col("all") > HOT).alias("hot")), "recurring"
     )
-    long = seeds.where("seed is null").groupBy("id", "copy").agg(F.max("n").alias("words"))
-    first = long.groupBy("copy").agg(F.min("id").alias("id"))
+    long = seeds.where("seed is null").groupBy("id", "copy", "other").agg(F.max("n").alias("words"))
+    first = long.groupBy("copy", "other").agg(F.min("id").alias("id"))
     whole = store.put(
-        long.join(first.hint("merge"), ["id", "copy"], "left_anti").select("id", "copy", F.array(F.struct(F.lit(0).alias("start"), F.col("words").alias("end"))).alias("spans")),
+        long.join(first.hint("merge"), ["id", "copy", "other"], "left_anti").select("id", "copy", F.array(F.struct(F.lit(0).alias("start"), F.col("words").alias("end"))).alias("spans")),
         "whole",
     )
     held_by = seeds.where("seed is not null").join(recurring.hint("merge"), "seed").groupBy("id", "copy")
