@@ -49,3 +49,50 @@ def test_without_positives_the_prior_holds(spark):
     empty = cases.documents(spark, [])
     model = toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(empty, model).count() == 0 and toxicity.clean(empty, model).count() == 0
+
+
+def test_risk_and_gradient_like_brute_force():
+    draw = np.random.default_rng(1)
+    for prior, held in ((0.1, False), (0.95, True)):
+        theta = draw.normal(size=9)
+        positive = [np.sort(draw.choice(8, n, False)) for n in draw.integers(0, 6, 12)]
+        unlabelled = [np.sort(draw.choice(8, n, False)) for n in draw.integers(0, 6, 30)]
+        if held:
+            positive = [np.array([0])] * 12
+            theta[0], theta[1:] = 4.0, -1.0
+
+        def plain(theta):
+            s = [[1 / (1 + np.exp(-(theta[8] + sum(theta[p] for p in bag)))) for bag in bags] for bags in (positive, unlabelled)]
+            clean = np.mean(s[1]) - prior * np.mean(s[0])
+            assert (clean < 0) == held
+            return prior * np.mean([1 - x for x in s[0]]) + max(0.0, clean)
+
+        value, gradient = toxicity.risk(theta, toxicity._flat(positive), toxicity._flat(unlabelled), prior)
+        assert abs(value - plain(theta)) < 1e-12
+        steps = [(plain(theta + 1e-6 * e) - plain(theta - 1e-6 * e)) / 2e-6 for e in np.eye(9)]
+        assert np.allclose(gradient, steps, atol=1e-8)
+
+
+def test_tallies_count_each_text_once(spark):
+    rows = [(True, "vile vile words"), (True, "Vile"), (False, "words"), (False, None), (False, "")]
+    tally = toxicity.tallies(spark.createDataFrame(rows, "positive boolean, text string"))
+    assert tally[:, -1].tolist() == [3, 2]
+    # the words and their beginnings
+    assert sorted(tally[1, :-1][tally[1, :-1] > 0].tolist()) == [1, 1, 2, 2] and sorted(tally[0, :-1][tally[0, :-1] > 0].tolist()) == [1, 1]
+
+
+def test_layout_and_long_texts_leave_the_scores_alone(spark):
+    """A word among thousands of others, in texts of up to a megabyte, counts in training and in scoring."""
+    rows, labels = training()
+    filler = " ".join(f"v{k}" for k in range(5_000))
+    texts = [f"{filler} {word} {filler}" for word in ["remote"] * 20 + ["plain"] * 40]
+    texts[0], texts[-1] = (f"{' '.join([filler] * 40)} {word} {filler}" for word in ("remote", "plain"))
+    rows += [(10_000 + k, t) for k, t in enumerate(texts)]
+    labels += [(10_000 + k, int(k < 20)) for k in range(60)]
+    docs = cases.documents(spark, rows)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    one, two = toxicity.train(docs.repartition(7), marks), toxicity.train(docs.coalesce(1), marks)
+    assert one.bias == two.bias and (one.weights == two.weights).all()
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, one).collect()}
+    assert len(texts[0]) > 1 << 20
+    assert all((got[10_000 + k] >= 0.3) == (k < 20) for k in range(60)) and got[0] >= 0.3

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.store import ship
+from vitrine.llm.store import Store, ship
 from vitrine.llm.words import mix, pieces
 
 BUCKETS = 1 << 18
@@ -26,8 +26,6 @@ BEGIN = 4
 #: At most so many rows of either kind are sent to the driver for training.
 POSITIVE_ROWS = 6_000
 UNLABELLED_ROWS = 12_000
-#: Distinct words of a training row; longer texts take part with a random part of theirs.
-ROW_WORDS = 2_000
 #: A word is a feature if it is so much more frequent among the positives, and in so many of them.
 SIGMAS = 6.0
 LIFT = 3.0
@@ -64,63 +62,104 @@ def _sampled(rows: DataFrame, count: int, limit: int, salt: str) -> DataFrame:
     return rows.where(drawn < limit / count)
 
 
-def _bags(rows: DataFrame) -> list[np.ndarray]:
-    """Distinct buckets of each text, on the driver: bounded by rows and words a row."""
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(positive, bucket, n)`` of a task: texts that hold each bucket, and under bucket -1 all texts."""
+    tally = np.zeros((2, BUCKETS + 1), np.int64)
+    for batch in batches:
+        for part, row, bucket in _features(batch, 1):
+            kind = part.column(0).cast(pa.int8()).to_numpy()
+            tally[:, -1] += np.bincount(kind, minlength=2)
+            for k in (0, 1):
+                tally[k, :-1] += np.bincount(bucket[kind[row] == k], minlength=BUCKETS)
+    kind, bucket = np.nonzero(tally)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(kind.astype(bool)), pa.array(np.where(bucket == BUCKETS, -1, bucket), pa.int32()), pa.array(tally[kind, bucket])],
+        ["positive", "bucket", "n"],
+    )
+
+
+def tallies(sample: DataFrame) -> np.ndarray:
+    """Of ``sample(positive, text)``: texts of either kind that hold a bucket, and in the last place all."""
+    counted = sample.mapInArrow(_tallied, "positive boolean, bucket int, n long").groupBy("positive", "bucket").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()  # at most two rows a bucket
+    out = np.zeros((2, BUCKETS + 1), np.int64)
+    kind, bucket, n = (found.column(c).to_numpy() for c in ("positive", "bucket", "n"))
+    out[kind.astype(int), np.where(bucket < 0, BUCKETS, bucket)] = n
+    return out
+
+
+def telling(tally: np.ndarray) -> np.ndarray:
+    """Buckets LIFT times as frequent among the positives as among the unlabelled, by SIGMAS standard errors."""
+    (of_unlabelled, unlabelled), (of_positive, n) = ((t[:-1], t[-1]) for t in tally)
+    rate = (of_unlabelled + 0.5) / (unlabelled + 1)
+    apart = (of_positive - n * rate) / np.sqrt(n * rate * (1 - rate) + 1e-12)
+    return np.flatnonzero((apart >= SIGMAS) & (of_positive >= np.maximum(SUPPORT, LIFT * n * rate)))
+
+
+def bags(sample: DataFrame, chosen: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Places in ``chosen`` of the buckets that each text holds, of positive and unlabelled texts.
+
+    Sorted, so that sums over them don't depend on how the rows are laid out.
+    """
+    place = np.full(BUCKETS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    places = sample.sparkSession.sparkContext.broadcast(place)  # 1 MB
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chooser = np.random.default_rng(7)
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, row, bucket in _features(batch, 0):
-                cuts = np.searchsorted(row, np.arange(1, part.num_rows))
-                out = [b if len(b) <= ROW_WORDS else chooser.choice(b, ROW_WORDS, False) for b in np.split(bucket, cuts)]
-                yield pa.RecordBatch.from_arrays([pa.array([b.astype(np.int32).tobytes() for b in out], pa.binary())], ["bag"])
+            for part, row, bucket in _features(batch, 1):
+                own = places.value[bucket]
+                row, own = row[own >= 0], own[own >= 0]
+                found = np.split(own, np.searchsorted(row, np.arange(1, part.num_rows)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b in found], pa.binary())], ["positive", "bag"])
 
-    return [np.frombuffer(r[0], np.int32) for r in rows.select("text").mapInArrow(bags, "bag binary").collect()]
+    held = sorted(tuple(r) for r in sample.mapInArrow(over, "positive boolean, bag binary").collect())
+    positive, unlabelled = ([np.frombuffer(b, np.int32) for kind, b in held if kind is which] for which in (True, False))
+    return positive, unlabelled
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Buckets LIFT times as frequent among the positives as among the unlabelled, by SIGMAS standard errors."""
-    of_positive, of_unlabelled = (np.bincount(np.concatenate(bags), minlength=BUCKETS) for bags in (positive, unlabelled))
-    rate = (of_unlabelled + 0.5) / (len(unlabelled) + 1)
-    n = len(positive)
-    apart = (of_positive - n * rate) / np.sqrt(n * rate * (1 - rate) + 1e-12)
-    return (apart >= SIGMAS) & (of_positive >= np.maximum(SUPPORT, LIFT * n * rate))
+def _flat(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Row and place of every entry, and the number of rows."""
+    return np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.concatenate(bags), len(bags)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400) -> Model:
-    """Adam on the non-negative risk with the sigmoid loss, over all bags at a time.
+def risk(theta: np.ndarray, positive: tuple, unlabelled: tuple, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk with the sigmoid loss, without decay, and its gradient.
 
-    Where the risk of the clean class is estimated below zero, it is held at zero and the step
-    follows the positives alone.
+    ``theta`` is the weights and last the bias; the sides are as ``_flat`` gives them. Where the risk of
+    the clean class is estimated below zero, it is held at zero and adds nothing to the gradient.
     """
-    bias = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
-        return Model(np.zeros(BUCKETS), bias)
-    chosen = np.flatnonzero(telling(positive, unlabelled))
-    place = np.full(BUCKETS, -1)
-    place[chosen] = np.arange(len(chosen))
 
-    def flat(bags):
-        row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        own = place[np.concatenate(bags)]
-        return row[own >= 0], own[own >= 0], len(bags)
-
-    sides = flat(positive), flat(unlabelled)
-    theta = np.zeros(len(chosen) + 1)
-    theta[-1] = bias
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    def scores(side):
+        row, own, n = side
+        return 1 / (1 + np.exp(-np.clip(theta[-1] + np.bincount(row, theta[own], n), -40, 40)))
 
     def push(side, scores, sign):
         """Gradient of the mean of sigmoid(sign * z)."""
         row, own, n = side
         each = sign * scores * (1 - scores) / n
-        return np.append(np.bincount(own, each[row], len(chosen)), each.sum())
+        return np.append(np.bincount(own, each[row], len(theta) - 1), each.sum())
+
+    of_positive, of_unlabelled = scores(positive), scores(unlabelled)
+    value, gradient = prior * (1 - of_positive).mean(), prior * push(positive, of_positive, -1)
+    clean = of_unlabelled.mean() - prior * of_positive.mean()
+    if clean >= 0:
+        value += clean
+        gradient += push(unlabelled, of_unlabelled, 1) - prior * push(positive, of_positive, 1)
+    return value, gradient
+
 
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float, steps: int = 400) -> Model:
+    """Adam on the risk with decay, over all bags of places in ``chosen`` at a time."""
+    bias = float(np.log(prior / (1 - prior)))
+    if not positive or not unlabelled:
+        return Model(np.zeros(BUCKETS), bias)
+    sides = _flat(positive), _flat(unlabelled)
+    theta = np.zeros(len(chosen) + 1)
+    theta[-1] = bias
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        scores = [1 / (1 + np.exp(-np.clip(theta[-1] + np.bincount(row, theta[own], n), -40, 40))) for row, own, n in sides]
-        gradient = prior * push(sides[0], scores[0], -1)
-        if scores[1].mean() - prior * scores[0].mean() >= 0:
-            gradient += push(sides[1], scores[1], 1) - prior * push(sides[0], scores[0], 1)
+        _, gradient = risk(theta, *sides, prior)
         gradient[:-1] += DECAY * theta[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -130,22 +169,28 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(weights, float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, store: Store | None = None) -> Model:
     """Fit on ``docs(doc_id, text)``, unlabelled, and those of them that ``labels(doc_id, toxic)`` marks 1.
 
     The prior is the toxic share of the labels, pulled towards one half by one row of each kind.
     Null texts and null labels take no part in training, nor do labels without a document. About
-    POSITIVE_ROWS of the toxic ids are drawn and sent to where the texts are. Without positives or
-    unlabelled rows every text scores the prior. The ids only spread the sampling.
+    POSITIVE_ROWS of the toxic ids are drawn and sent to where the texts are, and about UNLABELLED_ROWS
+    rows. Their whole texts are tallied by bucket in the tasks; only the telling buckets of each reach
+    the driver. Without positives or unlabelled rows every text scores the prior. The ids only spread the
+    sampling. Repeated rows count each time, repeated labels of an id once: toxic if any is.
     """
-    ship(docs.sparkSession)
+    store = store or Store(docs.sparkSession, "toxicity")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count, toxic = marks.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
     prior = (toxic + 1) / (count + 2)
     drawn = _sampled(marks.where("toxic = 1").select("doc_id"), toxic, POSITIVE_ROWS, "positive")
     texts = docs.where("text is not null").select("doc_id", "text")
-    positive = _bags(texts.join(F.broadcast(drawn), "doc_id", "left_semi"))  # about POSITIVE_ROWS ids
-    return fit(positive, _bags(_sampled(texts, texts.count(), UNLABELLED_ROWS, "unlabelled")), prior)
+    positive = texts.join(F.broadcast(drawn), "doc_id", "left_semi")  # about POSITIVE_ROWS ids
+    unlabelled = _sampled(texts, texts.count(), UNLABELLED_ROWS, "unlabelled")
+    sample = positive.select(F.lit(True).alias("positive"), "text").union(unlabelled.select(F.lit(False), "text"))
+    sample = store.put(sample, "sample")
+    chosen = telling(tallies(sample))
+    return fit(*bags(sample, chosen), chosen, prior)
 
 
 def _scored(shared, place: int):
