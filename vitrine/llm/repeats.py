@@ -11,9 +11,10 @@ minimiser position make a segment. Stored tables keep each step short:
 4. windows found to repeat, as ranges of word places.
 
 A minimiser with more than HOT segments isn't gathered: its windows are told
-apart by 128 bits of hash, with partial aggregation and a plain join that
-adaptive execution splits. Of equal texts, by 128 bits of hash, only the first is
-compared; the others repeat whole. Documents with a null id take no part.
+apart by 128 bits of hash, with partial aggregation. Places of a window found more
+than HOT times meet its earliest by broadcast, the others by a plain join. Of equal
+texts, by 128 bits of hash, only the first is compared; the others repeat whole.
+Documents with a null id take no part.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from vitrine.llm.store import Store
 from vitrine.llm.words import Words, minimisers, pieces, runs, signed
 
 HOT = 20_000
+#: Windows, 32 bytes each, that are broadcast at most; if there are more, adaptive execution splits the join.
+MOST_FREQUENT = 1_000_000
 RANGE = "id long, copy long, start int, n int"
 SEGMENT = f"hot boolean, key long, extra long, before binary, after binary, {RANGE}"
 
@@ -209,14 +212,26 @@ def repeated(
     cold = cold.repartition("key").sortWithinPartitions("key", "after", "before", "id", "copy", "start").mapInArrow(compare, RANGE)
     hot = segments.where("hot").select("key", "extra", "id", "copy", "start")
     own = F.col("id") if across else F.struct("id", "copy", "start")
-    earliest = hot.groupBy("key", "extra").agg(F.min(own).alias("first"))
-    again = hot.join(earliest, ["key", "extra"]).where(own > F.col("first")).select("id", "copy", "start", F.lit(1).alias("n"))
+    earliest = store.put(hot.groupBy("key", "extra").agg(F.min(own).alias("first"), F.count("*").alias("places")).where("places > 1"), "earliest")
+    met = _meet(hot, earliest, ["key", "extra"])
+    again = met.where(own > F.col("first")).select("id", "copy", "start", F.lit(1).alias("n"))
     ranges = cold.union(again).groupBy("id", "copy").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     spans = store.put(ranges.mapInArrow(_merged(window), "id long, copy long, spans array<struct<start:int,end:int>>"), "spans")
-    store.drop("segments")
+    store.drop("segments", "earliest")
     return spans.union(whole)
 
 
+def _meet(hot: DataFrame, earliest: DataFrame, keys: list[str]) -> DataFrame:
+    """The join by ``keys``; rows of windows with more than HOT places aren't shuffled."""
+    frequent = earliest.where(F.col("places") > HOT)
+    count = frequent.count()
+    if not count or count > MOST_FREQUENT:
+        return hot.join(earliest, keys)
+    few = F.broadcast(frequent)  # the count is checked
+    rare = hot.join(few, keys, "left_anti").join(earliest.where(F.col("places") <= HOT), keys)
+    return rare.union(hot.join(few, keys).select(rare.columns))
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
