@@ -3,6 +3,7 @@ import io
 import os
 import random
 import tempfile
+from dataclasses import replace
 from types import SimpleNamespace
 
 import pytest
@@ -12,7 +13,7 @@ from tests.conftest import rows
 from vitrine import schemas
 from vitrine.session import scratch_dir
 from vitrine.sources import csv_files, tables as sources
-from vitrine.sources.folded_csv import survey
+from vitrine.sources.folded_csv import SPLITS_MOVED, survey
 
 
 def write(folder, name, text):
@@ -277,6 +278,35 @@ def test_a_survey_counts_records_and_refuses_other_headers(spark, tmp_path, smal
         survey(spark, {"t": str(tmp_path / "t.csv")})
 
 
+def test_lines_are_numbered_and_split_without_python(spark, tmp_path, small_splits):
+    """Tables whose records lie on one line each give the rows, numbers and errors that the search for records gives."""
+    lines = [f'{i},"a,{i}",x{i}' if i % 7 == 0 else f"{i},,'x{i} " if i % 5 == 0 else f"{i},b" for i in range(1, 400)]
+    write(tmp_path, "t.csv/part-0.csv", "id,a,b\n" + "\n\n".join(lines[:150]) + "\n")
+    write(tmp_path, "t.csv/part-1.csv", "id,a,b\r\n" + "\r\n".join(lines[150:]))
+    path = str(tmp_path / "t.csv")
+    by_line, joined = survey(spark, {"": path})[""], survey(spark, {"": path}, by_lines=False)[""]
+    assert by_line.one_line and not joined.one_line
+    assert (by_line.names, by_line.rows, by_line.folded) == (joined.names, joined.rows, joined.folded) == (["id", "a", "b"], 399, False)
+    got = csv_files.read_csv_numbered(spark, path, found=by_line)
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+    wanted = [
+        (f"{i}", f"a,{i}", f"x{i}", i) if i % 7 == 0 else (f"{i}", None, f"'x{i} ", i) if i % 5 == 0 else (f"{i}", "b", None, i)
+        for i in range(1, 400)
+    ]
+    assert rows(got, "source_row_number") == rows(csv_files.read_csv_numbered(spark, path, found=joined), "source_row_number") == wanted
+    write(tmp_path, "more.csv", "id\n1\n2,\n3,surplus\n")
+    with pytest.raises(Exception, match="surplus cell surplus"):
+        csv_files.read_csv_numbered(spark, str(tmp_path / "more.csv")).select("id").collect()
+
+
+def test_moved_splits_end_a_numbered_read(spark, tmp_path, small_splits):
+    path = write(tmp_path, "t.csv", "id\n" + "".join(f"{i}\n" for i in range(500)))
+    found = survey(spark, {"": path})[""]
+    moved = replace(found, splits=found.splits.withColumn("_first", F.col("_first") + 1))
+    with pytest.raises(Exception, match=SPLITS_MOVED):
+        csv_files.read_csv_numbered(spark, path, found=moved).collect()
+
+
 def test_drift_of_schemas(spark, tmp_path):
     spark.range(3).selectExpr("id", "cast(id as string) as name", "1 as extra").write.parquet(str(tmp_path / "t"))
     found = sources.file_schemas(spark, {"t": str(tmp_path / "t")})

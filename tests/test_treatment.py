@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +212,32 @@ def test_refresh_of_a_header_only_file_and_of_an_empty_folder(spark, tmp_path):
     assert layers.read_raw(spark, out).isEmpty() and layers.read_treated(spark, out) == {}
 
 
+def test_a_refresh_goes_on_where_splits_moved(spark, tmp_path, monkeypatch):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(source, "products.csv", "id,name\n1,a\n2,b\n2,b\n")
+    whole = layers.survey
+
+    def moved(spark, paths, by_lines=True):
+        found = whole(spark, paths, by_lines)
+        return {n: replace(s, splits=s.splits.withColumn("_first", F.col("_first") + 1)) if by_lines else s for n, s in found.items()}
+
+    monkeypatch.setattr(layers, "survey", moved)
+    log = rows(layers.full_refresh(spark, source, out).select("layer", "row_count"), "layer")
+    assert log == [("raw", 3), ("treated", 2)]
+    assert rows(layers.read_raw(spark, out).select("source_row_number"), "source_row_number") == [(1,), (2,), (3,)]
+    assert rows(layers.read_treated(spark, out)["products"].select("id", "name"), "id") == [(1, "a"), (2, "b")]
+
+
+def test_layers_are_packed_and_treated_without_json(spark, tmp_path, monkeypatch):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(source, "products.csv", "id,name\n1,a\n")
+    monkeypatch.setattr(layers, "payload_text", None)  # not asked where each line is a record
+    layers.full_refresh(spark, source, out)
+    files = [f.removeprefix("file:") for f in layers.read_raw(spark, out).inputFiles()]
+    files += [f.removeprefix("file:") for f in layers.read_treated(spark, out)["products"].inputFiles()]
+    assert all(".zstd." in f for f in files) and len(files) >= 2
+
+
 def csv_schema():
     from pyspark.sql import types as T
 

@@ -7,6 +7,8 @@ rows, unparsable cells, blanks around identifiers, spelled-out nulls).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # The test tables. A declared schema spares a look into the files for each plan.
@@ -307,11 +309,15 @@ def later_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_csv(tables: dict[str, DataFrame], folder: str) -> None:
     """Write each table as ``folder/<table>.csv/`` part files, cells as they are."""
-    for name, df in tables.items():
+
+    def write(name: str) -> None:
         (
-            df.write.option("header", True)
+            tables[name].write.option("header", True)
             .option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
             .csv(f"{folder}/{name}.csv")
         )
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, tables))

@@ -6,6 +6,9 @@ in its file. A first scan, the survey, counts for each split the quotes and the
 either state at its start; running totals over one row a split then settle the states and
 number the records. A second scan joins the lines of each record; what crosses the end of a
 split, at most one record each, is all that moves.
+
+Where no line of a table holds an odd number of quotes, each line is a record: Spark's own expressions then
+count, number and split the lines, and no line passes through Python.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import io
 import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -37,10 +41,13 @@ def text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def surplus_message(cell: Column) -> Column:
+    return F.concat(F.lit("record with more cells than the header, beginning with the surplus cell "), cell)
+
+
 def without_surplus(rows: DataFrame) -> DataFrame:
     """The rows without that column; a record that fills it ends the job, as its cells would be lost."""
-    message = F.concat(F.lit("record with more cells than the header, beginning with the surplus cell "), named(SURPLUS))
-    fits = F.when(named(SURPLUS).isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    fits = F.when(named(SURPLUS).isNull(), F.lit(True)).otherwise(F.raise_error(surplus_message(named(SURPLUS))).cast("boolean"))
     return rows.filter(fits).drop(SURPLUS)
 
 
@@ -61,6 +68,7 @@ class Survey:
     folded: bool  # some record spans lines, or a quote isn't closed
     crossing: bool  # some split begins inside a record
     splits: DataFrame  # one row a file split
+    one_line: bool = False  # each line is a record, and its place in the scan tells its number
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -73,6 +81,47 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 _SPLIT_ROWS = "_table int, _file long, _block long, _odds long, _if_closed long, _if_open long, _header string"
 
+#: What a job says whose file splits lie otherwise among the tasks than those of the survey.
+SPLITS_MOVED = "file splits changed between two scans"
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """The lines that aren't blank, and the place of each in its task."""
+    filled = lines.filter(F.btrim("value", F.lit(" \r")) != "")
+    return filled.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def _count_lines(spark: SparkSession, paths: Mapping[str, str], numbered: Mapping[str, int]) -> tuple[DataFrame, set[str]]:
+    """For each file split its lines and the place of the first, as the survey of records has it; and the tables for
+    which that isn't enough, as quotes may hold line breaks there or a file begins with another header."""
+    lines = None
+    for name, path in paths.items():
+        text = _lines(spark, path)
+        head = text.filter((F.col("_block") == 0) & (F.btrim("value", F.lit(" \r")) != "")).select("value").first()
+        header = head["value"].removesuffix("\r") if head else ""
+        text = _placed(text).select(
+            F.lit(numbered[name]).alias("_table"), "_file", "_block", "_at", F.lit(header).alias("_header"),
+            F.col("value").isin(header, header + "\r").alias("_is_header"),
+            # Most lines hold no quote, so these are not gone through twice.
+            F.when(F.contains("value", F.lit('"')), (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1)
+            .otherwise(F.lit(False)).alias("_odd"),
+        )
+        lines = text if lines is None else lines.unionByName(text)
+    begins = F.col("_block") == 0
+    counted = lines.groupBy("_table", "_file", "_block", "_header").agg(
+        F.count(F.lit(1)).alias("_if_closed"), F.count_if("_odd").alias("_odd_lines"), F.min("_at").alias("_first"),
+        F.min(F.when(F.col("_is_header"), F.col("_at"))).alias("_header_at"),
+    ).select(
+        "_table", "_file", "_block", F.lit(0).cast("long").alias("_odds"), "_if_closed", F.lit(0).cast("long").alias("_if_open"),
+        F.when(begins, F.col("_header")).alias("_header"), "_first",
+        ((F.col("_odd_lines") > 0) | begins & ~F.col("_header_at").eqNullSafe(F.col("_first"))).alias("_joined"),
+    )
+    place = scratch_dir(spark, "lines")
+    counted.write.parquet(place)
+    counts = spark.read.schema(counted.schema).parquet(place)
+    joined = {r["_table"] for r in counts.filter("_joined").select("_table").distinct().collect()}
+    return counts.drop("_joined"), {name for name in paths if numbered[name] in joined}
+
 
 def _counting():
     """The task function of the survey. It is sent by value: executors need not have this package."""
@@ -119,21 +168,30 @@ def _counting():
     return run
 
 
-def survey(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Survey]:
+def survey(spark: SparkSession, paths: Mapping[str, str], by_lines: bool = True) -> dict[str, Survey]:
     """One scan of the text of all tables: their columns and records, and how these lie in the file splits.
 
-    An unclosed quote shows as ``folded`` and ends the read of the table. Files of a table whose headers differ are refused.
+    Tables whose quotes may hold line breaks are scanned once more, to find their records; without ``by_lines`` all are, and
+    the scans that follow don't rely on how file splits are dealt to tasks. An unclosed quote shows as ``folded`` and ends the read of the table. Files of a table whose headers differ are refused.
     """
     if not paths:
         return {}
     numbered = {name: k for k, name in enumerate(paths)}
+    by_line, joined = _count_lines(spark, paths, numbered) if by_lines else (None, set(paths))
     lines, files = None, []
     for name, path in paths.items():
-        text = _lines(spark, path).withColumn("_table", F.lit(numbered[name]))
         # An empty authority is left out in the paths that rows carry.
         files += [(numbered[name], re.sub("^([^:/]+):///", r"\1:/", f)) for f in spark.read.text(path).inputFiles()]
-        lines = text if lines is None else lines.unionByName(text)
-    counted = lines.select("value", "_table", "_file", "_block").mapInArrow(_counting(), _SPLIT_ROWS)
+        if name in joined:
+            text = _lines(spark, path).withColumn("_table", F.lit(numbered[name]))
+            lines = text if lines is None else lines.unionByName(text)
+    counted = by_line
+    if lines is not None:
+        counted = lines.select("value", "_table", "_file", "_block").mapInArrow(_counting(), _SPLIT_ROWS)
+        counted = counted.withColumn("_first", F.lit(None).cast("long"))
+        if by_line is not None:
+            others = by_line.filter(~F.col("_table").isin([numbered[n] for n in joined]))
+            counted = counted.unionByName(others)
     known = spark.createDataFrame(files, "_table int, _path string").withColumn("_file", F.xxhash64("_path"))
     # Dealt by table once, which is what all windows below need.
     counted = counted.join(known, ["_table", "_file"], "left").repartition("_table")
@@ -150,7 +208,7 @@ def survey(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Survey]:
         counted.withColumn("_open", total("_odds", earlier_in_file) % 2)
         .withColumn("_starts", F.when(F.col("_open") == 0, F.col("_if_closed")).otherwise(F.col("_if_open")))
         .select(
-            "_table", "_file", "_block", "_path", "_odds", "_header", "_open", "_starts",
+            "_table", "_file", "_block", "_path", "_odds", "_header", "_open", "_starts", "_first",
             F.coalesce(F.lead("_open").over(in_file), F.lit(0)).alias("_next_open"),
             F.sum("_odds").over(Window.partitionBy("_table", "_file")).alias("_quotes"),
             total("_starts", earlier_in_file).alias("_before_in_file"),
@@ -184,7 +242,7 @@ def survey(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Survey]:
         if len(headers) > 1:
             raise ValueError(f"the files of {path} have different headers: {sorted(map(list, headers))}")
         names = list(headers.pop()) if headers else []
-        found[name] = Survey(path, names, max(0, fact["starts"] - fact["files"]), bool(fact["folded"]), fact["crossing"] == 1, own)
+        found[name] = Survey(path, names, max(0, fact["starts"] - fact["files"]), bool(fact["folded"]), fact["crossing"] == 1, own, name not in joined)
     return found
 
 
@@ -271,6 +329,8 @@ def _joining():
 
 def records(spark: SparkSession, found: Survey) -> DataFrame:
     """``(number, text)``: the data records of a surveyed table and their 1-based number in file order."""
+    if found.one_line:
+        return _line_records(spark, found)
     facts = found.splits.select(
         "_file", "_block", "_split", "_before_in_file", "_before", "_starts", "_open", "_next_open", "_quotes"
     )
@@ -284,6 +344,39 @@ def records(spark: SparkSession, found: Survey) -> DataFrame:
     return plain.unionByName(crossing.filter("in_file > 1").select("number", F.rtrim("text", F.lit("\r")).alias("text")))
 
 
+def _line_records(spark: SparkSession, found: Survey) -> DataFrame:
+    """The same where each line is a record.
+
+    Its place in the task, less that of the first line of its file split, gives its number. The places in a split run
+    from 0 to its count less 1; were splits dealt otherwise than when they were surveyed, some line would leave that
+    range, and the job ends with :data:`SPLITS_MOVED`.
+    """
+    facts = found.splits.select("_file", "_block", "_before_in_file", "_before", "_starts", "_first")
+    lines = _placed(_lines(spark, found.path)).join(F.broadcast(facts), ["_file", "_block"], "left")  # bounded by MOST_SPLITS
+    place = F.col("_at") - F.col("_first")
+    known = F.when((place >= 0) & (place < F.col("_starts")), F.col("_before_in_file") + place)
+    in_file = F.coalesce(known, F.raise_error(F.lit(SPLITS_MOVED)).cast("long"))
+    data = lines.filter(in_file > 0)  # the first one is the header
+    return data.select((F.col("_before") + place + 1).alias("number"), F.rtrim("value", F.lit("\r")).alias("text"))
+
+
+def _text_cells(rows: DataFrame, schema: T.StructType, parsed: Column, row_number: str) -> DataFrame:
+    """Text cells of the records: what lies between commas where a record holds nothing that the reader takes for more than text."""
+    special = reduce(lambda a, b: a | b, [F.contains("text", F.lit(c)) for c in ('"', "\r", "\0")])
+    once = rows.select(  # each record is taken apart once, in a step of its own
+        F.when(~special, F.split("text", ",")).alias("_plain"), F.when(special, parsed).alias("_row"), F.col("number").alias(row_number)
+    )
+
+    def cell(i: int) -> Column:
+        return F.when(F.col("_plain").isNull(), F.col("_row")[schema[i].name]).otherwise(F.nullif(F.get("_plain", F.lit(i)), F.lit("")))
+
+    # Not a filter, which Spark would move below that step and take records apart again for.
+    surplus = cell(len(schema) - 1)
+    checked = F.when(surplus.isNull(), F.col("_plain")).otherwise(F.raise_error(surplus_message(surplus)).cast("array<string>"))
+    checked = once.select(checked.alias("_plain"), "_row", row_number)
+    return checked.select(*[cell(i).alias(name) for i, name in enumerate(schema.names[:-1])], row_number)
+
+
 def parse(rows: DataFrame, found: Survey, row_number: str, typed: T.StructType | None = None, **options: str) -> DataFrame:
     """The records as the ``typed`` columns, else as those of the header as text, and their number.
 
@@ -291,13 +384,15 @@ def parse(rows: DataFrame, found: Survey, row_number: str, typed: T.StructType |
     job. Text records with more cells than the header end it too, shorter ones are filled with null.
     ``options`` are those of Spark's CSV reader.
     """
-    schema = typed or text_schema([*found.names, SURPLUS])
+    schema, options_given = typed or text_schema([*found.names, SURPLUS]), bool(options)
     options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", **options}
     ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
     parsed = F.from_csv("text", ddl, options)
     if found.folded:
         stray = F.raise_error(F.lit(f"stray quote in a table with records over several lines: {found.path}")).cast(schema)
         parsed = F.when(F.col("text").rlike(WELL_FORMED), parsed).otherwise(stray)
+    elif typed is None and not options_given:
+        return _text_cells(rows, schema, parsed, row_number)
     cells = rows.select(parsed.alias("_row"), F.col("number").alias(row_number))
     cells = cells.select(*[F.col("_row")[f.name].alias(f.name) for f in schema.fields], row_number)
     return cells if typed else without_surplus(cells)
