@@ -238,6 +238,19 @@ def test_layers_are_packed_and_treated_without_json(spark, tmp_path, monkeypatch
     assert all(".zstd." in f for f in files) and len(files) >= 2
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "32k")
+    try:
+        df = spark.range(40_000, numPartitions=8).selectExpr("id", "uuid() as name", "0 as bucket")
+        layers._write_buckets(df, str(tmp_path / "t"))
+    finally:
+        spark.conf.set(size, before)
+    written = spark.read.parquet(str(tmp_path / "t"))
+    assert written.count() == 40_000 and len(written.inputFiles()) > 1
+
+
 def csv_schema():
     from pyspark.sql import types as T
 

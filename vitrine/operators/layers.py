@@ -165,7 +165,8 @@ def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
 
 
 def _write_buckets(rows: DataFrame, path: str) -> None:
-    rows.repartition("bucket").write.partitionBy("bucket").option("compression", COMPRESSION).parquet(path)
+    """Write a folder a bucket; a bucket of many rows is dealt to several tasks, so that none sorts them all."""
+    rows.hint("rebalance", "bucket").write.partitionBy("bucket").option("compression", COMPRESSION).parquet(path)
 
 
 def _with_broken(treated: DataFrame, table: str, taken: DataFrame | None = None) -> DataFrame:
