@@ -141,6 +141,18 @@ def test_top_pairs_spare_the_large_baskets(spark, monkeypatch):
     assert calls == ["full", "lift"]  # all pairs of the seeds only
 
 
+def test_baskets_are_dealt_to_tasks_by_their_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(o, v) for o in range(200) for v in rng.sample(range(25), 5)] + [(o, None) for o in range(9)]
+    df = spark.createDataFrame(items, "order_id long, product_variant_id long")
+    assert recommend._sizes(df, 4) == (200, 0) and recommend._sizes(df, 5) == (0, 2000)
+    monkeypatch.setattr(recommend, "TASK_PAIRS", 100)
+    usual, _ = recommend._by_size(df, 5, 2000)
+    assert "REPARTITION_BY_NUM" in usual._jdf.queryExecution().toString() and usual.rdd.getNumPartitions() >= 20
+    want = sorted((a, b, n) for (a, b), n in brute_pairs([i for i in items if i[1] is not None]).items())
+    assert rows(recommend.product_pairs(df), "produto_a", "produto_b") == want
+
+
 def test_pairs_drop_rare_products_only(spark, monkeypatch):
     """Frequent pairs among many rare products: the thinned count equals the full one."""
     rng = random.Random(9)

@@ -8,6 +8,8 @@ from vitrine.operators.lookup import few_variant_names, keys, pin, variant_names
 
 # Item rows of an order that are gathered in one basket; larger orders are paired by chunks.
 BLOCK = 256
+# Pairs that one task lists and counts, at most by estimate: some 150 bytes each.
+TASK_PAIRS = 2_000_000
 # Variants whose pairs set the bar for the most frequent pairs.
 SEEDS = 1000
 # Items are thinned before pairing if no more than this share of them stays; a
@@ -56,10 +58,12 @@ def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("produto_a", "produto_b").agg(F.count(F.lit(1)).alias("coocorrencias"))
 
 
-def _by_size(items: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _by_size(items: DataFrame, block: int, pairs: int) -> tuple[DataFrame, DataFrame]:
     """Baskets of the orders with up to ``block`` item rows, and the distinct items of the others.
 
-    Only orders of bounded size are gathered into a row.
+    Only orders of bounded size are gathered into a row. The baskets are dealt to so many tasks that
+    none lists more than about :data:`TASK_PAIRS` of their ``pairs``: most pairs differ, so
+    what a task counts grows with what it lists.
     """
     known = items.filter(
         F.col("order_id").isNotNull() & F.col("product_variant_id").isNotNull()
@@ -67,6 +71,9 @@ def _by_size(items: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     above = known.groupBy("order_id").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > block)
     above = above.select("order_id")
     usual = known.join(above, "order_id", "left_anti")
+    tasks = -(-pairs // TASK_PAIRS)
+    if tasks > 1:  # by a number of its own, as Spark drops a second shuffle into the same number and joins partitions of the first
+        usual = usual.repartition(max(tasks, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1, "order_id")
     return order_baskets(usual), basket_items(known.join(above, "order_id", "left_semi"))
 
 
@@ -107,7 +114,7 @@ def product_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
     ``block`` item rows are paired by chunks of their items, spread over the tasks; pair
     counts are summed per task before the shuffle.
     """
-    usual, large = _by_size(items, block)
+    usual, large = _by_size(items, block, _sizes(items, block)[1])
     return _counted(_listed_pairs(usual.select("produtos"), block).unionByName(_cell_pairs(large, block)))
 
 
@@ -136,7 +143,8 @@ def top_pairs(
     ).select("order_id", "product_variant_id")
     rows = known.groupBy("product_variant_id").agg(F.count(F.lit(1)).alias("_rows"))
     bar = 1
-    if _large_orders(known, block) or _stands_out(rows):
+    large, pairs = _sizes(known, block)
+    if large or _stands_out(rows):
         bar = _bar(known, rows, n, seeds, block)
     if bar >= WORTHWHILE_BAR:
         frequent = F.col("_rows") >= bar
@@ -149,9 +157,9 @@ def top_pairs(
             if kept["products"] <= BROADCAST_PRODUCTS:
                 wanted = F.broadcast(wanted)
             known = known.join(wanted, "product_variant_id", "left_semi")
-    large = _large_orders(known, block)
+            large, pairs = _sizes(known, block)
     if large < bar:
-        usual, rest = _by_size(known, block)
+        usual, rest = _by_size(known, block, pairs)
         counted = _counted(_listed_pairs(usual, block))
         if large:
             counted = _add_large(counted.filter(F.col("coocorrencias") >= bar - large), rest)
@@ -160,9 +168,14 @@ def top_pairs(
     return counted.orderBy(*_best_pairs_first()).limit(n)
 
 
-def _large_orders(known: DataFrame, block: int) -> int:
-    """Orders with more than ``block`` item rows."""
-    return known.groupBy("order_id").count().filter(F.col("count") > block).count()
+def _sizes(items: DataFrame, block: int) -> tuple[int, int]:
+    """How many orders have more than ``block`` item rows, and the pairs of item rows in the others."""
+    known = items.filter(F.col("order_id").isNotNull() & F.col("product_variant_id").isNotNull())
+    rows, usual = F.col("count"), F.col("count") <= block
+    found = known.groupBy("order_id").count().agg(
+        F.count_if(~usual).alias("large"), F.coalesce(F.sum(F.when(usual, rows * (rows - 1) / 2)), F.lit(0)).cast("long").alias("pairs")
+    ).first()
+    return found["large"], found["pairs"]
 
 
 def _stands_out(rows: DataFrame) -> bool:
