@@ -60,6 +60,32 @@ def test_blocks_keep_the_bound():
     assert language.blocks(words, pairs, 1 << 20) == 1 and language.blocks(words, pairs, 1) == 16
 
 
+def test_a_low_bound_takes_no_more_scans(spark, monkeypatch):
+    whole = {r["doc_id"]: r["score"] for r in check(spark, cases.texts()) if r["doc_id"] is not None}
+    put, written = language.Store.put, []
+    monkeypatch.setattr(language.Store, "put", lambda self, df, name, **options: (written.append(name), put(self, df, name, **options))[1])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("a filter is sent from the driver"))
+    parts = {r["doc_id"]: r["score"] for r in check(spark, cases.texts(), most_bytes=1_000) if r["doc_id"] is not None}
+    assert len(written) == 2
+    assert all(abs(parts[i] - whole[i]) < 1e-6 for i in whole)
+
+
+def test_answers_over_several_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        check(spark, cases.texts(), most_bytes=10_000)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_text_longer_than_a_piece(spark):
+    draw = np.random.default_rng(4)
+    long = " ".join(f"w{n}" for n in draw.geometric(0.001, 300_000))
+    assert len(long) > 1 << 20
+    rows = [(1, long), (2, "w1 w2 W1"), (None, long[:900]), (3, long[5_000:9_000])]
+    check(spark, rows, most_bytes=4 << 20)
+
+
 def quantised_score(rows, prior=language.PRIOR):
     """The score with the levels held in dicts instead of filters."""
     words, pairs = Counter(), Counter()

@@ -2,11 +2,12 @@
 
 Counts of words and word pairs are quantised to levels, a step a factor. The filter
 holds (n-gram, 1) up to (n-gram, level); a reader probes level after level until
-one is missing. It is sent to the workers, which score whole texts:
+one is missing. It scores whole texts:
 p(w | v) = (c(v, w) + prior * p(w)) / (c(v) + prior), with p(w) smoothed as well. Each slice
-of a filter has bits for what it holds, so false positives are as rare at every size. What is
-sent at once has a bound: if words and pairs need more, words are divided into groups by hash,
-and pairs by the groups of both their words; each block of pairs goes out with the words of its two groups.
+of a filter has bits for what it holds, so false positives are as rare at every size.
+No task holds more than a part of the slices. Texts are packed in pieces, and each piece sends the distinct words and
+pairs of every part to the task of that part, which counts them, builds the slices and answers with the levels.
+The answers meet the texts of their piece again. So the texts are read twice, whatever the size of the filter.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.store import Store
-from vitrine.llm.words import mix, pieces, signed
+from vitrine.llm.words import CHUNK, buffers, mix, split
 
 #: The token that ends a text, and stands before its first word.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Filter bits an entry (an n-gram at a level) for pairs and for words, and the greatest filters sent at once, in bytes.
+#: Filter bits an entry (an n-gram at a level) for pairs and for words.
 PAIR_BITS, WORD_BITS = 6, 12
+#: What a task works on at once, in bytes, and the bytes that it takes to count, build and answer, a token.
 MOST_BYTES = 128 << 20
+TOKEN_BYTES = 64
 #: Levels of counts: a factor each.
 PAIR_BASE, WORD_BASE = 2.0, 1.25
 PROBES = 3
@@ -36,9 +38,11 @@ PROBES = 3
 CELLS, FINE = 16, 16
 PAIRS = 500_000
 PRIOR = 5_000.0
-#: Words are frequent if they make up over one in so many tokens, hence fewer than that.
+#: Without use since exact counts come with the answers, of frequent words as of rare ones; tests still set it.
 FREQUENT = 1_000_000
 ADD = 0.1
+#: Row groups of the table of pieces are small, as Spark's reader takes many rows at once.
+PACKED = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 
 
 def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
@@ -155,103 +159,194 @@ def remainder(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10
 
 
-def _counting(cells: int):
-    """Partial counts: words in slices from -1 downwards, pairs in slices from 0 on, by the cells of both words."""
+def _packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for about CHUNK bytes of text: its first row's number, ids, whether each text is learnt from, texts, and a guess of the tokens."""
+    for batch in batches:
+        _, offsets = buffers(batch.column(3))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+            part = batch.slice(at, to - at)
+            lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(k)) for k in (1, 2, 3)]
+            guess = (np.diff(offsets[at : to + 1]) / 6 + 1).sum()
+            yield pa.RecordBatch.from_arrays([part.column(0)[:1], *lists, pa.array([guess])], ["piece", "ids", "learnt", "texts", "guess"])
+            at = to
+
+
+def _tokens(texts: pa.Array) -> Tokens:
+    return Tokens.of(split(*buffers(texts), lower=True))
+
+
+def _distinct(keys: np.ndarray, slices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys ordered by slice and key, the slice of each, and which of them each key is."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    start = np.flatnonzero(new)
+    own = np.minimum.reduceat(slices[order], start)
+    by_slice = np.argsort(own, kind="stable")
+    place = np.empty(len(start), np.int64)
+    place[by_slice] = np.arange(len(start))
+    which = np.empty(len(keys), np.int64)
+    which[order] = place[np.cumsum(new) - 1]
+    return keys[order[start]][by_slice], own[by_slice], which
+
+
+def _asked(tokens: Tokens, cells: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What a piece asks for, words and pairs (see ``_distinct``)."""
+    pair = cell_of(tokens.before, cells) * cells + cell_of(tokens.word, cells)
+    return [_distinct(tokens.word, cell_of(tokens.word, cells * FINE)), _distinct(tokens.pairs(), pair)]
+
+
+def _blobs(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Binary values: those of ``values`` between consecutive offsets."""
+    values = np.ascontiguousarray(values)
+    offsets = (offsets * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all blobs of a column, one after another, and how many each has."""
+    data, offsets = buffers(column)
+    return data[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _asking(cells: int, parts: int):
+    """A row a piece and part: distinct keys by slice, how often each is learnt, keys a slice. Words have even parts, pairs odd ones."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [cells * FINE, cells * cells]
+        first = [np.searchsorted(np.arange(n) * parts // n, np.arange(parts + 1)) for n in counts]
         for batch in batches:
-            for _, words in pieces(batch, 0, lower=True):
-                tokens = Tokens.of(words)
-                key, n = np.unique(tokens.word, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - cell_of(key, cells * FINE)), signed(key), pa.array(n)], ["slice", "key", "n"])
-                key, at, n = np.unique(tokens.pairs(), return_index=True, return_counts=True)
-                own = cell_of(tokens.before[at], cells) * cells + cell_of(tokens.word[at], cells)
-                yield pa.RecordBatch.from_arrays([pa.array(own), signed(key), pa.array(n)], ["slice", "key", "n"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                learnt = row.column(1).flatten().to_numpy(zero_copy_only=False)
+                tokens = _tokens(row.column(2).flatten())
+                weight = learnt[tokens.document]
+                for kind, (key, own, which) in enumerate(_asked(tokens, cells)):
+                    n = np.bincount(which, weight, len(key)).astype(np.uint32)
+                    sizes = np.bincount(own, minlength=counts[kind]).astype(np.int32)
+                    offsets = np.concatenate(([0], np.cumsum(sizes)))[first[kind]]
+                    asked = pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.arange(parts, dtype=np.int32) * 2 + kind), pa.array(np.repeat(row.column(0).to_numpy(), parts)),
+                            _blobs(key, offsets), _blobs(n, offsets), _blobs(sizes, first[kind]),
+                        ],
+                        ["part", "piece", "keys", "n", "sizes"],
+                    )
+                    yield asked.filter(pa.array(np.diff(offsets) > 0))
 
     return over
 
 
-def _building(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over counted n-grams, whole slices in a task: a row a slice with its bitmap and bytes, and a row a word."""
-    names = ["slice", "key", "n", "bits", "value"]
-    value = values_of(WORD_BASE)
-    held: dict[int, list] = {}
-    for batch in batches:
-        slice_ = batch.column(0).to_numpy()
-        key = batch.column(1).to_numpy().view(np.uint64)
-        n = batch.column(2).to_numpy()
-        word = np.flatnonzero(slice_ < 0)
-        if len(word):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slice_[word]), signed(key[word]), pa.array(n[word]), pa.nulls(len(word), pa.binary()), pa.array(value[levels_of(n[word], WORD_BASE)])],
-                names,
-            )
-        order = np.argsort(slice_, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(slice_[order])) + 1):
-            if len(own):
-                held.setdefault(int(slice_[own[0]]), []).append((key[own], n[own]))
-    for at, parts in held.items():
-        key, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        bits = slice_bits(key, n, *((WORD_BASE, WORD_BITS) if at < 0 else (PAIR_BASE, PAIR_BITS)))
+def _answer(kind: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels of all keys of a part, by the row that asks, and of words the exact counts; then a row of the part's totals."""
+    base, room = ((WORD_BASE, WORD_BITS), (PAIR_BASE, PAIR_BITS))[kind]
+    key, n, size = (np.concatenate([_values(b.column(k), t)[0] for b in held]) for k, t in ((2, np.uint64), (3, np.uint32), (4, np.int32)))
+    asked = np.concatenate([_values(b.column(2), np.uint64)[1] for b in held])
+    own = np.repeat(np.tile(np.arange(len(size) // len(asked)), len(asked)), size)
+    level, count = np.zeros(len(key), np.uint8), np.zeros(len(key) * (not kind), np.int64)
+    tokens, types, mass = 0, 0, 0.0
+    for at in range(len(size) // len(asked)):
+        here = np.flatnonzero(own == at)
+        if not len(here):
+            continue
+        here = here[np.argsort(key[here])]
+        new = np.ones(len(here), bool)
+        new[1:] = key[here[1:]] != key[here[:-1]]
+        start = np.flatnonzero(new)
+        distinct, total, which = key[here[start]], np.add.reduceat(n[here], start, dtype=np.int64), np.cumsum(new) - 1
+        learnt = total > 0
+        slices = {0: slice_bits(distinct[learnt], total[learnt], base, room).tobytes()} if learnt.any() else {}
+        level[here] = Filter.of(slices, 1, base).levels(distinct, np.zeros(len(distinct), np.int64))[which]
+        if not kind:
+            count[here] = total[which]
+            tokens, types = tokens + int(total.sum()), types + int(learnt.sum())
+            mass += float(values_of(base)[levels_of(total[learnt], base)].sum())
+    offsets = np.concatenate(([0], np.cumsum(asked)))
+    part, piece = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+    none = pa.nulls(len(part), pa.int64())
+    names = ["part", "piece", "levels", "counts", "tokens", "types", "mass"]
+    counts = pa.nulls(len(part), pa.binary()) if kind else _blobs(count, offsets)
+    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(piece), _blobs(level, offsets), counts, none, none, none.cast(pa.float64())], names)
+    if not kind:
+        blank = pa.nulls(1, pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([at]), pa.array([0]), pa.array([len(bits)]), pa.array([bits.tobytes()], pa.binary()), pa.array([0.0])], names
+            [pa.array(part[:1]), pa.nulls(1, pa.int64()), blank, blank, pa.array([tokens]), pa.array([types]), pa.array([mass])], names
         )
 
 
-def _held(bitmaps: DataFrame, cells: int, groups: int, a: int, b: int) -> tuple[Filter, Filter]:
-    """The words of two groups and the pairs between them, on the driver: MOST_BYTES in all (see ``blocks``)."""
-    group = lambda cell: F.floor(cell * groups / cells)
-    word = F.floor((-1 - F.col("slice")) / FINE)
-    wanted = F.when(F.col("slice") < 0, group(word).isin(a, b)).otherwise(
-        (group(F.floor(F.col("slice") / cells)) == a) & (group(F.col("slice") % cells) == b)
+def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by part: the answers of one part after another."""
+    last, held = -1, []
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        for rows in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+            if not len(rows):
+                continue
+            if part[rows[0]] != last and held:
+                yield from _answer(last % 2, held)
+                held = []
+            last = int(part[rows[0]])
+            held.append(batch.slice(rows[0], len(rows)))
+    if held:
+        yield from _answer(last % 2, held)
+
+
+def _scored(texts: pa.RecordBatch, answers: list[pa.RecordBatch], cells: int, prior: float, n_all: int, distinct: int, mass: float) -> pa.RecordBatch:
+    """The rows of a piece, by its texts and the answers in the order of the parts."""
+    tokens = _tokens(texts.column(3).flatten())
+    levels: tuple[list, list] = ([np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)])
+    counts = [np.zeros(0, np.int64)]
+    for batch in answers:
+        odd = batch.column(1).to_numpy() % 2 == 1
+        for kind in (0, 1):
+            own = batch.filter(pa.array(odd == kind))
+            levels[kind].append(_values(own.column(4), np.uint8)[0])
+            if not kind:
+                counts.append(_values(own.column(5), np.int64)[0])
+    (_, _, word_of), (_, _, pair_of) = asked = _asked(tokens, cells)
+    word_level, pair_level, count = np.concatenate(levels[0]), np.concatenate(levels[1]), np.concatenate(counts)
+    if [len(word_level), len(pair_level), len(count)] != [len(asked[0][0]), len(asked[1][0]), len(asked[0][0])]:
+        raise ValueError("the answers of a piece aren't those to what it asked")
+    rows = len(texts.column(2).flatten())
+    estimate = values_of(WORD_BASE)[word_level][word_of]
+    pair = values_of(PAIR_BASE)[pair_level][pair_of]
+    end = estimate[-1:]  # the last token ends a text
+    context = np.maximum(np.concatenate((end, estimate[:-1])), pair)
+    plain = (estimate + ADD) / (mass + ADD * (distinct + 1))
+    log = np.log10((pair + prior * plain) / (context + prior))
+    base = np.log10((count + ADD) / (n_all + ADD * (distinct + 1)))
+    return pa.RecordBatch.from_arrays(
+        [
+            texts.column(2).flatten(), pa.array(np.bincount(tokens.document, minlength=rows)),
+            pa.array(np.bincount(tokens.document, (count > 0)[word_of], rows).astype(np.int64)),
+            pa.array(np.bincount(tokens.document, base[word_of], rows)), pa.array(np.bincount(tokens.document, log, rows)),
+        ],
+        ["doc_id", "n_tokens", "n_known", "base_score", "score"],
     )
-    words, pairs = {}, {}
-    for at, own in bitmaps.where(wanted).select("slice", "bits").toLocalIterator():
-        (words if at < 0 else pairs)[-1 - at if at < 0 else at] = bytes(own)
-    return Filter.of(words, cells * FINE, WORD_BASE), Filter.of(pairs, cells * cells, PAIR_BASE)
 
 
-def _scoring(shared, cells: int, groups: int, a: int, b: int, prior: float):
-    """Scores of the pairs of groups a and b; with the first block also the counts and the exact base."""
-    first = not a and not b
+def _scoring(cells: int, prior: float, n_all: int, distinct: int, mass: float):
+    """Over rows sorted by piece and part, the texts of a piece before its answers."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, pairs_, frequent, counts, n_all, distinct, mass = shared.value
-        word_value, pair_value = values_of(WORD_BASE), values_of(PAIR_BASE)
+        texts, answers = None, []
         for batch in batches:
-            for part, words in pieces(batch, 2, lower=True):
-                tokens = Tokens.of(words)
-                rows = part.num_rows
-                key, at = np.unique(tokens.word, return_inverse=True)
-                estimate = word_value[words_.levels(key, cell_of(key, cells * FINE))]
-                left, right = cell_of(tokens.before, cells), cell_of(tokens.word, cells)
-                own = np.flatnonzero((left * groups // cells == a) & (right * groups // cells == b)) if groups > 1 else np.arange(len(left))
-                pair = pair_value[pairs_.levels(tokens.pairs()[own], left[own] * cells + right[own])]
-                before = np.searchsorted(key, tokens.before[own])
-                context = np.maximum(estimate[np.minimum(before, len(key) - 1)], pair)
-                plain = (estimate[at[own]] + ADD) / (mass + ADD * (distinct + 1))
-                log = np.log10((pair + prior * plain) / (context + prior))
-                score = np.bincount(tokens.document[own], log, rows)
-                columns = [part.column(0), part.column(1), pa.array(score)]
-                if first:
-                    place = np.minimum(np.searchsorted(frequent, key), max(0, len(frequent) - 1))
-                    held = frequent[place] == key if len(frequent) else np.zeros(len(key), bool)
-                    count = np.where(held, counts[place] if len(frequent) else 0, 0)
-                    base = np.log10((count + ADD) / (n_all + ADD * (distinct + 1)))
-                    rare = np.flatnonzero(~held[at])
-                    combined = tokens.document[rare].astype(np.int64) * len(key) + at[rare]
-                    combined, n = np.unique(combined, return_counts=True)
-                    document, which = combined // max(1, len(key)), combined % max(1, len(key))
-                    offsets = np.searchsorted(document, np.arange(rows + 1))
-                    lists = pa.ListArray.from_arrays(
-                        pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([signed(key[which]), pa.array(n.astype(np.int32))], ["key", "times"])
-                    )
-                    columns += [
-                        pa.array(np.bincount(tokens.document, minlength=rows)),
-                        pa.array(np.bincount(tokens.document, held[at], rows).astype(np.int64)),
-                        pa.array(np.bincount(tokens.document, np.where(held, base, 0)[at], rows)), lists,
-                    ]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "part", "n_tokens", "known", "base", "rare"][: len(columns)])
+            piece = batch.column(0).to_numpy()
+            begins = np.flatnonzero(batch.column(1).to_numpy() < 0)
+            for rows in np.split(np.arange(len(piece)), begins):
+                if not len(rows):
+                    continue
+                own = batch.slice(rows[0], len(rows))
+                if len(begins) and rows[0] >= begins[0]:
+                    if texts is not None:
+                        yield _scored(texts, answers, cells, prior, n_all, distinct, mass)
+                    texts, answers, own = own.slice(0, 1), [], own.slice(1)
+                if own.num_rows:
+                    answers.append(own)
+        if texts is not None:
+            yield _scored(texts, answers, cells, prior, n_all, distinct, mass)
 
     return over
 
@@ -263,56 +358,44 @@ def score(
 
     Learns from rows whose crc32(id as text) mod 10 isn't 0 (a null id counts as the empty text,
     which is held out). Whole texts, A-Z in lower case; null is read as empty, so each text has at least
-    its end. ``base_score`` rests on exact counts: those of frequent words are sent along, the others
-    are joined. Repeated rows are learnt from and scored each on their own.
+    its end. ``base_score`` rests on exact counts. Repeated rows are learnt from and scored each on their own.
+    ``most_bytes`` bounds what a task works on at once, by estimate.
     """
     spark = docs.sparkSession
     store = store or Store(spark, "language")
     texts = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-        remainder(id_col).alias("rest"),
+        F.monotonically_increasing_id().alias("piece"), F.col(id_col).cast("long").alias("doc_id"),
+        (remainder(id_col) != 0).alias("learnt"), F.col(text_col).cast("binary").alias("text"),
     )
-    learnt = texts.where("rest <> 0").select(F.coalesce("text", F.lit("")).alias("text"))
-    guess = learnt.agg(F.sum(F.octet_length("text") / 6 + 1)).first()[0] or 1.0
+    packed = store.put(
+        texts.mapInArrow(_packing, "piece long, ids array<long>, learnt array<boolean>, texts array<binary>, guess double"), "pieces", **PACKED
+    )
+    guess = packed.agg(F.sum("guess")).first()[0] or 1.0
     cells = CELLS * max(1, math.ceil(math.sqrt(guess / (PAIRS * CELLS * CELLS))))
-    rows = learnt.mapInArrow(_counting(cells), "slice long, key long, n long").repartition("slice")
-    counted = rows.groupBy("slice", "key").agg(F.sum("n").alias("n"))
-    built = store.put(counted.mapInArrow(_building, "slice long, key long, n long, bits binary, value double"), "built")
-    bitmaps = built.where("bits is not null")
-    of_words, of_pairs = np.zeros(cells * FINE, np.int64), np.zeros(cells * cells, np.int64)
-    for at, n in bitmaps.select("slice", "n").collect():  # a number a slice
-        (of_words if at < 0 else of_pairs)[-1 - at if at < 0 else at] = n
-    groups = blocks(of_words.reshape(cells, FINE).sum(1), of_pairs.reshape(cells, cells), most_bytes)
-    vocabulary = built.where("bits is null").select("key", "n")
-    n_all, distinct, mass = built.where("bits is null").agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("value"), F.lit(0.0))
+    # As many parts as there are blocks of evenly filled slices.
+    parts = blocks(np.zeros(cells), np.full((cells, cells), guess * TOKEN_BYTES / cells**2), most_bytes) ** 2
+    asked = packed.select("piece", "learnt", "texts").mapInArrow(
+        _asking(cells, parts), "part int, piece long, keys binary, n binary, sizes binary"
+    )
+    answered = store.put(
+        asked.repartition("part").sortWithinPartitions("part").mapInArrow(
+            _answering, "part int, piece long, levels binary, counts binary, tokens long, types long, mass double"
+        ),
+        "answers",
+    )
+    n_all, distinct, mass = answered.where("piece is null").agg(
+        F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("mass"), F.lit(0.0))
     ).first()
-    often = vocabulary.where(F.col("n") * FREQUENT > F.lit(n_all)).toPandas() if n_all else None  # fewer than FREQUENT rows
-    keys = often["key"].to_numpy().view(np.uint64) if often is not None else np.zeros(0, np.uint64)
-    order = np.argsort(keys)
-    frequent = keys[order], (often["n"].to_numpy()[order] if often is not None else np.zeros(0, np.int64))
-    table, scores = None, None
-    for a, b in product(range(groups), repeat=2):
-        shared = spark.sparkContext.broadcast((*_held(bitmaps, cells, groups, a, b), *frequent, n_all, distinct, mass))
-        schema = "row long, doc_id long, part double"
-        if table is None:
-            schema += ", n_tokens long, known long, base double, rare array<struct<key:long,times:int>>"
-        source = texts.select("row", "doc_id", "text")
-        part = store.put(source.mapInArrow(_scoring(shared, cells, groups, a, b, prior), schema), f"scores{a}-{b}")
-        shared.unpersist()
-        table = part if table is None else table
-        scores = part.select("row", "part") if scores is None else scores.union(part.select("row", "part"))
-    log = F.log10((F.coalesce("n", F.lit(0)) + ADD) / F.lit(n_all + ADD * (distinct + 1)))
-    rare = (
-        table.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.times")
-        .join(vocabulary, "key", "left").groupBy("row")
-        .agg(F.sum(F.col("times") * log).alias("rare_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"))
+    nothing = F.lit(None)
+    meet = packed.select("piece", F.lit(-1).alias("part"), "ids", "texts", nothing.cast("binary").alias("levels"), nothing.cast("binary").alias("counts"))
+    meet = meet.union(
+        answered.where("piece is not null")
+        .select("piece", "part", nothing.cast("array<long>").alias("ids"), nothing.cast("array<binary>").alias("texts"), "levels", "counts")
+    )
+    scored = meet.repartition("piece").sortWithinPartitions("piece", "part").mapInArrow(
+        _scoring(cells, prior, n_all, distinct, mass), "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
-    out = table.drop("rare")
-    if groups > 1:
-        out = out.drop("part").join(scores.groupBy("row").agg(F.sum("part").alias("part")), "row")
-    return out.join(rare, "row", "left").select(
-        "doc_id", (remainder("doc_id") == 0).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), F.col("part").alias("score"),
+    return scored.select(
+        "doc_id", (remainder("doc_id") == 0).alias("held_out"), "n_tokens", "n_known",
+        F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score",
     )
